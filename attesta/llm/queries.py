@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 #: query -> module of this subpackage that holds it
 MODULES = {
+    "op2_quality_rules": "quality",
+    "op7_secret_scan": "secret_scan",
     "op10_mix_sources": "mixing",
 }
 
