@@ -7,6 +7,11 @@ from collections.abc import Callable
 
 #: query -> module of this subpackage that holds it
 MODULES = {
+    "op1_url_filter": "url_filter",
+    "op4_simhash_near_duplicates": "simhash",
+    "op5_bpe": "bpe",
+    "op6_language_id": "langid",
+    "op9_line_chunk_dedup": "line_dedup",
     "op2_quality_rules": "quality",
     "op7_secret_scan": "secret_scan",
     "op10_mix_sources": "mixing",
