@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 #: query -> module of this subpackage that holds it
 MODULES = {
+    "op3_substring_dedup": "substring_dedup",
     "op1_url_filter": "url_filter",
     "op4_simhash_near_duplicates": "simhash",
     "op5_bpe": "bpe",
