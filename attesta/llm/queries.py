@@ -12,6 +12,7 @@ MODULES = {
     "op4_simhash_near_duplicates": "simhash",
     "op5_bpe": "bpe",
     "op6_language_id": "langid",
+    "op8_bm25_top_k": "search",
     "op9_line_chunk_dedup": "line_dedup",
     "op2_quality_rules": "quality",
     "op7_secret_scan": "secret_scan",
