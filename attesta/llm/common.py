@@ -73,6 +73,11 @@ def _delete_all() -> None:
             return
 
 
+def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """`df` (short rows, written before) as the broadcast side of a join if it has few rows; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

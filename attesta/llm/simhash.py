@@ -141,17 +141,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most_bits: int = 4) -> DataFrame:
-    """`docs` without its text, with __attesta_fingerprint and __attesta_component (the least id that is reachable)."""
+    """`docs` without its text, with __attesta_ columns fingerprint, root (the component's least fingerprint) and component (the least id that is reachable)."""
     fp = f"{c.OWN}fingerprint"
     d = c.written(with_fingerprint(docs, text_col, words, fp).drop(text_col), "simhash")
     fps = c.written(d.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("first")), "simhash-fps")
     roots = components(links(fps.select("fp"), most_bits))
     with_root = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = with_root.groupBy("root").agg(F.min("first").alias(f"{c.OWN}component"))
-    of = with_root.join(firsts, "root").select(F.col("fp").alias(fp), f"{c.OWN}component")
+    of = with_root.join(firsts, "root").select(F.col("fp").alias(fp), F.col("root").alias(f"{c.OWN}root"), f"{c.OWN}component")
     return d.join(of, fp)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most_bits: int = 4) -> DataFrame:
+    """`docs` with one row of each component: the least by id (null last), then by content."""
+    key = f"{c.OWN}key"
+    of = group(docs.select(F.col(id_col), F.col(text_col), c.text_key(F.col(text_col)).alias(key)), id_col, text_col, words, most_bits)
+    # A component's rows with its least id are few, unless rows repeat; no other row can stay.
+    firsts = of.where(F.col(id_col).eqNullSafe(F.col(f"{c.OWN}component"))).groupBy(f"{c.OWN}root").agg(F.min(key).alias(key), F.first(id_col).alias(f"{c.OWN}id"))
+    firsts = c.written(firsts.select(key, f"{c.OWN}id"), "simhash-kept")
+    rows = docs.withColumn(f"{c.OWN}own", c.text_key(F.col(text_col)))
+    kept = rows.join(firsts, (F.col(f"{c.OWN}own") == F.col(key)) & F.col(id_col).eqNullSafe(F.col(f"{c.OWN}id")), "left_semi")
+    return kept.dropDuplicates([f"{c.OWN}own", id_col]).select(*docs.columns)
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = group(c.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex(f"{c.OWN}fingerprint")), 16, "0").alias("fingerprint"), F.col(f"{c.OWN}component").alias("component_id"))

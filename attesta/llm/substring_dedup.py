@@ -44,7 +44,7 @@ CORE = LENGTH - WINDOW + 1
 #: Phrases with one core that a single task compares.
 LOCAL = 512
 #: Cores known to repeat that are broadcast, at most; more are joined by shuffle.
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 2_000_000
 #: Bytes parsed at once; a place within them takes the low bits of a hash, to order equal hashes.
 _PIECE, _PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 _KEY = ["k64", "k32"]
@@ -159,10 +159,6 @@ def parse(texts: DataFrame) -> DataFrame:
     return texts.select(*_KEY, "copies", "body").where(F.octet_length("body") >= LENGTH).mapInArrow(run, "k64 long, k32 int, copies long, start int, starts int, anchor int, core long, content long")
 
 
-def _sized_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def with_bytes(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """`open_` phrases with their bytes: texts stay where they are, phrases come to their buckets."""
     lists = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "starts", "anchor", "core", "content", "n", "group")).alias("phrases"))
@@ -254,7 +250,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     parsed = c.written(parse(texts), "substring-phrases")
     cores = parsed.groupBy("core").agg(F.sum("copies").alias("n"), (F.min("content") != F.max("content")).alias("open")).where(F.col("n") > 1).select("core", "open")
     cores = c.written(cores, "substring-cores")
-    shared = parsed.join(_sized_broadcast(cores), "core")
+    shared = parsed.join(c.sized_broadcast(cores, BROADCAST_ROWS), "core")
     settled = shared.where(~F.col("open") & (F.col("copies") == 1))
     several = c.written(shared.where("open").drop("open"), "substring-open")
     contents = several.groupBy("core", "content").agg(F.sum("copies").alias("n"), *[F.first(x).alias(x) for x in (*_KEY, "start", "starts", "anchor")])
