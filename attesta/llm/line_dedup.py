@@ -23,6 +23,8 @@ from attesta.llm import common as c
 
 #: Lines of a chunk, on average.
 MEAN_LINES = 2
+#: Hashes that are broadcast rather than shuffling texts to them, at most; of documents that lose chunks a quarter.
+BROADCAST_ROWS = 2_000_000
 
 
 def line_hash(line: Column) -> Column:
@@ -47,7 +49,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, mean_lines: int) -> Da
     """(id, key, gone: array of {start, stop}) for each document that loses chunks."""
     found = chunks(docs, id_col, text_col, mean_lines)
     shared = c.written(found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash"), "line-hashes")
-    candidates = c.written(found.join(shared, "hash", "left_semi"), "line-chunks")
+    candidates = c.written(found.join(c.sized_broadcast(shared, BROADCAST_ROWS), "hash", "left_semi"), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "key", "start")
     firsts = candidates.groupBy("hash", "body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
     gone = candidates.join(firsts, ["hash", "body"]).where(~place.eqNullSafe(F.col("first")))
@@ -59,7 +61,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_
     gone = c.written(removals(docs, id_col, text_col, mean_lines), "line-gone")
     key, own = f"{c.OWN}key", f"{c.OWN}gone"
     d = docs.withColumn(key, c.text_key(F.col(text_col)))
-    gone = gone.select(F.col("id").alias(f"{c.OWN}id"), F.col("key").alias(f"{c.OWN}gone_key"), F.col("gone").alias(own))
+    gone = c.sized_broadcast(gone, BROADCAST_ROWS // 4).select(F.col("id").alias(f"{c.OWN}id"), F.col("key").alias(f"{c.OWN}gone_key"), F.col("gone").alias(own))
     d = d.join(gone, (d[key] == gone[f"{c.OWN}gone_key"]) & d[id_col].eqNullSafe(gone[f"{c.OWN}id"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     # Sorted removals cut the lines into the pieces between them.
