@@ -18,26 +18,35 @@ Repeated rows are encoded each; other columns are kept.
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from attesta.llm import common as c
 
-TABLE_WORDS, WORD_BYTES = 300_000, 64
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
+TABLE_WORDS, WORD_BYTES = 200_000, 64
 #: Words outside the table that a task keeps, with their ids.
-_KEPT = 200_000
-#: Ids that are decoded at once.
-_PIECES = 1 << 21
+_KEPT = 50_000
+#: Words that are encoded at once.
+_WORDS = 1_000
+#: Rows that are encoded or decoded at once.
+_ROWS = 256
 
 
+@functools.lru_cache(maxsize=1)
 def tokenizer(definition: str) -> Tokenizer:
+    """One for each process: a worker runs many tasks, and each tokenizer leaves its memory in pieces."""
     t = Tokenizer.from_str(definition)
     t.no_padding()
     t.no_truncation()
@@ -46,8 +55,11 @@ def tokenizer(definition: str) -> Tokenizer:
 
 def encoded(t: Tokenizer, words: list[bytes]) -> list[bytes]:
     """Ids of each word, as little-endian 32-bit numbers."""
-    found = t.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-    return [np.array(x.ids, "<i4").tobytes() for x in found]
+    out = []
+    for at in range(0, len(words), _WORDS):
+        found = t.encode_batch_fast([w.decode("utf-8") for w in words[at : at + _WORDS]], add_special_tokens=False)
+        out += [np.array(x.ids, "<i4").tobytes() for x in found]
+    return out
 
 
 def frequent_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -77,36 +89,51 @@ def word_table(docs: DataFrame, definition: str, text_col: str = "text") -> dict
     return dict(zip((w.encode() for w in rows.column(0).to_pylist()), rows.column(1).to_pylist(), strict=True))
 
 
-def encode(docs: DataFrame, definition: str, table: dict[bytes, bytes], text_col: str = "text", name: str = "ids") -> DataFrame:
-    """`docs` with the column `name`: array<int>."""
+def _added(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: list[T.StructField]) -> DataFrame:
+    """`df` with the columns that the function that `make` returns on an executor makes of `column`, a few rows at a time."""
+    names = df.columns
+    out = [*names, *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                b = batch.slice(at, _ROWS)
+                yield pa.RecordBatch.from_arrays([*b.columns, *function(b.column(names.index(column)))], out)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def encode(docs: DataFrame, definition: str, table: dict[bytes, bytes], text_col: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`docs` with the column `name`: array<int>; and, if `decoded` is given, with a column of that name, decoded from the ids in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast((definition, table))
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
         definition, table = shared.value
-        t, extra = tokenizer(definition), {}
-        for texts in batches:
-            parts, ends = [], [0]
-            for text in texts:
-                words = text.as_py().encode("utf-8").split()
-                try:
-                    part = b"".join(map(table.__getitem__, words))
-                except KeyError:
-                    new = [w for w in set(words) if w not in table and w not in extra]
-                    if len(extra) + len(new) > _KEPT:
-                        extra = {}
-                        new = [w for w in set(words) if w not in table]
-                    extra.update(zip(new, encoded(t, new), strict=True))
-                    part = b"".join([table[w] if w in table else extra[w] for w in words])
-                parts.append(part)
-                ends.append(ends[-1] + len(part) // 4)
-            values = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-
-    return docs.withColumn(name, ids(F.coalesce(F.col(text_col), F.lit(""))))
-
-
-def pieces(definition: str) -> list[str]:
+        t = tokenizer(definition)
+        vocabulary = pa.array(pieces(definition), pa.string())
+        extra: dict[bytes, bytes] = {}
+
+        def both(texts: pa.Array) -> list[pa.Array]:
+            rows = [(x.as_py() or "").encode("utf-8").split() for x in texts]
+            new = list({w for row in rows for w in row if w not in table and w not in extra})
+            if len(extra) + len(new) > _KEPT:
+                extra.clear()
+                new = list({w for row in rows for w in row if w not in table})
+            extra.update(zip(new, encoded(t, new), strict=True))
+            parts = [b"".join([table[w] if w in table else extra[w] for w in row]) for row in rows]
+            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts])))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+            return [ids] if decoded is None else [ids, joined(ids, vocabulary)]
+
+        return both
+
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))]
+    return _added(docs, text_col, make, fields if decoded is None else [*fields, T.StructField(decoded, T.StringType())])
+
+
+@functools.lru_cache(maxsize=1)
+def pieces(definition: str) -> list[str | None]:
     """The vocabulary's pieces by id; ids that it lacks are null."""
     data = json.loads(definition)
     ids = dict(data["model"]["vocab"]) | {x["content"]: x["id"] for x in data["added_tokens"]}
@@ -116,35 +143,27 @@ def pieces(definition: str) -> list[str]:
     return out
 
 
+def joined(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The pieces of each row's ids, with spaces between them."""
+    values = ids.flatten()
+    within = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(table)))
+    found = table.take(pc.if_else(within, values, None))
+    out = pc.binary_join(pa.ListArray.from_arrays(_offsets(ids), found), " ")
+    if found.null_count:
+        lists = pa.ListArray.from_arrays(_offsets(ids), found).to_pylist()
+        out = pa.array([" ".join(x for x in row if x is not None) for row in lists], pa.string())
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string()))
+
+
 def decode(rows: DataFrame, definition: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """`rows` with the column `name`: the text of the ids, special tokens included."""
     shared = rows.sparkSession.sparkContext.broadcast(pieces(definition))
 
-    def joined(ids: pa.ListArray, table: pa.Array) -> pa.Array:
-        values = ids.flatten()
-        within = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(table)))
-        found = table.take(pc.if_else(within, values, None))
-        out = pc.binary_join(pa.ListArray.from_arrays(_offsets(ids), found), " ")
-        if found.null_count:
-            lists = pa.ListArray.from_arrays(_offsets(ids), found).to_pylist()
-            out = pa.array([" ".join(x for x in row if x is not None) for row in lists], pa.string())
-        return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string()))
-
-    @F.arrow_udf("string")
-    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
         table = pa.array(shared.value, pa.string())
-        for ids in batches:
-            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
-            cuts, total = [0], 0
-            for i, n in enumerate(sizes.tolist()):
-                if total and total + n > _PIECES:
-                    cuts.append(i)
-                    total = 0
-                total += n
-            cuts.append(len(ids))
-            yield pa.concat_arrays([joined(ids.slice(a, b - a), table) for a, b in zip(cuts, cuts[1:], strict=False)])
+        return lambda ids: [joined(ids, table)]
 
-    return rows.withColumn(name, text(ids_col))
+    return _added(rows, ids_col, make, [T.StructField(name, T.StringType())])
 
 
 def _offsets(ids: pa.ListArray) -> pa.Array:
@@ -163,6 +182,6 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     definition = definition_of(public_tokenizers.path("word_bpe_49k.json"))
     docs = c.documents(spark, sf_dir).select("doc_id", "text")
-    out = decode(encode(docs, definition, word_table(docs, definition)).drop("text"), definition)
+    out = encode(docs, definition, word_table(docs, definition), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
