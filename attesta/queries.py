@@ -1,13 +1,15 @@
-"""Registry of the queries over the reference's own operators."""
+"""Registry of the queries over claims, evidence, sources, drafts and manifests."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from attesta.plans import claim_queries, registry  # noqa: F401
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLE)
