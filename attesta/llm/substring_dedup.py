@@ -11,9 +11,9 @@ prefix-free parse, and every LENGTH-byte string lies in just one of them.
 Dictionary. Phrases are grouped by their core (the bytes from the anchor that all their strings share) and then by
 content. A phrase with a content that occurs twice is repeated whole, whatever its group. A phrase that is alone with its
 core repeats nothing. That settles all text but the edges of repeated passages, where phrases share
-a core and differ in content: in these groups alone, strings are compared start by start. Small groups are
-read by one task each, in order of their core; groups of more than LOCAL phrases are spread over tasks by the hash
-of each string. So the corpus order of suffixes is only ever resolved where phrases leave it open; copies and
+a core and differ in content: in these groups alone, strings are compared start by start. Groups are
+read in order of their core; groups of more than LOCAL phrases are first dealt to parts by the hash of each string, so that
+no part grows with its group. So the corpus order of suffixes is only ever resolved where phrases leave it open; copies and
 unique text, however long, cost a row for each phrase.
 
 Texts are parsed once for each different content, in a table that is bucketed by content, so that texts are shuffled once.
@@ -41,7 +41,7 @@ from attesta.llm import common as c
 LENGTH, WINDOW, GRAM = 400, 320, 8
 #: Bytes from the anchor on that all strings of an anchor hold.
 CORE = LENGTH - WINDOW + 1
-#: Phrases with one core that a single task compares.
+#: Phrases with one core that are compared in one part, on average.
 LOCAL = 512
 #: Cores known to repeat that are broadcast, at most; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -159,90 +159,96 @@ def parse(texts: DataFrame) -> DataFrame:
     return texts.select(*_KEY, "copies", "body").where(F.octet_length("body") >= LENGTH).mapInArrow(run, "k64 long, k32 int, copies long, start int, starts int, anchor int, core long, content long")
 
 
-def with_bytes(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """`open_` phrases with their bytes: texts stay where they are, phrases come to their buckets."""
-    lists = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "starts", "anchor", "core", "content", "n", "group")).alias("phrases"))
-    out = _schema(k64=pa.int64(), k32=pa.int32(), start=pa.int32(), anchor=pa.int32(), core=pa.int64(), content=pa.int64(), n=pa.int64(), group=pa.int64(), bytes=pa.binary())
+def _hashes(t: bytes) -> list[int]:
+    """Of the string at each start of a phrase's bytes."""
+    return [_signed(xxhash.xxh3_64_intdigest(t[i : i + LENGTH], 2)) for i in range(len(t) - LENGTH + 1)]
+
+
+def with_strings(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """`open_` phrases, dealt to (core, part): texts stay where they are, phrases come to their buckets.
+
+    A core of up to LOCAL phrases is one part, and its phrases come as bytes. One of more phrases has a part for each LOCAL of
+    them, and a phrase sends each part the strings whose hash falls to it: places and hashes.
+    """
+    lists = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "starts", "core", "n", "parts")).alias("phrases"))
+    out = _schema(core=pa.int64(), part=pa.int32(), n=pa.int64(), k64=pa.int64(), k32=pa.int32(), start=pa.int32(), bytes=pa.binary(), at=pa.list_(pa.int32()), hashes=pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 k64, k32, body, lists = (b.column(i) for i in range(4))
                 for i in range(b.num_rows):
-                    t = body[i].as_py().encode("utf-8")
+                    t, key = body[i].as_py().encode("utf-8"), (k64[i].as_py(), k32[i].as_py())
                     for p in lists[i].as_py():
-                        yield k64[i].as_py(), k32[i].as_py(), p["start"], p["anchor"], p["core"], p["content"], p["n"], p["group"], t[p["start"] : p["start"] + p["starts"] - 1 + LENGTH]
+                        own = t[p["start"] : p["start"] + p["starts"] - 1 + LENGTH]
+                        if p["parts"] == 1:
+                            yield p["core"], 0, p["n"], *key, p["start"], own, None, None
+                            continue
+                        dealt: dict[int, tuple[list, list]] = {}
+                        for at, h in enumerate(_hashes(own)):
+                            ats, hs = dealt.setdefault(h % p["parts"], ([], []))
+                            ats.append(at)
+                            hs.append(h)
+                        for part, (ats, hs) in dealt.items():
+                            yield p["core"], part, p["n"], *key, p["start"], None, ats, hs
 
         yield from _batches(rows(), out, 5_000)
 
     joined = texts.select(*_KEY, "body").join(lists, _KEY).select(*_KEY, "body", "phrases")
-    return joined.mapInArrow(run, "k64 long, k32 int, start int, anchor int, core long, content long, n long, group long, bytes binary")
+    return joined.mapInArrow(run, "core long, part int, n long, k64 long, k32 int, start int, bytes binary, at array<int>, hashes array<long>")
 
 
-def _spans(flags: list[bool], start: int) -> Iterator[tuple[int, int]]:
-    """Bytes covered by the strings at the flagged starts, as maximal runs of starts."""
-    first = None
-    for i, x in enumerate([*flags, False]):
-        if x and first is None:
-            first = i
-        elif not x and first is not None:
-            yield start + first, start + i - 1 + LENGTH
-            first = None
+def _runs(at: list[int], start: int) -> Iterator[tuple[int, int]]:
+    """Bytes covered by the strings at some starts, one span for each run of starts."""
+    first = last = None
+    for i in at:
+        if last is not None and i == last + 1:
+            last = i
+            continue
+        if first is not None:
+            yield start + first, start + last + LENGTH
+        first = last = i
+    if first is not None:
+        yield start + first, start + last + LENGTH
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """(k64, k32, start, stop): repeated runs of phrases that occur once; a core's phrases come one after the other."""
-    schema = _schema(k64=pa.int64(), k32=pa.int32(), start=pa.int32(), stop=pa.int32())
+def compared(strings: DataFrame) -> DataFrame:
+    """(k64, k32, start, stop): repeated strings of phrases that occur once. The phrases of a part come one after the other.
 
-    def settle(group: list[tuple]) -> Iterator[tuple]:
-        # Strings with one core repeat only at the same distance from the anchor: the hash need not hold it.
-        seen: dict[int, int] = {}
-        hashes = []
-        for _, _, _, n, t in group:
-            h = [xxhash.xxh3_64_intdigest(t[i : i + LENGTH], 2) for i in range(len(t) - LENGTH + 1)]
-            hashes.append(h)
-            for x in h:
-                seen[x] = seen.get(x, 0) + n
-        for (k64, k32, start, n, _), h in zip(group, hashes, strict=True):
-            if n == 1:
-                for a, b in _spans([seen[x] > 1 for x in h], start):
-                    yield k64, k32, a, b
+    Only the first place of each different string of the part is held until the string comes again.
+    """
+    schema = _schema(k64=pa.int64(), k32=pa.int32(), start=pa.int32(), stop=pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            core, group = None, []
+            here: tuple | None = None
+            # Strings with one core repeat only at the same distance from the anchor: the hash need not hold it.
+            first: dict[int, tuple | None] = {}
             for b in batches:
-                for k, *x in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                    if k != core and group:
-                        yield from settle(group)
-                        group = []
-                    core = k
-                    group.append(tuple(x))
-            if group:
-                yield from settle(group)
+                for core, part, n, k64, k32, start, t, at, hs in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                    if (core, part) != here:
+                        here, first = (core, part), {}
+                    if hs is None:
+                        hs = _hashes(t)
+                        at = range(len(hs))
+                    again = []
+                    for i, h in zip(at, hs, strict=True):
+                        if h not in first:
+                            first[h] = (k64, k32, start + i) if n == 1 else None
+                            continue
+                        before = first[h]
+                        if before is not None:
+                            yield *before, before[2] + LENGTH
+                            first[h] = None
+                        again.append(i)
+                    if n == 1:
+                        for span in _runs(again, start):
+                            yield k64, k32, *span
 
         yield from _batches(rows(), schema)
 
-    dealt = rows.select("core", *_KEY, "start", "n", "bytes")
-    return dealt.repartition("core").sortWithinPartitions("core").mapInArrow(run, "k64 long, k32 int, start int, stop int")
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """The same for the groups of many phrases: one row for each start, joined by the hash of its string."""
-    schema = _schema(k64=pa.int64(), k32=pa.int32(), start=pa.int32(), core=pa.int64(), n=pa.int64(), h=pa.int64())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple]:
-            for b in batches:
-                for k64, k32, start, core, n, t in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                    for i in range(len(t) - LENGTH + 1):
-                        yield k64, k32, start + i, core, n, _signed(xxhash.xxh3_64_intdigest(t[i : i + LENGTH], 2))
-
-        yield from _batches(out(), schema)
-
-    starts = c.written(rows.select(*_KEY, "start", "core", "n", "bytes").mapInArrow(run, "k64 long, k32 int, start int, core long, n long, h long"), "substring-starts")
-    twice = starts.groupBy("core", "h").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("core", "h")
-    return starts.where(F.col("n") == 1).join(twice, ["core", "h"]).select(*_KEY, "start", (F.col("start") + LENGTH).alias("stop"))
+    dealt = strings.repartition("core", "part").sortWithinPartitions("core", "part")
+    return dealt.mapInArrow(run, "k64 long, k32 int, start int, stop int")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -257,8 +263,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     contents = c.written(contents, "substring-contents")
     whole = several.where(F.col("copies") == 1).join(contents.where(F.col("n") > 1).select("core", "content"), ["core", "content"])
     groups = contents.groupBy("core").agg(F.count("*").alias("group"), F.min("n").alias("least")).where((F.col("group") > 1) & (F.col("least") == 1)).select("core", "group")
-    opened = c.written(with_bytes(contents.join(groups, "core"), texts), "substring-bytes")
-    parts = _compared(opened.where(F.col("group") <= LOCAL)).unionByName(_spread(opened.where(F.col("group") > LOCAL)))
+    opened = contents.join(groups, "core").withColumn("parts", F.ceil(F.col("group") / LOCAL).cast("int"))
+    parts = compared(with_strings(opened, texts))
     all_ = parts
     for x in (settled, whole):
         all_ = all_.unionByName(x.select(*_KEY, "start", (F.col("start") + F.col("starts") - 1 + LENGTH).alias("stop")))
