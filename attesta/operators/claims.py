@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta import contracts as k
 from attesta.functions.evidence import balance_of, blank, grade_of, is_primary, lookup
@@ -112,7 +113,7 @@ def auditability(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     support = evidence.where(F.col("relation") != "contradicts").groupBy("claim_key").agg(
         F.count("*").alias("n_support"), F.sort_array(F.collect_list(F.when(~located, F.col("source_key")))).alias("lost")
     )
-    d = claims.join(support, "claim_key", "left").withColumns({"n_support": F.coalesce("n_support", F.lit(0)), "lost": F.coalesce("lost", F.array().cast("array<long>"))})
+    d = claims.join(support, "claim_key", "left").withColumns({"n_support": F.coalesce("n_support", F.lit(0)), "lost": F.coalesce("lost", F.array().cast(T.ArrayType(evidence.schema["source_key"].dataType)))})
     return d.withColumns({"high_risk": high_risk(), "n_lost": F.size("lost"), "auditable": F.size("lost") == 0})
 
 
