@@ -8,7 +8,8 @@ document frequencies. A query's terms count once each: score = sum of idf * tf (
 
 Search. Query blocks of bounded size go to all shards. Within a shard, an inverted index of blocks of BLOCK documents
 holds for each term its largest weight in each block. As in block-max WAND, the sum of a query's block maxima bounds the scores in a
-block; blocks are scored in order of that bound and only while it exceeds the k-th best score so far.
+block, and only blocks whose bound reaches the query's threshold are scored. Whole texts as queries have hundreds of terms, so that
+bounds are loose and many blocks stay: those are scored with arrays, term by term, not document by document.
 A first wave over some of the shards gives each query a score that k documents reach; the second wave over
 the others returns only what reaches it. The best k of both are the exact global top k.
 
@@ -20,6 +21,7 @@ their results merge. With fewer than k matches, all are returned.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +35,14 @@ from attesta.llm import common as c
 
 K1, B = 1.2, 0.75
 BLOCK = 8
-#: Documents and terms (repeats counted) of a shard, at most; a longer text is a shard by itself.
-SHARD_DOCS, SHARD_TERMS = 8_192, 4_000_000
+#: Documents and characters of a shard, at most; a longer text is a shard by itself.
+SHARD_DOCS, SHARD_CHARS = 4_096, 1 << 24
 #: Queries that are broadcast at once.
-QUERY_BLOCK = 4_096
-#: Blocks scored before the bound is first tested again, and the factor by which the number grows.
-FIRST_BLOCKS, GROWTH = 8, 3
+QUERY_BLOCK = 2_048
+#: Decimals of a score. Shards sum in different orders; what is equal to these digits ties.
+DIGITS, TIE = 6, 1e-6
 _TERM = regex.compile(r"[\p{L}\p{N}]+")
-_GEMM = 256
+_BATCH = 256
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -48,33 +50,34 @@ def term_hashes(terms: list[str]) -> np.ndarray:
 
 
 def _texts_to_shard(ids: list, texts: list[str]) -> dict:
-    """Columns of a shard's row."""
+    """Columns of a shard's row. Only a document's different terms are kept while others are read."""
     local: dict[str, int] = {}
-    tokens = [[local.setdefault(t, len(local)) for t in _TERM.findall(x.lower())] for x in texts]
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    flat = np.fromiter((t for x in tokens for t in x), np.int64, int(lengths.sum()))
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    pair, tf = np.unique(owner * max(len(local), 1) + flat, return_counts=True)
-    doc, tid = np.divmod(pair, max(len(local), 1))
-    df = np.bincount(tid, minlength=len(local))
-    # The most frequent of a document's terms, by the shard's frequency: mostly a function word of its language.
-    top = np.zeros(len(texts), np.int64)
-    order = np.lexsort((tf, doc))
-    if len(order):
-        last = np.append(np.flatnonzero(np.diff(doc[order])), len(order) - 1)
-        top[doc[order][last]] = df[tid[order][last]] * (len(local) + 1) + tid[order][last]
+    tids, tfs, lengths = [], [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        found = Counter(_TERM.findall(text.lower()))
+        tids.append(np.fromiter((local.setdefault(t, len(local)) for t in found), np.int32, len(found)))
+        tfs.append(np.fromiter(found.values(), np.int32, len(found)))
+        lengths[i] = tfs[-1].sum()
+    sizes = np.fromiter(map(len, tids), np.int64, len(tids))
+    df = np.bincount(np.concatenate(tids), minlength=len(local)) if tids else np.zeros(0, np.int64)
+    # Documents are ordered by their most frequent term: mostly a function word of their language.
+    top = np.fromiter((x[np.argmax(y)] if len(x) else -1 for x, y in zip(tids, tfs, strict=True)), np.int64, len(tids))
+    order = np.lexsort((lengths, top))
     hashes = term_hashes(list(local))
     by_hash = np.argsort(hashes)
-    new_tid = np.empty(len(local), np.int64)
-    new_tid[by_hash] = np.arange(len(local))
-    place = np.empty(len(texts), np.int64)
-    place[np.lexsort((lengths, top))] = np.arange(len(texts))
-    order = np.lexsort((new_tid[tid], place[doc]))
-    back = np.argsort(place)
+    place = np.empty(len(local), np.int32)
+    place[by_hash] = np.arange(len(local))
+    terms, counts = [], []
+    for i in order:
+        t = place[tids[i]]
+        inner = np.argsort(t)
+        terms.append(t[inner])
+        counts.append(tfs[i][inner])
+    joined = lambda xs: (np.concatenate(xs) if xs else np.zeros(0, np.int32)).astype("<i4").tobytes()
     return {
-        "n": len(texts), "length": int(lengths.sum()), "ids": [ids[i] for i in back],
-        "lengths": lengths[back].astype("<i4").tobytes(), "vocabulary": hashes[by_hash].astype("<u8").tobytes(), "df": df[by_hash].astype("<i4").tobytes(),
-        "sizes": np.bincount(place[doc], minlength=len(texts)).astype("<i4").tobytes(), "terms": new_tid[tid][order].astype("<i4").tobytes(), "tf": np.minimum(tf[order], 2**31 - 1).astype("<i4").tobytes(),
+        "n": len(texts), "length": int(lengths.sum()), "ids": [ids[i] for i in order],
+        "lengths": lengths[order].astype("<i4").tobytes(), "vocabulary": hashes[by_hash].astype("<u8").tobytes(), "df": df[by_hash].astype("<i4").tobytes(),
+        "sizes": sizes[order].astype("<i4").tobytes(), "terms": joined(terms), "tf": joined(counts),
     }
 
 
@@ -93,7 +96,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if texts and (len(texts) >= SHARD_DOCS or size + len(t) > 6 * SHARD_TERMS):
+                if texts and (len(texts) >= SHARD_DOCS or size + len(t) > SHARD_CHARS):
                     yield row()
                     ids, texts, size = [], [], 0
                 ids.append(i)
@@ -118,7 +121,7 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 
 def weighted_queries(queries: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
-    """(id, terms: array of {h, idf}) of queries (id, text) that have a term of the index."""
+    """(q, id, hs, idf) of queries (id, text) that have a term of the index: hashes, and weights in their order."""
 
     @F.arrow_udf("array<long>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -129,35 +132,40 @@ def weighted_queries(queries: DataFrame, frequencies: DataFrame, n_docs: int) ->
     rows = c.written(rows, "search-queries")
     terms = rows.select("q", "id", F.explode("hs").alias("h")).join(frequencies, "h")
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.groupBy("q", "id").agg(F.sort_array(F.collect_list(F.struct("h", idf.alias("idf")))).alias("terms"))
+    lists = terms.groupBy("q", "id").agg(F.sort_array(F.collect_list(F.struct("h", idf.alias("idf")))).alias("terms"))
+    return lists.select("q", "id", F.transform("terms", lambda x: x["h"]).alias("hs"), F.transform("terms", lambda x: x["idf"]).alias("idf"))
 
 
 class Shard:
-    """A shard's arrays in memory."""
+    """A shard's arrays in memory.
+
+    Light terms have postings, of documents and of blocks; heavy terms, that an eighth of the documents have, a
+    row of weights by document and one by block. Blocks hold the largest weight of their documents.
+    """
 
     def __init__(self, row: dict, mean_length: float) -> None:
-        self.ids = row["ids"]
+        self.ids, self.n = row["ids"], row["n"]
         arrays = {k: np.frombuffer(row[k], t) for k, t in (("lengths", "<i4"), ("vocabulary", "<u8"), ("sizes", "<i4"), ("terms", "<i4"), ("tf", "<i4"))}
-        self.vocabulary, self.terms, self.n = arrays["vocabulary"], arrays["terms"], row["n"]
-        tf = arrays["tf"].astype(float)
-        doc = np.repeat(np.arange(self.n), arrays["sizes"])
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"][doc] / mean_length))
-        self.starts = np.concatenate(([0], np.cumsum(arrays["sizes"])))
+        self.vocabulary = arrays["vocabulary"]
         self.n_blocks = -(-self.n // BLOCK)
-        key = self.terms.astype(np.int64) * self.n_blocks + doc // BLOCK
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        doc = np.repeat(np.arange(self.n), arrays["sizes"])
+        order = np.argsort(arrays["terms"], kind="stable")  # by term, then by document
+        term, self.doc, tf = arrays["terms"][order], doc[order], arrays["tf"][order].astype(float)
+        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"][self.doc] / mean_length))
+        self.postings = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
+        key = term.astype(np.int64) * self.n_blocks + self.doc // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        term, self.block = np.divmod(key[first], max(self.n_blocks, 1))
-        self.most = np.maximum.reduceat(self.weight[order], first) if len(first) else np.zeros(0)
-        self.blocks_of = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        heavy = np.flatnonzero(np.diff(self.blocks_of) * 4 > self.n_blocks)
+        block_term, self.block = np.divmod(key[first], max(self.n_blocks, 1))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.blocks_of = np.searchsorted(block_term, np.arange(len(self.vocabulary) + 1))
+        heavy = np.flatnonzero(np.diff(self.postings) * 8 > self.n)
         self.heavy = np.full(len(self.vocabulary), -1, np.int64)
         self.heavy[heavy] = np.arange(len(heavy))
-        self.dense = np.zeros((len(heavy), self.n_blocks))
+        self.by_doc = np.zeros((len(heavy), self.n_blocks * BLOCK))
         for i, t in enumerate(heavy):
-            at = slice(self.blocks_of[t], self.blocks_of[t + 1])
-            self.dense[i, self.block[at]] = self.most[at]
+            at = slice(self.postings[t], self.postings[t + 1])
+            self.by_doc[i, self.doc[at]] = self.weight[at]
+        self.by_block = self.by_doc.reshape(len(heavy), self.n_blocks, BLOCK).max(axis=2) if len(heavy) else np.zeros((0, self.n_blocks))
 
     def local(self, hs: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the vocabulary of those of a query's terms that the shard has, and their weights."""
@@ -172,56 +180,57 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
 
 
+def _sparse(starts: np.ndarray, terms: np.ndarray, idf: np.ndarray, places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of idf * value by place over the lists of some terms."""
+    a, b = starts[terms], starts[terms + 1]
+    entries = _ranges(a, b)
+    return np.bincount(places[entries], weights=values[entries] * np.repeat(idf, b - a), minlength=n)
+
+
 def search_shard(shard: Shard, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """(query, places of documents, scores): the best k of the shard that reach the query's floor, and all that tie with the k-th."""
-    weights = np.zeros(len(shard.vocabulary))
-    for at in range(0, len(queries), _GEMM):
-        part = [(*shard.local(hs, idf), floor) for hs, idf, floor in queries[at : at + _GEMM]]
-        wanted = np.zeros((len(part), len(shard.dense)))
+    """(query, places of documents, scores): the best k of the shard that reach the query's floor, and all that tie with the k-th.
+
+    For a batch of queries, bounds of all blocks come first. Documents of blocks whose bound is below a query's floor are
+    out. The others are scored term by term, heavy terms for the batch at once.
+    """
+    for at in range(0, len(queries), _BATCH):
+        part = [(*shard.local(hs, idf), floor) for hs, idf, floor in queries[at : at + _BATCH]]
+        wanted = np.zeros((len(part), len(shard.by_doc)))
         for i, (terms, idf, _) in enumerate(part):
             h = shard.heavy[terms]
             wanted[i, h[h >= 0]] = idf[h >= 0]
-        bounds = wanted @ shard.dense
+        bounds = wanted @ shard.by_block
+        for i, (terms, idf, _) in enumerate(part):
+            light = shard.heavy[terms] < 0
+            bounds[i] += _sparse(shard.blocks_of, terms[light], idf[light], shard.block, shard.most, shard.n_blocks)
+        # Sums in another order differ in the last digits: bounds get a little slack.
+        floors = np.array([floor for *_, floor in part])
+        alive = (bounds * (1 + 1e-9) >= floors[:, None]) & (bounds > 0)
+        some = np.flatnonzero(alive.any(axis=0))
+        docs = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        heavy = np.zeros((len(part), shard.n_blocks * BLOCK))
+        heavy[:, docs] = wanted @ (shard.by_doc if len(some) == shard.n_blocks else shard.by_doc[:, docs])
         for i, (terms, idf, floor) in enumerate(part):
+            if not alive[i].any():
+                continue
             light = shard.heavy[terms] < 0
-            a, b = shard.blocks_of[terms[light]], shard.blocks_of[terms[light] + 1]
-            entries = _ranges(a, b)
-            bound = bounds[i] + np.bincount(shard.block[entries], weights=shard.most[entries] * np.repeat(idf[light], b - a), minlength=shard.n_blocks)
-            # Sums in another order differ in the last digits: bounds get a little slack.
-            bound *= 1 + 1e-9
-            alive = np.flatnonzero((bound >= floor) & (bound > 0))
-            alive = alive[np.argsort(-bound[alive])]
-            weights[terms] = idf
-            places, scores = np.zeros(0, np.int64), np.zeros(0)
-            step, done = FIRST_BLOCKS, 0
-            while done < len(alive):
-                chosen = alive[done : done + step]
-                if len(scores) >= k and bound[chosen[0]] < floor:
-                    break
-                chosen = np.sort(chosen[bound[chosen] >= floor])
-                docs = _ranges(chosen * BLOCK, np.minimum((chosen + 1) * BLOCK, shard.n))
-                begin, end = shard.starts[docs], shard.starts[docs + 1]
-                entry = _ranges(begin, end)
-                sizes = end - begin
-                s = np.bincount(np.repeat(np.arange(len(docs)), sizes), weights=weights[shard.terms[entry]] * shard.weight[entry], minlength=len(docs))
-                good = (s > 0) & (s >= floor)
-                places, scores = np.concatenate((places, docs[good])), np.concatenate((scores, s[good]))
-                if len(scores) > k:
-                    floor = max(floor, np.partition(scores, -k)[-k])
-                    places, scores = places[scores >= floor], scores[scores >= floor]
-                elif len(scores) == k:
-                    floor = max(floor, scores.min())
-                done += step
-                step *= GROWTH
-            weights[terms] = 0
+            scores = heavy[i, : shard.n] + _sparse(shard.postings, terms[light], idf[light], shard.doc, shard.weight, shard.n)
+            scores[~np.repeat(alive[i], BLOCK)[: shard.n]] = 0
+            if k < shard.n:
+                floor = max(floor, np.partition(scores, -k)[-k] - TIE)
+            places = np.flatnonzero((scores >= floor) & (scores > 0))
             if len(places):
-                yield at + i, places.tolist(), scores.tolist()
+                yield at + i, places.tolist(), scores[places].tolist()
 
 
-def _search(index: DataFrame, block: list, floors: dict[int, float], mean_length: float, k: int) -> DataFrame:
+def _search(index: DataFrame, block: pa.Table, floors: dict[int, float], mean_length: float, k: int) -> DataFrame:
     """(q, found, score) of one block of queries over the shards of `index`."""
-    queries = [(r["q"], np.array([x["h"] for x in r["terms"]], np.int64).view(np.uint64), np.array([x["idf"] for x in r["terms"]]), floors.get(r["q"], 0.0)) for r in block]
-    queries = [(q, *(x[np.argsort(hs)] for x in (hs, idf)), floor) for q, hs, idf, floor in queries]
+    block = block.combine_chunks()
+    queries = []
+    for i, q in enumerate(block["q"].to_pylist()):
+        hs = block["hs"][i].values.to_numpy().view(np.uint64)
+        order = np.argsort(hs)
+        queries.append((q, hs[order], block["idf"][i].values.to_numpy()[order], floors.get(q, 0.0)))
     shared = index.sparkSession.sparkContext.broadcast(queries)
     schema = pa.schema([("q", pa.int64()), ("found", pa.int64()), ("score", pa.float64())])
 
@@ -234,7 +243,7 @@ def _search(index: DataFrame, block: list, floors: dict[int, float], mean_length
                 out: tuple[list, list, list] = ([], [], [])
                 for at, places, scores in search_shard(shard, plain, k):
                     # Of many that tie with the k-th, the least ids are enough.
-                    best = sorted(zip((-s for s in scores), ((shard.ids[p] is None, shard.ids[p] or 0) for p in places), strict=True))[:k]
+                    best = sorted(zip((-round(s, DIGITS) for s in scores), ((shard.ids[p] is None, shard.ids[p] or 0) for p in places), strict=True))[:k]
                     for s, (none, d) in best:
                         out[0].append(queries[at][0])
                         out[1].append(None if none else d)
@@ -262,10 +271,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     first = F.pmod(F.xxhash64("vocabulary"), F.lit(max(1, round(math.sqrt(n_shards))))) == 0
     parts = []
     for i in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i).collect()
+        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i).select("q", "hs", "idf").toArrow()
         wave = c.written(_search(index.where(first), block, {}, mean, k), "search-wave")
         kth = _best(wave, "q", k).groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == k)
-        floors = {r["q"]: r["s"] for r in kth.collect()}
+        floors = {r["q"]: r["s"] - TIE for r in kth.collect()}
         parts += [wave, c.written(_search(index.where(~first), block, floors, mean, k), "search-wave")]
     found = parts[0]
     for x in parts[1:]:
