@@ -13,7 +13,7 @@ Decoding joins ids to the vocabulary's pieces by a fixed-size id-to-piece table
 between pieces, as the library does for a tokenizer without a decoder.
 
 Edge cases. A null text counts as empty: no ids, an empty text. Null ids decode to null. Unknown ids decode to nothing, as in the library.
-Repeated rows are encoded each; other columns are kept.
+Repeated rows are encoded each; other columns are kept, but for those that have the name of a new one: they are replaced.
 """
 
 from __future__ import annotations
@@ -92,16 +92,17 @@ def word_table(docs: DataFrame, definition: str, text_col: str = "text") -> dict
 def _added(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: list[T.StructField]) -> DataFrame:
     """`df` with the columns that the function that `make` returns on an executor makes of `column`, a few rows at a time."""
     names = df.columns
-    out = [*names, *(f.name for f in fields)]
+    new = [f.name for f in fields]
+    kept = [i for i, n in enumerate(names) if n not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 b = batch.slice(at, _ROWS)
-                yield pa.RecordBatch.from_arrays([*b.columns, *function(b.column(names.index(column)))], out)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *function(b.column(names.index(column)))], [*(names[i] for i in kept), *new])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), *fields]))
 
 
 def encode(docs: DataFrame, definition: str, table: dict[bytes, bytes], text_col: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:

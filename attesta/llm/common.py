@@ -87,7 +87,3 @@ def text_key(text: Column) -> Column:
     """256-bit content key of a text; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
-
-def unsigned(hash64: Column) -> Column:
-    """A 64-bit hash as a double in [0, 1)."""
-    return F.shiftrightunsigned(hash64, 11).cast("double") / F.lit(float(1 << 53))

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from attesta.llm import common as c
 
 #: The sample to fit: languages (the most frequent), texts of each, characters of each text.
-MAX_LANGUAGES, MAX_TEXTS, MAX_CHARS = 32, 64, 400
+MAX_LANGUAGES, MAX_TEXTS, MAX_CHARS = 32, 64, 250
 BLOCK = 1024
 #: Symbols that are parsed at once.
-_BATCH = 1 << 22
+_BATCH = 1 << 20
 UNKNOWN = "und"
 
 

@@ -63,11 +63,10 @@ def mix(
     the mix takes a document, from 0 to `max_copies`.
     """
     own = {n: f"{_O}{n}" for n in ("size", "key", "bucket", "source", "no_source")}
-    rows = docs.withColumns({own["size"]: size, own["key"]: shuffle_key, own["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit("")), own["no_source"]: F.col(source_col).isNull()})
+    rows = docs.withColumns({own["size"]: size, own["key"]: F.shiftrightunsigned(shuffle_key, 1), own["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit("")), own["no_source"]: F.col(source_col).isNull()})
     slim = c.written(rows.select(*[F.col(own[n]).alias(n) for n in ("size", "key", "source", "no_source")]), "mix")
     n_buckets = max(1, math.ceil(slim.count() / BUCKET_ROWS))
-    bucket = F.floor(c.unsigned(F.col("key")) * n_buckets).cast("int")
-    slim = slim.withColumn("bucket", bucket)
+    slim = slim.withColumn("bucket", _bucket(F.col("key"), n_buckets))
 
     sums = slim.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(sums.groupBy("no_source", "source").agg(F.sum("bucket_size").alias("source_size")), weights, max_copies, budget_share)
@@ -84,7 +83,7 @@ def mix(
 
     offsets = offsets.select(*[F.col(n).alias(f"{_O}{n}") for n in group], "offset", F.col("source_size").alias(f"{_O}source_size"), F.col("target").alias(f"{_O}target"))
     offsets = offsets.withColumnRenamed("offset", f"{_O}offset")
-    out = rows.withColumn(own["bucket"], F.floor(c.unsigned(F.col(own["key"])) * n_buckets).cast("int")).join(offsets, [own[n] for n in group])
+    out = rows.withColumn(own["bucket"], _bucket(F.col(own["key"]), n_buckets)).join(offsets, [own[n] for n in group])
     cum = F.sum(own["size"]).over(Window.partitionBy(*[own[n] for n in group]).orderBy(own["key"], own["size"]).rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"{_O}offset")
     out = out.withColumn(f"{_O}cum", cum)
     late = [((F.lit(e) * F.col(f"{_O}source_size") + F.col(f"{_O}cum")) / F.col(f"{_O}target") <= F.lit(cut)).cast("int") for e in range(max_copies)]
@@ -96,6 +95,11 @@ def mix(
     return out.drop(*[own[n] for n in ("key", "bucket", "source", "no_source")], f"{_O}offset", f"{_O}cum")
 
 
+def _bucket(key: Column, n_buckets: int) -> Column:
+    """Even ranges of the 63-bit keys: buckets follow each other as their keys do."""
+    return F.least(F.floor(key.cast("double") / float(1 << 63) * n_buckets), F.lit(n_buckets - 1)).cast("int")
+
+
 def _cut(times: DataFrame, offsets: DataFrame, n_buckets: int) -> float:
     """The latest finish time within the budget, the sum of all targets.
 
