@@ -12,6 +12,9 @@ within d / 2 bits of them instead: two fingerprints are within d bits of each ot
 if, they share such a point, and it suffices to link each to the least that has the point. That is
 exact and linear in the cloud's size.
 
+`one_of_each` asks for a similarity of shingles rather than for a distance of fingerprints: candidates are found by
+fingerprints of words, in the same way, and are verified from the texts.
+
 Components come from large-star and small-star steps over written tables.
 
 Edge cases. A null text counts as empty; texts without words have fingerprint zero and link like
@@ -40,6 +43,8 @@ HOT = 256
 #: Unrelated fingerprints that a fingerprint may meet under all its keys, on average.
 MOST_MET = 4.0
 _CHUNK = 1 << 16
+#: Keys of texts that are broadcast rather than shuffling texts to them, at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
@@ -63,6 +68,23 @@ def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
+def word_fingerprint(text: str | None, seed: int = SEED) -> int:
+    """The SimHash of a text's different words, once each: edits move it less than one of shingles, of which an edit changes several."""
+    found = list(set((text or "").encode("utf-8", "replace").lower().split()))
+    if not found:
+        return 0
+    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in found], "<u8")
+    ones = sum(np.unpackbits(h[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(h), _CHUNK))
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of a text's different word shingles."""
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    k = min(words, len(found))
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)] if found else [], np.uint64)).view(np.int64)
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 4, name: str = "fingerprint") -> DataFrame:
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
@@ -110,10 +132,11 @@ def _through_points(hot: DataFrame, most_bits: int) -> DataFrame:
     """Links by shared points: the balls of d / 2 bits around two fingerprints meet if, and only if, they are within d bits."""
     if most_bits % 2:
         raise ValueError("most_bits must be even")
-    radius = most_bits // 2
-    flips = [_signed(reduce(int.__or__, (1 << i for i in x), 0)) for r in range(radius + 1) for x in itertools.combinations(range(BITS), r)]
-    table = F.array(*[F.lit(x) for x in flips])
-    points = hot.select("fp", F.explode(F.transform(table, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
+    # No bit or any one of them is flipped, d / 2 times over.
+    ball = F.array(F.col("fp"))
+    for _ in range(most_bits // 2):
+        ball = F.array_distinct(F.flatten(F.transform(ball, lambda x: F.transform(F.sequence(F.lit(0), F.lit(BITS)), lambda i: F.when(i == BITS, x).otherwise(x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))))
+    points = hot.select("fp", F.explode(ball).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1).select("point", "b")
     return points.join(least, "point").where(F.col("fp") > F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
 
@@ -152,16 +175,55 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return d.join(of, fp)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most_bits: int = 4) -> DataFrame:
-    """`docs` with one row of each component: the least by id (null last), then by content."""
+def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = 4, prints: int = 2) -> DataFrame:
+    """(key, root): content keys of texts with others that are as similar, and the least key of their group.
+
+    Candidates are texts whose fingerprints of different words are within `most_bits`, by any of several independent
+    fingerprints; each candidate pair's Jaccard similarity of word shingles is then computed from the whole texts.
+    Texts with equal fingerprints, and a cloud's fingerprints, are compared with the least of them.
+    """
+    key = F.hex(c.text_key(F.col(text_col)))
+    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+
+    @F.pandas_udf("array<long>")
+    def marks(bodies: pd.Series) -> pd.Series:
+        return pd.Series([[word_fingerprint(t, SEED + i) for i in range(prints)] for t in bodies])
+
+    @F.pandas_udf("array<long>")
+    def parts(bodies: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words) for t in bodies])
+
+    marked = c.written(texts.select("key", marks("body").alias("fps")).groupBy("key").agg(F.first("fps").alias("fps")), "similar-marks")
+    pairs = None
+    for i in range(prints):
+        own = marked.select("key", F.col("fps")[i].alias("fp"))
+        first = c.written(own.groupBy("fp").agg(F.min("key").alias("first")), "similar-first")
+        near = links(first.select("fp"), most_bits)
+        across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+        within = own.join(first, "fp").where(F.col("key") != F.col("first")).select(F.col("key").alias("x"), F.col("first").alias("y"))
+        both = across.unionByName(within)
+        pairs = both if pairs is None else pairs.unionByName(both)
+    pairs = c.written(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "similar-pairs")
+    needed = c.written(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "similar-keys")
+    found = texts.join(c.sized_broadcast(needed, BROADCAST_ROWS), "key", "left_semi").select("key", parts("body").alias("s"))
+    found = c.written(found.groupBy("key").agg(F.first("s").alias("s")), "similar-shingles")
+    compared = pairs.join(found.select(F.col("key").alias("x"), F.col("s").alias("s")), "x").join(found.select(F.col("key").alias("y"), F.col("s").alias("t")), "y")
+    shared = F.size(F.array_intersect("s", "t"))
+    verified = compared.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(verified).select(F.col("node").alias("key"), "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one row of each group of equal and similar texts: the least by id (null last), then by content."""
+    roots = c.written(similar(docs, text_col, words, similarity), "similar-roots")
+    own = docs.select(F.col(id_col).alias("id"), F.hex(c.text_key(F.col(text_col))).alias("key"))
+    own = own.join(c.sized_broadcast(roots, BROADCAST_ROWS), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    place = F.struct(F.col("id").isNull().alias("null"), "id", "key")
+    firsts = c.written(own.groupBy("root").agg(F.min(place).alias("p")).select("p.id", "p.key"), "similar-kept")
     key = f"{c.OWN}key"
-    of = group(docs.select(F.col(id_col), F.col(text_col), c.text_key(F.col(text_col)).alias(key)), id_col, text_col, words, most_bits)
-    # A component's rows with its least id are few, unless rows repeat; no other row can stay.
-    firsts = of.where(F.col(id_col).eqNullSafe(F.col(f"{c.OWN}component"))).groupBy(f"{c.OWN}root").agg(F.min(key).alias(key), F.first(id_col).alias(f"{c.OWN}id"))
-    firsts = c.written(firsts.select(key, f"{c.OWN}id"), "simhash-kept")
-    rows = docs.withColumn(f"{c.OWN}own", c.text_key(F.col(text_col)))
-    kept = rows.join(firsts, (F.col(f"{c.OWN}own") == F.col(key)) & F.col(id_col).eqNullSafe(F.col(f"{c.OWN}id")), "left_semi")
-    return kept.dropDuplicates([f"{c.OWN}own", id_col]).select(*docs.columns)
+    rows = docs.withColumn(key, F.hex(c.text_key(F.col(text_col))))
+    kept = rows.join(firsts.select(F.col("id").alias(f"{c.OWN}id"), F.col("key").alias(f"{c.OWN}first")), (F.col(key) == F.col(f"{c.OWN}first")) & F.col(id_col).eqNullSafe(F.col(f"{c.OWN}id")), "left_semi")
+    return kept.dropDuplicates([key, id_col]).select(*docs.columns)
 
 
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
