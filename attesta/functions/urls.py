@@ -22,10 +22,13 @@ def host_of(url: Column) -> Column:
     return F.rtrim(F.trim(host), F.lit("."))
 
 
-def directive(url: Column, full_text: Column) -> Column:
-    """A search restricted to the source's site."""
-    site = F.concat(F.lit("site:"), authority_of(url))
-    return F.when(full_text, F.concat(site, F.lit(" filetype:pdf"))).otherwise(site)
+# What may be taken from a site, with and without its full texts.
+DIRECTIVE_FULL, DIRECTIVE_ABSTRACT = " —— 可取全文/下载PDF；", " —— 仅取题录/摘要与文档编号，禁止虚构全文；"
+
+
+def directive(url: Column, full_text: Column, hint: Column) -> Column:
+    """A search restricted to the source's site, and what may be taken from it."""
+    return F.concat(F.lit("site:"), authority_of(url), F.when(F.coalesce(full_text, F.lit(False)), DIRECTIVE_FULL).otherwise(DIRECTIVE_ABSTRACT), F.coalesce(hint, F.lit("")))
 
 
 def suspect_domain(url: Column, domains: tuple[str, ...] = k.SUSPECT_DOMAINS) -> Column:

@@ -143,9 +143,9 @@ def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
-@query("p19_directive", f"SELECT page_id, 'site:' || {_HOST} || CASE WHEN page_id % 2 = 0 THEN ' filetype:pdf' ELSE '' END AS directive FROM pages")
+@query("p19_directive", f"SELECT page_id, 'site:' || {_HOST} || CASE WHEN page_id % 2 = 0 THEN ' —— 可取全文/下载PDF；' ELSE ' —— 仅取题录/摘要与文档编号，禁止虚构全文；' END || 'page ' || page_id AS directive FROM pages")
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "pages").select("page_id", urls.directive(F.col("url"), F.col("page_id") % 2 == 0).alias("directive"))
+    return b.table(spark, sf_dir, "pages").select("page_id", urls.directive(F.col("url"), F.col("page_id") % 2 == 0, F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("directive"))
 
 
 _DOMAINS = ("casino", "free-bets", "example.org/en")
