@@ -43,6 +43,8 @@ HOT = 256
 #: Unrelated fingerprints that a fingerprint may meet under all its keys, on average.
 MOST_MET = 4.0
 _CHUNK = 1 << 16
+#: The same for fingerprints of words, whose clouds are denser; at 2 bits a fingerprint's ball has 65 points only.
+CLOUD = 32
 #: Keys of texts that are broadcast rather than shuffling texts to them, at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -114,17 +116,17 @@ def keys(fps: DataFrame, most_bits: int, blocks: int) -> DataFrame:
     return fps.select("fp", F.explode(all_).alias("key"))
 
 
-def links(fps: DataFrame, most_bits: int) -> DataFrame:
+def links(fps: DataFrame, most_bits: int, hot_size: int | None = None) -> DataFrame:
     """(a, b), a > b: links between different fingerprints (column fp) whose closure is that of all links."""
-    n = fps.count()
+    n, hot_size = fps.count(), hot_size or HOT
     rows = c.written(keys(fps, most_bits, blocks_for(n, most_bits)), "simhash-keys")
     shared = c.written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "simhash-shared")
     some = rows.join(shared, "key")
-    cool = some.where(F.col("n") <= HOT).select("key", "fp")
+    cool = some.where(F.col("n") <= hot_size).select("key", "fp")
     other = cool.select("key", F.col("fp").alias("b"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     near = cool.withColumnRenamed("fp", "a").join(other, "key").where((F.col("a") > F.col("b")) & (apart <= most_bits)).select("a", "b")
-    hot = some.where(F.col("n") > HOT).select("fp").distinct()
+    hot = some.where(F.col("n") > hot_size).select("fp").distinct()
     return near.unionByName(_through_points(hot, most_bits)).distinct()
 
 
@@ -175,7 +177,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return d.join(of, fp)
 
 
-def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = 4, prints: int = 2) -> DataFrame:
+def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = 2, prints: int = 4) -> DataFrame:
     """(key, root): content keys of texts with others that are as similar, and the least key of their group.
 
     Candidates are texts whose fingerprints of different words are within `most_bits`, by any of several independent
@@ -198,7 +200,7 @@ def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity:
     for i in range(prints):
         own = marked.select("key", F.col("fps")[i].alias("fp"))
         first = c.written(own.groupBy("fp").agg(F.min("key").alias("first")), "similar-first")
-        near = links(first.select("fp"), most_bits)
+        near = c.written(links(first.select("fp"), most_bits, CLOUD), "similar-links")
         across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
         within = own.join(first, "fp").where(F.col("key") != F.col("first")).select(F.col("key").alias("x"), F.col("first").alias("y"))
         both = across.unionByName(within)
