@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +93,10 @@ def _members(df: DataFrame, v: str, key: str, item: str, place: str) -> DataFram
 def contract_problems(manifests: DataFrame) -> DataFrame:
     """(doc_id, path, problem) of manifests (doc_id, json). Types and absent keys are seen in the VARIANT, where a typed reader would give null.
 
-    A legacy version is no problem; `warnings` names it.
+    A legacy version is no problem; `warnings` names it. Each level of the contract reads the manifests: they are kept, and
+    spill to disk; what an executor loses is computed again.
     """
+    manifests = manifests.select("doc_id", "json").persist(StorageLevel.MEMORY_AND_DISK)
     d = manifests.withColumns({"v": F.try_parse_json("json"), "keys": F.json_object_keys("json")})
     ok = F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))
     out = [d.where(~ok).select("doc_id", F.lit("").alias("path"), F.lit("root must be an object").alias("problem"))]
