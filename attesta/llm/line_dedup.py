@@ -6,8 +6,12 @@ whatever was inserted before it. Chunks of two or more lines that occur more tha
 documents are candidates by a 64-bit hash; candidates are grouped by their bytes, and all but the
 first occurrence, by id (null last), content of the document and line, are removed.
 
-A passage is found if the chunks within it are whole; what lies before its first and after its
-last boundary stays, as do repeated single lines.
+The query's passages are found if the chunks within them are whole; what lies before their first
+and after their last boundary stays, as do repeated single lines. Its SQL sets that rule. The
+pipeline asks for all repeated passages of two or more lines instead (`anywhere`): every two
+neighbouring lines, of which one has a word, are a chunk, so that what repeats depends on no
+boundary, and a line goes if it lies in one that occurred before. The first occurrence of each
+different line stays.
 
 Edge cases. A null text stays null and has no lines; an empty one has one empty line. Rows that
 repeat both id and text count as one document. A document may lose all its lines and then has the
@@ -45,20 +49,38 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, mean_lines: int) -> Data
     return d.select("id", "key", "part.start", "part.stop", body.alias("body")).withColumn("hash", F.xxhash64("body"))
 
 
-def removals(docs: DataFrame, id_col: str, text_col: str, mean_lines: int) -> DataFrame:
+def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same of every two neighbouring lines that aren't both without words."""
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), c.text_key(F.col(text_col)).alias("key"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    d = d.where(F.size("lines") > 1).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("lines") - 2)))
+    d = d.select("id", "key", "start", (F.col("start") + 2).alias("stop"), F.concat_ws("\n", F.get("lines", F.col("start")), F.get("lines", F.col("start") + 1)).alias("body"))
+    return d.where(F.col("body").rlike(c.WORD)).withColumn("hash", F.xxhash64("body"))
+
+
+def merged(spans: Column) -> Column:
+    """Spans of two lines, any of which may meet, as spans that don't."""
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda g: F.array(g["start"], g["start"] + 1)))))
+    # A line begins a span if the one before it is not gone, and ends one if the one after is not.
+    starts = lambda ls: F.filter(ls, lambda x, j: F.coalesce(F.get(ls, j - 1) + 1 != x, F.lit(True)))
+    stops = lambda ls: F.filter(ls, lambda x, j: F.coalesce(F.get(ls, j + 1) - 1 != x, F.lit(True)))
+    return F.transform(F.array(lines), lambda ls: F.zip_with(starts(ls), stops(ls), lambda a, z: F.struct(a.alias("start"), (z + 1).alias("stop"))))[0]
+
+
+def removals(docs: DataFrame, id_col: str, text_col: str, mean_lines: int, anywhere: bool = False) -> DataFrame:
     """(id, key, gone: array of {start, stop}) for each document that loses chunks."""
-    found = chunks(docs, id_col, text_col, mean_lines)
+    found = windows(docs, id_col, text_col) if anywhere else chunks(docs, id_col, text_col, mean_lines)
     shared = c.written(found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash"), "line-hashes")
     candidates = c.written(found.join(c.sized_broadcast(shared, BROADCAST_ROWS), "hash", "left_semi"), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "key", "start")
     firsts = candidates.groupBy("hash", "body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
     gone = candidates.join(firsts, ["hash", "body"]).where(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    gone = gone.groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    return gone.withColumn("gone", merged(F.col("gone"))) if anywhere else gone
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, anywhere: bool = False) -> DataFrame:
     """`docs` with its text cut, and with __attesta_ columns lines and removed_lines."""
-    gone = c.written(removals(docs, id_col, text_col, mean_lines), "line-gone")
+    gone = c.written(removals(docs, id_col, text_col, mean_lines, anywhere), "line-gone")
     key, own = f"{c.OWN}key", f"{c.OWN}gone"
     d = docs.withColumn(key, c.text_key(F.col(text_col)))
     gone = c.sized_broadcast(gone, BROADCAST_ROWS // 4).select(F.col("id").alias(f"{c.OWN}id"), F.col("key").alias(f"{c.OWN}gone_key"), F.col("gone").alias(own))

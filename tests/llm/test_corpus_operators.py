@@ -177,6 +177,37 @@ def test_lines_with_odd_rows(spark, sf_dir, empty_dir, monkeypatch, most):
     assert line_dedup.op9_line_chunk_dedup(spark, empty_dir).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_pipeline_lines_of_all_repeated_passages(spark, tmp_path, monkeypatch, most):
+    """Every repeated passage of two or more lines goes whole, whatever stands around it."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+    rng = random.Random(11)
+    passages = [[sentence(rng, "en", 12) for _ in range(n)] for n in (2, 2, 2, 3, 4, 7)]
+    rows = [r for r in corpus() if r[0] != 0]
+    for i in range(60):
+        around = [[sentence(rng, "de", 8) for _ in range(rng.randint(0, 3))] for _ in range(3)]
+        lines = around[0] + passages[i % 6] + around[1] + passages[rng.randrange(6)] + around[2]
+        rows.append((1000 + i, "\n".join(lines), "de", "a", 0))
+    rows += [(2000, "x\nx\nx\n\n\n\nx\nx", "en", "a", 0), (2001, "\n\n", "en", "a", 0), (2002, "\n\n\n", "en", "a", 0)]
+    texts = sorted({(r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).digest(), r[1]) for r in rows if r[1] is not None})
+    seen, gone = set(), collections.defaultdict(set)
+    for none, d, _, t in texts:
+        ls = t.split("\n")
+        for i, pair in enumerate(zip(ls, ls[1:], strict=False)):
+            if any(x.strip(" \t\n\v\f\r") for x in pair):
+                if pair in seen:
+                    gone[None if none else d, t] |= {i, i + 1}
+                seen.add(pair)
+    want = [(r[0], r[1] and "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone[r[0], r[1]])) for r in rows]
+    docs = spark.read.parquet(saved(spark, tmp_path, rows) + "/documents.parquet")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()]
+    assert multiset(got) == multiset(want)
+    kept = collections.Counter(x for d, t in got if d is not None and 1000 <= d < 2000 for x in t.split("\n"))
+    assert all(kept[x] == 1 for p in passages for x in p)
+
+
 def test_pipeline(spark, sf_dir, empty_dir):
     import corpus_pipeline
     import public_tokenizers
