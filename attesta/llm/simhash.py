@@ -12,8 +12,8 @@ within d / 2 bits of them instead: two fingerprints are within d bits of each ot
 if, they share such a point, and it suffices to link each to the least that has the point. That is
 exact and linear in the cloud's size.
 
-`one_of_each` asks for a similarity of shingles rather than for a distance of fingerprints: candidates are found by
-fingerprints of words, in the same way, and are verified from the texts.
+`one_of_each` asks for a similarity of shingles rather than for a distance of fingerprints: candidates share a band of
+minhashes of their shingles, and are verified from the texts.
 
 Components come from large-star and small-star steps over written tables.
 
@@ -31,7 +31,7 @@ from functools import partial, reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import common as c
@@ -43,8 +43,13 @@ HOT = 256
 #: Unrelated fingerprints that a fingerprint may meet under all its keys, on average.
 MOST_MET = 4.0
 _CHUNK = 1 << 16
-#: The same for fingerprints of words, whose clouds are denser; at 2 bits a fingerprint's ball has 65 points only.
+#: The same for bands of minhashes, whose pairs are verified from the texts.
 CLOUD = 32
+#: Bands, and minhashes of each: two texts of similarity 0.8 share one but for 7 in 100,000, and of 0.3 one in 17.
+BANDS, BAND_ROWS = 24, 5
+_XORS, _ODDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+_ODDS |= np.uint64(1)
+_STEP = 1 << 11
 #: Keys of texts that are broadcast rather than shuffling texts to them, at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -70,16 +75,6 @@ def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
-def word_fingerprint(text: str | None, seed: int = SEED) -> int:
-    """The SimHash of a text's different words, once each: edits move it less than one of shingles, of which an edit changes several."""
-    found = list(set((text or "").encode("utf-8", "replace").lower().split()))
-    if not found:
-        return 0
-    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in found], "<u8")
-    ones = sum(np.unpackbits(h[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(h), _CHUNK))
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
-
-
 def shingles(text: str | None, words: int) -> np.ndarray:
     """64-bit hashes of a text's different word shingles."""
     found = (text or "").encode("utf-8", "replace").lower().split()
@@ -87,6 +82,14 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)] if found else [], np.uint64)).view(np.int64)
 
 
+def bands(found: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bands of a text's shingles; texts without shingles share all of theirs."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), _STEP):
+        least = np.minimum(least, ((found[at : at + _STEP, None].view(np.uint64) ^ _XORS) * _ODDS).min(axis=0))
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 4, name: str = "fingerprint") -> DataFrame:
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
@@ -177,42 +180,43 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return d.join(of, fp)
 
 
-def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = 2, prints: int = 4) -> DataFrame:
+def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, root): content keys of texts with others that are as similar, and the least key of their group.
 
-    Candidates are texts whose fingerprints of different words are within `most_bits`, by any of several independent
-    fingerprints; each candidate pair's Jaccard similarity of word shingles is then computed from the whole texts.
-    Texts with equal fingerprints, and a cloud's fingerprints, are compared with the least of them.
+    Candidates are texts that share a band of minhashes of their word shingles; the Jaccard similarity of each pair's
+    shingles is then computed from the whole texts. Under a band that more than CLOUD texts share, all are compared with
+    one of them, another one for each band.
     """
-    key = F.hex(c.text_key(F.col(text_col)))
+    key = c.text_key(F.col(text_col))
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
     @F.pandas_udf("array<long>")
     def marks(bodies: pd.Series) -> pd.Series:
-        return pd.Series([[word_fingerprint(t, SEED + i) for i in range(prints)] for t in bodies])
+        return pd.Series([bands(shingles(t, words)) for t in bodies])
 
     @F.pandas_udf("array<long>")
     def parts(bodies: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words) for t in bodies])
 
-    marked = c.written(texts.select("key", marks("body").alias("fps")).groupBy("key").agg(F.first("fps").alias("fps")), "similar-marks")
-    pairs = None
-    for i in range(prints):
-        own = marked.select("key", F.col("fps")[i].alias("fp"))
-        first = c.written(own.groupBy("fp").agg(F.min("key").alias("first")), "similar-first")
-        near = c.written(links(first.select("fp"), most_bits, CLOUD), "similar-links")
-        across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-        within = own.join(first, "fp").where(F.col("key") != F.col("first")).select(F.col("key").alias("x"), F.col("first").alias("y"))
-        both = across.unionByName(within)
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = c.written(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "similar-pairs")
+    marked = c.written(texts.select("key", marks("body").alias("bands")).groupBy("key").agg(F.first("bands").alias("bands")), "similar-marks")
+    shared = c.written(marked.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1), "similar-shared")
+    rows = c.written(marked.select("key", F.explode("bands").alias("band")).join(c.sized_broadcast(shared, BROADCAST_ROWS), "band"), "similar-rows")
+    cool, hot = rows.where(F.col("n") <= CLOUD), rows.where(F.col("n") > CLOUD)
+    pairs = cool.select("band", F.col("key").alias("x")).join(cool.select("band", F.col("key").alias("y")), "band").where(F.col("x") > F.col("y")).select("x", "y")
+    heads = hot.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("y"))
+    star = hot.select("band", F.col("key").alias("x")).join(heads, "band").where(F.col("x") != F.col("y"))
+    pairs = c.written(pairs.unionByName(star.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))).distinct(), "similar-pairs")
     needed = c.written(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "similar-keys")
     found = texts.join(c.sized_broadcast(needed, BROADCAST_ROWS), "key", "left_semi").select("key", parts("body").alias("s"))
     found = c.written(found.groupBy("key").agg(F.first("s").alias("s")), "similar-shingles")
     compared = pairs.join(found.select(F.col("key").alias("x"), F.col("s").alias("s")), "x").join(found.select(F.col("key").alias("y"), F.col("s").alias("t")), "y")
-    shared = F.size(F.array_intersect("s", "t"))
-    verified = compared.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return components(verified).select(F.col("node").alias("key"), "root")
+    roots = components(compared.where(_alike("s", "t", similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return roots.select(F.hex("node").alias("key"), F.hex("root").alias("root"))
+
+
+def _alike(s: str, t: str, similarity: float) -> Column:
+    """Whether two arrays of shingles have a Jaccard similarity of that much, if not more."""
+    return F.size(F.array_intersect(s, t)) * (1 + similarity) + 1e-9 >= similarity * (F.size(s) + F.size(t))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -119,6 +119,59 @@ def test_one_of_each_keeps_one_row_of_repeats(spark):
     assert len(kept) == len(set(kept)) and sum(r["text"] == rows[3][1] for r in kept) == 1 and len({r["text"] for r in kept}) == len(kept)
 
 
+def brute_force_roots(rows, similarity=0.8):
+    """(pairs at that similarity of five-word shingles, what is kept) of (id, text) with different ids."""
+    def parts(t):
+        ws = t.encode().lower().split()
+        k = min(5, len(ws))
+        return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
+
+    sets = [parts(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                pairs += 1
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return pairs, set(least.values())
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.getrandbits(40)}"
+    return words
+
+
+def kept_of(spark, rows):
+    return [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+
+
+def test_one_of_each_finds_all_similar_pairs(spark):
+    """Of ordinary texts with a few changed words, down to a similarity of 0.8."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(81, 725))]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(edited(rng, words, max(1, len(words) * rng.randint(1, 3) // 100)))))
+    pairs, want = brute_force_roots(rows)
+    got = kept_of(spark, rows)
+    assert pairs >= 40 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_bpe(spark, sf_dir, empty_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
