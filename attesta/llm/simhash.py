@@ -47,6 +47,8 @@ _CHUNK = 1 << 16
 CLOUD = 32
 #: Bands, and minhashes of each: two texts of similarity 0.8 share one but for 7 in 100,000, and of 0.3 one in 17.
 BANDS, BAND_ROWS = 24, 5
+#: Texts of a hot band that a task compares with the whole band.
+PART = 256
 _XORS, _ODDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _ODDS |= np.uint64(1)
 _STEP = 1 << 11
@@ -185,7 +187,7 @@ def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity:
 
     Candidates are texts that share a band of minhashes of their word shingles; the Jaccard similarity of each pair's
     shingles is then computed from the whole texts. Under a band that more than CLOUD texts share, all are compared with
-    one of them, another one for each band.
+    one of them first, another one for each band, and then those that are not in one group yet with each other.
     """
     key = c.text_key(F.col(text_col))
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
@@ -211,6 +213,10 @@ def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity:
     found = c.written(found.groupBy("key").agg(F.first("s").alias("s")), "similar-shingles")
     compared = pairs.join(found.select(F.col("key").alias("x"), F.col("s").alias("s")), "x").join(found.select(F.col("key").alias("y"), F.col("s").alias("t")), "y")
     roots = components(compared.where(_alike("s", "t", similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    if not hot.isEmpty():
+        more = c.written(_across(hot, roots, marked.join(found, "key"), similarity), "similar-across")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return roots.select(F.hex("node").alias("key"), F.hex("root").alias("root"))
 
 
@@ -219,6 +225,25 @@ def _alike(s: str, t: str, similarity: float) -> Column:
     return F.size(F.array_intersect(s, t)) * (1 + similarity) + 1e-9 >= similarity * (F.size(s) + F.size(t))
 
 
+def _across(hot: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): similar texts that share a hot band and have different roots so far; `texts` has (key, bands, s).
+
+    A band whose texts have one root is done. Under the others all pairs of different roots are compared, in the first
+    band that a pair shares, within the join: only similar pairs become rows. A band is cut into parts of PART texts,
+    each compared with the whole band.
+    """
+    rooted = c.written(hot.join(roots, hot["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root")), "similar-rooted")
+    several = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+    members = rooted.join(several.select("band", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "band").join(texts, "key")
+    members = c.written(members, "similar-members")
+    x = members.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).select("band", "part", *[F.col(k).alias(f"x_{k}") for k in ("key", "root", "bands", "s")])
+    y = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "part", *[F.col(k).alias(f"y_{k}") for k in ("key", "root", "bands", "s")])
+    n, m = F.size("x_s"), F.size("y_s")
+    fits = (F.col("x_root") != F.col("y_root")) & (F.col("x_key") > F.col("y_key")) & (F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m))
+    fits &= F.get(F.array_intersect("x_bands", "y_bands"), 0) == F.col("band")
+    return x.join(y, ["band", "part"]).where(fits & _alike("x_s", "y_s", similarity)).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each group of equal and similar texts: the least by id (null last), then by content."""
     roots = c.written(similar(docs, text_col, words, similarity), "similar-roots")

@@ -172,6 +172,27 @@ def test_one_of_each_finds_all_similar_pairs(spark):
     assert pairs >= 40 and len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("cloud,part", [(4, 8), (32, 256)])
+def test_one_of_each_in_dense_groups(spark, monkeypatch, cloud, part):
+    """Texts that are similar to each other but not to others of their bands, and one word set in other orders."""
+    import random
+
+    monkeypatch.setattr(simhash, "CLOUD", cloud)
+    monkeypatch.setattr(simhash, "PART", part)
+    rng, rows = random.Random(8), []
+    for f in range(5):
+        # Two texts near a base that are similar to each other only; all the bands they share are those of the base, as are most of the others'.
+        base = [f"w{f}-{i}" for i in range(150)]
+        rows += [(100 * f + i, " ".join(edited(rng, base, {40: 1, 70: 2}.get(i, 4)))) for i in range(100)]
+    vocabulary = [f"u{i}" for i in range(120)]
+    for i in range(500, 560, 2):
+        order = rng.sample(vocabulary, len(vocabulary))
+        rows += [(i, " ".join(order)), (i + 1, " ".join([*order[1:], order[0]]))]
+    pairs, want = brute_force_roots(rows)
+    got = kept_of(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows)
+
+
 def test_bpe(spark, sf_dir, empty_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
