@@ -1,6 +1,6 @@
 """Operator 6, language identification by cross-parsing entropy.
 
-From a bounded sample of labelled texts, each language gets a suffix automaton, made total: where
+From a bounded sample of its labelled texts, each language gets a suffix automaton, made total: where
 it has no transition, it goes on from its beginning and a phrase ends. Running a text through it
 counts the phrases of the greedy longest-match parse. Phrases times the logarithm of the sample's
 length, over the length of the text, estimates the cross entropy; the least wins.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm import common as c
 
-#: The sample to fit: languages (the most frequent), texts of each, characters of each text.
-MAX_LANGUAGES, MAX_TEXTS, MAX_CHARS = 32, 64, 250
+#: The sample to fit: texts of each language, characters of each text.
+MAX_TEXTS, MAX_CHARS = 64, 250
 BLOCK = 1024
 #: Symbols that are parsed at once.
 _BATCH = 1 << 20
@@ -160,10 +160,9 @@ def held_out(id_col: str) -> Column:
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on the rows where `train` holds. No more than the sample named above comes to the driver."""
+    """Fits on the rows where `train` holds, whatever the number of languages. No more than each one's sample comes to the driver."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    rows = rows.withColumn("h", F.xxhash64("lang", "text")).where(F.col("lang").isin(langs))
+    rows = rows.withColumn("h", F.xxhash64("lang", "text"))
     firsts = [r[0] for r in rows.groupBy("lang", F.pmod("h", F.lit(MAX_TEXTS)).alias("b")).agg(F.min("h").alias("h")).select("h").collect()]
     start = F.greatest(F.lit(1), (F.length("text") - MAX_CHARS) / 2).cast("int")
     sample = rows.where(F.col("h").isin(firsts)).select("lang", "h", F.substring(F.col("text"), start, F.lit(MAX_CHARS)).alias("text")).distinct().orderBy("lang", "h").collect() if firsts else []

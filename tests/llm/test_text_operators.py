@@ -193,6 +193,19 @@ def test_one_of_each_in_dense_groups(spark, monkeypatch, cloud, part):
     assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows)
 
 
+def test_language_id_learns_every_label(spark):
+    """Forty labels, each with letters of its own; the rarest are learned as well."""
+    from pyspark.sql import functions as F
+
+    from attesta.llm import langid
+
+    rows = [(f"l{i:02d}", " ".join(chr(0x4E00 + 10 * i + (j * k) % 10) * 3 for k in range(1, 8))) for i in range(40) for j in range(1, 2 + (i < 32))]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.learn(docs, F.lit(True))
+    assert model.languages == [f"l{i:02d}" for i in range(40)]
+    assert langid.identify(docs, model).where("lang <> __attesta_lang").count() == 0
+
+
 def test_bpe(spark, sf_dir, empty_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
