@@ -2,17 +2,18 @@
 
 Base statistics come from one pass over each whole text. Then, for every language and source, the
 minimum covariance determinant estimates where its documents lie: beginning at medians and
-median deviations, each concentration step keeps the H_SHARE of documents that are nearest by
-Mahalanobis distance and takes their mean and covariance. The order statistic that a step needs is
-read from a histogram of distances, so no group meets in one task. Estimates go through a
+quartile distances, each concentration step keeps the H_SHARE of documents that are nearest by
+Mahalanobis distance and takes their mean and covariance. The order statistics that it needs are
+read from histograms, so no group meets in one task. Estimates go through a
 consistency factor and one reweighting; documents beyond CUTOFF are rejected.
 
 Groups with fewer than MIN_GROUP documents that pass the base rules use the estimate over all
-groups; if that has fewer too, their documents are kept.
+groups, which is made in the same passes; if that has fewer too, their documents are kept and have no distance.
 
 Edge cases. A null text has no words and fails the base rules. Null language and source are groups
-like others. Rows that repeat a document count each. Empty tables give empty results. A statistic
-that does not vary keeps the variance in FLOORS.
+like others. Rows that repeat a document count each, and ties of distance are kept or left out together. Empty tables
+give empty results. A statistic that does not vary keeps the variance in FLOORS. Very long texts are counted whole, within
+their row. Other columns are kept, whatever their names: what the operator adds begins with __attesta_.
 """
 
 from __future__ import annotations
@@ -26,147 +27,177 @@ from attesta.llm import common as c
 H_SHARE = 0.75
 STEPS = 4
 MIN_GROUP = 50
-#: Mean length of words, symbols, repeated lines and words in repeated windows, transformed; log length.
-FEATURES = ("f_length", "f_word", "f_symbol", "f_line", "f_repeat")
+#: Log length; mean length of words, symbols, repeated lines and words in repeated windows, transformed.
+FEATURES = tuple(f"{c.OWN}f_{x}" for x in ("length", "word", "symbol", "line", "repeat"))
 #: Least variance of each: what differs by less than this is no outlier, even where nearly all documents are equal.
 FLOORS = (0.05, 0.1, 1.0, 1.0, 1.0)
 #: Quantiles of chi-squared with 5 degrees of freedom: 0.75, 0.975 (reweighting), 1 - 1e-6 (rejection).
 CHI_H, CHI_W, CUTOFF = 6.6257, 12.8325, 35.8882
 #: P(chi-squared with 7 degrees < CHI_H) / 0.75 and P(... < CHI_W) / 0.975, inverted: consistency for normal data.
 FACTOR_H, FACTOR_W = 0.75 / 0.53113, 0.975 / 0.92370
+#: Bins of a histogram: of a unit of a statistic, and of a unit of a distance's logarithm.
+BINS, DISTANCE_BINS = 50, 100
+#: Key of the group, and its value for all groups together; no other key looks like it, as those are JSON.
+GROUP, POOLED = f"{c.OWN}group", "all"
 _D = len(FEATURES)
-_STATS = [f"m{i}" for i in range(_D)] + [f"s{i}{j}" for i in range(_D) for j in range(i + 1)]
-_FACTORS = [f"m{i}" for i in range(_D)] + [f"a{i}{j}" for i in range(_D) for j in range(i + 1)]
+
+
+def _m(i: int) -> str:
+    return f"{c.OWN}m{i}"
+
+
+def _s(i: int, j: int) -> str:
+    return f"{c.OWN}s{i}{j}"
+
+
+def _a(i: int, j: int) -> str:
+    return f"{c.OWN}a{i}{j}"
+
+
+_LOWER = [(i, j) for i in range(_D) for j in range(i + 1)]
+_FACTORS = [_m(i) for i in range(_D)] + [_a(i, j) for i, j in _LOWER]
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """`docs` without its text, with __attesta_ columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
     A word is in a repeated window if one of the three windows over it is found twice in the text.
-    The windows, each followed by its place, are sorted as strings; neighbours that differ in
-    place only are repeats. Words hold no space, so that a joined window stands for its words alone.
+    Texts with fewer different windows than windows have theirs, each followed by its place, sorted as strings;
+    neighbours that differ in place only are repeats. Words hold no space, so that a joined window stands for its words alone.
     """
+    o = lambda name: f"{c.OWN}{name}"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("_w", F.filter(F.split(text, c.SPACE, -1), lambda x: x != ""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(c.WORD))
-    d = d.withColumns({
-        "_n": F.size("_w"),
-        "word_chars": F.length(F.regexp_replace(text, c.SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "_lines": lines,
-    })
-    window = lambda w, i: F.concat(F.get(F.col("_w"), i), F.lit(" "), F.get(F.col("_w"), i + 1), F.lit(" "), F.get(F.col("_w"), i + 2), F.lit(" "), F.lpad(i.cast("string"), 10, "0"))
+    d = docs.withColumns({
+        o("words"): F.array_remove(F.split(text, c.SPACE, -1), ""),
+        o("lines"): F.filter(F.split(text, "\n", -1), lambda x: x.rlike(c.WORD)),
+        o("word_chars"): F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
+        o("n_symbols"): (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+    }).drop(text_col)
+    w, n = F.col(o("words")), F.size(o("words"))
+    window = lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2))
+    none = F.array().cast("array<string>")
     d = d.withColumns({
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_s": F.when(F.col("_n") >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 3, F.lit(0))), lambda i: window("_w", i)))).otherwise(F.array().cast("array<string>")),
-    }).drop("_lines", "_w", text_col)
+        o("n_words"): n.cast("long"),
+        o("n_dup_lines"): (F.size(o("lines")) - F.size(F.array_distinct(o("lines")))).cast("long"),
+        o("windows"): F.when(n >= 4, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)).otherwise(none),
+    }).drop(o("words"), o("lines"))
+    windows = F.col(o("windows"))
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    placed = F.sort_array(F.transform(windows, lambda x, i: F.concat(x, F.lit(" "), F.lpad(i.cast("string"), 10, "0"))))
+    d = d.withColumn(o("sorted"), F.when(repeats, placed).otherwise(none)).drop(o("windows"))
     # Which neighbours in sorted order begin alike, without the ten digits of the place.
-    head = F.transform("_s", lambda x: F.substring(x, F.lit(1), F.length(x) - 10))
-    d = d.withColumn("_h", head)
-    same = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h") - 1, F.lit(0))), lambda i: (F.get("_h", i) == F.get("_h", i + 1)))
-    d = d.withColumn("_e", same)
-    places = F.filter(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size("_s") - 1, F.lit(0))), lambda i: F.when(F.coalesce(F.get("_e", i), F.lit(False)) | F.coalesce(F.get("_e", i - 1), F.lit(False)), F.substring(F.get("_s", i), -10, 10).cast("int"))),
-        lambda p: p.isNotNull(),
-    )
-    d = d.withColumn("_p", F.sort_array(places))
-    covered = F.aggregate("_p", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))["n"]
-    d = d.withColumns({"n_words": F.col("_n").cast("long"), "n_repeat_words": covered.cast("long")}).drop("_n", "_s", "_h", "_e", "_p")
-    return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    d = d.withColumn(o("heads"), F.transform(o("sorted"), lambda x: F.substring(x, F.lit(1), F.length(x) - 10)))
+    heads = F.col(o("heads"))
+    same = lambda i: F.coalesce(F.get(heads, i) == F.get(heads, i + 1), F.lit(False)) | F.coalesce(F.get(heads, i - 1) == F.get(heads, i), F.lit(False))
+    places = F.filter(F.transform(o("sorted"), lambda x, i: F.when(same(i), F.substring(x, -10, 10).cast("int"))), lambda p: p.isNotNull())
+    d = d.withColumn(o("places"), F.sort_array(places)).drop(o("sorted"), o("heads"))
+    covered = F.aggregate(o("places"), F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))["n"]
+    d = d.withColumn(o("n_repeat_words"), covered.cast("long")).drop(o("places"))
+    return d.withColumn(o("base_failed"), (F.col(o("n_words")) < 50) | (100 * F.col(o("n_repeat_words")) > 50 * F.col(o("n_words"))))
 
 
 def _features(d: DataFrame) -> DataFrame:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return d.withColumns({
-        "f_length": F.log1p("n_words"),
-        "f_word": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n) * 10,
-        "f_symbol": F.sqrt(F.col("n_symbols") / n) * 10,
-        "f_line": F.sqrt("n_dup_lines"),
-        "f_repeat": F.sqrt(F.col("n_repeat_words") / n) * 10,
-    })
+    words, chars, symbols, lines, repeats = (F.col(f"{c.OWN}{x}") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    n = F.greatest(words, F.lit(1)).cast("double")
+    values = (F.log1p(words), F.log(F.greatest(chars, F.lit(1)) / n) * 10, F.sqrt(symbols / n) * 10, F.sqrt(lines), F.sqrt(repeats / n) * 10)
+    return d.withColumns(dict(zip(FEATURES, values, strict=True)))
+
 
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """(GROUP, n, q: of each statistic its place and quartiles), from histograms: the same in every run."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * BINS).alias("bin")) for i, x in enumerate(FEATURES)])
+    bins = rows.select(GROUP, F.explode(cells).alias("cell")).groupBy(GROUP, "cell.i", "cell.bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(GROUP, "i")
+    bins = bins.withColumns({"to": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    at = lambda share: F.min(F.when(F.col("to") >= F.col("all") * share, (F.col("bin") + 0.5) / BINS))
+    by = bins.groupBy(GROUP, "i").agg(F.first("all").alias("n"), *[at(s).alias(f"q{k}") for k, s in enumerate((0.25, 0.5, 0.75))])
+    return by.groupBy(GROUP).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "q0", "q1", "q2"))).alias("q"))
 
-def _moments(d: DataFrame, keys: list[str], scale: float) -> DataFrame:
+
+def _moments(d: DataFrame, scale: float) -> DataFrame:
     """Mean and covariance by group, the latter times `scale`."""
     f = [F.col(x) for x in FEATURES]
-    out = d.groupBy(*keys).agg(*[F.avg(f[i]).alias(f"m{i}") for i in range(_D)], *[F.covar_pop(f[i], f[j]).alias(f"s{i}{j}") for i in range(_D) for j in range(i + 1)])
-    return out.withColumns({f"s{i}{j}": F.coalesce(F.col(f"s{i}{j}"), F.lit(0.0)) * scale + (FLOORS[i] if i == j else 0.0) for i in range(_D) for j in range(i + 1)})
+    out = d.groupBy(GROUP).agg(*[F.avg(f[i]).alias(_m(i)) for i in range(_D)], *[F.covar_pop(f[i], f[j]).alias(_s(i, j)) for i, j in _LOWER])
+    return out.withColumns({_s(i, j): F.coalesce(F.col(_s(i, j)), F.lit(0.0)) * scale + (FLOORS[i] if i == j else 0.0) for i, j in _LOWER})
 
 
 def _inverted(stats: DataFrame) -> DataFrame:
-    """`stats` with a00, a10, ...: the inverse of the covariance's Cholesky factor, written out row by row."""
-    low: dict[tuple[int, int], str] = {}
+    """`stats` with the inverse of the covariance's Cholesky factor in place of the covariance, written out row by row."""
+    low = {(i, j): f"{c.OWN}l{i}{j}" for i, j in _LOWER}
     for j in range(_D):
         for i in range(j, _D):
-            rest = F.col(f"s{i}{j}")
+            rest = F.col(_s(i, j))
             for k in range(j):
                 rest = rest - F.col(low[i, k]) * F.col(low[j, k])
-            low[i, j] = f"_l{i}{j}"
             stats = stats.withColumn(low[i, j], F.sqrt(F.greatest(rest, F.lit(FLOORS[i] / 10))) if i == j else rest / F.col(low[j, j]))
     for j in range(_D):
         for i in range(j, _D):
             total = F.lit(1.0 if i == j else 0.0)
             for k in range(j, i):
-                total = total - F.col(low[i, k]) * F.col(f"a{k}{j}")
-            stats = stats.withColumn(f"a{i}{j}", total / F.col(low[i, i]))
-    return stats.drop(*low.values(), *[x for x in _STATS if x[0] == "s"])
+                total = total - F.col(low[i, k]) * F.col(_a(k, j))
+            stats = stats.withColumn(_a(i, j), total / F.col(low[i, i]))
+    return stats.drop(*low.values(), *[_s(i, j) for i, j in _LOWER])
 
 
 def _distance(d: DataFrame) -> DataFrame:
-    """`d` joined with what `_inverted` returns, with _d2: the squared Mahalanobis distance."""
+    """`d` joined with what `_inverted` returns, with __attesta_d2: the squared Mahalanobis distance."""
     total = F.lit(0.0)
     for i in range(_D):
-        z = sum((F.col(f"a{i}{k}") * (F.col(FEATURES[k]) - F.col(f"m{k}")) for k in range(1, i + 1)), F.col(f"a{i}0") * (F.col(FEATURES[0]) - F.col("m0")))
+        z = F.lit(0.0)
+        for k in range(i + 1):
+            z = z + F.col(_a(i, k)) * (F.col(FEATURES[k]) - F.col(_m(k)))
         total = total + z * z
-    return d.withColumn("_d2", total).drop(*_FACTORS)
-
-
-#: Bins of a histogram of distances: even steps of the logarithm.
-def _bin(d2: Column) -> Column:
-    return F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * 100).cast("int")
+    return d.withColumn(f"{c.OWN}d2", total).drop(*_FACTORS)
 
 
-def _nearest(d: DataFrame, keys: list[str]) -> DataFrame:
+def _nearest(d: DataFrame) -> DataFrame:
     """The rows of each group in the bins that hold its nearest H_SHARE."""
-    d = d.withColumn("_bin", _bin(F.col("_d2")))
-    bins = d.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    bins = bins.withColumns({"_to": F.sum("_n").over(w.orderBy("_bin")), "_all": F.sum("_n").over(w)})
-    last = bins.where(F.col("_to") >= F.ceil(F.col("_all") * H_SHARE)).groupBy(*keys).agg(F.min("_bin").alias("_last"))
-    return d.join(last, keys).where(F.col("_bin") <= F.col("_last")).drop("_bin", "_last")
-
-
-def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Robust location and scatter of `rows` by `keys`: _FACTORS, and n rows."""
-    start = rows.groupBy(*keys).agg(*[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(FEATURES)], F.count("*").alias("n"))
-    n = c.written(start.select(*keys, "n"), "mcd-n")
-    stats = start.select(*keys, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_D)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2)) + FLOORS[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(_D) for j in range(i + 1)])
+    d = d.withColumn("bin", F.floor(F.log(F.greatest(F.col(f"{c.OWN}d2"), F.lit(1e-6))) * DISTANCE_BINS).cast("int"))
+    bins = d.groupBy(GROUP, "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(GROUP)
+    bins = bins.withColumns({"to": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    last = bins.where(F.col("to") >= F.ceil(F.col("all") * H_SHARE)).groupBy(GROUP).agg(F.min("bin").alias("last"))
+    return d.join(last, GROUP).where(F.col("bin") <= F.col("last"))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Robust location and scatter of `rows` (GROUP, FEATURES) by group: _FACTORS, and n rows."""
+    start = c.written(_quartiles(rows), "mcd-quartiles")
+    q = lambda i, k: F.col("q")[i][f"q{k}"]
+    stats = start.select(GROUP, *[q(i, 1).alias(_m(i)) for i in range(_D)], *[(F.pow((q(i, 2) - q(i, 0)) / 1.349, F.lit(2)) + FLOORS[i] if i == j else F.lit(0.0)).alias(_s(i, j)) for i, j in _LOWER])
     stats = c.written(_inverted(stats), "mcd-0")
     for step in range(STEPS):
-        near = _nearest(_distance(rows.join(stats, keys)), keys)
-        old, stats = stats, c.written(_inverted(_moments(near, keys, FACTOR_H)), f"mcd-{step + 1}")
+        near = _nearest(_distance(rows.join(stats, GROUP)))
+        old, stats = stats, c.written(_inverted(_moments(near, FACTOR_H)), f"mcd-{step + 1}")
         c.drop_written(old)
-    near = _distance(rows.join(stats, keys)).where(F.col("_d2") <= CHI_W)
-    return _inverted(_moments(near, keys, FACTOR_W)).join(n, keys)
+    near = _distance(rows.join(stats, GROUP)).where(F.col(f"{c.OWN}d2") <= CHI_W)
+    out = c.written(_inverted(_moments(near, FACTOR_W)).join(start.select(GROUP, "n"), GROUP), "mcd")
+    c.drop_written(start, stats)
+    return out
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """`docs` without its text, with the base statistics, base_failed, distance (squared; null if not judged) and kept."""
-    no = f"{c.OWN}group"
-    d = _features(base_statistics(docs, text_col)).withColumn(no, F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s"))))
-    d = c.written(d, "quality")
-    rows = d.where(~F.col("base_failed")).select(no, *FEATURES)
-    own = c.written(estimates(rows, [no]), "mcd-own")
-    pooled = c.written(estimates(rows.withColumn("_all", F.lit(0)).select("_all", *FEATURES), ["_all"]), "mcd-all")
-    all_ = pooled.where(F.col("n") >= MIN_GROUP).first()
+    """`docs` without its text, with __attesta_ columns: the base statistics, base_failed, distance (squared; null if not judged) and kept."""
+    failed, d2 = F.col(f"{c.OWN}base_failed"), f"{c.OWN}d2"
+    d = docs.withColumn(GROUP, F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s"))))
+    d = c.written(_features(base_statistics(d, text_col)), "quality")
+    # Each document counts for its group and for all of them.
+    rows = d.where(~failed).select(F.explode(F.array(F.col(GROUP), F.lit(POOLED))).alias(GROUP), *FEATURES)
+    found = estimates(rows)
+    pooled = found.where(F.col(GROUP) == POOLED).first()
+    if pooled is None and not found.isEmpty():
+        raise RuntimeError("the estimate over all groups is missing")
+    enough = pooled is not None and pooled["n"] >= MIN_GROUP
+    own = found.where(F.col(GROUP) != POOLED)
     for name in _FACTORS:
-        small = F.lit(all_[name] if all_ else None).cast("double")
+        small = F.lit(pooled[name] if enough else None).cast("double")
         own = own.withColumn(name, F.when(F.col("n") >= MIN_GROUP, F.col(name)).otherwise(small))
-    d = _distance(d.join(own.drop("n"), no, "left"))
-    out = F.col("_d2") > CUTOFF
-    return d.withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2"))).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(out, F.lit(False))).drop("_d2", no, *FEATURES)
+    d = _distance(d.join(own.select(GROUP, *_FACTORS), GROUP, "left"))
+    kept = ~failed & ~F.coalesce(F.col(d2) > CUTOFF, F.lit(False))
+    return d.withColumn(f"{c.OWN}distance", F.when(~failed, F.col(d2))).withColumn(f"{c.OWN}kept", kept).drop(d2, GROUP, *FEATURES)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(c.documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return out.select("doc_id", *[F.col(f"{c.OWN}{x}").alias(x) for x in names])
