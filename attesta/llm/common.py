@@ -73,9 +73,13 @@ def _delete_all() -> None:
             return
 
 
-def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
-    """`df` (short rows, written before) as the broadcast side of a join if it has few rows; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def sized_broadcast(df: DataFrame, most_rows: int, row_bytes: Column | None = None, most_bytes: int = 32 << 20) -> DataFrame:
+    """`df` (written before) as the broadcast side of a join if it has few rows; else the join shuffles.
+
+    Rows of no fixed size give theirs as `row_bytes`; their sum is held to `most_bytes`.
+    """
+    n, size = df.agg(F.count("*"), F.sum(F.lit(0) if row_bytes is None else row_bytes)).first()
+    return F.broadcast(df) if n <= most_rows and (size or 0) <= most_bytes else df
 
 
 def n_words(text: Column) -> Column:
