@@ -2,7 +2,8 @@
 
 Every shuffled document has a virtual finish time: the cumulative tokens of its source, itself
 included, divided by the source's target. All sources reach time 1 when their targets are met;
-the copies of all documents, ordered by finish time, are cut where the total budget is spent.
+the copies of all documents, range-sorted by finish time over the whole corpus, are cut where the total budget is spent:
+sums of the sorted parts say which part holds the cut, and a running sum within that part where.
 
 Running sums over a source never meet in one task. Documents are dealt to (source, bucket) by
 their shuffle key; sums of buckets give each bucket its offset. A hot source has as many buckets
@@ -10,7 +11,9 @@ as its rows need.
 
 Edge cases. A null text has size 0. A null source is a source of its own and comes last. Empty
 tables give empty results. Rows that repeat a document count as documents of their own; those
-that are equal in id, source and text are interchangeable. A source without words has target 0.
+that are equal in id, source and text are interchangeable and are taken alike. Equal finish times go by source, then shuffle key.
+A source without words has target 0. Very long texts count whole. Other columns are kept, whatever their names. The
+budget is a sum of decimals, so that reruns agree to the last document.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm import common as c
 
-#: Rows that a bucket of the running sums holds on average.
-BUCKET_ROWS = 20_000
+#: Rows that a bucket of the running sums holds on average, or the root of their number if that is more.
+BUCKET_ROWS = 2_000
 _O = c.OWN
 
 
@@ -65,7 +68,8 @@ def mix(
     own = {n: f"{_O}{n}" for n in ("size", "key", "bucket", "source", "no_source")}
     rows = docs.withColumns({own["size"]: size, own["key"]: F.shiftrightunsigned(shuffle_key, 1), own["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit("")), own["no_source"]: F.col(source_col).isNull()})
     slim = c.written(rows.select(*[F.col(own[n]).alias(n) for n in ("size", "key", "source", "no_source")]), "mix")
-    n_buckets = max(1, math.ceil(slim.count() / BUCKET_ROWS))
+    n = slim.count()
+    n_buckets = max(1, math.ceil(n / max(BUCKET_ROWS, math.isqrt(n))))
     slim = slim.withColumn("bucket", _bucket(F.col("key"), n_buckets))
 
     sums = slim.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -78,20 +82,22 @@ def mix(
 
     group = ["no_source", "source", "bucket"]
     times = slim.join(offsets, group).withColumn("cum", queued(slim, "size", "key", group)).where((F.col("target") > 0) & (F.col("size") > 0))
-    times = times.select("size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_copies - 1)), lambda e: (e * F.col("source_size") + F.col("cum")) / F.col("target"))).alias("finish"))
-    cut = _cut(times, offsets, n_buckets)
+    finish = lambda cum, e: (e * F.col("source_size") + cum) / F.col("target")
+    times = times.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_copies - 1)), lambda e: finish(F.col("cum"), e))).alias("finish"), "no_source", "source", "key", "size")
+    cut = _cut(times, offsets)
 
     offsets = offsets.select(*[F.col(n).alias(f"{_O}{n}") for n in group], "offset", F.col("source_size").alias(f"{_O}source_size"), F.col("target").alias(f"{_O}target"))
     offsets = offsets.withColumnRenamed("offset", f"{_O}offset")
     out = rows.withColumn(own["bucket"], _bucket(F.col(own["key"]), n_buckets)).join(offsets, [own[n] for n in group])
     cum = F.sum(own["size"]).over(Window.partitionBy(*[own[n] for n in group]).orderBy(own["key"], own["size"]).rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"{_O}offset")
     out = out.withColumn(f"{_O}cum", cum)
-    late = [((F.lit(e) * F.col(f"{_O}source_size") + F.col(f"{_O}cum")) / F.col(f"{_O}target") <= F.lit(cut)).cast("int") for e in range(max_copies)]
-    copies = late[0]
-    for x in late[1:]:
-        copies = copies + x
     some = (F.col(f"{_O}target") > 0) & (F.col(own["size"]) > 0)
-    out = out.withColumn(f"{_O}copies", F.when(some, copies).otherwise(0)).withColumn(f"{_O}finish", F.when(some, F.col(f"{_O}cum") / F.col(f"{_O}target")))
+    # A copy is taken if it doesn't come after the last one that the budget holds.
+    copies = F.lit(0)
+    for e in range(max_copies):
+        place = F.struct(_finish(e).alias("finish"), F.col(own["no_source"]).alias("no_source"), F.col(own["source"]).alias("source"), F.col(own["key"]).alias("key"), F.col(own["size"]).alias("size"))
+        copies = copies + (place <= cut if cut is not None else F.lit(False)).cast("int")
+    out = out.withColumn(f"{_O}copies", F.when(some, copies).otherwise(0)).withColumn(f"{_O}finish", F.when(some, _finish(0)))
     return out.drop(*[own[n] for n in ("key", "bucket", "source", "no_source")], f"{_O}offset", f"{_O}cum")
 
 
@@ -100,30 +106,42 @@ def _bucket(key: Column, n_buckets: int) -> Column:
     return F.least(F.floor(key.cast("double") / float(1 << 63) * n_buckets), F.lit(n_buckets - 1)).cast("int")
 
 
-def _cut(times: DataFrame, offsets: DataFrame, n_buckets: int) -> float:
-    """The latest finish time within the budget, the sum of all targets.
+def _finish(copy: int | Column) -> Column:
+    """The finish time of a document's copy, counted from 0."""
+    return (copy * F.col(f"{_O}source_size") + F.col(f"{_O}cum")) / F.col(f"{_O}target")
 
-    Sums of equal slices of time find the slice where the budget ends; only that slice is sorted.
+
+def _cut(times: DataFrame, offsets: DataFrame) -> Column | None:
+    """The place (finish, no_source, source, key, size) of the last copy within the budget, the sum of all targets; null if there is none.
+
+    All copies are range-sorted and written, so that a lost executor can't move the borders of the parts.
     """
-    slices = 4096 * n_buckets
     goals = offsets.select("no_source", "source", "target").distinct()
-    budget = goals.agg(F.sum("target")).first()[0]
+    # Decimals sum alike in any order; what rounding took from single targets is put back.
+    budget = goals.agg(F.round(F.sum(F.col("target").cast("decimal(38,6)")), 3)).first()[0]
     if not budget:
-        return 0.0
-    at = F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("long")
-    # Time 1 is where every source meets its target, so what lies well before it needs no slices.
-    at = F.greatest(at, F.lit(slices // 2))
-    sums = times.withColumn("slice", at).groupBy("slice").agg(F.sum("size").alias("size"))
-    whole = sums.withColumn("part", F.floor(F.col("slice") / 4096))
-    parts = whole.groupBy("part").agg(F.sum("size").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size"))
-    running = whole.join(parts.select("part", "before"), "part").withColumn("before", F.col("before") + F.sum("size").over(Window.partitionBy("part").orderBy("slice")) - F.col("size"))
-    crossing = running.where(F.col("before") + F.col("size") > budget).agg(F.min(F.struct("slice", "before")).alias("x")).first()["x"]
-    if crossing is None:
-        return float("inf")
-    inside = times.where(at == crossing["slice"]).groupBy("finish").agg(F.sum("size").alias("size"))
-    inside = inside.withColumn("cum", F.sum("size").over(Window.orderBy("finish")) + F.lit(crossing["before"]))
-    latest = inside.where(F.col("cum") <= budget).agg(F.max("finish")).first()[0]
-    return float(latest) if latest is not None else crossing["slice"] / slices - 1e-12
+        return None
+    order = ["finish", "no_source", "source", "key", "size"]
+    ordered = c.written(times.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "mix-order")
+    parts = ordered.groupBy("part").agg(F.sum("size").alias("part_size"))
+    parts = parts.withColumn("before", F.sum("part_size").over(Window.orderBy("part")) - F.col("part_size"))
+    # The part where the budget ends, or the last one if it never does.
+    last = parts.where(F.col("before") <= F.lit(budget)).orderBy(F.desc("part")).first()
+    running = ordered.where(F.col("part") == last["part"]).withColumn("cum", F.sum("size").over(Window.partitionBy("part").orderBy(*order)) + F.lit(last["before"]))
+    place = running.where(F.col("cum") <= F.lit(budget)).agg(F.max(F.struct(*order)).alias("p")).first()["p"]
+    if place is None and last["before"]:
+        place = ordered.where(F.col("part") < last["part"]).agg(F.max(F.struct(*order)).alias("p")).first()["p"]
+    c.drop_written(ordered)
+    return place and F.struct(*[F.lit(place[x]).cast(times.schema[x].dataType).alias(x) for x in order])
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The copies that `mix` takes, range-sorted by their own finish times."""
+    again = F.posexplode(F.sequence(F.lit(1), F.col(f"{_O}copies")))
+    out = mixed.where(F.col(f"{_O}copies") > 0).select("*", again.alias(f"{_O}copy", f"{_O}nth"))
+    later = F.col(f"{_O}finish") + F.col(f"{_O}copy") * F.col(f"{_O}source_size") / F.col(f"{_O}target")
+    out = out.withColumn(f"{_O}finish", later).drop(f"{_O}nth")
+    return out.repartitionByRange(f"{_O}finish").sortWithinPartitions(f"{_O}finish")
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Column, Column]:
