@@ -15,7 +15,8 @@ different line stays.
 
 Edge cases. A null text stays null and has no lines; an empty one has one empty line. Rows that
 repeat both id and text count as one document. A document may lose all its lines and then has the
-empty text. Other columns are kept.
+empty text. Very long texts are cut into chunks whole; a chunk that all documents have is compared in many tasks. Other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from attesta.llm import common as c
 
 #: Lines of a chunk, on average.
 MEAN_LINES = 2
-#: Hashes that are broadcast rather than shuffling texts to them, at most; of documents that lose chunks a quarter.
-BROADCAST_ROWS = 2_000_000
+#: Hashes that are broadcast rather than shuffling texts to them, at most; of documents that lose chunks a quarter, and BROADCAST_BYTES of them.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Chunks with one hash that a task compares, on average.
+HOT = 256
 
 
 def line_hash(line: Column) -> Column:
@@ -69,21 +72,28 @@ def merged(spans: Column) -> Column:
 def removals(docs: DataFrame, id_col: str, text_col: str, mean_lines: int, anywhere: bool = False) -> DataFrame:
     """(id, key, gone: array of {start, stop}) for each document that loses chunks."""
     found = windows(docs, id_col, text_col) if anywhere else chunks(docs, id_col, text_col, mean_lines)
-    shared = c.written(found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash"), "line-hashes")
-    candidates = c.written(found.join(c.sized_broadcast(shared, BROADCAST_ROWS), "hash", "left_semi"), "line-chunks")
+    shared = c.written(found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1), "line-hashes")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "key", "start")
-    firsts = candidates.groupBy("hash", "body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
-    gone = candidates.join(firsts, ["hash", "body"]).where(~place.eqNullSafe(F.col("first")))
+    # What a hash has more than HOT times is dealt to as many tasks as it needs; each gets the first place.
+    salts = F.ceil(F.col("n") / HOT).cast("int")
+    candidates = found.join(c.sized_broadcast(shared, BROADCAST_ROWS), "hash").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64(place), F.col("salts")).cast("int"))
+    candidates = c.written(candidates.drop("n"), "line-chunks")
+    firsts = candidates.groupBy("hash", "body", "salt").agg(F.count("*").alias("n"), F.max("salts").alias("salts"), F.min(place).alias("first"))
+    firsts = firsts.groupBy("hash", "body").agg(F.sum("n").alias("n"), F.max("salts").alias("salts"), F.min("first").alias("first")).where(F.col("n") > 1)
+    firsts = firsts.select("hash", "body", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    gone = candidates.join(firsts, ["hash", "body", "salt"]).where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
-    return gone.withColumn("gone", merged(F.col("gone"))) if anywhere else gone
+    gone = c.written(gone.withColumn("gone", merged(F.col("gone"))) if anywhere else gone, "line-gone")
+    c.drop_written(shared, candidates)
+    return gone
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, anywhere: bool = False) -> DataFrame:
     """`docs` with its text cut, and with __attesta_ columns lines and removed_lines."""
-    gone = c.written(removals(docs, id_col, text_col, mean_lines, anywhere), "line-gone")
+    gone = removals(docs, id_col, text_col, mean_lines, anywhere)
     key, own = f"{c.OWN}key", f"{c.OWN}gone"
     d = docs.withColumn(key, c.text_key(F.col(text_col)))
-    gone = c.sized_broadcast(gone, BROADCAST_ROWS // 4).select(F.col("id").alias(f"{c.OWN}id"), F.col("key").alias(f"{c.OWN}gone_key"), F.col("gone").alias(own))
+    gone = c.sized_broadcast(gone, BROADCAST_ROWS // 4, F.size("gone") * 16 + 100, BROADCAST_BYTES).select(F.col("id").alias(f"{c.OWN}id"), F.col("key").alias(f"{c.OWN}gone_key"), F.col("gone").alias(own))
     d = d.join(gone, (d[key] == gone[f"{c.OWN}gone_key"]) & d[id_col].eqNullSafe(gone[f"{c.OWN}id"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     # Sorted removals cut the lines into the pieces between them.
