@@ -101,10 +101,55 @@ def test_texts_in_pieces_parse_alike(monkeypatch):
     whole = list(substring_dedup.phrases_of([t]))
     monkeypatch.setattr(substring_dedup, "_PIECE", 3000)
     cut = list(substring_dedup.phrases_of([t]))
-    starts = lambda rows: sorted((s + i, a) for _, s, n, a, _, _ in rows for i in range(n))
+    starts = lambda rows: sorted((s + i, a) for _, s, n, _, a, *_ in rows for i in range(n))
     assert starts(whole) == starts(cut) and len(starts(whole)) == len(t) - substring_dedup.LENGTH + 1
 
 
+def test_suffix_ranks_order_all_strings():
+    rng, size = random.Random(3), substring_dedup.LENGTH
+    base = bytes(rng.choice(b"ab") for _ in range(700))
+    phrases = [base, base[:500] + b"c" + base[501:], b"x" + base[:430], b"a" * 450]
+    strings = [p[i : i + size] for p in phrases for i in range(len(p) - size + 1)]
+    ranks = np.concatenate(substring_dedup.string_ranks(phrases)).tolist()
+    order = sorted(range(len(strings)), key=lambda i: (ranks[i], i))
+    assert [strings[i] for i in order] == sorted(strings) and len(set(ranks)) == len(set(strings))
+
+
+def test_periodic_text_is_few_rows(spark):
+    """One row for each run of equal phrases, not one for each byte."""
+    texts = [b"a" * 1_000_000, b"\0" * 5000 + b"end", b"abcdefgh" * 50_000]
+    found = list(substring_dedup.phrases_of(texts))
+    assert len(found) < 400 and all(sum(n * run for row, _, n, run, *_ in found if row == i) == len(t) - substring_dedup.LENGTH + 1 for i, t in enumerate(texts))
+    rows = [(i, t.decode()) for i, t in enumerate([*texts, b"b" * 400, b"b" * 399, b"c" * 401])]
+    got = {r["k"]: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "id int, text string")).withColumn("k", substring_dedup.F.col("n_bytes")).collect()}
+    assert {k: len(r["kept"]) for k, r in got.items()} == {1_000_000: 0, 5003: 3, 400_000: 0, 400: 400, 399: 399, 401: 0}
+
+
+def test_skipped_postings_change_nothing():
+    """A shard's best by pivots against all scores; rare terms leave most postings untouched."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the", "of", f"w{int(rng.paretovariate(0.6)) % 5000}", f"x{i // 50}"]) for _ in range(rng.randint(1, 60))) for i in range(3000)]
+    row = search._texts_to_shard(list(range(len(texts))), texts)
+    shard, touched = search.Shard(row, row["length"] / row["n"]), collections.Counter()
+    df = np.frombuffer(row["df"], "<i4")
+    starts = np.concatenate(([0], np.cumsum(df)))
+    queries = []
+    for text in ("the w3 x7", "x1 x2 of", "w1 w2 w5 w9 x40 the", "nothing here", "w4"):
+        hs = np.sort(search.term_hashes(text.split()))
+        at, _ = shard.local(hs, hs)
+        idf = {h: math.log(1 + (3000 - d + 0.5) / (d + 0.5)) for h, d in zip(shard.vocabulary[at].tolist(), df[at].tolist(), strict=True)}
+        queries.append((hs, np.array([idf.get(h, 1.0) for h in hs.tolist()]), 0.0))
+    got = {q: sorted(zip((-round(s, 6) for s in scores), (shard.ids[p] for p in places), strict=True))[:10] for q, places, scores in search.search_shard(shard, queries, 10, touched)}
+    for q, (hs, idf, _) in enumerate(queries):
+        scores = np.zeros(shard.n)
+        for t, w in zip(*shard.local(hs, idf), strict=True):
+            at = slice(starts[t], starts[t + 1])
+            scores[shard.doc[at]] += w * shard.weight[at]
+        want = sorted((-round(s, 6), shard.ids[p]) for p, s in enumerate(scores.tolist()) if s > 0)[:10]
+        assert got.get(q, []) == want
+    assert 0 < touched["light_scored"] < 0.7 * touched["light"]
+
+
 def test_search(spark, sf_dir, empty_dir, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 17)
     rows = corpus()
