@@ -1,21 +1,23 @@
 """Operator 8, exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
 
 Index. Each task cuts its documents into shards and writes one row for each: its vocabulary (64-bit
-hashes of terms) with document frequencies, and a forward index of its documents, ordered by their most common
+hashes of terms) and the inverted list of each term, documents in order with their frequencies. Documents are ordered by their most common
 frequent term, so that documents of one language lie together. A term is a maximal run of
 letters and digits, in lower case. Sums over the shards give global statistics: documents, mean length and
 document frequencies. A query's terms count once each: score = sum of idf * tf (k1 + 1) / (tf + k1 (1 - b + b length / mean)).
 
-Search. Query blocks of bounded size go to all shards. Within a shard, an inverted index of blocks of BLOCK documents
-holds for each term its largest weight in each block. As in block-max WAND, the sum of a query's block maxima bounds the scores in a
-block, and only blocks whose bound reaches the query's threshold are scored. Whole texts as queries have hundreds of terms, so that
-bounds are loose and many blocks stay: those are scored with arrays, term by term, not document by document.
+Search. Query blocks of bounded size go to all shards. Every list is cut at the same blocks of BLOCK documents and holds its largest weight in
+each. As in block-max WAND, the sum of a query's block maxima bounds what a block's documents can score: the next pivot is the first block,
+in order of documents, whose bound reaches the threshold; the postings of all blocks before it are skipped, its own are scored,
+and the threshold rises to the k-th best score so far. The blocks of the highest bounds are scored first, so that the threshold is
+high from the start. Pivots are sought a strip of blocks at a time, with arrays. Whole texts as queries have hundreds of terms, so that bounds are
+loose; terms that an eighth of a shard has are dense lists, scored for a batch of queries at once in the blocks where any of them has a pivot.
 A first wave over some of the shards gives each query a score that k documents reach; the second wave over
-the others returns only what reaches it. The best k of both are the exact global top k.
+the others begins there and returns only what reaches it. The best k of both are the exact global top k.
 
 Edge cases. A null or empty text has no terms: it matches nothing and, as a query, returns no rows. Ties in score go
 to the lower id, null last. Repeated rows are found each. A query may repeat: rows with an equal id are searched as one query each under that id and
-their results merge. With fewer than k matches, all are returned.
+their results merge. With fewer than k matches, all are returned. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -37,12 +39,14 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Documents and characters of a shard, at most; a longer text is a shard by itself.
 SHARD_DOCS, SHARD_CHARS = 4_096, 1 << 24
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 2_048
+#: Terms of the queries that are broadcast at once, of 16 bytes each, on average.
+QUERY_TERMS = 1 << 20
+#: Parts of a shard's blocks between which the threshold rises; blocks scored before all others.
+STRIPS, PRIMED = 2, 4
 #: Decimals of a score. Shards sum in different orders; what is equal to these digits ties.
 DIGITS, TIE = 6, 1e-6
 _TERM = regex.compile(r"[\p{L}\p{N}]+")
-_BATCH = 256
+_BATCH = 64
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -67,22 +71,18 @@ def _texts_to_shard(ids: list, texts: list[str]) -> dict:
     by_hash = np.argsort(hashes)
     place = np.empty(len(local), np.int32)
     place[by_hash] = np.arange(len(local))
-    terms, counts = [], []
-    for i in order:
-        t = place[tids[i]]
-        inner = np.argsort(t)
-        terms.append(t[inner])
-        counts.append(tfs[i][inner])
-    joined = lambda xs: (np.concatenate(xs) if xs else np.zeros(0, np.int32)).astype("<i4").tobytes()
+    terms = np.concatenate([place[tids[i]] for i in order]) if tids else np.zeros(0, np.int32)
+    counts = np.concatenate([tfs[i] for i in order]) if tids else np.zeros(0, np.int32)
+    by_term = np.argsort(terms, kind="stable")  # then by document
     return {
         "n": len(texts), "length": int(lengths.sum()), "ids": [ids[i] for i in order],
         "lengths": lengths[order].astype("<i4").tobytes(), "vocabulary": hashes[by_hash].astype("<u8").tobytes(), "df": df[by_hash].astype("<i4").tobytes(),
-        "sizes": sizes[order].astype("<i4").tobytes(), "terms": joined(terms), "tf": joined(counts),
+        "docs": np.repeat(np.arange(len(texts)), sizes[order])[by_term].astype("<i4").tobytes(), "tf": counts[by_term].astype("<i4").tobytes(),
     }
 
 
-_ROW = "n int, length long, ids array<long>, lengths binary, vocabulary binary, df binary, sizes binary, terms binary, tf binary"
-_SCHEMA = pa.schema([("n", pa.int32()), ("length", pa.int64()), ("ids", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("lengths", "vocabulary", "df", "sizes", "terms", "tf"))])
+_ROW = "n int, length long, ids array<long>, lengths binary, vocabulary binary, df binary, docs binary, tf binary"
+_SCHEMA = pa.schema([("n", pa.int32()), ("length", pa.int64()), ("ids", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("lengths", "vocabulary", "df", "docs", "tf"))])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,33 +137,30 @@ def weighted_queries(queries: DataFrame, frequencies: DataFrame, n_docs: int) ->
 
 
 class Shard:
-    """A shard's arrays in memory.
+    """A shard's lists in memory, with weights for the global mean length.
 
-    Light terms have postings, of documents and of blocks; heavy terms, that an eighth of the documents have, a
-    row of weights by document and one by block. Blocks hold the largest weight of their documents.
+    Light terms have entries, one for each block that has them: the largest weight, and where their postings begin. Heavy terms, that an
+    eighth of the documents have, have a row of weights by document and one by block.
     """
 
     def __init__(self, row: dict, mean_length: float) -> None:
         self.ids, self.n = row["ids"], row["n"]
-        arrays = {k: np.frombuffer(row[k], t) for k, t in (("lengths", "<i4"), ("vocabulary", "<u8"), ("sizes", "<i4"), ("terms", "<i4"), ("tf", "<i4"))}
-        self.vocabulary = arrays["vocabulary"]
+        lengths, self.vocabulary, df, self.doc, tf = (np.frombuffer(row[k], t) for k, t in (("lengths", "<i4"), ("vocabulary", "<u8"), ("df", "<i4"), ("docs", "<i4"), ("tf", "<i4")))
         self.n_blocks = -(-self.n // BLOCK)
-        doc = np.repeat(np.arange(self.n), arrays["sizes"])
-        order = np.argsort(arrays["terms"], kind="stable")  # by term, then by document
-        term, self.doc, tf = arrays["terms"][order], doc[order], arrays["tf"][order].astype(float)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"][self.doc] / mean_length))
-        self.postings = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        key = term.astype(np.int64) * self.n_blocks + self.doc // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        block_term, self.block = np.divmod(key[first], max(self.n_blocks, 1))
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.blocks_of = np.searchsorted(block_term, np.arange(len(self.vocabulary) + 1))
-        heavy = np.flatnonzero(np.diff(self.postings) * 8 > self.n)
-        self.heavy = np.full(len(self.vocabulary), -1, np.int64)
+        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean_length))
+        postings = np.concatenate(([0], np.cumsum(df)))
+        term = np.repeat(np.arange(len(df)), df)
+        key = term * self.n_blocks + self.doc // BLOCK
+        self.first = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+        block_term, self.block = np.divmod(key[self.first[:-1]], max(self.n_blocks, 1))
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(key) else np.zeros(0)
+        self.blocks_of = np.searchsorted(block_term, np.arange(len(df) + 1))
+        heavy = np.flatnonzero(df * 8 > self.n)
+        self.heavy = np.full(len(df), -1, np.int64)
         self.heavy[heavy] = np.arange(len(heavy))
         self.by_doc = np.zeros((len(heavy), self.n_blocks * BLOCK))
         for i, t in enumerate(heavy):
-            at = slice(self.postings[t], self.postings[t + 1])
+            at = slice(postings[t], postings[t + 1])
             self.by_doc[i, self.doc[at]] = self.weight[at]
         self.by_block = self.by_doc.reshape(len(heavy), self.n_blocks, BLOCK).max(axis=2) if len(heavy) else np.zeros((0, self.n_blocks))
 
@@ -180,47 +177,88 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
 
 
-def _sparse(starts: np.ndarray, terms: np.ndarray, idf: np.ndarray, places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of idf * value by place over the lists of some terms."""
-    a, b = starts[terms], starts[terms + 1]
-    entries = _ranges(a, b)
-    return np.bincount(places[entries], weights=values[entries] * np.repeat(idf, b - a), minlength=n)
+class Pivots:
+    """One query over a shard's light lists."""
 
+    def __init__(self, shard: Shard, terms: np.ndarray, idf: np.ndarray) -> None:
+        self.shard = shard
+        a, b = shard.blocks_of[terms], shard.blocks_of[terms + 1]
+        self.entries, self.idf = _ranges(a, b).astype(np.int32), np.repeat(idf, b - a)
+        self.block = shard.block[self.entries].astype(np.int32)
 
-def search_shard(shard: Shard, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> Iterator[tuple[int, list[int], list[float]]]:
+    def bounds(self) -> np.ndarray:
+        return np.bincount(self.block, weights=self.shard.most[self.entries] * self.idf, minlength=self.shard.n_blocks)
+
+    def score(self, wanted: np.ndarray) -> tuple[np.ndarray, int]:
+        """Scores by document from the postings of the wanted blocks alone, and how many postings those are."""
+        keep = wanted[self.block]
+        entries = self.entries[keep]
+        a, b = self.shard.first[entries], self.shard.first[entries + 1]
+        at = _ranges(a, b)
+        return np.bincount(self.shard.doc[at], weights=self.shard.weight[at] * np.repeat(self.idf[keep], b - a), minlength=self.shard.n_blocks * BLOCK), len(at)
+
+
+def _documents(blocks: np.ndarray) -> np.ndarray:
+    return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+
+
+def search_shard(shard: Shard, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int, touched: Counter | None = None) -> Iterator[tuple[int, list[int], list[float]]]:
     """(query, places of documents, scores): the best k of the shard that reach the query's floor, and all that tie with the k-th.
 
-    For a batch of queries, bounds of all blocks come first. Documents of blocks whose bound is below a query's floor are
-    out. The others are scored term by term, heavy terms for the batch at once.
+    `touched` counts the postings of the queries' light terms (light), those that were scored (light_scored), and for heavy terms the blocks of the batch (blocks, blocks_scored).
     """
+    touched = Counter() if touched is None else touched
     for at in range(0, len(queries), _BATCH):
         part = [(*shard.local(hs, idf), floor) for hs, idf, floor in queries[at : at + _BATCH]]
         wanted = np.zeros((len(part), len(shard.by_doc)))
+        pivots = []
         for i, (terms, idf, _) in enumerate(part):
             h = shard.heavy[terms]
             wanted[i, h[h >= 0]] = idf[h >= 0]
-        bounds = wanted @ shard.by_block
-        for i, (terms, idf, _) in enumerate(part):
-            light = shard.heavy[terms] < 0
-            bounds[i] += _sparse(shard.blocks_of, terms[light], idf[light], shard.block, shard.most, shard.n_blocks)
+            pivots.append(Pivots(shard, terms[h < 0], idf[h < 0]))
+        bounds = wanted @ shard.by_block + np.array([p.bounds() for p in pivots])
         # Sums in another order differ in the last digits: bounds get a little slack.
-        floors = np.array([floor for *_, floor in part])
-        alive = (bounds * (1 + 1e-9) >= floors[:, None]) & (bounds > 0)
+        bounds *= 1 + 1e-9
+        thresholds = np.array([floor for *_, floor in part])
+        if k < shard.n:
+            for i, p in enumerate(pivots):
+                best = np.argsort(-bounds[i])[: max(PRIMED, -(-k // BLOCK))]
+                best = best[bounds[i, best] >= max(thresholds[i], TIE)]
+                mask = np.zeros(shard.n_blocks, bool)
+                mask[best] = True
+                docs = _documents(best)
+                scores = p.score(mask)[0][docs] + wanted[i] @ shard.by_doc[:, docs]
+                if len(scores) >= k:
+                    thresholds[i] = max(thresholds[i], np.partition(scores, -k)[-k] - TIE)
+        alive = (bounds >= thresholds[:, None]) & (bounds > 0)
         some = np.flatnonzero(alive.any(axis=0))
-        docs = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        docs = _documents(some)
         heavy = np.zeros((len(part), shard.n_blocks * BLOCK))
         heavy[:, docs] = wanted @ (shard.by_doc if len(some) == shard.n_blocks else shard.by_doc[:, docs])
-        for i, (terms, idf, floor) in enumerate(part):
-            if not alive[i].any():
-                continue
-            light = shard.heavy[terms] < 0
-            scores = heavy[i, : shard.n] + _sparse(shard.postings, terms[light], idf[light], shard.doc, shard.weight, shard.n)
-            scores[~np.repeat(alive[i], BLOCK)[: shard.n]] = 0
-            if k < shard.n:
-                floor = max(floor, np.partition(scores, -k)[-k] - TIE)
-            places = np.flatnonzero((scores >= floor) & (scores > 0))
-            if len(places):
-                yield at + i, places.tolist(), scores[places].tolist()
+        touched += Counter(blocks=shard.n_blocks, blocks_scored=len(some))
+        step = -(-shard.n_blocks // STRIPS)
+        for i, p in enumerate(pivots):
+            places, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for start in range(0, shard.n_blocks, max(step, 1)):
+                pivot = np.zeros(shard.n_blocks, bool)
+                here = slice(start, start + step)
+                pivot[here] = alive[i, here] & (bounds[i, here] >= thresholds[i])
+                if not pivot.any():
+                    continue
+                light, n = p.score(pivot)
+                touched["light_scored"] += n
+                docs = _documents(np.flatnonzero(pivot))
+                found = light[docs] + heavy[i, docs]
+                places.append(docs[found > 0])
+                scores.append(found[found > 0])
+                all_ = np.concatenate(scores)
+                if len(all_) > k:
+                    thresholds[i] = max(thresholds[i], np.partition(all_, -k)[-k] - TIE)
+            touched["light"] += int((shard.first[p.entries + 1] - shard.first[p.entries]).sum())
+            place, score = np.concatenate(places), np.concatenate(scores)
+            good = score >= thresholds[i]
+            if good.any():
+                yield at + i, place[good].tolist(), score[good].tolist()
 
 
 def _search(index: DataFrame, block: pa.Table, floors: dict[int, float], mean_length: float, k: int) -> DataFrame:
@@ -265,8 +303,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     mean = length / n_docs if n_docs and length else 1.0
     frequencies = document_frequencies(index)
     asked = c.written(weighted_queries(queries, frequencies, n_docs), "search-asked")
-    n_queries = asked.count()
-    n_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    n_terms = asked.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
+    n_blocks = max(1, math.ceil(n_terms / QUERY_TERMS))
     # Shards of the first wave: about the root of their number, by a hash of their vocabulary.
     first = F.pmod(F.xxhash64("vocabulary"), F.lit(max(1, round(math.sqrt(n_shards))))) == 0
     parts = []
