@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import contracts as k
@@ -39,6 +39,34 @@ def has_locator(page: Column, section: Column, paragraph: Column, quote_hash: Co
     return (F.coalesce(page, F.lit(0)) != 0) | (F.coalesce(section, F.lit("")) != "") | (F.coalesce(paragraph, F.lit(0)) != 0) | (F.coalesce(quote_hash, F.lit("")) != "")
 
 
+def place_of(edges: DataFrame) -> dict[str, Column]:
+    """The fields of a locator, null where the edges have no such column."""
+    types = {f.name: f.dataType for f in k.LOCATOR.fields}
+    return {x: F.col(x) if x in edges.columns else F.lit(None).cast(types[x]) for x in k.LOCATOR_KEYS}
+
+
+def located(edges: DataFrame) -> Column:
+    """Whether an edge names a place in its source."""
+    place = place_of(edges)
+    return has_locator(*[place[x] for x in ("page", "section", "paragraph", "quote_hash")])
+
+
+def given_place(edges: DataFrame) -> Column:
+    """Whether an edge has any field of a locator, be it empty: that much makes it traceable."""
+    some = F.lit(False)
+    for x in place_of(edges).values():
+        some = some | x.isNotNull()
+    return some
+
+
+def id_of(edges: DataFrame) -> Column:
+    """The id that an edge names its source by; a bare number is that of a source."""
+    if "source_id" in edges.columns:
+        return F.col("source_id")
+    key = F.col("source_key").cast("string")
+    return F.when(key.rlike(r"^\d+$"), F.concat(F.lit("S"), key)).otherwise(key)
+
+
 def is_primary(authority: Column) -> Column:
     return F.coalesce(authority.isin(*k.PRIMARY_AUTHORITIES), F.lit(False))
 

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import contracts as k
-from attesta.functions.evidence import balance_of, blank
+from attesta.functions.evidence import balance_of, blank, id_of, place_of
 from attesta.operators import claims as op
 
 
-def source_label(source_id: Column, authority: Column, freshness: Column, relation: Column, level: Column, page: Column) -> Column:
-    """A source as the brief shows it, with its place if it has one."""
+def source_label(source_id: Column, authority: Column, freshness: Column, relation: Column, level: Column, place: dict[str, Column]) -> Column:
+    """A source as the brief shows it, with every field of its place that isn't empty."""
     shown = lambda c: F.when(blank(c), F.lit("?")).otherwise(c)
     parts = F.concat_ws("/", source_id, shown(authority), shown(freshness), F.when(relation != "", relation), F.when(level != "", level))
-    return F.concat(parts, F.when(F.coalesce(page, F.lit(0)) != 0, F.concat(F.lit(" @page="), page.cast("string"))).otherwise(""))
+    fields = [F.when(~x.cast("string").isin("", "0"), F.concat(F.lit(f"{name}="), x.cast("string"))) for name, x in place.items()]
+    where = F.concat_ws(",", *fields)
+    return F.concat(parts, F.when(where != "", F.concat(F.lit(" @"), where)).otherwise(""))
 
 
 def brief_relation(level: Column, explicit: Column | None = None) -> Column:
@@ -27,7 +29,7 @@ def brief_rows(claims: DataFrame, sources: DataFrame, evidence: DataFrame, mode:
     """SK9: one row of the brief's table for each claim, and the lines of its details."""
     judged = op.sufficiency(claims, sources, evidence, mode)
     edges = op.edges_with_sources(evidence, sources).withColumn("shown", brief_relation(F.col("support_level"), F.when(F.col("relation") == "contradicts", F.col("relation"))))
-    label = source_label(F.concat(F.lit("S"), F.col("source_key").cast("string")), F.col("authority"), F.col("freshness"), F.col("shown"), F.col("support_level"), F.col("page"))
+    label = source_label(id_of(edges), F.col("authority"), F.col("freshness"), F.col("shown"), F.col("support_level"), place_of(edges))
     listed = lambda when: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("source_key", label.alias("t"))))), lambda x: x["t"]), "；")
     against, context = F.col("shown") == "contradicts", F.col("shown") == "context_only"
     lists = edges.groupBy("claim_key").agg(listed(~against & ~context).alias("support"), listed(against).alias("against"), listed(context).alias("context"))

@@ -123,10 +123,10 @@ def number_map(refs: Column) -> Column:
 
 
 def renumbered(text: Column, keys: Column, mark: str = r"\[S(\d+)\]") -> Column:
-    """Every [Sx] as the number of its key, or [?x]. A sentinel keeps what was put in from being replaced again."""
-    start = F.regexp_replace(text, mark, "[\x01$1]")
-    put = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1))), start, lambda a, i: F.when(i <= F.size(keys), F.replace(a, F.concat(F.lit("[\x01"), F.get(keys, i - 1), F.lit("]")), F.concat(F.lit("["), i.cast("string"), F.lit("]")))).otherwise(a))
-    return F.replace(put, F.lit("[\x01"), F.lit("[?"))
+    """Every [Sx] as the number of its key, or [?x]. The text is split at the marks once, whatever their number."""
+    parts = F.arrays_zip(F.split(text, mark, -1).alias("text"), t.find_all(text, mark).alias("key"))
+    number = lambda key: F.coalesce(F.nullif(F.array_position(keys, key), F.lit(0)).cast("string"), F.concat(F.lit("?"), key))
+    return F.array_join(F.transform(parts, lambda x: F.concat(x["text"], F.coalesce(F.concat(F.lit("["), number(x["key"]), F.lit("]")), F.lit("")))), "")
 
 
 def _cleaned(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta import contracts as k
-from attesta.functions.evidence import balance_of, blank, grade_of, is_primary, lookup
+from attesta.functions.evidence import balance_of, blank, given_place, grade_of, id_of, is_primary, located, lookup
 
 
 def edges_with_sources(evidence: DataFrame, sources: DataFrame) -> DataFrame:
@@ -24,23 +24,26 @@ def edges_with_sources(evidence: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def claim_statistics(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts and sums of tenths by claim. One shuffle of the edges; claims without edges stay."""
-    support = F.col("relation") != "contradicts"
-    located = F.col("page").isNotNull() & (F.col("page") != 0)
+    """Counts and sums of tenths by claim. One shuffle of the edges; claims without edges stay.
+
+    F21: only keys that are source ids count as independent or primary sources; the score knows all edges.
+    """
+    support, source = F.col("relation") != "contradicts", id_of(edges).startswith("S")
+    primary, placed = source & is_primary(F.col("authority")), given_place(edges)
     tenths = lambda c, t, other: F.sum(F.when(support, lookup(F.col(c), t, other)).otherwise(0))
     sums = edges.groupBy("claim_key").agg(
-        F.count("*").alias("independent"),
-        F.count_if(is_primary(F.col("authority"))).alias("primary_sources"),
-        F.coalesce(F.bool_or(is_primary(F.col("authority")) & (F.col("freshness") == "current")), F.lit(False)).alias("current_primary"),
+        F.count_if(source).alias("independent"),
+        F.count_if(primary).alias("primary_sources"),
+        F.coalesce(F.bool_or(primary & (F.col("freshness") == "current")), F.lit(False)).alias("current_primary"),
         F.count_if(support).alias("n_support"),
         F.count_if(F.col("relation") == "contradicts").alias("n_against"),
         F.count_if(F.col("relation") == "context_only").alias("n_context"),
         tenths("authority", k.AUTHORITY_TENTHS, k.OTHER_AUTHORITY).alias("t_authority"),
         tenths("support_level", k.LEVEL_TENTHS, k.OTHER_LEVEL).alias("t_level"),
         tenths("freshness", k.FRESHNESS_TENTHS, k.OTHER_FRESHNESS).alias("t_freshness"),
-        F.count_if(support & (located | ~blank(F.col("url")))).alias("n_traceable"),
-        F.count_if(support & located).alias("n_located"),
-        F.count_if(support & ~located).alias("n_unlocated"),
+        F.count_if(support & (placed | ~blank(F.col("url")))).alias("n_traceable"),
+        F.count_if(support & placed).alias("n_located"),
+        F.count_if(support & ~placed).alias("n_unlocated"),
     )
     numbers = [c for c in sums.columns if c not in ("claim_key", "current_primary")]
     out = claims.join(sums, "claim_key", "left")
@@ -90,6 +93,12 @@ def sufficiency(claims: DataFrame, sources: DataFrame, evidence: DataFrame, mode
     return d.withColumns({"passed": F.col("reasons") == "", "grade": grade_of(F.col("score"))})
 
 
+def claims_by_source(evidence: DataFrame) -> DataFrame:
+    """(source_id, n, claims: array of {claim_key, support_level, relation} in order of their keys)."""
+    e = evidence.select(id_of(evidence).alias("source_id"), "claim_key", "support_level", "relation")
+    return e.groupBy("source_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("claim_key", "support_level", "relation"))).alias("claims"))
+
+
 def changed_only(claims: DataFrame, changed: DataFrame) -> DataFrame:
     """the claims whose id is in `changed`; ids that aren't claim ids count for nothing."""
     return claims.join(changed.where(F.col("claim_id").startswith("C-")).select("claim_id").distinct(), "claim_id", "left_semi")
@@ -109,9 +118,8 @@ def high_risk() -> Column:
 
 def auditability(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """By claim, the support edges and those without a place in their source."""
-    located = F.col("page").isNotNull() & (F.col("page") != 0)
     support = evidence.where(F.col("relation") != "contradicts").groupBy("claim_key").agg(
-        F.count("*").alias("n_support"), F.sort_array(F.collect_list(F.when(~located, F.col("source_key")))).alias("lost")
+        F.count("*").alias("n_support"), F.sort_array(F.collect_list(F.when(~located(evidence), F.col("source_key")))).alias("lost")
     )
     d = claims.join(support, "claim_key", "left").withColumns({"n_support": F.coalesce("n_support", F.lit(0)), "lost": F.coalesce("lost", F.array().cast(T.ArrayType(evidence.schema["source_key"].dataType)))})
     return d.withColumns({"high_risk": high_risk(), "n_lost": F.size("lost"), "auditable": F.size("lost") == 0})

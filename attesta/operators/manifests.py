@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta import contracts as k
-from attesta.functions.evidence import blank, filled
+from attesta.functions.evidence import blank, filled, given_place, id_of, place_of
 
 SCHEMA_VERSION, LEGACY_VERSIONS = "0.2.0", {"0.1.0": "0.2.0"}
 # Enumerations of the contract.
@@ -20,8 +20,7 @@ MANIFEST_MODES = ("static", "live")
 EVIDENCE_STATUSES = ("verified", "supported", "partially_supported", "inferred", "contradicted", "unsupported", "unverified", "internal_confirm")
 #: Stage of a review by the beginning of its file's name.
 STAGES = {"03_audit_report": "r1 来源审计", "07_honest_assessment": "r2 诚实性自评", "10_review": "r4 初稿审查", "12_外部专家意见": "r5 外部专家评审", "final_gate": "终审门"}
-_LOCATOR = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("section", T.StringType()), T.StructField("paragraph", T.IntegerType()), T.StructField("quote_hash", T.StringType()), T.StructField("locator_quality", T.StringType())])
-EVIDENCE = T.StructType([*[T.StructField(x, T.StringType()) for x in ("source_id", "support_level", "relation", "authority", "freshness")], T.StructField("locator", _LOCATOR)])
+EVIDENCE = T.StructType([*[T.StructField(x, T.StringType()) for x in ("source_id", "support_level", "relation", "authority", "freshness")], T.StructField("locator", k.LOCATOR)])
 CLAIM = T.StructType([*[T.StructField(x, T.StringType()) for x in ("claim_id", "claim_class", "risk", "claim_text", "evidence_status", "verdict", "confidence", "interpretation")], T.StructField("evidence", T.ArrayType(EVIDENCE))])
 MANIFEST = T.StructType([*[T.StructField(x, T.StringType()) for x in ("schema_version", "review_kind", "verification_mode", "finalized_at")], T.StructField("claims", T.ArrayType(CLAIM))])
 
@@ -29,18 +28,20 @@ MANIFEST = T.StructType([*[T.StructField(x, T.StringType()) for x in ("schema_ve
 def claim_manifests(claims: DataFrame, edges: DataFrame, finalized_at: str, review_kind: str = "ai-internal", mode: str = "static") -> DataFrame:
     """(case_key, manifest) from claims and their edges with authority and freshness; fields without value are left out, as to_json does.
 
-    Two aggregations, by claim and by case; claims and edges keep the order of their keys.
+    An edge's locator has the fields it was recorded with, no others. Claims may have claim_text, evidence_status, verdict, confidence
+    and interpretation. Two aggregations, by claim and by case; claims and edges keep the order of their keys.
     """
-    none = F.lit(None).cast("string")
-    locator = F.when(F.coalesce("page", F.lit(0)) != 0, F.struct(F.col("page")))
-    nonblank = lambda c: F.when(F.col(c) != "", F.col(c))
-    e = F.struct("source_key", F.struct(F.concat(F.lit("S"), F.col("source_key").cast("string")).alias("source_id"), "support_level", "relation", nonblank("authority").alias("authority"), nonblank("freshness").alias("freshness"), locator.alias("locator")).alias("e"))
+    nonblank = lambda x: F.when(~blank(x), F.trim(x))
+    place = place_of(edges)
+    locator = F.when(given_place(edges), F.struct(*[x.alias(name) for name, x in place.items()]))
+    parts = F.struct(id_of(edges).alias("source_id"), "support_level", "relation", nonblank(F.col("authority")).alias("authority"), nonblank(F.col("freshness")).alias("freshness"), locator.alias("locator"))
+    e = F.struct("source_key", parts.alias("e")).alias("e")
     lists = edges.groupBy("claim_key").agg(F.sort_array(F.collect_list(e)).alias("es"))
     d = claims.join(lists, "claim_key", "left")
-    evidence = F.coalesce(F.transform("es", lambda x: x["e"]), F.array().cast(T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("source_id", "support_level", "relation", "authority", "freshness")] + [T.StructField("locator", T.StructType([T.StructField("page", T.IntegerType())]))]))))
+    evidence = F.coalesce(F.transform("es", lambda x: x["e"]), F.array().cast(T.ArrayType(EVIDENCE)))
     text = F.col("claim_text") if "claim_text" in claims.columns else F.concat(F.lit("claim "), F.col("claim_key").cast("string"))
-    status = F.col("evidence_status") if "evidence_status" in claims.columns else none
-    c = F.struct("claim_key", F.struct("claim_id", "claim_class", "risk", text.alias("claim_text"), evidence.alias("evidence"), status.alias("evidence_status")).alias("c"))
+    more = [nonblank(F.col(x) if x in claims.columns else F.lit(None).cast("string")).alias(x) for x in ("evidence_status", "verdict", "confidence", "interpretation")]
+    c = F.struct("claim_key", F.struct("claim_id", "claim_class", "risk", text.alias("claim_text"), evidence.alias("evidence"), *more).alias("c"))
     cases = d.groupBy("case_key").agg(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["c"]).alias("claims"))
     head = [F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(review_kind).alias("review_kind"), F.lit(mode).alias("verification_mode"), F.lit(finalized_at).alias("finalized_at")]
     return cases.select("case_key", F.to_json(F.struct(*head, "claims")).alias("manifest"))
@@ -235,7 +236,7 @@ def provenance(claims: DataFrame, edges: DataFrame, sources: DataFrame, reviews:
         raise ValueError("a manifest violates the contract")
     return {
         "claims": manifests.select("case_key", F.col("manifest").alias("json")),
-        "evidence": edges.groupBy("claim_key").agg(F.to_json(F.sort_array(F.collect_list(F.struct("source_key", "support_level", "relation")))).alias("json")),
+        "evidence": edges.groupBy("claim_key").agg(F.to_json(F.sort_array(F.collect_list(F.struct(id_of(edges).alias("source_id"), "support_level", "relation", F.struct(*[x.alias(n) for n, x in place_of(edges).items()]).alias("locator"))))).alias("json")),
         "source-map": sources.select(F.to_json(F.struct("source_id", "title", "url")).alias("json")),
         "review": verdicts(reviews).select(F.to_json(F.struct("file", "stage", "verdict")).alias("json")),
     }

@@ -44,11 +44,16 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge for each claim and source: the last line wins, as the last value of a repeated key does."""
+    """One edge for each claim and source: the last line wins, as the last value of a repeated key does.
+
+    Every seventeenth key is that of a gap, no source's; places are pages, for fifth lines sections, or none.
+    """
     last = F.max(F.struct("l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")).alias("e")
-    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim_key"), F.col("l_partkey").alias("source_key")).agg(last)
+    gap, key = F.col("l_partkey") % 17 == 0, F.col("l_partkey")
+    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim_key"), F.when(gap, -key).otherwise(key).alias("source_key"), F.concat(F.when(gap, "G").otherwise("S"), key.cast("string")).alias("source_id")).agg(last)
     level = lookup(F.concat("e.l_returnflag", "e.l_linestatus"), LEVEL_BY_FLAGS, None)
-    edges = edges.select("claim_key", "source_key", level.alias("support_level"), F.when(F.col("e.l_linenumber") % 2 == 0, F.col("e.l_quantity").cast("int")).alias("page"), F.col("e.l_linenumber").alias("line"))
+    section = F.when(F.col("e.l_linenumber") == 5, F.concat(F.lit("sec. "), F.col("e.l_quantity").cast("int").cast("string")))
+    edges = edges.select("claim_key", "source_key", "source_id", section.alias("section"), level.alias("support_level"), F.when(F.col("e.l_linenumber") % 2 == 0, F.col("e.l_quantity").cast("int")).alias("page"), F.col("e.l_linenumber").alias("line"))
     return edges.withColumn("relation", relation_of(F.col("support_level")))
 
 
@@ -78,7 +83,8 @@ SOURCES_SQL = """sources AS (
     CASE WHEN p_partkey % 11 <> 0 THEN 'https://host' || (p_partkey % 97) || '.org/' || p_size END AS url
   FROM part WHERE p_partkey % 13 <> 0)"""
 EVIDENCE_SQL = """evidence AS (
-  SELECT l_orderkey AS claim_key, l_partkey AS source_key, l_linenumber AS line,
+  SELECT l_orderkey AS claim_key, CASE WHEN l_partkey % 17 = 0 THEN -l_partkey ELSE l_partkey END AS source_key, CASE WHEN l_partkey % 17 = 0 THEN 'G' ELSE 'S' END || l_partkey AS source_id, l_linenumber AS line,
+    CASE WHEN l_linenumber = 5 THEN 'sec. ' || l_quantity::INT END AS section, l_linenumber = 5 OR (l_linenumber % 2 = 0 AND l_quantity::INT <> 0) AS located,
     CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'direct' WHEN 'AO' THEN 'strong_inference' WHEN 'NF' THEN 'weak_inference' WHEN 'NO' THEN 'context_only' WHEN 'RF' THEN 'contradictory' ELSE 'unsupported' END AS support_level,
     CASE l_returnflag || l_linestatus WHEN 'NO' THEN 'context_only' WHEN 'RF' THEN 'contradicts' ELSE 'supports' END AS relation,
     CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::INT END AS page

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from attesta.functions.evidence import lookup
 from attesta.operators import brief as op
+from attesta.operators import claims as claims_op
 from attesta.plans import bindings as b
 from attesta.plans.bindings import EVIDENCE_SQL
 from attesta.plans.claim_queries import _SQL, STATISTICS_SQL, _graph
 from attesta.plans.registry import query
 
-_LABEL = "'S' || source_key || '/' || coalesce(authority, '?') || '/' || coalesce(freshness, '?') || '/' || CASE support_level WHEN 'contradictory' THEN 'contradicts' WHEN 'context_only' THEN 'context_only' WHEN 'unsupported' THEN 'unsupported' ELSE 'supports' END || '/' || support_level || CASE WHEN coalesce(page, 0) <> 0 THEN ' @page=' || page ELSE '' END"
+_LABEL = "e.source_id || '/' || coalesce(authority, '?') || '/' || coalesce(freshness, '?') || '/' || CASE support_level WHEN 'contradictory' THEN 'contradicts' WHEN 'context_only' THEN 'context_only' WHEN 'unsupported' THEN 'unsupported' ELSE 'supports' END || '/' || support_level || CASE WHEN located THEN ' @' || concat_ws(',', 'page=' || nullif(page, 0), 'section=' || section) ELSE '' END"
 _MARK = "CASE WHEN n_against > n_support - n_context THEN '−' WHEN n_support > n_context AND n_against = 0 THEN '+' WHEN n_support > n_context AND n_against > 0 THEN '±' WHEN n_context > 0 THEN '=' ELSE '?' END"
 _LINES = f"""{STATISTICS_SQL}, lines AS (SELECT claim_key, case_key, claim_id, '| ' || claim_id || ' | ' || claim_class || ' | ' || risk || ' | ' || (n_support - n_context) || ' | ' || n_against || ' | ' || {_MARK} || ' | ' || printf('%.1f', score) || '/' || grade || ' |' AS line FROM graded),
-labels AS (SELECT claim_key, source_key, support_level, {_LABEL} AS label FROM evidence LEFT JOIN sources USING (source_key)),
+labels AS (SELECT claim_key, source_key, support_level, {_LABEL} AS label FROM evidence e LEFT JOIN sources USING (source_key)),
 lists AS (SELECT claim_key, coalesce(string_agg(CASE WHEN support_level NOT IN ('contradictory', 'context_only') THEN label END, '；' ORDER BY source_key), '') AS support,
   coalesce(string_agg(CASE WHEN support_level = 'contradictory' THEN label END, '；' ORDER BY source_key), '') AS against, coalesce(string_agg(CASE WHEN support_level = 'context_only' THEN label END, '；' ORDER BY source_key), '') AS context FROM labels GROUP BY claim_key)"""
 
@@ -151,12 +152,12 @@ def a2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.levels_by_claim(b.evidence(spark, sf_dir))
 
 
-@query("f21_source_ids", "SELECT l_orderkey, count(DISTINCT l_partkey) FILTER (l_partkey % 10 <> 0) AS sources FROM lineitem GROUP BY l_orderkey")
+@query("f21_source_ids", "SELECT 'C-' || l_orderkey AS claim_id, count(DISTINCT l_partkey) FILTER (l_partkey % 17 <> 0) AS sources FROM lineitem GROUP BY l_orderkey")
 def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that aren't source ids count for nothing."""
-    key = F.concat(F.when(F.col("l_partkey") % 10 == 0, "X").otherwise("S"), F.col("l_partkey").cast("string"))
-    l = b.table(spark, sf_dir, "lineitem").select("l_orderkey", key.alias("sid"))
-    return l.groupBy("l_orderkey").agg(F.count_distinct(F.when(F.startswith("sid", F.lit("S")), F.col("sid"))).alias("sources"))
+    claims, sources, evidence = _graph(spark, sf_dir)
+    d = claims_op.claim_statistics(claims, claims_op.edges_with_sources(evidence, sources))
+    return d.where(F.col("n_support") + F.col("n_against") > 0).select("claim_id", F.col("independent").alias("sources"))
 
 
 @query("f26_pdf_magic", "SELECT page_id, page_id % 2 = 0 AS is_pdf FROM pages")

@@ -14,12 +14,12 @@ from attesta.plans.registry import query
 _POINTS = """CASE authority WHEN 'A1' THEN 10 WHEN 'A2' THEN 9 WHEN 'A3' THEN 8 WHEN 'B1' THEN 7 WHEN 'B2' THEN 6 WHEN 'C1' THEN 5 WHEN 'C2' THEN 4 WHEN 'D1' THEN 3 WHEN 'D2' THEN 2 ELSE 4 END"""
 _PRIMARY = "coalesce(s.authority IN ('A1','A2','A3','B1','B2'), false)"
 STATISTICS_SQL = f"""{GRAPH_SQL}, sums AS (
-  SELECT claim_key, count(*) AS independent, count(*) FILTER ({_PRIMARY}) AS primary_sources, bool_or({_PRIMARY} AND freshness = 'current') AS current_primary,
+  SELECT claim_key, count(*) FILTER (e.source_id LIKE 'S%') AS independent, count(*) FILTER ({_PRIMARY}) AS primary_sources, bool_or({_PRIMARY} AND freshness = 'current') AS current_primary,
     count(*) FILTER (relation <> 'contradicts') AS n_support, count(*) FILTER (relation = 'contradicts') AS n_against, count(*) FILTER (relation = 'context_only') AS n_context,
     sum(CASE WHEN relation <> 'contradicts' THEN {_POINTS} ELSE 0 END) AS t_authority,
     sum(CASE WHEN relation <> 'contradicts' THEN CASE support_level WHEN 'direct' THEN 10 WHEN 'strong_inference' THEN 8 WHEN 'weak_inference' THEN 5 ELSE 3 END ELSE 0 END) AS t_level,
     sum(CASE WHEN relation <> 'contradicts' THEN CASE freshness WHEN 'current' THEN 10 WHEN 'recent' THEN 7 WHEN 'historical' THEN 4 WHEN 'superseded' THEN 1 ELSE 3 END ELSE 0 END) AS t_freshness,
-    count(*) FILTER (relation <> 'contradicts' AND (coalesce(page, 0) <> 0 OR url IS NOT NULL)) AS n_traceable, count(*) FILTER (relation <> 'contradicts' AND coalesce(page, 0) <> 0) AS n_located
+    count(*) FILTER (relation <> 'contradicts' AND (located OR url IS NOT NULL)) AS n_traceable, count(*) FILTER (relation <> 'contradicts' AND located) AS n_located
   FROM evidence e LEFT JOIN sources s USING (source_key) GROUP BY claim_key
 ), stats AS (
   SELECT c.*, coalesce(independent, 0) AS independent, coalesce(primary_sources, 0) AS primary_sources, coalesce(current_primary, false) AS current_primary, coalesce(n_support, 0) AS n_support,
@@ -108,8 +108,8 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AUDIT = f"""{CLAIMS_SQL}, {EVIDENCE_SQL}, audited AS (
-  SELECT claim_id, risk IN ('R3', 'R4') OR claim_class = 'N' AS high_risk, count(e.source_key) AS n_support, count(e.source_key) FILTER (coalesce(page, 0) = 0) AS n_lost,
-    coalesce(string_agg(CASE WHEN coalesce(page, 0) = 0 THEN e.source_key::VARCHAR END, ',' ORDER BY e.source_key), '') AS lost
+  SELECT claim_id, risk IN ('R3', 'R4') OR claim_class = 'N' AS high_risk, count(e.source_key) AS n_support, count(e.source_key) FILTER (NOT located) AS n_lost,
+    coalesce(string_agg(CASE WHEN NOT located THEN e.source_key::VARCHAR END, ',' ORDER BY e.source_key), '') AS lost
   FROM claims c LEFT JOIN (SELECT * FROM evidence WHERE relation <> 'contradicts') e USING (claim_key) GROUP BY ALL)"""
 
 
@@ -131,12 +131,12 @@ def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.claims(spark, sf_dir).where(op.high_risk()).select("claim_id")
 
 
-@query("f17_locator", f"WITH {EVIDENCE_SQL} SELECT claim_key, source_key, coalesce(page, 0) <> 0 AS located FROM evidence")
+@query("f17_locator", f"WITH {EVIDENCE_SQL} SELECT claim_key, source_key, located FROM evidence")
 def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attesta.functions.evidence import has_locator
+    from attesta.functions.evidence import located
 
-    none = F.lit(None)
-    return b.evidence(spark, sf_dir).select("claim_key", "source_key", has_locator(F.col("page"), none.cast("string"), none.cast("int"), none.cast("string")).alias("located"))
+    e = b.evidence(spark, sf_dir)
+    return e.select("claim_key", "source_key", located(e).alias("located"))
 
 
 @query("j1_edge_source_left", f"WITH {GRAPH_SQL} SELECT claim_key, source_key, coalesce(authority, '') AS authority, coalesce(freshness, '') AS freshness, coalesce(url, '') AS url, s.source_id IS NOT NULL AS known FROM evidence LEFT JOIN sources s USING (source_key)")
@@ -209,23 +209,21 @@ def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(a, "claim_id").withColumn("released", F.col("sufficient") & F.col("auditable"))
 
 
-@query("p15_edges", f"WITH {EVIDENCE_SQL} SELECT 'C-' || claim_key AS claim_id, 'S' || source_key AS source_id, support_level, relation, page, row_number() OVER (PARTITION BY claim_key ORDER BY source_key) - 1 AS pos FROM evidence")
+@query("p15_edges", f"WITH {EVIDENCE_SQL} SELECT 'C-' || claim_key AS claim_id, source_id, support_level, relation, page, section, row_number() OVER (PARTITION BY claim_key ORDER BY source_key) - 1 AS pos FROM evidence")
 def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of a map by source, taken apart again: what the map reader does for every claim."""
-    entry = F.struct("source_key", "support_level", "page")
+    entry = F.struct("source_key", "source_id", "support_level", "page", "section")
     maps = b.evidence(spark, sf_dir).groupBy("claim_key").agg(F.sort_array(F.collect_list(entry)).alias("m"))
-    maps = maps.select("claim_key", F.map_from_arrays(F.transform("m", lambda x: F.concat(F.lit("S"), x["source_key"].cast("string"))), F.transform("m", lambda x: F.struct(x["support_level"], x["page"]))).alias("levels"))
+    maps = maps.select("claim_key", F.map_from_arrays(F.transform("m", lambda x: x["source_id"]), F.transform("m", lambda x: F.struct(x["support_level"], x["page"], x["section"]))).alias("levels"))
     e = maps.select("claim_key", F.posexplode(F.map_entries("levels")).alias("pos", "e"))
     from attesta.functions.evidence import relation_of
 
-    return e.select(F.concat(F.lit("C-"), F.col("claim_key").cast("string")).alias("claim_id"), F.col("e.key").alias("source_id"), F.col("e.value.support_level").alias("support_level"), relation_of(F.col("e.value.support_level")).alias("relation"), F.col("e.value.page").alias("page"), F.col("pos").cast("long").alias("pos"))
+    return e.select(F.concat(F.lit("C-"), F.col("claim_key").cast("string")).alias("claim_id"), F.col("e.key").alias("source_id"), F.col("e.value.support_level").alias("support_level"), relation_of(F.col("e.value.support_level")).alias("relation"), F.col("e.value.page").alias("page"), F.col("e.value.section").alias("section"), F.col("pos").cast("long").alias("pos"))
 
 
-@query("p16_claims_by_source", f"""WITH {EVIDENCE_SQL} SELECT 'S' || source_key AS source_id, count(*) AS n, string_agg('C-' || claim_key || ':' || support_level, ',' ORDER BY claim_key) AS claims FROM evidence GROUP BY source_key""")
+@query("p16_claims_by_source", f"""WITH {EVIDENCE_SQL} SELECT source_id, count(*) AS n, string_agg('C-' || claim_key || ':' || support_level, ',' ORDER BY claim_key) AS claims FROM evidence GROUP BY source_id""")
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.evidence(spark, sf_dir).groupBy("source_key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("claim_key", "support_level"))).alias("c"))
-    claims = F.array_join(F.transform("c", lambda x: F.concat(F.lit("C-"), x["claim_key"].cast("string"), F.lit(":"), x["support_level"])), ",")
-    return e.select(F.concat(F.lit("S"), F.col("source_key").cast("string")).alias("source_id"), "n", claims.alias("claims"))
+    return op.claims_by_source(b.evidence(spark, sf_dir)).select("source_id", "n", F.array_join(F.transform("claims", lambda x: F.concat(F.lit("C-"), x["claim_key"].cast("string"), F.lit(":"), x["support_level"])), ",").alias("claims"))
 
 
 @query("p11_claim_ids", "SELECT o_custkey AS case_key, o_orderkey AS claim_key, 'C-' || lpad((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::VARCHAR, 3, '0') AS claim_id FROM orders")

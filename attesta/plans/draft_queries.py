@@ -39,7 +39,7 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.orphaned(b.drafts(spark, sf_dir))
 
 
-@query("j4_unused", "SELECT DISTINCT l_orderkey AS doc_id, (l_orderkey % 2000)::VARCHAR AS ref FROM lineitem WHERE (l_orderkey, l_orderkey % 2000) NOT IN (SELECT (l_orderkey, l_partkey) FROM lineitem)")
+@query("j4_unused", "SELECT d.doc_id, (d.doc_id % 2000)::VARCHAR AS ref FROM (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem) d ANTI JOIN lineitem l ON l.l_orderkey = d.doc_id AND l.l_partkey = d.doc_id % 2000")
 def j4_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.unused(b.drafts(spark, sf_dir))
 
@@ -83,9 +83,9 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows("appendix").join(rows("body"), ["doc_id", "gap"], "left_semi")
 
 
-_NUMBERS = """ord AS (SELECT doc_id, s AS key, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS pos FROM one WHERE s % 7 <> 0),
-keys AS (SELECT doc_id, key, pos FROM ord UNION ALL SELECT DISTINCT o.doc_id, o.doc_id % 2000, 1000000 FROM one o WHERE (o.doc_id, o.doc_id % 2000) NOT IN (SELECT (doc_id, key) FROM ord)),
-numbers AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM keys)"""
+_NUMBERS = """ord AS MATERIALIZED (SELECT doc_id, s AS key, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS pos FROM one WHERE s % 7 <> 0),
+keys AS (SELECT doc_id, key, pos FROM ord UNION ALL SELECT d.doc_id, d.doc_id % 2000, 1000000 FROM (SELECT DISTINCT doc_id FROM one) d ANTI JOIN ord o ON o.doc_id = d.doc_id AND o.key = d.doc_id % 2000),
+numbers AS MATERIALIZED (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM keys)"""
 
 
 @query("w2_number_map", f"WITH {DRAFTS_SQL}, {_NUMBERS} SELECT doc_id, key::VARCHAR AS key, n FROM numbers")
@@ -100,7 +100,7 @@ _FINAL = f"""{DRAFTS_SQL}, {_NUMBERS}, bodies AS (
     string_agg(CASE WHEN s % 20 = 0 THEN chr(10) || o.n || '. gap of ' || s ELSE '' END, '' ORDER BY s) AS gaps,
     string_agg(CASE WHEN s % 7 <> 0 THEN '[' || n.n || '] Title ' || s || CASE WHEN s % 11 <> 0 THEN '. https://x.org/' || (s % 50) ELSE '.' END || chr(10) ELSE '' END, '' ORDER BY s) AS refs
   FROM one o LEFT JOIN numbers n ON n.doc_id = o.doc_id AND n.key = o.s GROUP BY o.doc_id
-), finals AS (
+), finals AS MATERIALIZED (
   SELECT b.doc_id, body || CASE WHEN gaps <> '' THEN chr(10) || chr(10) || '## 研究局限' || chr(10) || chr(10) || '本文基于已审计公开来源展开，以下方面因证据可得性与范围限制未予充分展开，有待后续工作补充：' || chr(10) || gaps ELSE '' END
     || chr(10) || chr(10) || '## 参考文献' || chr(10) || refs || '[' || x.n || '] Extra. https://x.org/extra' || chr(10) AS final, refs || '[' || x.n || '] Extra. https://x.org/extra' AS ref_lines, body
   FROM bodies b JOIN numbers x ON x.doc_id = b.doc_id AND x.key = b.doc_id % 2000)"""

@@ -22,18 +22,18 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.claim_manifests(b.claims(spark, sf_dir), edges, _DAY)
 
 
-@query("p17_claim_manifest", f"""WITH {GRAPH_SQL} SELECT case_key, claim_id, claim_class, risk, 'S' || source_key AS source_id, support_level, relation, authority, freshness, CASE WHEN page <> 0 THEN page END AS page
-  FROM claims LEFT JOIN evidence USING (claim_key) LEFT JOIN sources USING (source_key)""")
+@query("p17_claim_manifest", f"""WITH {GRAPH_SQL} SELECT case_key, claim_id, claim_class, risk, e.source_id, support_level, relation, authority, freshness, page, section
+  FROM claims LEFT JOIN evidence e USING (claim_key) LEFT JOIN sources USING (source_key)""")
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests as JSON, read back."""
     d = _manifests(spark, sf_dir).select("case_key", F.explode(F.from_json("manifest", op.MANIFEST)["claims"]).alias("c"))
     e = d.select("case_key", "c.*", F.explode_outer("c.evidence").alias("e"))
-    return e.select("case_key", "claim_id", "claim_class", "risk", "e.source_id", "e.support_level", "e.relation", "e.authority", "e.freshness", F.col("e.locator.page").alias("page"))
+    return e.select("case_key", "claim_id", "claim_class", "risk", "e.source_id", "e.support_level", "e.relation", "e.authority", "e.freshness", F.col("e.locator.page").alias("page"), F.col("e.locator.section").alias("section"))
 
 
-@query("g14_provenance_problems", "SELECT 0 AS problems")
+@query("g14_provenance_problems", f"WITH {CLAIMS_SQL}, {EVIDENCE_SQL} SELECT count(*) AS problems FROM evidence JOIN claims USING (claim_key) WHERE source_id LIKE 'G%'")
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is assembled keeps the contract."""
+    """What is assembled keeps the contract, but for evidence that isn't a source's."""
     d = _manifests(spark, sf_dir).select(F.col("case_key").alias("doc_id"), F.col("manifest").alias("json"))
     return op.contract_problems(d).agg(F.count("*").alias("problems"))
 
@@ -56,7 +56,7 @@ def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.evidence(spark, sf_dir)
     level = F.when(F.col("source_key") % 19 == 0, "bogus").otherwise(F.col("support_level"))
     place = F.when(F.col("line") == 3, ',"locator":{"page":"x"}').when(F.col("line") == 5, ',"locator":{"foo":1,"locator_quality":"low"}').when(F.col("line") == 7, ',"locator":"p. 3"').otherwise(',"locator":{"page":4,"quote_hash":null}')
-    edge = F.concat(F.lit("{"), q("source_id", F.concat(F.when(F.col("source_key") % 29 == 0, "X").otherwise("S"), text("source_key"))), F.lit(","), q("support_level", level), F.when(F.col("source_key") % 37 == 0, ',"relation":"rejects"').otherwise(',"relation":null'), place, F.lit("}"))
+    edge = F.concat(F.lit("{"), q("source_id", F.concat(F.when(F.col("source_key") % 29 == 0, "X").otherwise("S"), F.abs("source_key").cast("string"))), F.lit(","), q("support_level", level), F.when(F.col("source_key") % 37 == 0, ',"relation":"rejects"').otherwise(',"relation":null'), place, F.lit("}"))
     lists = e.groupBy("claim_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_key", edge.alias("t")))), lambda x: x["t"]), ",").alias("es"))
     c = b.claims(spark, sf_dir).join(lists, "claim_key", "left")
     key = F.col("claim_key")
@@ -128,7 +128,7 @@ def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("m.schema_version").alias("version"), F.col("shared").alias("context_shared"), n("supports"), n("contradicts"), n("context_only"), (F.col("again") == F.col("json")).alias("idempotent"))
 
 
-@query("j13_migration_changes", f"WITH {CLAIMS_SQL}, {EVIDENCE_SQL} SELECT case_key AS doc_id, 'S' || source_key AS source_id, relation FROM claims JOIN evidence USING (claim_key)")
+@query("j13_migration_changes", f"WITH {CLAIMS_SQL}, {EVIDENCE_SQL} SELECT case_key AS doc_id, source_id, relation FROM claims JOIN evidence USING (claim_key)")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = _legacy(spark, sf_dir)
     return op.migration_changes(before, before.withColumn("json", op.migrated("json"))).select("doc_id", "source_id", "relation")

@@ -35,19 +35,18 @@ def evidence_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def claims_and_edges(maps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The claims and edges of the model from an evidence map; sources keep their ids as keys."""
+    """The claims and edges of the model from an evidence map; sources keep their ids as keys, edges their locators as recorded."""
     from attesta.functions.evidence import coverage
 
     c = F.col
     covered = coverage(c("counter_evidence.evidence_against"), c("counter_evidence.unknown"), [c("counter_evidence_search"), c("counter_search")], c("reconciliation.contradiction_summary"), c("reconciliation.rationale"))
     key = F.concat_ws("#", "file", "claim_id")
     mode = F.lower(F.trim(F.coalesce("verification_mode", F.lit(""))))
-    claims = maps.select(key.alias("claim_key"), "claim_id", F.coalesce(F.trim("risk"), F.lit("R1")).alias("risk"), F.trim(F.coalesce("claim_class", F.lit(""))).alias("claim_class"), mode.alias("verification_mode"), F.coalesce(covered, F.lit(False)).alias("covered"), F.col("file").alias("case_key"), F.substring(F.trim(F.coalesce("claim_to_write", F.lit(""))), 1, 80).alias("claim_text"), "evidence_status")
+    verdict = filled(c("evidence_status"), c("reconciliation.verdict"))
+    claims = maps.select(key.alias("claim_key"), "claim_id", F.coalesce(F.trim("risk"), F.lit("R1")).alias("risk"), F.trim(F.coalesce("claim_class", F.lit(""))).alias("claim_class"), mode.alias("verification_mode"), F.coalesce(covered, F.lit(False)).alias("covered"), F.col("file").alias("case_key"), F.trim(F.coalesce("claim_to_write", F.lit(""))).alias("claim_text"), "evidence_status", verdict.alias("verdict"), "confidence", "interpretation")
     e = maps.select(key.alias("claim_key"), F.explode("source_support_levels").alias("source_key", "support_level"), F.col("source_relations").alias("r"), F.col("source_locators").alias("l"))
     place = F.col("l")[F.col("source_key")]
-    # Any place will do where a page is asked for: a section or a quote counts as page 1.
-    page = F.when(F.coalesce(place["page"], F.lit(0)) != 0, place["page"]).when((F.coalesce(place["section"], F.lit("")) != "") | (F.coalesce(place["paragraph"], F.lit(0)) != 0) | (F.coalesce(place["quote_hash"], F.lit("")) != ""), F.lit(1))
-    return claims, e.select("claim_key", "source_key", "support_level", relation_of(F.col("support_level"), F.col("r")[F.col("source_key")]).alias("relation"), page.alias("page"))
+    return claims, e.select("claim_key", "source_key", F.col("source_key").alias("source_id"), "support_level", relation_of(F.col("support_level"), F.col("r")[F.col("source_key")]).alias("relation"), *[place[x].alias(x) for x in k.LOCATOR_KEYS])
 
 
 def corpus_sources(rows: DataFrame) -> DataFrame:

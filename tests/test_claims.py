@@ -91,5 +91,24 @@ def test_manifest_round_trip(spark, graph):
     body = json.loads(m.first()["manifest"])
     assert [c["claim_id"] for c in body["claims"]] == ["C-001", "C-002"]
     assert "confidence" not in body["claims"][0]
-    bad = manifests.contract_problems(m.select(F.lit("d").alias("doc_id"), F.regexp_replace("manifest", '"SS', '"S').alias("json")))
-    assert bad.count() == 0
+    assert manifests.contract_problems(m.select(F.lit("d").alias("doc_id"), F.col("manifest").alias("json"))).count() == 0
+    assert [[(e["source_id"], e["locator"]) for e in c["evidence"]] for c in body["claims"]] == [[("S1", {"page": 3}), ("S3", {"section": "2.1"})], [("S2", {"page": 1}), ("S3", {"page": 2})]]
+
+
+def test_manifest_states_what_was_recorded(spark, graph):
+    claim = {"claim_to_write": "long " * 60, "claim_class": "M", "risk": "R2", "confidence": "high", "interpretation": " as written ", "reconciliation": {"verdict": "supported"}, "source_support_levels": {"S1": "direct"}, "source_locators": {"S1": {"section": "4", "quote_hash": "ab"}}}
+    claims, sources, evidence = graph([claim])
+    got = json.loads(manifests.claim_manifests(claims, op.edges_with_sources(evidence, sources), "2026-08-02").first()["manifest"])["claims"][0]
+    assert got["claim_text"] == ("long " * 60).strip() and (got["verdict"], got["confidence"], got["interpretation"]) == ("supported", "high", "as written")
+    assert got["evidence"][0]["locator"] == {"section": "4", "quote_hash": "ab"} and "evidence_status" not in got
+
+
+def test_only_source_ids_are_independent(graph):
+    got = rows(op.sufficiency(*graph([{"claim_class": "E", "risk": "R1", "source_support_levels": {"G1": "direct"}}])))
+    assert (got["C-001"]["passed"], got["C-001"]["independent"], got["C-001"]["reasons"]) == (False, 0, "independent")
+
+
+def test_any_field_of_a_locator_makes_a_source_traceable(graph):
+    claim = {"claim_class": "E", "risk": "R1", "source_support_levels": {"S9": "direct"}}
+    plain = rows(op.sufficiency(*graph([claim])))["C-001"]["score"]
+    assert rows(op.sufficiency(*graph([claim | {"source_locators": {"S9": {"quote_hash": "ab"}}}])))["C-001"]["score"] == plain + 15
