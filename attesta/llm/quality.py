@@ -150,26 +150,33 @@ def _distance(d: DataFrame) -> DataFrame:
     return d.withColumn(f"{c.OWN}d2", total).drop(*_FACTORS)
 
 
-def _nearest(d: DataFrame) -> DataFrame:
-    """The rows of each group in the bins that hold its nearest H_SHARE."""
-    d = d.withColumn("bin", F.floor(F.log(F.greatest(F.col(f"{c.OWN}d2"), F.lit(1e-6))) * DISTANCE_BINS).cast("int"))
-    bins = d.groupBy(GROUP, "bin").agg(F.count("*").alias("n"))
+def _last_bins(d: DataFrame) -> DataFrame:
+    """(GROUP, last): the last of the bins of distance that hold a group's nearest H_SHARE."""
+    bins = d.groupBy(GROUP, _bin().alias("bin")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(GROUP)
     bins = bins.withColumns({"to": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    last = bins.where(F.col("to") >= F.ceil(F.col("all") * H_SHARE)).groupBy(GROUP).agg(F.min("bin").alias("last"))
-    return d.join(last, GROUP).where(F.col("bin") <= F.col("last"))
+    return bins.where(F.col("to") >= F.ceil(F.col("all") * H_SHARE)).groupBy(GROUP).agg(F.min("bin").alias("last"))
+
+
+def _bin() -> Column:
+    return F.floor(F.log(F.greatest(F.col(f"{c.OWN}d2"), F.lit(1e-6))) * DISTANCE_BINS).cast("int")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Robust location and scatter of `rows` (GROUP, FEATURES) by group: _FACTORS, and n rows."""
+    """Robust location and scatter of `rows` (GROUP, FEATURES) by group: _FACTORS, and n rows.
+
+    Rows meet written tables of one row a group only, which Spark broadcasts while they are small: a hot group stays where it is.
+    """
     start = c.written(_quartiles(rows), "mcd-quartiles")
     q = lambda i, k: F.col("q")[i][f"q{k}"]
     stats = start.select(GROUP, *[q(i, 1).alias(_m(i)) for i in range(_D)], *[(F.pow((q(i, 2) - q(i, 0)) / 1.349, F.lit(2)) + FLOORS[i] if i == j else F.lit(0.0)).alias(_s(i, j)) for i, j in _LOWER])
     stats = c.written(_inverted(stats), "mcd-0")
     for step in range(STEPS):
-        near = _nearest(_distance(rows.join(stats, GROUP)))
+        placed = _distance(rows.join(stats, GROUP))
+        last = c.written(_last_bins(placed), "mcd-last")
+        near = placed.join(last, GROUP).where(_bin() <= F.col("last"))
         old, stats = stats, c.written(_inverted(_moments(near, FACTOR_H)), f"mcd-{step + 1}")
-        c.drop_written(old)
+        c.drop_written(old, last)
     near = _distance(rows.join(stats, GROUP)).where(F.col(f"{c.OWN}d2") <= CHI_W)
     out = c.written(_inverted(_moments(near, FACTOR_W)).join(start.select(GROUP, "n"), GROUP), "mcd")
     c.drop_written(start, stats)
