@@ -63,6 +63,18 @@ SOURCE_RANKS = {
 }
 DEFAULT_PRIORITY = 50
 
+# Categories of the registry that each topic domain searches; none: all.
+ROUTING = {
+    "nuclear": ("international_regulator", "international_industry", "industry_technical", "nuclear_data", "china_regulator", "china_standard", "technical_report_library", "international_standard", "scholarly_index"),
+    "materials": ("materials_data", "materials_engineering_data", "materials_scientific_database", "international_standard", "china_standard", "nuclear_data", "technical_report_library", "cross_technical_report_library", "scholarly_index"),
+    "energy": ("energy_international", "energy_data", "government_agency", "national_lab", "china_regulator", "china_technical", "industry_technical"),
+    "education": ("education_statistics", "education_research", "china_regulator", "scholarly_index"),
+    "ai": ("ai_research", "ai_index", "ai_policy", "ai_standard", "ai_china_standard", "china_technical", "scholarly_index"),
+    "funding": ("china_funding_repository", "china_tech_report_system", "cross_technical_report_library", "scholarly_index"),
+    "engineering": ("international_standard", "china_standard", "technical_report_library", "cross_technical_report_library", "materials_engineering_data", "china_funding_repository"),
+    "general": (),
+}
+
 # Access status by download status.
 ACCESS_BY_DOWNLOAD = {"downloaded": "confirmed", "exists": "confirmed", "not_pdf": "web_accessible", "failed": "unavailable"}
 

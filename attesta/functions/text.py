@@ -69,3 +69,13 @@ def line_range(text: Column, start: Column, stop: Column) -> Column:
 def width(text: Column) -> Column:
     """Columns a label takes: ideographs take two."""
     return F.length(text) + count(text, CJK)
+
+
+def html_section(html: Column, keyword: str) -> Column:
+    """P5: from the first second-level heading whose text has the keyword to the next one of that level; null without such a heading.
+
+    The page is split before each heading. A heading's text is what stands between its tags, without other tags.
+    """
+    parts = F.split(html, r"(?=<h2[^>]*>)", -1)
+    heading = lambda p: F.regexp_replace(F.regexp_extract(p, r"(?s)^<h2[^>]*>(.*?)</h2>", 1), r"<[^>]+>", "")
+    return F.get(F.filter(parts, lambda p: F.contains(heading(p), F.lit(keyword))), F.lit(0))

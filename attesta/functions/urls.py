@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attesta import contracts as k
 
@@ -57,44 +56,60 @@ def blocked_host(host: Column) -> Column:
 PRIVATE_V4 = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` the value, which is computed once, however often `of` reads it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def private_v4(host: Column) -> Column:
     """Whether a host that is an IPv4 address isn't public; null for other hosts."""
     parts = F.split(host, r"\.")
     octet = lambda i: F.expr("null").cast("long") if i < 0 else F.get(parts, F.lit(i)).try_cast("long")
     number = octet(0) * (1 << 24) + octet(1) * (1 << 16) + octet(2) * (1 << 8) + octet(3)
-    hit = F.lit(False)
-    for net in map(ipaddress.ip_network, PRIVATE_V4):
-        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
+
+    def within(n: Column) -> Column:
+        hit = F.lit(False)
+        for net in map(ipaddress.ip_network, PRIVATE_V4):
+            hit = hit | n.between(int(net.network_address), int(net.broadcast_address))
+        return hit
+
+    hit = _bound(number, within)
     return F.when(host.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"), hit)
 
 
-@F.pandas_udf(T.BooleanType())
-def private_v6(hosts: pd.Series) -> pd.Series:
-    """The same for IPv6, in brackets or not: rare enough for Python."""
+def private_ip(host: Column) -> Column:
+    """whether an address, IPv4 or IPv6 (in brackets or not), isn't public; null for names.
 
-    def judge(host: str | None) -> bool | None:
-        try:
-            ip = ipaddress.IPv6Address((host or "").strip("[]"))
-        except ValueError:
-            return None
-        ip = ip.ipv4_mapped or ip
-        return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified
+    Of IPv6 only 2000::/3 is public, but for its networks of special use; an IPv4 address within one is judged by itself.
+    """
+    return _bound(F.lower(F.regexp_replace(host, r"^\[|\]$", "")), _private_ip)
 
-    return hosts.map(judge).astype("object")
 
+def _private_ip(bare: Column) -> Column:
+    hextet = lambda i: F.coalesce(F.conv(F.nullif(F.get(F.split(bare, ":"), F.lit(i)), F.lit("")), 16, 10).cast("int"), F.lit(0))
+    first, second = hextet(0), hextet(1)
+    special = ((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) | ((first == 0x3FFF) & (second < 0x1000))
+    v6 = F.when(bare.contains("."), F.coalesce(private_v4(F.regexp_extract(bare, r"([0-9.]+)$", 1)), F.lit(True))).otherwise((first < 0x2000) | (first > 0x3FFF) | special)
+    return F.when(bare.rlike(r"^[0-9a-f]*:[0-9a-f:]*([0-9.]+)?$"), v6).otherwise(private_v4(bare))
 
-def policy(url: Column, suffixes: tuple[str, ...] = k.SUSPECT_SUFFIXES) -> Column:
-    """Why a URL must not be fetched, else null. Cheap reasons come first; names are not resolved."""
-    host = host_of(url)
-    return (
+
+def policy(url: Column, suffixes: tuple[str, ...] = k.SUSPECT_SUFFIXES, answers: Column | None = None) -> Column:
+    """Why a URL must not be fetched, else null. Cheap reasons come first. Names are not resolved here: `answers` may have the addresses that a name was resolved to, of which any that isn't public counts."""
+    resolved = F.lit(False) if answers is None else F.coalesce(F.exists(answers, lambda x: F.coalesce(private_ip(x), F.lit(False))), F.lit(False))
+    return _bound(host_of(url), lambda host: (
         F.when(suspect_suffix(host, suffixes).isNotNull(), "suspect_suffix")
         .when(~F.lower(url).rlike("^https?://"), "scheme")
         .when(blocked_host(host), "blocked_host")
-        .when(F.coalesce(private_v4(host), F.lit(False)), "private_ip")
-    )
+        .when(F.coalesce(private_ip(host), F.lit(False)) | resolved, "private_ip")
+    ))
+
+
+def hops_policy(hops: Column, suffixes: tuple[str, ...] = k.SUSPECT_SUFFIXES) -> Column:
+    """F8: the first reason against any of the URLs that a fetch was redirected through, itself first; null if there is none."""
+    return F.get(F.filter(F.transform(hops, lambda u: policy(u, suffixes)), lambda r: r.isNotNull()), F.lit(0))
 
 
-#: Landing pages and their documents: (pattern, replacement), the first that matches counts.
+# Landing pages and their documents: (pattern, replacement), the first that matches counts.
 PDF_RULES = (
     (r"^https://www\.osti\.gov/biblio/(\d+).*$", "https://www.osti.gov/servlets/purl/$1"),
     (r"^(.*osti\.gov/servlets/purl/.*)$", "$1"),

@@ -97,15 +97,34 @@ def usable(access: Column, role: Column) -> Column:
     return F.when(access == "unavailable", "none").when((access == "web_accessible") | (role == "background"), "context").otherwise("evidence")
 
 
-def expert_score(points: dict[str, Column], weights: dict[str, int]) -> Column:
-    """A weighted sum of dimensions, each from 0 to 1, on 100 points."""
-    total = sum((points[x] * w for x, w in list(weights.items())[1:]), points[next(iter(weights))] * next(iter(weights.values())))
+# Dimensions of an expert's review and their points; they make 100.
+EXPERT_WEIGHTS = {"选题价值": 15, "研究现状与问题分析": 10, "目标与指标合理性": 15, "技术/方法路线可行性": 15, "创新性": 10, "证据链与引用质量": 10, "实施与风险控制": 10, "资源合理性": 10, "成果与应用前景": 5}
+
+
+def expert_score(points: dict[str, Column], weights: dict[str, int] | None = None) -> Column:
+    """A weighted sum of dimensions, each from 0 to 1; a dimension without points counts for nothing."""
+    weights = weights or EXPERT_WEIGHTS
+    total = F.lit(0.0)
+    for name, w in weights.items():
+        total = total + F.coalesce(points.get(name, F.lit(0.0)), F.lit(0.0)) * w
     return F.bround(total, 1)
 
 
-def narrative(text: Column, first: tuple[str, ...], second: tuple[str, ...]) -> Column:
-    """A pattern of telling: words of both lists in one text."""
-    return text.rlike("|".join(first)) & text.rlike("|".join(second))
+# Signals of narratives. N2, a conclusion that slips from its evidence, needs judgement.
+NARRATIVES = {"N1": ("传统方法", "本项目", "未来|前景|趋势"), "N3": ("将|未来", "必然|必定|一定|必将|全面"), "N4": ("只有|唯一|必须",)}
+CONDITIONS, COMPARISON = "若|如果|假设|前提|条件", r"(?m)^\s*\|.*\|\s*$"
+
+
+def narratives(text: Column) -> Column:
+    """The narrative patterns whose signals a text holds: a promise without condition (N3), one way without comparison table."""
+    def all_of(name: str) -> Column:
+        out = F.lit(True)
+        for p in NARRATIVES[name]:
+            out = out & text.rlike(p)
+        return out
+
+    hits = {"N1": all_of("N1"), "N3": all_of("N3") & ~text.rlike(CONDITIONS), "N4": all_of("N4") & ~text.rlike(COMPARISON)}
+    return F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in hits.items()]))
 
 
 def levels_by_claim(evidence: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as t
+from attesta.operators.ingest import title_mismatches
 
 _HEADING = r"^##\s*(?:\d+[.、]\s*)?"
 #: Closure takes the last heading that is alone on its line, the finisher the first, whatever follows it.
@@ -56,8 +57,12 @@ def entries_without_url(refs: Column) -> Column:
     return F.array_sort(F.array_distinct(tags))
 
 
-def closure(drafts: DataFrame, min_sources: int | None = None, min_chars: int | None = None) -> DataFrame:
-    """G1: what is cited without reference, referenced without citation, and what is too little."""
+def closure(drafts: DataFrame, min_sources: int | None = None, min_chars: int | None = None, sources: DataFrame | None = None, threshold: int = 5) -> DataFrame:
+    """G1: what is cited without reference, referenced without citation, and what is too little.
+
+    With `sources` (source_id, title, source_level) also sources of level C cited more often than `threshold`, and entries whose
+    title isn't the corpus's. Without them a draft is checked within its row.
+    """
     d = split_drafts(drafts).withColumns({"cited": markers("body", t.SOURCE_MARK), "listed": markers("refs", t.SOURCE_MARK), "gaps": markers("body", t.GAP_MARK)})
     d = d.withColumn("listed_gaps", F.array_sort(F.array_union(markers("appendix", t.GAP_MARK), markers("appendix", t.BARE_GAP_MARK))))
     d = d.withColumns({
@@ -67,20 +72,43 @@ def closure(drafts: DataFrame, min_sources: int | None = None, min_chars: int |
     })
     few = F.lit(False) if min_sources is None else F.col("n_refs") < min_sources
     thin = F.lit(False) if min_chars is None else F.col("body_chars") < min_chars
+    none = F.array().cast("array<string>")
+    if sources is None:
+        d = d.withColumns({"overused": none, "mismatched": none})
+    else:
+        often = overused(drafts, source_levels(sources), threshold).groupBy("doc_id").agg(F.sort_array(F.collect_list("ref")).alias("overused"))
+        unlike = title_mismatches(reference_entries(d), sources).groupBy("doc_id").agg(F.sort_array(F.collect_list("source_id")).alias("mismatched"))
+        d = d.join(often, "doc_id", "left").join(unlike, "doc_id", "left").withColumns({x: F.coalesce(x, none) for x in ("overused", "mismatched")})
     clean = F.lit(True)
-    for c in ("orphaned", "unused", "orphaned_gaps", "unused_gaps", "missing_urls"):
+    for c in ("orphaned", "unused", "orphaned_gaps", "unused_gaps", "missing_urls", "overused", "mismatched"):
         clean = clean & (F.size(c) == 0)
     return d.withColumns({"few_sources": few, "thin": thin, "passed": clean & ~few & ~thin})
 
 
-def numeric_closure(drafts: DataFrame) -> DataFrame:
-    """The same for numbers; a reference is a line that begins with its number. Gaps are numbers up to the largest that no reference has."""
+def reference_entries(split: DataFrame) -> DataFrame:
+    """(doc_id, source_id, entry) of the reference lists of split drafts: an entry begins at a line that begins with its tag."""
+    entries = F.filter(F.split(F.concat(F.lit("\n"), "refs"), ENTRY_START, -1), lambda e: e.rlike(r"^\[S\d+\]"))
+    d = split.select("doc_id", F.explode(entries).alias("entry"))
+    return d.select("doc_id", F.regexp_extract("entry", r"^\[(S\d+)\]", 1).alias("source_id"), "entry")
+
+
+def source_levels(sources: DataFrame) -> DataFrame:
+    """(ref, level) of sources of level B or C, by the number in their id."""
+    d = sources.select(F.regexp_extract("source_id", r"^S(\d+)", 1).alias("ref"), F.upper("source_level").alias("level"))
+    return d.where((F.col("ref") != "") & F.col("level").isin("B", "C")).groupBy("ref").agg(F.max("level").alias("level"))
+
+
+def numeric_closure(drafts: DataFrame, min_sources: int | None = None, min_chars: int | None = None) -> DataFrame:
+    """The same for numbers, with the same minima; a reference is a line that begins with its number. Gaps are numbers up to the largest that no reference has."""
     d = split_drafts(drafts)
     numbers = lambda x: F.array_sort(F.array_distinct(F.transform(x, lambda v: v.cast("int"))))
     d = d.withColumns({"cited": numbers(t.find_all(F.col("body"), t.NUMBER_MARK)), "listed": numbers(t.find_all(F.col("refs"), r"(?m)^\[(\d+)\]"))})
     gaps = F.when(F.size("listed") > 0, F.array_except(F.sequence(F.lit(1), F.array_max("listed")), "listed")).otherwise(F.array().cast("array<int>"))
     d = d.withColumns({"orphaned": F.array_except("cited", "listed"), "unused": F.array_except("listed", "cited"), "gaps": gaps})
-    return d.withColumn("passed", (F.size("orphaned") == 0) & (F.size("unused") == 0) & (F.size("gaps") == 0))
+    d = d.withColumns({"n_refs": F.size("listed"), "body_chars": t.dense_length(F.col("body"))})
+    few = F.lit(False) if min_sources is None else F.col("n_refs") < min_sources
+    thin = F.lit(False) if min_chars is None else F.col("body_chars") < min_chars
+    return d.withColumns({"few_sources": few, "thin": thin}).withColumn("passed", (F.size("orphaned") == 0) & (F.size("unused") == 0) & (F.size("gaps") == 0) & ~F.col("few_sources") & ~F.col("thin"))
 
 
 def exploded(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,10 +134,11 @@ def citation_counts(drafts: DataFrame) -> DataFrame:
     return exploded(drafts)[0].groupBy("doc_id", "ref").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
-def most_cited(drafts: DataFrame, k: int = 5) -> DataFrame:
-    """Of each draft; ties keep their order of appearance."""
+def most_cited(drafts: DataFrame, k: int = 5, levels: DataFrame | None = None) -> DataFrame:
+    """Of each draft, with levels (ref, level) where they are given, else A; ties keep their order of appearance."""
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return citation_counts(drafts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = citation_counts(drafts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.withColumn("level", F.lit("A")) if levels is None else top.join(levels, "ref", "left").withColumn("level", F.coalesce("level", F.lit("A")))
 
 
 def overused(drafts: DataFrame, levels: DataFrame, threshold: int = 5) -> DataFrame:

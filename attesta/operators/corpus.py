@@ -56,10 +56,17 @@ def ranked(registry: DataFrame) -> DataFrame:
     return registry.withColumns({"authority": pick(0, ""), "priority": pick(1, k.DEFAULT_PRIORITY)})
 
 
-def selected(registry: DataFrame, categories: list[str]) -> DataFrame:
-    """Rows of the routed categories (none named: all) by priority, then id."""
-    rows = ranked(registry)
-    rows = rows.where(F.col("category").isin(categories)) if categories else rows
+def routed_categories(domain: str) -> tuple[str, ...]:
+    """the categories that a topic's domain searches; none: all."""
+    if domain not in k.ROUTING:
+        raise ValueError(f"unknown topic domain {domain!r}; known: {', '.join(sorted(k.ROUTING))}")
+    return k.ROUTING[domain]
+
+
+def selected(registry: DataFrame, domain: str) -> DataFrame:
+    """Rows of the domain's categories by priority, then id; an unknown domain is an error."""
+    rows, categories = ranked(registry), routed_categories(domain)
+    rows = rows.where(F.col("category").isin(*categories)) if categories else rows
     return rows.withColumn("verify_current", F.col("category").contains("standard") | F.col("category").contains("标准")).orderBy(F.desc("priority"), "id")
 
 

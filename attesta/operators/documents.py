@@ -164,25 +164,80 @@ def scorecard(docs: DataFrame, tier: str = "mid") -> DataFrame:
     return d.withColumn("total", total).withColumn("passed", (F.col("total") / (2 * len(items)) >= PASS_RATIO) & hard)
 
 
-# Words that sell; a draft with a critical one and no citation beside it is stopped.
-TRIGGERS_CRITICAL = ("革命性", "颠覆性", "史无前例", "前所未有", "填补空白", "国际领先", "世界首创", "里程碑")
-
-
-def triggers(sentences: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """(doc_id, pos, word, cited) for each of `words` in a sentence (doc_id, pos, sentence), and whether it holds a citation."""
-    hits = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("sentence"), w))
-    return sentences.withColumn("cited", F.col("sentence").rlike(r"\[S?\d+\]")).select("doc_id", "pos", F.explode(hits).alias("word"), "cited")
+# Words that sell, by severity; a sentence with a critical one and no citation stops a draft.
+TRIGGERS = {
+    "critical": ("国际领先", "填补空白", "革命性突破", "颠覆性", "首创", "开辟新领域", "划时代", "根本性解决"),
+    "high": ("重大意义", "广阔前景", "显著提升", "极大改善", "突破瓶颈", "完美解决", "必将推动"),
+    "medium": ("具有重要意义", "有效促进", "明显提高"),
+}
+# Phrases of templates, as patterns, and whether a citation in the sentence excuses them.
+TEMPLATE_PHRASES = (
+    ("拓展了.{0,20}的理论边界", False), ("丰富了.{0,20}的应用场景", False), ("可为.{0,20}提供参考|具有重要的参考价值", False), ("填补了.{0,20}的空白", True),
+    ("具有重要的理论意义和实践意义", False), ("对.{0,20}具有深远影响", False), ("在前人基础上", True), ("本研究弥补了上述不足", False),
+)
+CITED = r"\[S?\d+\]"
+
+
+def triggers(sentences: DataFrame, words: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(doc_id, pos, severity, word, cited, blocks) for each trigger word in a sentence (doc_id, pos, sentence)."""
+    table = [(severity, w) for severity, ws in (words or TRIGGERS).items() for w in ws]
+    found = F.array_compact(F.array(*[F.when(F.contains(F.col("sentence"), F.lit(w)), F.struct(F.lit(severity).alias("severity"), F.lit(w).alias("word"))) for severity, w in table]))
+    d = sentences.withColumn("cited", F.col("sentence").rlike(CITED)).select("doc_id", "pos", F.explode(found).alias("hit"), "cited")
+    return d.select("doc_id", "pos", "hit.severity", "hit.word", "cited", ((F.col("hit.severity") == "critical") & ~F.col("cited")).alias("blocks"))
+
+
+def template_phrases(sentences: DataFrame) -> DataFrame:
+    """(doc_id, pos, phrase) for each banned phrase in a sentence that no citation excuses; `phrase` counts from 1."""
+    cited = F.col("sentence").rlike(CITED)
+    hits = [F.when(F.col("sentence").rlike(p) & (~cited if excused else F.lit(True)), F.lit(i)) for i, (p, excused) in enumerate(TEMPLATE_PHRASES, 1)]
+    return sentences.select("doc_id", "pos", F.explode(F.array_compact(F.array(*hits))).alias("phrase"))
+
+
+# Document types by the words of a request, in order; a thesis and a patent have kinds of their own.
+DOC_ROUTES = (
+    (("国防科技报告", "GF报告", "GF 报告", "GF Report", "科技报告"), "report_gf"), (("实施方案", "implementation plan"), "plan_implementation"), (("期刊论文", "期刊", "投稿", "修回稿", "journal"), "paper_journal"),
+    (("专利", "交底书", "发明创造", "实用新型", "patent"), "patent"), (("白皮书", "技术报告", "技术白皮书", "whitepaper"), "whitepaper"), (("调研", "综述", "现状", "survey", "review"), "report_survey"),
+    (("可行", "可研", "论证", "可行性", "feasibility"), "report_feasibility"), (("方案", "立项", "申报", "项目", "proposal"), "proposal"), (("论文", "学位", "thesis", "ug", "master", "phd", "本科", "硕士", "博士", "学士"), "thesis"),
+)
+PATENT_ROUTES = ((("申请草案", "权利要求书", "说明书摘要", "claims"), "patent_application"),)
+THESIS_ROUTES = ((("博士", "phd"), "thesis_phd"), (("硕士", "master"), "thesis_ms"), (("本科", "学士", "ug", "undergraduate"), "thesis_ug"))
+RESEARCH_ROUTES = ((("理论",), "理论"), (("实证", "实验", "调查"), "实证"))
+# Reviewers by the words of a topic; and those of a topic without any.
+EXPERT_ROUTES = (
+    (("人工智能", "机器学习", "深度学习", "神经网络", "大模型", "算法", "数据", "传感信号", "智能监测"), "ai"), (("幼儿", "教育", "教学", "课程", "学习", "学生", "教师", "体育", "游戏", "学前"), "education"),
+    (("工程", "设备", "传感器", "系统", "架构", "安全", "核", "电缆", "老化"), "engineering"), (("材料", "能源", "动力", "电池", "电力", "化工", "冶金"), "engineering"),
+    (("经费", "预算", "资金", "资助", "财政", "投资", "采购"), "social_science"), (("临床", "疾病", "药物", "流行病", "卫生", "患者", "健康", "医学"), "medical"), (("政策", "法规", "经济", "社会", "治理", "管理", "市场"), "social_science"),
+)
+EXPERT_DEFAULT = ("education", "engineering")
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
-def routed(text: Column, routes: tuple[tuple[str, str], ...], default: str) -> Column:
-    """The target of the first keyword, in order, that the text holds."""
+def routed(text: Column, routes: tuple[tuple[tuple[str, ...], str], ...], default: str) -> Column:
+    """The target of the first route, in order, that has a word in the text."""
     out = F.lit(default)
-    for word, target in reversed(routes):
-        out = F.when(F.contains(text, F.lit(word)), target).otherwise(out)
+    for words, target in reversed(routes):
+        out = F.when(_holds(text, words), target).otherwise(out)
     return out
 
 
-def multi_routed(text: Column, routes: tuple[tuple[str, str], ...], default: tuple[str, ...], most: int = 2) -> Column:
-    """Up to `most` different targets of the keywords that the text holds; none: the default."""
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(x)) for w, x in routes])))
+def document_type(request: Column) -> Column:
+    """The template that a request asks for."""
+    first = routed(request, DOC_ROUTES, "proposal")
+    return F.when(first == "patent", routed(request, PATENT_ROUTES, "patent_disclosure")).when(first == "thesis", routed(request, THESIS_ROUTES, "thesis_ug")).otherwise(first)
+
+
+def research_type(request: Column) -> Column:
+    """Of a thesis, the kind of research; else null."""
+    return F.when(document_type(request).startswith("thesis_"), routed(request, RESEARCH_ROUTES, "混合"))
+
+
+def experts(topic: Column, routes: tuple[tuple[tuple[str, ...], str], ...] = EXPERT_ROUTES, default: tuple[str, ...] = EXPERT_DEFAULT, most: int = 2) -> Column:
+    """Up to `most` different reviewers whose words the topic holds; none: the default."""
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(_holds(topic, ws), F.lit(x)) for ws, x in routes])))
     return F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(F.array(*[F.lit(x) for x in default]))

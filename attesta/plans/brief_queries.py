@@ -106,10 +106,14 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "orders").join(scores, "o_custkey", "left").select("o_orderkey", F.coalesce("score", F.lit("manual")).alias("status"))
 
 
-@query("l6_narrative", "SELECT p_partkey, p_partkey % 6 = 0 AS hit FROM part")
+@query("l6_narrative", "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'N1' END, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'N3' END, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 4 <> 0 THEN 'N4' END) AS found FROM part")
 def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.when(F.col("p_partkey") % 2 == 0, "国外垄断").otherwise("普通"), F.when(F.col("p_partkey") % 3 == 0, "实现突破").otherwise("进展"))
-    return b.table(spark, sf_dir, "part").select("p_partkey", op.narrative(text, ("垄断", "封锁"), ("突破", "打破")).alias("hit"))
+    key = F.col("p_partkey")
+    text = F.concat(
+        F.when(key % 5 == 0, "传统方法不足，本项目带来趋势。").otherwise("传统方法不足。"), F.when(key % 3 == 0, "成果将必然形成产业。").otherwise("成果已发布。"), F.when(key % 2 != 0, "若条件成立。").otherwise(""),
+        F.when(key % 7 == 0, "唯一的路线。").otherwise("一种路线。"), F.when(key % 4 == 0, "\n| a | b |\n").otherwise(""),
+    )
+    return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(op.narratives(text), ",").alias("found"))
 
 
 @query("l10_entry_verdict", "SELECT l_orderkey, CASE WHEN count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') > 0 THEN 'stop' WHEN count(*) FILTER (l_returnflag = 'A') > 2 THEN 'revise' ELSE 'enter' END AS verdict FROM lineitem GROUP BY l_orderkey")
@@ -141,10 +145,10 @@ def l15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "part").select("p_partkey", op.usable(access, F.when(F.col("p_type") == "PROMO", "background").otherwise("core")).alias("use"))
 
 
-@query("l16_expert_score", "SELECT p_partkey, round_even((p_partkey % 5)::DOUBLE / 4 * 60 + (p_size % 3)::DOUBLE / 2 * 40, 1) AS score FROM part")
+@query("l16_expert_score", "SELECT p_partkey, round_even(15 + 15 * ((p_partkey % 5)::DOUBLE / 4) + 10 * ((p_size % 3)::DOUBLE / 2) + 5 * 0.5, 1) AS score FROM part")
 def l16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = {"a": (F.col("p_partkey") % 5).cast("double") / 4, "b": (F.col("p_size") % 3).cast("double") / 2}
-    return b.table(spark, sf_dir, "part").select("p_partkey", op.expert_score(points, {"a": 60, "b": 40}).alias("score"))
+    points = {"选题价值": F.lit(1.0), "目标与指标合理性": (F.col("p_partkey") % 5).cast("double") / 4, "创新性": (F.col("p_size") % 3).cast("double") / 2, "成果与应用前景": F.lit(0.5), "资源合理性": F.lit(None).cast("double")}
+    return b.table(spark, sf_dir, "part").select("p_partkey", op.expert_score(points).alias("score"))
 
 
 @query("a2_levels_by_claim", f"WITH {EVIDENCE_SQL} SELECT claim_key, " + ", ".join(f"count(*) FILTER (support_level = '{x}') AS {x}" for x in ("direct", "strong_inference", "weak_inference", "context_only", "contradictory", "unsupported")) + " FROM evidence GROUP BY claim_key")

@@ -122,7 +122,7 @@ def _rank_sql(i: int, other: str) -> str:
 
 _REGISTRY = f"""registry AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN list_extract({_IDS!r}, (s_suppkey % {len(_IDS)} + 1)::INT) ELSE 'r' || s_suppkey END AS id,
   list_extract({[*_CATEGORIES, 'ai_standard']!r}, (s_suppkey % {len(_CATEGORIES) + 1} + 1)::INT) AS category FROM supplier)"""
-_ROUTE = ["international_standard", "china_standard", "scholarly_index", "ai_standard"]
+_MATERIALS = "('materials_data', 'materials_engineering_data', 'materials_scientific_database', 'international_standard', 'china_standard', 'nuclear_data', 'technical_report_library', 'cross_technical_report_library', 'scholarly_index')"
 
 
 @query("j6_registry_rank", f"WITH {_REGISTRY} SELECT key, id, category, {_rank_sql(0, repr(''))} AS authority, {_rank_sql(1, '50')} AS priority FROM registry")
@@ -130,14 +130,14 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.ranked(_registry(spark, sf_dir)).select("key", "id", "category", "authority", "priority")
 
 
-@query("g13_select", f"WITH {_REGISTRY} SELECT key, id, {_rank_sql(1, '50')} AS priority, contains(category, 'standard') AS verify_current FROM registry WHERE category IN {tuple(_ROUTE)!r}")
+@query("g13_select", f"WITH {_REGISTRY} SELECT key, id, {_rank_sql(1, '50')} AS priority, contains(category, 'standard') AS verify_current FROM registry WHERE category IN {_MATERIALS}")
 def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.selected(_registry(spark, sf_dir), _ROUTE).select("key", "id", "priority", "verify_current")
+    return op.selected(_registry(spark, sf_dir), "materials").select("key", "id", "priority", "verify_current")
 
 
-@query("a20_category_counts", f"WITH {_REGISTRY} SELECT count(*) AS selected, count(DISTINCT category) AS categories FROM registry WHERE category IN {tuple(_ROUTE)!r}")
+@query("a20_category_counts", f"WITH {_REGISTRY} SELECT count(*) AS selected, count(DISTINCT category) AS categories FROM registry WHERE category IN {_MATERIALS}")
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.selected(_registry(spark, sf_dir), _ROUTE).agg(F.count("*").alias("selected"), F.count_distinct("category").alias("categories"))
+    return op.selected(_registry(spark, sf_dir), "materials").agg(F.count("*").alias("selected"), F.count_distinct("category").alias("categories"))
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
@@ -179,13 +179,14 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f7_url_policy", f"""WITH h AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ftp' WHEN 1 THEN 'http' ELSE 'https' END || '://' || CASE page_id % 7 WHEN 0 THEN 'localhost' WHEN 1 THEN 'box.local' WHEN 2 THEN '10.1.2.' || (page_id % 256) WHEN 3 THEN 'a.test' WHEN 4 THEN '8.8.8.8' ELSE 'public.com' END AS url FROM pages)
-SELECT page_id, CASE WHEN page_id % 7 = 3 OR page_id % 7 = 0 THEN 'suspect_suffix' WHEN page_id % 5 = 0 THEN 'scheme' WHEN page_id % 7 = 1 THEN 'blocked_host' WHEN page_id % 7 = 2 THEN 'private_ip' END AS reason FROM h""")
+SELECT page_id, CASE WHEN page_id % 7 = 3 OR page_id % 7 = 0 THEN 'suspect_suffix' WHEN page_id % 5 = 0 THEN 'scheme' WHEN page_id % 7 = 1 THEN 'blocked_host' WHEN page_id % 7 IN (2, 5) OR (page_id % 7 = 6 AND page_id % 2 = 0) THEN 'private_ip' END AS reason FROM h""")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5, F8 too: reasons in order, the cheap ones first."""
     key = F.col("page_id")
     scheme = F.when(key % 5 == 0, "ftp").when(key % 5 == 1, "http").otherwise("https")
-    host = F.when(key % 7 == 0, "localhost").when(key % 7 == 1, "box.local").when(key % 7 == 2, F.concat(F.lit("10.1.2."), (key % 256).cast("string"))).when(key % 7 == 3, "a.test").when(key % 7 == 4, "8.8.8.8").otherwise("public.com")
-    return b.table(spark, sf_dir, "pages").select("page_id", urls.policy(F.concat(scheme, F.lit("://"), host)).alias("reason"))
+    host = F.when(key % 7 == 0, "localhost").when(key % 7 == 1, "box.local").when(key % 7 == 2, F.concat(F.lit("10.1.2."), (key % 256).cast("string"))).when(key % 7 == 3, "a.test").when(key % 7 == 4, "8.8.8.8").when(key % 7 == 5, F.concat(F.lit("[fd00::"), (key % 10).cast("string"), F.lit("]:8080"))).otherwise("public.com")
+    answers = F.when((key % 7 == 6) & (key % 2 == 0), F.array(F.lit("93.184.216.34"), F.lit("::1"))).otherwise(F.array(F.lit("2606:2800:220:1::1")))
+    return b.table(spark, sf_dir, "pages").select("page_id", urls.policy(F.concat(scheme, F.lit("://"), host), answers=answers).alias("reason"))
 
 
 _LANDING = ["https://www.osti.gov/biblio/{}-x", "https://www.osti.gov/servlets/purl/{}", "https://www.mdpi.com/2073-4441/12/3/{}/", "https://hal.science/hal-{}/", "https://www.nature.com/articles/s{}", "https://iopscience.iop.org/article/10.1088/a{}", "https://bmc.biomedcentral.com/articles/10.1186/s{}?x=1", "https://www.frontiersin.org/articles/10.3389/f.{}/full", "https://pmc.ncbi.nlm.nih.gov/articles/PMC{}/", "https://host.org/{}"]
@@ -241,10 +242,12 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(op.role_allowed(["PROMO", "SMALL"])).select("p_partkey")
 
 
-@query("f2_domain_routing", f"WITH {_REGISTRY} SELECT key, id FROM registry WHERE category IN {tuple(_ROUTE)!r}")
+@query("f2_domain_routing", f"""WITH {_REGISTRY} SELECT key, id, 'energy' AS domain FROM registry WHERE category IN ('energy_international', 'energy_data', 'government_agency', 'national_lab', 'china_regulator', 'china_technical', 'industry_technical')
+  UNION ALL SELECT key, id, 'education' FROM registry WHERE category LIKE 'education_%' OR category IN ('china_regulator', 'scholarly_index')
+  UNION ALL SELECT key, id, 'general' FROM registry""")
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routing = spark.createDataFrame([("general", x) for x in _ROUTE], "domain string, category string")
-    return _registry(spark, sf_dir).join(F.broadcast(routing.where("domain = 'general'")), "category", "left_semi").select("key", "id")
+    parts = [op.selected(_registry(spark, sf_dir), d).select("key", "id", F.lit(d).alias("domain")) for d in ("energy", "education", "general")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("u3_domain_union", "SELECT 'a,b,c,d' AS domains")

@@ -44,22 +44,37 @@ def j4_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.unused(b.drafts(spark, sf_dir))
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of the drafts: levels by number, and for every fifth source another title than the drafts'."""
+    key = F.col("p_partkey")
+    level = F.when((key % 9).isin(5, 6), "c").when(key % 9 == 4, "B").otherwise("A")
+    title = F.when(key % 5 == 0, "Wholly unlike words").otherwise(F.concat(F.lit("Title "), key.cast("string")))
+    return b.table(spark, sf_dir, "part").select(F.concat(F.lit("S"), key.cast("string")).alias("source_id"), level.alias("source_level"), title.alias("title"))
+
+
+@query("g1_corpus_closure", """WITH e AS (SELECT l_orderkey AS doc_id, l_partkey AS s, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT doc_id, coalesce(string_agg(CASE WHEN s % 9 IN (5, 6) AND n > 1 THEN s::VARCHAR END, ',' ORDER BY s::VARCHAR), '') AS overused, coalesce(string_agg(CASE WHEN s % 5 = 0 AND s % 7 <> 0 AND s <> doc_id % 2000 THEN 'S' || s END, ',' ORDER BY s::VARCHAR), '') AS mismatched FROM e GROUP BY doc_id""")
+def g1_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the gate that needs the corpus. The drafts' extra entry is left out: its source may be any."""
+    extra = F.concat(F.lit("S"), (F.col("doc_id") % 2000).cast("string"))
+    d = op.closure(b.drafts(spark, sf_dir), sources=_levels(spark, sf_dir), threshold=1)
+    return d.select("doc_id", F.array_join("overused", ",").alias("overused"), F.array_join(F.array_remove("mismatched", extra), ",").alias("mismatched"))
+
+
 @query("a1_citation_counts", "SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS ref, count(*) AS n FROM lineitem GROUP BY ALL")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.citation_counts(b.drafts(spark, sf_dir)).drop("first")
 
 
-@query("t2_top5_cited", "SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS ref, count(*) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, l_partkey)::INT AS rank FROM lineitem GROUP BY l_orderkey, l_partkey QUALIFY rank <= 5")
+@query("t2_top5_cited", "SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS ref, count(*) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, l_partkey)::INT AS rank, CASE WHEN l_partkey % 9 IN (5, 6) THEN 'C' WHEN l_partkey % 9 = 4 THEN 'B' ELSE 'A' END AS level FROM lineitem GROUP BY l_orderkey, l_partkey QUALIFY rank <= 5")
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.most_cited(b.drafts(spark, sf_dir)).drop("first")
+    return op.most_cited(b.drafts(spark, sf_dir), levels=op.source_levels(_levels(spark, sf_dir))).drop("first")
 
 
 @query("a15_c_level_overuse", "SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS ref, count(*) AS n FROM lineitem WHERE l_partkey % 9 IN (5, 6) GROUP BY ALL HAVING count(*) > 1")
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J17 too."""
-    p = b.table(spark, sf_dir, "part")
-    levels = p.select(F.col("p_partkey").cast("string").alias("ref"), F.when((F.col("p_partkey") % 9).isin(5, 6), "C").otherwise("A").alias("level"))
-    return op.overused(b.drafts(spark, sf_dir), levels, threshold=1).drop("first")
+    return op.overused(b.drafts(spark, sf_dir), op.source_levels(_levels(spark, sf_dir)), threshold=1).drop("first")
 
 
 @query("p6_markers", f"WITH {_PARTS} SELECT doc_id, array_to_string(cited, ',') AS cited, array_to_string(listed, ',') AS listed, array_to_string(gaps, ',') AS gaps FROM marks")
@@ -125,11 +140,11 @@ def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("g2_numeric_closure", f"""WITH {_FINAL}, x AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(body, '\\[(\\d+)\\]', 1), lambda y: y::INT))) AS cited, list_sort(list_distinct({_ORDER})) AS listed FROM finals)
-SELECT doc_id, {_except('cited', 'listed')} AS orphaned, {_except('listed', 'cited')} AS unused, {_except('range(1, list_max(listed) + 1)', 'listed')} AS gaps, cited = listed AND len(listed) = list_max(listed) AS passed FROM x""")
+SELECT doc_id, {_except('cited', 'listed')} AS orphaned, {_except('listed', 'cited')} AS unused, {_except('range(1, list_max(listed) + 1)', 'listed')} AS gaps, len(listed)::INT AS n_refs, len(listed) < 3 AS few_sources, cited = listed AND len(listed) = list_max(listed) AND len(listed) >= 3 AS passed FROM x""")
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, W3 too, over the finished texts."""
-    d = op.numeric_closure(op.finished(b.drafts(spark, sf_dir)).select("doc_id", F.col("final").alias("text")))
-    return d.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("orphaned", "unused", "gaps")], "passed")
+    d = op.numeric_closure(op.finished(b.drafts(spark, sf_dir)).select("doc_id", F.col("final").alias("text")), min_sources=3)
+    return d.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("orphaned", "unused", "gaps")], "n_refs", "few_sources", "passed")
 
 
 @query("w3_sequence_gaps", "SELECT l_orderkey AS doc_id, array_to_string(list_filter(range(1, max(l_linenumber) + 1), lambda x: NOT list_contains(list(l_linenumber), x::INT)), ',') AS gaps FROM lineitem GROUP BY l_orderkey")

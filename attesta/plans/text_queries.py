@@ -204,25 +204,43 @@ def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", coverage(against, none, [search], F.lit(None).cast("string"), why).alias("covered"))
 
 
-@query("l5_trigger_words", "WITH s AS (SELECT conv_id * 1000 + turn AS doc_id, CASE turn % 3 WHEN 0 THEN '革命性' WHEN 1 THEN '里程碑' ELSE '普通' END AS w, conv_id % 2 = 0 AS cited FROM conversations) SELECT doc_id, 0 AS pos, w AS word, cited FROM s WHERE w <> '普通'")
+@query("l5_trigger_words", """SELECT conv_id * 1000 + turn AS doc_id, 0 AS pos, list_extract(['critical', 'high', 'medium'], (turn % 4 + 1)::INT) AS severity, list_extract(['颠覆性', '显著提升', '有效促进'], (turn % 4 + 1)::INT) AS word,
+  conv_id % 2 = 0 AS cited, turn % 4 = 0 AND conv_id % 2 <> 0 AS blocks FROM conversations WHERE turn % 4 < 3""")
 def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L20 too."""
     c = b.table(spark, sf_dir, "conversations")
-    word = lookup(F.col("turn") % 3, {0: "革命性", 1: "里程碑"}, "普通")
+    word = lookup(F.col("turn") % 4, {0: "颠覆性", 1: "显著提升", 2: "有效促进"}, "普通")
     s = F.concat(F.lit("成果"), word, F.when(F.col("conv_id") % 2 == 0, "[S1]").otherwise(""), F.lit("。"))
-    return doc_op.triggers(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lit(0).alias("pos"), s.alias("sentence")), doc_op.TRIGGERS_CRITICAL)
+    return doc_op.triggers(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lit(0).alias("pos"), s.alias("sentence")))
 
 
-@query("l17_doc_type", "SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 'thesis' WHEN contains(p_name, 'ring') THEN 'patent' WHEN contains(p_name, 'small') THEN 'paper' ELSE 'proposal' END AS doc_type FROM part")
+@query("l20_template_phrases", """SELECT p_partkey AS doc_id, 0 AS pos, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 7 WHEN 3 THEN 6 ELSE 3 END AS phrase
+  FROM part WHERE p_partkey % 6 <> 5 AND NOT (p_partkey % 6 IN (1, 2) AND p_partkey % 4 = 1)""")
+def l20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A citation excuses two of the phrases."""
+    key = F.col("p_partkey")
+    s = lookup(key % 6, {0: "本研究拓展了传感的理论边界", 1: "填补了该领域的空白", 2: "在前人基础上改进", 3: "对产业具有深远影响", 4: "可为设计提供参考"}, "普通句子")
+    p = b.table(spark, sf_dir, "part").select(key.alias("doc_id"), F.lit(0).alias("pos"), F.concat(s, F.when(key % 4 == 1, "[S3]").otherwise(""), F.lit("。")).alias("sentence"))
+    return doc_op.template_phrases(p)
+
+
+_REQUESTS = ["国防科技报告", "某项目实施方案", "期刊论文投稿", "专利交底书", "发明专利权利要求书", "技术白皮书", "现状综述", "可行性论证", "立项申报", "博士学位论文（理论）", "硕士论文 实验", "本科毕业论文", "学位论文", "其它"]
+_TEMPLATES = ["report_gf", "plan_implementation", "paper_journal", "patent_disclosure", "patent_application", "whitepaper", "report_survey", "report_feasibility", "proposal", "thesis_phd", "thesis_ms", "thesis_ug", "thesis_ug", "proposal"]
+
+
+@query("l17_doc_type", f"SELECT p_partkey, list_extract({_TEMPLATES!r}, (p_partkey % 14 + 1)::INT) AS doc_type, CASE WHEN p_partkey % 14 = 9 THEN '理论' WHEN p_partkey % 14 = 10 THEN '实证' WHEN p_partkey % 14 IN (11, 12) THEN '混合' END AS research FROM part")
 def l17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = (("red", "thesis"), ("ring", "patent"), ("small", "paper"))
-    return b.table(spark, sf_dir, "part").select("p_partkey", doc_op.routed(F.col("p_name"), routes, "proposal").alias("doc_type"))
+    p = b.table(spark, sf_dir, "part").withColumn("request", lookup(F.col("p_partkey") % 14, dict(enumerate(_REQUESTS)), ""))
+    return p.select("p_partkey", doc_op.document_type(F.col("request")).alias("doc_type"), doc_op.research_type(F.col("request")).alias("research"))
+
+
+_TOPICS = ["深度学习算法", "小学课程教学", "核电缆老化", "固态电池材料", "预算与投资", "患者用药", "产业政策", "健康教育课程", "山水诗", "大模型与设备安全及市场"]
+_EXPERTS = ["ai,education", "education", "engineering", "engineering", "social_science", "medical", "social_science", "education,medical", "education,engineering", "ai,engineering"]
 
 
-@query("l18_expert_roles", "SELECT p_partkey, CASE WHEN x = '' THEN 'domain,method' ELSE x END AS roles FROM (SELECT p_partkey, array_to_string(list_slice(list_filter([CASE WHEN contains(p_name, 'red') THEN 'a' END, CASE WHEN contains(p_name, 'ring') THEN 'b' END, CASE WHEN contains(p_name, 'r') THEN 'c' END], lambda v: v IS NOT NULL), 1, 2), ',') AS x FROM part)")
+@query("l18_expert_roles", f"SELECT p_partkey, list_extract({_EXPERTS!r}, (p_partkey % 10 + 1)::INT) AS roles FROM part")
 def l18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = doc_op.multi_routed(F.col("p_name"), (("red", "a"), ("ring", "b"), ("r", "c")), ("domain", "method"))
-    return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(roles, ",").alias("roles"))
+    topic = lookup(F.col("p_partkey") % 10, dict(enumerate(_TOPICS)), "")
+    return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(doc_op.experts(topic), ",").alias("roles"))
 
 
 @query("l21_responses", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND (l_orderkey, l_partkey) NOT IN (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_linestatus = 'O')")
@@ -298,6 +316,10 @@ def p41(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "part").withColumn("kind", kind).select("p_partkey", label.alias("label"))
 
 
-@query("p5_html_slice", "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading FROM pages")
+@query("p5_html_slice", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<h2 class="x">Key <b>results</b></h2><p>' || page_id || '</p>' WHEN 1 THEN '<h2>results</h2>' || chr(10) || html END AS part FROM pages""")
 def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("heading"))
+    """Between two sections, at the end, and in none; the pages' own headings are of the first level."""
+    page, own = F.col("page_id"), F.regexp_replace("html", r"(?s)<h2.*", "")
+    html = F.when(page % 3 == 0, F.concat(F.lit("<h2>Other</h2><p>results</p><h2 class=\"x\">Key <b>results</b></h2><p>"), page.cast("string"), F.lit("</p><h2>Next</h2><p>results</p>")))
+    html = html.when(page % 3 == 1, F.concat(F.lit("<h2>First</h2><h2>results</h2>\n"), F.col("html"))).otherwise(own)
+    return b.table(spark, sf_dir, "pages").select("page_id", t.html_section(html, "results").alias("part"))

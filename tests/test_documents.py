@@ -74,7 +74,7 @@ def test_urls(spark):
     got = [r[0] for r in df.select(urls.policy(F.col("u"))).collect()]
     assert [x is None for x in got] == [True, *[False] * 10, True]
     six = spark.createDataFrame([("::1",), ("[fe80::1]",), ("2606:4700::1111",), ("x",)], "h string")
-    assert [r[0] for r in six.select(urls.private_v6("h")).collect()] == [True, True, False, None]
+    assert [r[0] for r in six.select(urls.private_ip(F.col("h"))).collect()] == [True, True, False, None]
 
 
 def test_quote_hash_ignores_layout(spark):
@@ -152,3 +152,37 @@ def test_registry_has_an_oracle_for_nearly_all():
     from attesta import queries
 
     assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) - len(queries.oracle_sql()) <= 1
+
+
+def test_addresses_that_are_not_public(spark):
+    import ipaddress
+
+    from attesta.functions import urls
+
+    hosts = ["::1", "[::1]", "fd00::1", "[fe80::1]", "ff02::1", "::", "2001:db8::1", "2606:2800:220:1::1", "[2a00:1450:4001::200e]", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "10.1.2.3", "172.32.0.1", "8.8.8.8", "100.64.0.1", "2001:4860:4860::8888", "fec0::1", "64:ff9b::1"]
+
+    def want(h):
+        ip = ipaddress.ip_address(h.strip("[]"))
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return not ip.is_global or ip.is_multicast or ip.is_reserved
+
+    got = {r["h"]: r["p"] for r in spark.createDataFrame([(h,) for h in hosts], "h string").withColumn("p", urls.private_ip(F.col("h"))).collect()}
+    assert got == {h: want(h) for h in hosts}
+    names = spark.createDataFrame([("host.org",), ("fd00.org",), ("1.2.3",)], "h string").withColumn("p", urls.private_ip(F.col("h")))
+    assert {r["p"] for r in names.collect()} == {None}
+    rows = [("http://[::1]:8080/", None, "private_ip"), ("http://[fd00::1]/", None, "private_ip"), ("https://a.org/x", ["8.8.8.8"], None), ("https://a.org/x", ["8.8.8.8", "10.0.0.1"], "private_ip"), ("ftp://a.org/", None, "scheme"), ("http://box.local/", None, "blocked_host")]
+    df = spark.createDataFrame(rows, "u string, a array<string>, w string").withColumn("p", urls.policy(F.col("u"), answers=F.col("a")))
+    assert [r["p"] for r in df.collect()] == [w for *_, w in rows]
+    hops = spark.createDataFrame([(["https://a.org/", "http://[::1]/"],), (["https://a.org/"],)], "hops array<string>")
+    assert [r["p"] for r in hops.withColumn("p", urls.hops_policy(F.col("hops"))).collect()] == ["private_ip", None]
+
+
+def test_unknown_domain_is_an_error(spark):
+    import pytest
+
+    from attesta.operators import corpus
+
+    rows = spark.createDataFrame([("a", "n", "education_research", "u", True), ("b", "n", "other", "u", True)], "id string, name string, category string, url string, allowFullText boolean")
+    assert [r["id"] for r in corpus.selected(rows, "education").collect()] == ["a"] and corpus.selected(rows, "general").count() == 2
+    with pytest.raises(ValueError, match="unknown topic domain"):
+        corpus.selected(rows, "astrology")
