@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,119 +54,119 @@ def source_manifests(numbers: DataFrame, sources: DataFrame, claims_by_source: D
 
 
 def _kind(v: Column) -> Column:
+    """The type of a scalar; of nothing, VOID."""
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _get(v: str, key: str) -> Column:
-    return F.try_variant_get(F.col(v), f"$.{key}", "variant")
+def _object(v: Column) -> Column:
+    """The members of an object; null of anything else. A member that is null is there, an absent one isn't."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _text(v: str, key: str) -> Column:
-    return F.coalesce(F.try_variant_get(F.col(v), f"$.{key}", "string"), F.lit(""))
+def _array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _items(v: str, key: str) -> Column:
-    return F.try_variant_get(F.col(v), f"$.{key}", "array<variant>")
+def _text(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
 
 
-def _has(keys: str, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.col(keys), key), F.lit(False))
+def _bad(v: Column, allowed: tuple[str, ...]) -> Column:
+    """Present, not null, and not one of `allowed`."""
+    kind = _kind(v)
+    return (kind != "VOID") & ~((kind == "STRING") & _text(v).isin(*allowed))
 
 
-def _bad(v: str, key: str, allowed: tuple[str, ...]) -> Column:
-    """Present, not null, and not one of `allowed`."""
-    kind = _kind(_get(v, key))
-    return (kind != "VOID") & ~((kind == "STRING") & _text(v, key).isin(*allowed))
+def _found(path: Column, checks: list[tuple[Column, str]]) -> Column:
+    return F.array_compact(F.array(*[F.when(x, F.struct(path.alias("path"), F.lit(p).alias("problem"))) for x, p in checks]))
 
 
-def _problems(df: DataFrame, path: Column, checks: list[tuple[Column, str]]) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(x, F.lit(p)) for x, p in checks]))
-    return df.select("doc_id", path.alias("path"), F.explode(found).alias("problem"))
+def _place(name: str, i: Column, rest: Column | None = None) -> Column:
+    parts = [F.lit(f"{name}["), i.cast("string"), F.lit("]")]
+    return F.concat(*parts) if rest is None else F.concat(rest, F.lit("."), *parts)
 
 
-def _members(df: DataFrame, v: str, key: str, item: str, place: str) -> DataFrame:
-    """One row for each element of an array, with the keys it has if it is an object."""
-    d = df.where(_kind(_get(v, key)).startswith("ARRAY")).select("doc_id", *[c for c in df.columns if c.startswith("at_")], F.posexplode(_items(v, key)).alias(place, item))
-    return d.withColumns({f"{item}_keys": F.json_object_keys(F.to_json(item)), f"{item}_ok": _kind(F.col(item)).startswith("OBJECT")})
+def _root_problems(m: Column) -> Column:
+    version, date, review = _text(m["schema_version"]), _text(m["finalized_at"]), m["review_independence"]
+    absent = lambda x: m[x].isNull()
+    form = date.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    r = _object(review)
+    typed = lambda key, kind: r.isNotNull() & ~_kind(r[key]).isin(kind, "VOID")
+    return F.concat(_found(F.lit(""), [
+        (~version.isin(SCHEMA_VERSION, *LEGACY_VERSIONS), "schema_version"),
+        (absent("review_kind"), "missing review_kind"), (_bad(m["review_kind"], REVIEW_KINDS), "illegal review_kind"),
+        (absent("verification_mode"), "missing verification_mode"), (_bad(m["verification_mode"], MANIFEST_MODES), "illegal verification_mode"),
+        (absent("finalized_at"), "missing finalized_at"), (~absent("finalized_at") & ~(form & F.when(form, date).try_cast("date").isNotNull()), "finalized_at is no date"),
+        (absent("claims") & absent("mapping"), "neither mapping nor claims"),
+        (~absent("claims") & _array(m["claims"]).isNull(), "claims must be an array"), (~absent("mapping") & _array(m["mapping"]).isNull(), "mapping must be an array"),
+    ]), F.when(review.isNull() | F.is_variant_null(review), F.array().cast(_PROBLEMS)).otherwise(_found(F.lit("review_independence"), [
+        (r.isNull(), "must be an object"), *[(typed(x, "STRING"), f"{x} must be a string") for x in ("reviewer_model", "writer_model", "model_family")],
+        *[(typed(x, "BOOLEAN"), f"{x} must be a boolean") for x in ("context_shared", "evidence_shared")], (r.isNotNull() & _bad(r["human_involvement"], ("none", "partial", "full")), "illegal human_involvement"),
+    ])))
+
+
+def _mapping_problems(m: Column, path: Column, again: Column) -> Column:
+    url, ok = _text(m["url"]), m.isNotNull()
+    form = lambda key, pattern: (ok & ~_text(m[key]).rlike(pattern), f"{key} format")
+    return _found(path, [
+        (~ok, "must be an object"), *[(ok & m[x].isNull(), f"missing {x}") for x in ("citation", "mapped", "source_id")],
+        form("source_id", r"^S\d+$"), form("citation", r"^\[S\d+\]$"), form("mapped", r"^\[\d+\]$"), (ok & (url != "") & ~url.rlike("^(https?|file)://"), "url scheme"), (again, "duplicate source_id"),
+    ])
+
+
+def _claim_problems(m: Column, path: Column, again: Column) -> Column:
+    ok = m.isNotNull()
+    return _found(path, [
+        (~ok, "must be an object"), *[(ok & m[x].isNull(), f"missing {x}") for x in ("claim_id", "claim_class", "claim_text", "evidence")],
+        (ok & ~_text(m["claim_id"]).rlike(r"^C-\d+$"), "claim_id format"),
+        *[(ok & _bad(m[x], values), f"illegal {x}") for x, values in (("claim_class", k.CLAIM_CLASSES), ("risk", k.RISKS), ("evidence_status", EVIDENCE_STATUSES), ("confidence", k.CONFIDENCES))],
+        (ok & m["evidence"].isNotNull() & _array(m["evidence"]).isNull(), "evidence must be an array"),
+        (ok & m["interpretation"].isNotNull() & (_kind(m["interpretation"]) != "STRING"), "interpretation must be a string"), (again, "duplicate claim_id"),
+    ])
+
+
+def _evidence_problems(m: Column, l: Column, path: Column) -> Column:
+    ok, place = m.isNotNull(), l.isNotNull()
+    whole = lambda x: place & l[x].isNotNull() & ~_kind(l[x]).isin("BIGINT", "BOOLEAN")
+    return _found(path, [
+        (~ok, "must be an object"), *[(ok & m[x].isNull(), f"missing {x}") for x in ("source_id", "support_level")], (ok & ~_text(m["source_id"]).rlike(r"^S\d+$"), "source_id format"),
+        *[(ok & _bad(m[x], values), f"illegal {x}") for x, values in (("support_level", k.SUPPORT_LEVELS), ("authority", k.AUTHORITIES), ("freshness", k.FRESHNESS), ("relation", k.RELATIONS))],
+        (ok & ~place & m["locator"].isNotNull() & ~F.is_variant_null(m["locator"]), "locator must be an object"),
+        (place & (F.size(F.array_except(F.map_keys(l), F.array(*[F.lit(x) for x in k.LOCATOR_KEYS]))) > 0), "locator has an unknown key"),
+        (place & l["locator_quality"].isNotNull() & ~_text(l["locator_quality"]).isin(*k.LOCATOR_QUALITIES), "illegal locator_quality"),
+        (whole("page"), "locator.page must be an integer"), (whole("paragraph"), "locator.paragraph must be an integer"),
+    ])
 
 
 def contract_problems(manifests: DataFrame) -> DataFrame:
     """(doc_id, path, problem) of manifests (doc_id, json). Types and absent keys are seen in the VARIANT, where a typed reader would give null.
 
-    A legacy version is no problem; `warnings` names it. Each level of the contract reads the manifests: they are kept, and
-    spill to disk; what an executor loses is computed again.
+    A legacy version is no problem; `warnings` names it. Each manifest is parsed once; its root, mappings and claims become rows, and a claim's
+    evidence is judged within its row: nothing is shuffled or kept.
     """
-    manifests = manifests.select("doc_id", "json").persist(StorageLevel.MEMORY_AND_DISK)
-    d = manifests.withColumns({"v": F.try_parse_json("json"), "keys": F.json_object_keys("json")})
-    ok = F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))
-    out = [d.where(~ok).select("doc_id", F.lit("").alias("path"), F.lit("root must be an object").alias("problem"))]
-    d = d.where(ok)
-    version = _text("v", "schema_version")
-    array = lambda v, x: _kind(_get(v, x)).startswith("ARRAY")
-    date = _text("v", "finalized_at")
-    out.append(_problems(d, F.lit(""), [
-        (~version.isin(SCHEMA_VERSION, *LEGACY_VERSIONS), "schema_version"),
-        (~_has("keys", "review_kind"), "missing review_kind"), (_bad("v", "review_kind", REVIEW_KINDS), "illegal review_kind"),
-        (~_has("keys", "verification_mode"), "missing verification_mode"), (_bad("v", "verification_mode", MANIFEST_MODES), "illegal verification_mode"),
-        (~_has("keys", "finalized_at"), "missing finalized_at"),
-        (_has("keys", "finalized_at") & ~(date.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), date).try_cast("date").isNotNull()), "finalized_at is no date"),
-        (~_has("keys", "claims") & ~_has("keys", "mapping"), "neither mapping nor claims"),
-        (_has("keys", "claims") & ~array("v", "claims"), "claims must be an array"), (_has("keys", "mapping") & ~array("v", "mapping"), "mapping must be an array"),
-    ]))
-    r = d.withColumn("ri", _get("v", "review_independence")).where(_kind(F.col("ri")) != "VOID").withColumn("ri_ok", _kind(F.col("ri")).startswith("OBJECT"))
-    typed = lambda key, kind: F.col("ri_ok") & ~_kind(_get("ri", key)).isin(kind, "VOID")
-    out.append(_problems(r, F.lit("review_independence"), [
-        (~F.col("ri_ok"), "must be an object"),
-        *[(typed(x, "STRING"), f"{x} must be a string") for x in ("reviewer_model", "writer_model", "model_family")],
-        *[(typed(x, "BOOLEAN"), f"{x} must be a boolean") for x in ("context_shared", "evidence_shared")],
-        (F.col("ri_ok") & _bad("ri", "human_involvement", ("none", "partial", "full")), "illegal human_involvement"),
-    ]))
-
-    m = _members(d, "v", "mapping", "m", "at_i")
-    m_ok, path = F.col("m_ok"), F.concat(F.lit("mapping["), F.col("at_i").cast("string"), F.lit("]"))
-    sid, url = _text("m", "source_id"), _text("m", "url")
-    out.append(_problems(m, path, [
-        (~m_ok, "must be an object"), *[(m_ok & ~_has("m_keys", x), f"missing {x}") for x in ("citation", "mapped", "source_id")],
-        (m_ok & ~sid.rlike(r"^S\d+$"), "source_id format"), (m_ok & ~_text("m", "citation").rlike(r"^\[S\d+\]$"), "citation format"), (m_ok & ~_text("m", "mapped").rlike(r"^\[\d+\]$"), "mapped format"),
-        (m_ok & (url != "") & ~url.rlike("^(https?|file)://"), "url scheme"),
-    ]))
-    out.append(_repeated(m.where(m_ok).withColumn("id", sid), "mapping", "duplicate source_id"))
-
-    cl = _members(d, "v", "claims", "c", "at_i")
-    c_ok, path = F.col("c_ok"), F.concat(F.lit("claims["), F.col("at_i").cast("string"), F.lit("]"))
-    out.append(_problems(cl, path, [
-        (~c_ok, "must be an object"), *[(c_ok & ~_has("c_keys", x), f"missing {x}") for x in ("claim_id", "claim_class", "claim_text", "evidence")],
-        (c_ok & ~_text("c", "claim_id").rlike(r"^C-\d+$"), "claim_id format"),
-        *[(c_ok & _bad("c", x, values), f"illegal {x}") for x, values in (("claim_class", k.CLAIM_CLASSES), ("risk", k.RISKS), ("evidence_status", EVIDENCE_STATUSES), ("confidence", k.CONFIDENCES))],
-        (c_ok & _has("c_keys", "evidence") & ~array("c", "evidence"), "evidence must be an array"),
-        (c_ok & _has("c_keys", "interpretation") & (_kind(_get("c", "interpretation")) != "STRING"), "interpretation must be a string"),
-    ]))
-    out.append(_repeated(cl.where(c_ok).withColumn("id", _text("c", "claim_id")), "claims", "duplicate claim_id"))
-
-    ev = _members(cl.where(c_ok), "c", "evidence", "e", "at_j")
-    ev = ev.withColumn("l", _get("e", "locator")).withColumns({"l_kind": _kind(F.col("l")), "l_keys": F.json_object_keys(F.to_json("l"))})
-    e_ok, path = F.col("e_ok"), F.concat(F.lit("claims["), F.col("at_i").cast("string"), F.lit("].evidence["), F.col("at_j").cast("string"), F.lit("]"))
-    l_ok = e_ok & F.col("l_kind").startswith("OBJECT")
-    whole = lambda x: l_ok & _has("l_keys", x) & ~_kind(_get("l", x)).isin("BIGINT", "BOOLEAN")
-    out.append(_problems(ev, path, [
-        (~e_ok, "must be an object"), *[(e_ok & ~_has("e_keys", x), f"missing {x}") for x in ("source_id", "support_level")], (e_ok & ~_text("e", "source_id").rlike(r"^S\d+$"), "source_id format"),
-        *[(e_ok & _bad("e", x, values), f"illegal {x}") for x, values in (("support_level", k.SUPPORT_LEVELS), ("authority", k.AUTHORITIES), ("freshness", k.FRESHNESS), ("relation", k.RELATIONS))],
-        (e_ok & ~F.col("l_kind").startswith("OBJECT") & (F.col("l_kind") != "VOID"), "locator must be an object"),
-        (l_ok & (F.size(F.array_except("l_keys", F.array(*[F.lit(x) for x in k.LOCATOR_KEYS]))) > 0), "locator has an unknown key"),
-        (l_ok & _has("l_keys", "locator_quality") & ~_text("l", "locator_quality").isin(*k.LOCATOR_QUALITIES), "illegal locator_quality"),
-        (whole("page"), "locator.page must be an integer"), (whole("paragraph"), "locator.paragraph must be an integer"),
-    ]))
-    rows = out[0]
-    for x in out[1:]:
-        rows = rows.unionByName(x)
-    return rows
-
-
-def _repeated(rows: DataFrame, name: str, problem: str) -> DataFrame:
-    """A problem for each item whose id an earlier one of its manifest has."""
-    firsts = rows.groupBy("doc_id", "id").agg(F.min("at_i").alias("first"))
-    again = rows.join(firsts, ["doc_id", "id"]).where(F.col("at_i") > F.col("first"))
-    return again.select("doc_id", F.concat(F.lit(f"{name}["), F.col("at_i").cast("string"), F.lit("]")).alias("path"), F.lit(problem).alias("problem"))
+    d = manifests.select("doc_id", _object(F.try_parse_json("json")).alias("root"))
+
+    def members(name: str, key: str) -> Column:
+        items = F.transform(_array(F.col("root")[name]), lambda v: _object(v))
+        ids = F.transform(items, lambda m: F.when(m.isNotNull(), _text(m[key])))
+        # An item whose id an earlier one has; what isn't an object has no id.
+        pairs = F.transform(F.arrays_zip(items.alias("m"), ids.alias("id"), F.transform(ids, lambda x, i: F.array_position(ids, x) <= i).alias("again")), lambda x, i: F.struct(F.lit(name).alias("level"), i.alias("i"), x["m"].alias("m"), F.coalesce(x["again"], F.lit(False)).alias("again")))
+        return F.coalesce(pairs, F.array().cast(_ITEMS))
+
+    root = F.array(F.struct(F.lit("root").alias("level"), F.lit(-1).alias("i"), F.col("root").alias("m"), F.lit(False).alias("again")))
+    rows = d.select("doc_id", F.explode(F.concat(root, members("mapping", "source_id"), members("claims", "claim_id"))).alias("x")).select("doc_id", "x.*")
+    m, again, path = F.col("m"), F.col("again"), _place("claims", F.col("i"))
+    edges = F.transform(F.transform(_array(m["evidence"]), lambda e: _object(e)), lambda e, j: _evidence_problems(e, _object(e["locator"]), _place("evidence", j, path)))
+    problems = (
+        F.when(F.col("level") == "mapping", _mapping_problems(m, _place("mapping", F.col("i")), again))
+        .when(F.col("level") == "claims", F.concat(_claim_problems(m, path, again), F.coalesce(F.flatten(edges), F.array().cast(_PROBLEMS))))
+        .when(m.isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("root must be an object").alias("problem")))).otherwise(_root_problems(m))
+    )
+    return rows.select("doc_id", F.explode(problems).alias("p")).select("doc_id", "p.*")
+
+
+_PROBLEMS = "array<struct<path:string,problem:string>>"
+_ITEMS = "array<struct<level:string,i:int,m:map<string,variant>,again:boolean>>"
 
 
 def warnings(manifests: DataFrame) -> DataFrame:
