@@ -146,6 +146,12 @@ def overused(drafts: DataFrame, levels: DataFrame, threshold: int = 5) -> DataFr
     return citation_counts(drafts).join(levels.where(F.col("level") == "C").select("ref"), "ref").where(F.col("n") > threshold)
 
 
+def marker_totals(text: Column) -> dict[str, Column]:
+    """Markers of sources and gaps, those of review rounds, and lines."""
+    marks = {"s": t.SOURCE_MARK, "g": t.GAP_MARK, "round_s": t.ROUND_SOURCE_MARK, "round_g": t.ROUND_GAP_MARK}
+    return {n: t.count(text, p) for n, p in marks.items()} | {"lines": F.size(F.split(text, "\n", -1))}
+
+
 def number_map(refs: Column) -> Column:
     """Keys of the reference list in order of first occurrence; a key's place is its number."""
     return F.array_distinct(t.find_all(refs, r"(?m)^\[S?(\d+)\]"))

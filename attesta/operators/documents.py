@@ -55,33 +55,44 @@ def framework_depth(docs: DataFrame, min_chars: int = 1200, min_missing: int = 1
 
 # What a section's line begins with, and the sections it opens.
 MARKER = r"(?i)^[#*\s]{0,10}(摘\s*要|Abstract\s*[:：]?|关\s*键\s*词|Key\s*words|参\s*考\s*文\s*献|References|【参\s*考\s*文\s*献】)\*{0,2}\s*[:：]?\s*"
+CODE = "^(中图分类号|文献[标志标识码别])"
 SECTIONS = ("front", "abs", "kw", "abs_en", "kw_en", "body", "concl", "refs")
+#: A letter for each section, by which lines are marked.
+_LETTER = dict(zip(SECTIONS, "faksebcr", strict=True))
 
 
 def sections(text: Column) -> Column:
-    """A struct of SECTIONS. Two of the changes depend on the section before, so that lines are folded in order."""
+    """Array of {m, l}: each line's text and the letter of its section.
+
+    Two of the changes depend on the section before, so that lines are folded in order; the fold carries one letter a line.
+    """
     lines = F.split(text, "\r\n|\r|\n", -1)
+    x = _LETTER
 
     def step(acc: Column, line: Column) -> Column:
         mode, s = acc["mode"], F.trim(line)
         marked = s.rlike(MARKER)
         head = F.lower(F.regexp_replace(F.regexp_extract(s, MARKER, 1), r"[\s:：]", ""))
-        opened = F.when(head == "摘要", "abs").when(head == "abstract", "abs_en").when(head == "关键词", "kw").when(head == "keywords", "kw_en").otherwise("refs")
-        rest = F.regexp_replace(s, MARKER, "")
-        m = F.when(s.rlike(r"^#{2,6}\s") & mode.isin("front", "abs_en", "kw_en", "kw", "abs"), "body").otherwise(mode)
-        m = F.when((m == "body") & s.rlike(r"^#{1,6}\s*\d+(\.\d+)*\s*.*(结论|结语)"), "concl").otherwise(m)
-        code = s.rlike("^(中图分类号|文献[标志标识码别])")
-        long = m.isin("kw", "kw_en") & ~s.contains("；") & ~s.contains(";") & (F.length(s) > 40)
-        n = F.when(long, F.when(s.contains("引言"), "body").otherwise("front")).otherwise(m)
-        n = F.when((n == "abs") & ~s.rlike(t.CJK) & (t.count(s, "[A-Za-z]") > 30), "abs_en").otherwise(n)
-        to = F.when(marked, opened).when(code, "front").otherwise(n)
-        kept = F.when(marked, rest).when(code, s).otherwise(line)
-        entry = F.struct(to.alias("m"), kept.alias("l"))
-        return F.struct(F.when(marked, opened).when(code, m).otherwise(n).alias("mode"), F.when(marked & (rest == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(entry))).alias("out"))
-
-    start = F.struct(F.lit("front").alias("mode"), F.array().cast("array<struct<m:string,l:string>>").alias("out"))
-    out = F.aggregate(lines, start, step, lambda acc: acc["out"])
-    return out
+        opened = F.when(head == "摘要", x["abs"]).when(head == "abstract", x["abs_en"]).when(head == "关键词", x["kw"]).when(head == "keywords", x["kw_en"]).otherwise(x["refs"])
+        before_body = mode.isin(*[x[m] for m in ("front", "abs_en", "kw_en", "kw", "abs")])
+        m = F.when(s.rlike(r"^#{2,6}\s") & before_body, x["body"]).otherwise(mode)
+        m = F.when((m == x["body"]) & s.rlike(r"^#{1,6}\s*\d+(\.\d+)*\s*.*(结论|结语)"), x["concl"]).otherwise(m)
+        code = s.rlike(CODE)
+        long = m.isin(x["kw"], x["kw_en"]) & ~s.contains("；") & ~s.contains(";") & (F.length(s) > 40)
+        n = F.when(long, F.when(s.contains("引言"), x["body"]).otherwise(x["front"])).otherwise(m)
+        n = F.when((n == x["abs"]) & ~s.rlike(t.CJK) & (t.count(s, "[A-Za-z]") > 30), x["abs_en"]).otherwise(n)
+        to = F.when(marked, opened).when(code, x["front"]).otherwise(n)
+        return F.struct(F.when(marked, opened).when(code, m).otherwise(n).alias("mode"), F.concat(acc["out"], to).alias("out"))
+
+    start = F.struct(F.lit(x["front"]).alias("mode"), F.lit("").alias("out"))
+    letters = F.filter(F.split(F.aggregate(lines, start, step, lambda acc: acc["out"]), ""), lambda m: m != "")
+
+    def kept(line: Column, m: Column) -> Column:
+        s = F.trim(line)
+        return F.struct(m.alias("m"), F.when(s.rlike(MARKER), F.nullif(F.regexp_replace(s, MARKER, ""), F.lit(""))).when(s.rlike(CODE), s).otherwise(line).alias("l"))
+
+    # A marker with nothing behind it is no line of its section.
+    return F.filter(F.zip_with(lines, letters, kept), lambda e: e["l"].isNotNull())
 
 
 def with_sections(docs: DataFrame) -> DataFrame:
@@ -89,7 +100,7 @@ def with_sections(docs: DataFrame) -> DataFrame:
     d = docs.withColumn("_s", sections(F.col("text")))
 
     def lines(mode: str) -> Column:
-        return F.array_join(F.transform(F.filter("_s", lambda x: x["m"] == mode), lambda x: x["l"]), "\n")
+        return F.array_join(F.transform(F.filter("_s", lambda x: x["m"] == _LETTER[mode]), lambda x: x["l"]), "\n")
 
     d = d.withColumns({m: lines(m) for m in SECTIONS}).drop("_s")
     return d.withColumn("body", F.get(F.split("body", r"(?m)^#{1,6}\s*附\s*录.*$", 2), F.lit(0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions import text as t
+from attesta.operators.corpus import next_ids
 
 
 def new_files(files: DataFrame, seen: DataFrame) -> DataFrame:
@@ -18,18 +20,105 @@ def new_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     return firsts.join(seen.select("md5"), "md5", "left_anti")
 
 
+# What the lines of a first page tell. Lines with these words are no titles; lines with these are of institutions.
+NO_TITLE = (
+    r"(?i)摘要|关键词|中图分类|DOI|Vol\.|No\.|第.{1,4}卷|收稿|基金|作者简介|文章编号|abstract|keywords|\d{4}\s*年\s*第|\d{4}\s*年\s*\d{1,2}\s*月|总第|标准与检测|前沿视点|研究方向|Frontier|FRONTIER"
+    r"|等[：:]|［\d+］|\[\d+\]|IEEE\s*Std|提出"
+)
+INSTITUTION = r"公司|大学|研究院|研究所|学院|邮编|\d{6}$"
+NAME = r"[\x{4e00}-\x{9fff}·]{2,4}"
+ARTICLE_NUMBER = r"文章编号[:：]?\s*(\d{4})-?(\d{4})\((\d{2,4})\)-(\d{4,5})-(\d{1,3})"
+CN_JOURNAL = r"([\x{4e00}-\x{9fff}]{2,10})[ \t]*(\d{4})[，,][ \t]*(\d{1,3})[ \t]*\((\d{1,2})\)"
+EN_JOURNAL = r"([A-Z][A-Za-z &]{5,60}?)\s*Vol\.?\s*(\d{1,3})\s*No\.?\s*(\d{1,3})"
+MONTH_YEAR = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+(\d{4})"
+#: Lines of a first page that may hold the title, characters of a title that comes once and of any, lines and characters of an English one.
+HEAD_LINES, ALONE, LONGEST, ENGLISH_LINES, ENGLISH_CHARS = 44, 40, 90, 25, 120
+
+
+def title_candidate(line: Column) -> Column:
+    """whether a line may be (a part of) a Chinese title."""
+    sentence = line.rlike("[。；]") | (F.regexp_count(line, F.lit("[，,]")) >= 2) | line.rlike(r"^[（(]")
+    return ~sentence & ~line.rlike(NO_TITLE) & ~line.rlike(INSTITUTION) & F.length(line).between(6, 60) & line.rlike(t.CJK)
+
+
+def author_line(line: Column) -> Column:
+    """whether a line lists authors: names between commas, or between blanks with numbers of institutions."""
+    bare = F.regexp_replace(line, r"[\s\d*＊]+", "")
+    spaced = ~line.rlike("[，,、]") & line.rlike(rf"^{NAME}(?:\d{{0,2}}[ \x{{3000}}]+{NAME}){{1,11}}\d{{0,3}}$")
+    return bare.rlike(rf"^{NAME}(?:[，,、]{NAME}){{1,11}}$") | spaced
+
+
+def _blocks(lines: Column, fits: Callable[[Column, Column], Column], between: str) -> Column:
+    """Runs of neighbouring lines that fit, joined."""
+    marked = F.transform(lines, lambda x, i: F.when(fits(x, i), F.concat(x, F.lit(between))).otherwise("\x01"))
+    return F.filter(F.transform(F.split(F.array_join(marked, ""), "\x01+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def best_title(blocks: Column, text: Column) -> Column:
+    """T5: of the blocks the one that the text repeats, then the longest; alone, only a short one. Null if none will do."""
+    dense = F.regexp_replace(text, r"[\s\x{3000}]", "")
+
+    def scored(block: Column) -> Column:
+        begin = F.substring(F.regexp_replace(block, r"[\s\x{3000}]", ""), 1, 12)
+        times = (F.length(dense) - F.length(F.replace(dense, begin, F.lit("")))) / F.length(begin)
+        return F.struct((times >= 2).alias("repeated"), F.length(block).alias("n"), block.alias("block"))
+
+    best = F.array_max(F.transform(F.filter(blocks, lambda x: F.length(x).between(6, LONGEST)), scored))
+    return F.when(best["repeated"] | (best["n"] <= ALONE), best["block"])
+
+
+def title_and_authors(text: Column) -> Column:
+    """struct<title, authors> of a first page: blocks of title lines and the line of authors below one, else the first capitalised lines."""
+    norm = t.to_half_width(text)
+    lines = F.slice(F.filter(F.transform(F.split(norm, r"\n|\r"), lambda x: F.trim(x)), lambda x: x != ""), 1, HEAD_LINES)
+
+    def read(ls: Column) -> Column:
+        above = lambda i: F.coalesce(title_candidate(F.get(ls, i - 1)), F.lit(False))
+        chinese = _blocks(ls, lambda x, i: ~author_line(x) & (title_candidate(x) | (x.rlike(r"^[A-Za-z0-9\-()/]{1,12}$") & above(i))), "")
+        english = _blocks(F.slice(ls, 1, ENGLISH_LINES), lambda x, i: x.rlike(r"^[A-Z][A-Za-z0-9,\-() ]{3,80}$") & ~x.rlike(NO_TITLE), " ")
+        authors = F.get(F.filter(ls, lambda x, i: author_line(x) & above(i)), F.lit(0))
+        names = F.array_join(F.filter(F.split(F.regexp_replace(authors, r"[\d*＊]+", " "), r"[，,、\s]+"), lambda x: x != ""), "，")
+        title = best_title(chinese, norm)
+        return F.struct(F.coalesce(title, F.substring(F.get(english, F.lit(0)), 1, ENGLISH_CHARS), F.lit("")).alias("title"), F.when(title.isNotNull(), F.coalesce(names, F.lit(""))).otherwise("").alias("authors"))
+
+    return F.transform(F.array(lines), read)[0]
+
+
 def bibliography(text: Column) -> dict[str, Column]:
-    """What patterns find in a first page: DOI, volume, issue, year, language; blank if nothing."""
+    """What patterns find in a first page: DOI, journal, volume, issue, pages, year, language; blank if nothing."""
     norm = t.to_half_width(text)
+    found = lambda p, i: F.regexp_extract(norm, p, i)
+    first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
+    begin, length, short = found(ARTICLE_NUMBER, 4).try_cast("int"), found(ARTICLE_NUMBER, 5).try_cast("int"), found(ARTICLE_NUMBER, 3)
     return {
-        "doi": F.regexp_extract(norm, r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)", 1),
-        "volume": F.regexp_extract(norm, r"(?:第\s*(\d+)\s*卷|(?i:Vol\.?)\s*(\d+))", 1),
-        "issue": F.regexp_extract(norm, r"第\s*(\d+)\s*期", 1),
-        "year": F.regexp_extract(norm, r"\b((?:19|20)\d{2})\s*年?", 1),
+        "doi": F.rtrim(found(r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)", 1), F.lit(".,;")),
+        "journal": first(found(CN_JOURNAL, 1), F.trim(found(EN_JOURNAL, 1))),
+        "volume": first(found(CN_JOURNAL, 3), found(r"第\s*(\d+)\s*卷", 1), found(EN_JOURNAL, 2), found(r"(?i)Vol\.?\s*(\d+)", 1)),
+        "issue": first(found(CN_JOURNAL, 4), found(r"第\s*(\d+)\s*期", 1), found(EN_JOURNAL, 3)),
+        "page": F.when(begin.isNotNull(), F.concat(begin.cast("string"), F.lit("-"), (begin + length - 1).cast("string"))).otherwise(""),
+        "year": first(F.when(F.length(short) == 4, short).when(short != "", F.concat(F.lit("20"), F.substring(short, -2, 2))), found(CN_JOURNAL, 2), found(MONTH_YEAR, 1), found(r"\b((?:19|20)\d{2})\s*年?", 1)),
         "lang": F.when(t.count(norm, t.CJK) * 5 > F.length(norm), "zh").otherwise("en"),
     }
 
 
+def corpus_rows(files: DataFrame, seen: DataFrame, corpus: DataFrame, origin: str = "user") -> DataFrame:
+    """SC17: rows of the corpus for files (path, md5, text) whose content is new, under ids that `corpus` (source_id) lacks, by path.
+
+    The year falls back to the one that a file's name begins with; what no pattern finds stays blank.
+    """
+    new = next_ids(new_files(files, seen).withColumn("pos", F.col("path")), corpus.select("source_id"))
+    stem, text = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1), F.coalesce("text", F.lit(""))
+    d = new.withColumns({"stem": stem, "head": title_and_authors(text), **bibliography(text)})
+    d = d.withColumns({"title": F.col("head.title"), "authors": F.col("head.authors"), "year": F.coalesce(F.nullif("year", F.lit("")), F.regexp_extract("stem", r"^(\d{4})", 1))})
+    number = F.when(F.col("volume") != "", F.concat(F.lit(", "), "volume", F.lit("("), F.coalesce(F.nullif("issue", F.lit("")), F.lit("?")), F.lit(")"), F.when(F.col("page") != "", F.concat(F.lit(": "), "page")).otherwise(""))).otherwise("")
+    series = F.when((F.col("journal") != "") & (F.col("year") != ""), F.concat("journal", F.lit(", "), "year", number)).otherwise("")
+    return d.select(
+        "source_id", F.coalesce(F.nullif("title", F.lit("")), "stem").alias("title"), F.col("stem").alias("title_or_name"), "authors", series.alias("series"), F.col("journal").alias("publisher"), "year", "doi", "lang",
+        F.concat(F.lit("file://"), F.regexp_replace("path", "^file:/*", "/")).alias("url"), F.lit("C1").alias("authority"), F.when(F.col("year").try_cast("int") >= 2018, "recent").otherwise("historical").alias("freshness"),
+        F.lit(origin).alias("source_origin"), F.lit("confirmed").alias("access_status"), metadata_confidence().alias("meta_confidence"),
+    )
+
+
 def metadata_confidence() -> Column:
     """By how many of five fields are known; high needs authors."""
     known = sum(((F.coalesce(F.trim(F.col(c)), F.lit("")) != "").cast("int") for c in ("authors", "journal", "year", "volume")), (F.coalesce(F.trim("title"), F.lit("")) != "").cast("int"))
@@ -87,9 +176,20 @@ def title_mismatches(entries: DataFrame, sources: DataFrame, least: float = 0.6)
     return d.where(F.col("score") < least).select("doc_id", "source_id", "score")
 
 
-def text_with_header(source_id: Column, title: Column, url: Column, text: Column) -> Column:
-    """SK5: a text file of a source: four lines of header, then the text."""
-    return F.concat_ws("\n", F.concat(F.lit("source_id: "), source_id), F.concat(F.lit("title: "), title), F.concat(F.lit("url: "), F.coalesce(url, F.lit(""))), F.lit("---"), text)
+def text_with_header(source_id: Column, title: Column, url: Column, text: Column, truncated: Column | None = None) -> Column:
+    """SK5: a text file of a source: id and title, URL, size and a rule, then the text."""
+    cut = F.lit(False) if truncated is None else F.coalesce(truncated, F.lit(False))
+    size = F.concat(F.lit("Chars: "), F.length(text).cast("string"), F.when(cut, " (TRUNCATED)").otherwise(""))
+    return F.concat(F.lit("["), source_id, F.lit("] "), title, F.lit("\nURL: "), F.coalesce(url, F.lit("")), F.lit("\n"), size, F.lit("\n" + "=" * 60 + "\n\n"), text)
+
+
+def text_written_back(corpus: DataFrame, extracted: DataFrame) -> DataFrame:
+    """SK5: the corpus with what became of each source's text: `extracted` has (source_id, path, chars, truncated, quote), one row a source.
+
+    Sources without a row keep nulls; a blank quote says nothing.
+    """
+    e = extracted.select("source_id", F.lit(True).alias("pdf_text_extracted"), F.col("chars").alias("pdf_text_chars"), F.col("path").alias("pdf_text_path"), F.col("truncated").alias("pdf_text_truncated"), F.when(F.trim("quote") != "", F.col("quote")).alias("verified_quote"))
+    return corpus.join(e, "source_id", "left")
 
 
 def is_pdf(content: Column) -> Column:

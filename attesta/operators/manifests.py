@@ -46,11 +46,18 @@ def claim_manifests(claims: DataFrame, edges: DataFrame, finalized_at: str, revi
     return cases.select("case_key", F.to_json(F.struct(*head, "claims")).alias("manifest"))
 
 
-def source_manifests(numbers: DataFrame, sources: DataFrame, claims_by_source: DataFrame) -> DataFrame:
-    """(doc_id, mapping) from numbered keys (doc_id, key, n), in order of number, with what is known of each source and its claims."""
+def source_manifests(numbers: DataFrame, sources: DataFrame, claims_by_source: DataFrame, finalized_at: str, review_kind: str = "ai-internal", mode: str = "static", notice: str | None = None, independence: Column | None = None) -> DataFrame:
+    """(doc_id, manifest) from numbered keys (doc_id, key, n), in order of number, with what is known of each source and its claims.
+
+    `claims_by_source` has (doc_id, key, claims); `notice` says what the evidence doesn't reach, `independence` is a struct of the review's.
+    """
     d = numbers.join(sources.select(F.col("source_id").alias("sid"), "title", "url"), F.concat(F.lit("S"), F.col("key")) == F.col("sid"), "left").join(claims_by_source, ["doc_id", "key"], "left")
     entry = F.struct(F.concat(F.lit("[S"), F.col("key"), F.lit("]")).alias("citation"), F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]")).alias("mapped"), F.concat(F.lit("S"), F.col("key")).alias("source_id"), F.when(~blank(F.col("title")), F.col("title")).alias("title"), F.when(~blank(F.col("url")), F.col("url")).alias("url"), "claims")
-    return d.groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("n", entry.alias("e")))), lambda x: x["e"])).alias("mapping"))
+    mapping = F.transform(F.sort_array(F.collect_list(F.struct("n", entry.alias("e")))), lambda x: x["e"]).alias("mapping")
+    head = [F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(review_kind).alias("review_kind"), F.lit(mode).alias("verification_mode"), F.lit(finalized_at).alias("finalized_at")]
+    head += [] if notice is None else [F.lit(notice).alias("boundary_notice")]
+    head += [] if independence is None else [independence.alias("review_independence")]
+    return d.groupBy("doc_id").agg(mapping).select("doc_id", F.to_json(F.struct(*head, "mapping")).alias("manifest"))
 
 
 def _kind(v: Column) -> Column:
@@ -225,13 +232,16 @@ def verdicts(reviews: DataFrame) -> DataFrame:
     return d.where(F.col("verdict") != "")
 
 
-def provenance(claims: DataFrame, edges: DataFrame, sources: DataFrame, reviews: DataFrame, finalized_at: str) -> dict[str, DataFrame]:
-    """G14, SK8: the bundle's four tables, each (case_key or none, json); the claims' manifests must be without problems.
+def provenance(claims: DataFrame, edges: DataFrame, sources: DataFrame, reviews: DataFrame, finalized_at: str, source_map: DataFrame | None = None) -> dict[str, DataFrame]:
+    """G14, SK8: the bundle's four tables, each (case_key or none, json); the manifests of claims, and those of sources (doc_id, manifest) if given, must be without problems.
 
     The check is one action before anything is written.
     """
     manifests = claim_manifests(claims, edges, finalized_at)
-    if not contract_problems(manifests.select(F.col("case_key").alias("doc_id"), F.col("manifest").alias("json"))).isEmpty():
+    checked = manifests.select(F.col("case_key").cast("string").alias("doc_id"), F.col("manifest").alias("json"))
+    if source_map is not None:
+        checked = checked.unionByName(source_map.select(F.col("doc_id").cast("string"), F.col("manifest").alias("json")))
+    if not contract_problems(checked).isEmpty():
         raise ValueError("a manifest violates the contract")
     return {
         "claims": manifests.select("case_key", F.col("manifest").alias("json")),

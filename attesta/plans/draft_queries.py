@@ -158,10 +158,11 @@ def p37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.changes(b.drafts(spark, sf_dir))
 
 
-@query("a18_marker_totals", f"WITH {DRAFTS_SQL} SELECT doc_id, len(regexp_extract_all(text, '\\[S\\d+\\]'))::INT AS s, len(regexp_extract_all(text, '\\[G\\d+\\]'))::INT AS g, len(string_split(text, chr(10)))::INT AS lines FROM drafts")
+@query("a18_marker_totals", f"WITH {DRAFTS_SQL} SELECT doc_id, len(regexp_extract_all(text, '\\[S\\d+\\]'))::INT AS s, len(regexp_extract_all(text, '\\[G\\d+\\]'))::INT AS g, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS round_s, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS round_g, len(string_split(text, chr(10)))::INT AS lines FROM drafts")
 def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = b.drafts(spark, sf_dir)
-    return d.select("doc_id", t.count(F.col("text"), t.SOURCE_MARK).alias("s"), t.count(F.col("text"), t.GAP_MARK).alias("g"), F.size(F.split("text", "\n", -1)).alias("lines"))
+    """Markers of review rounds are counted by themselves."""
+    d = b.drafts(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " [R1-S2] [R2-S10] [R1-G3]").otherwise("")))
+    return d.select("doc_id", *[x.alias(n) for n, x in op.marker_totals(F.col("text")).items()])
 
 
 @query("w7_boundaries", f"WITH {DRAFTS_SQL}, x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM drafts) SELECT doc_id, (list_position(lines, '## 参考文献') - 1)::INT AS refs, (list_position(lines, '## 附录A 缺口') - 1)::INT AS appendix FROM x")

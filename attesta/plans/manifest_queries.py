@@ -39,14 +39,17 @@ def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p18_source_manifest", f"""WITH {DRAFTS_SQL}, {_NUMBERS}, s AS (SELECT 'S' || p_partkey AS sid, p_name FROM part WHERE p_partkey % 13 <> 0)
-SELECT doc_id, '[S' || key || ']' AS citation, '[' || n || ']' AS mapped, 'S' || key AS source_id, p_name AS title FROM numbers LEFT JOIN s ON sid = 'S' || key""")
+SELECT doc_id, '[S' || key || ']' AS citation, '[' || n || ']' AS mapped, 'S' || key AS source_id, p_name AS title, '0.2.0' AS version, '2026-01-01' AS day, 'none' AS human FROM numbers LEFT JOIN s ON sid = 'S' || key""")
 def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.plans.draft_queries import w2
 
     e = b.evidence(spark, sf_dir).groupBy(F.col("claim_key").alias("doc_id"), F.col("source_key").cast("string").alias("key")).agg(F.collect_list(F.struct("support_level")).alias("claims"))
-    m = op.source_manifests(w2(spark, sf_dir), b.sources(spark, sf_dir), e)
-    rows = m.select("doc_id", F.explode(F.from_json("mapping", "array<struct<citation:string,mapped:string,source_id:string,title:string>>")).alias("m"))
-    return rows.select("doc_id", "m.*")
+    human = F.struct(F.lit("none").alias("human_involvement"), F.lit(True).alias("context_shared"))
+    m = op.source_manifests(w2(spark, sf_dir), b.sources(spark, sf_dir), e, _DAY, notice="public sources only", independence=human)
+    entry = "array<struct<citation:string,mapped:string,source_id:string,title:string>>"
+    rows = m.select("doc_id", F.from_json("manifest", f"struct<schema_version:string,finalized_at:string,review_independence:struct<human_involvement:string>,mapping:{entry}>").alias("j"))
+    rows = rows.select("doc_id", F.explode("j.mapping").alias("m"), F.col("j.schema_version").alias("version"), F.col("j.finalized_at").alias("day"), F.col("j.review_independence.human_involvement").alias("human"))
+    return rows.select("doc_id", "m.*", "version", "day", "human")
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:

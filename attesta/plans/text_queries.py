@@ -267,7 +267,7 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", ingest_op.metadata_confidence().alias("confidence"))
 
 
-@query("p31_bibliography", "SELECT p_partkey, '10.1234/a.' || p_partkey AS doi, (p_partkey % 50)::VARCHAR AS volume, (p_size % 12 + 1)::VARCHAR AS issue, '20' || (p_partkey % 90 + 10) AS year, CASE WHEN p_partkey % 2 = 0 THEN 'zh' ELSE 'en' END AS lang FROM part")
+@query("p31_bibliography", "SELECT p_partkey, '10.1234/a.' || p_partkey AS doi, '' AS journal, '' AS page, (p_partkey % 50)::VARCHAR AS volume, (p_size % 12 + 1)::VARCHAR AS issue, '20' || (p_partkey % 90 + 10) AS year, CASE WHEN p_partkey % 2 = 0 THEN 'zh' ELSE 'en' END AS lang FROM part")
 def p31(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.table(spark, sf_dir, "part")
     key = F.col("p_partkey")
@@ -303,10 +303,37 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_op.title_mismatches(entries, sources)
 
 
-@query("sk5_text_header", "SELECT doc_id, 'source_id: S' || doc_id || chr(10) || 'title: ' || source || chr(10) || 'url: ' || chr(10) || '---' || chr(10) || text AS content FROM documents")
+@query("sk5_text_header", "SELECT doc_id, '[S' || doc_id || '] ' || source || chr(10) || 'URL: ' || chr(10) || 'Chars: ' || length(text) || CASE WHEN doc_id % 3 = 0 THEN ' (TRUNCATED)' ELSE '' END || chr(10) || repeat('=', 60) || chr(10) || chr(10) || text AS content FROM documents")
 def sk5(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", ingest_op.text_with_header(F.concat(F.lit("S"), F.col("doc_id").cast("string")), F.col("source"), F.lit(None).cast("string"), F.col("text")).alias("content"))
+    return d.select("doc_id", ingest_op.text_with_header(F.concat(F.lit("S"), F.col("doc_id").cast("string")), F.col("source"), F.lit(None).cast("string"), F.col("text"), F.col("doc_id") % 3 == 0).alias("content"))
+
+
+@query("sk5_write_back", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN true END AS extracted, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS chars, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS quote FROM part")
+def sk5_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = b.table(spark, sf_dir, "part").withColumn("source_id", F.concat(F.lit("S"), F.col("p_partkey").cast("string")))
+    e = p.where("p_partkey % 2 = 0").select("source_id", F.lit("x.txt").alias("path"), F.col("p_size").alias("chars"), F.lit(False).alias("truncated"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(" ").alias("quote"))
+    d = ingest_op.text_written_back(p, e)
+    return d.select("p_partkey", F.col("pdf_text_extracted").alias("extracted"), F.col("pdf_text_chars").alias("chars"), F.col("verified_quote").alias("quote"))
+
+
+_TITLE, _AUTHORS = "多源数据融合的电缆老化评估方法", "王小明，李大山"
+
+
+@query("sc17_corpus_rows", f"""WITH f AS (SELECT p_partkey AS p, 'x' || (p_partkey - p_partkey % 2) AS md5, lpad(p_partkey::VARCHAR, 9, '0') AS name FROM part WHERE p_partkey % 5 <> 0),
+firsts AS (SELECT p, name FROM f QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY name) = 1), n AS (SELECT *, row_number() OVER (ORDER BY name) + 3 AS id FROM firsts)
+SELECT 'S' || id AS source_id, name AS title_or_name, CASE WHEN p % 3 = 0 THEN '{_TITLE}' ELSE name END AS title, CASE WHEN p % 3 = 0 THEN '{_AUTHORS}' ELSE '' END AS authors, CASE WHEN p % 3 = 0 THEN '仪器学报, 2021, ' || (p % 40) || '(' || (p % 9) || ')' ELSE '' END AS series,
+  CASE WHEN p % 3 = 0 THEN 'high' ELSE 'low' END AS meta_confidence, CASE WHEN p % 3 = 0 THEN 'recent' ELSE 'historical' END AS freshness FROM n""")
+def sc17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P31, F28, T5 too: files whose content comes twice, first pages with and without a title, ids after three that are taken."""
+    key = F.col("p_partkey")
+    p = b.table(spark, sf_dir, "part").where(key % 5 != 0)
+    page = F.concat(F.lit("仪器学报 2021，"), (key % 40).cast("string"), F.lit("("), (key % 9).cast("string"), F.lit(")\n多源数据融合的\n电缆老化评估方法\n王小明1，李大山2\n某某大学 某学院\n摘要：本文提出一种方法。\n多源数据融合的电缆老化评估方法"))
+    files = p.select(F.concat(F.lit("/in/"), F.lpad(key.cast("string"), 9, "0"), F.lit(".pdf")).alias("path"), F.concat(F.lit("x"), (key - key % 2).cast("string")).alias("md5"), F.when(key % 3 == 0, page).otherwise("。").alias("text"))
+    seen = spark.createDataFrame([("none",)], "md5 string")
+    taken = spark.createDataFrame([("S1",), ("S2",), ("S3",)], "source_id string")
+    out = ingest_op.corpus_rows(files, seen, taken)
+    return out.select("source_id", "title_or_name", "title", "authors", "series", "meta_confidence", "freshness")
 
 
 @query("p41_review_kind", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'AI internal' WHEN 1 THEN 'AI cross-model' WHEN 2 THEN 'human expert' ELSE 'other' END AS label FROM part")

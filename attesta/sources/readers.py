@@ -26,6 +26,25 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", F.posexplode(F.flatten(F.array(*lists))).alias("pos", "s")).select("file", "pos", "s.*")
 
 
+def nested_sources(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
+    """SC2: (file, source as JSON) of whatever has an id or a source_id in JSON files, in lists or under the named keys, down to `depth`.
+
+    The root may be a list or an object. Each level is one step over the items that are no sources themselves.
+    """
+    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+    found = None
+    for _ in range(depth):
+        members, items = F.try_variant_get("v", "$", "map<string,variant>"), F.try_variant_get("v", "$", "array<variant>")
+        d = raw.select("file", "v", members.alias("m"), items.alias("items"))
+        source = F.coalesce(F.col("m")["id"].isNotNull() | F.col("m")["source_id"].isNotNull(), F.lit(False))
+        here = d.where(source).select("file", F.to_json("v").alias("source"))
+        found = here if found is None else found.unionByName(here)
+        inner = [F.coalesce(F.try_variant_get(F.col("m")[x], "$", "array<variant>"), F.array().cast("array<variant>")) for x in SOURCE_LISTS]
+        below = F.when(F.col("items").isNotNull(), F.col("items")).otherwise(F.flatten(F.array(*inner)))
+        raw = d.where(~source).select("file", F.explode(below).alias("v"))
+    return found
+
+
 def evidence_map(spark: SparkSession, path: str) -> DataFrame:
     """One row for each claim of evidence maps, with its place and id; maps by source id stay maps."""
     schema = T.StructType([T.StructField("evidence_map", T.ArrayType(k.CLAIM))])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.operators import citations
+
 #: Columns of a download manifest, in order.
 DOWNLOAD_COLUMNS = ("id", "title", "url", "role", "status", "filename", "content_type", "bytes", "reason", "input_file")
 
@@ -34,3 +36,16 @@ def provenance_bundle(tables: dict[str, DataFrame], path: str) -> None:
     """SK8: a folder of JSON lines for each table of a bundle, which was checked when it was made."""
     for name, df in tables.items():
         df.select(F.col("json").alias("value")).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def finished_drafts(drafts: DataFrame, path: str) -> DataFrame:
+    """SK6: finished texts with their problems, written even where there are some; returns (doc_id, valid, problems) as written.
+
+    A draft without a reference section has no finished text and isn't valid.
+    """
+    done = citations.finished(drafts).select("doc_id", "final")
+    problems = citations.final_problems(done.where(F.col("final").isNotNull())).groupBy("doc_id").agg(F.sort_array(F.collect_list("problem")).alias("problems"))
+    out = done.join(problems, "doc_id", "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
+    out = out.withColumn("valid", F.col("final").isNotNull() & (F.size("problems") == 0))
+    out.write.mode("overwrite").parquet(path)
+    return drafts.sparkSession.read.schema(out.schema).parquet(path).select("doc_id", "valid", "problems")

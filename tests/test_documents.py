@@ -186,3 +186,33 @@ def test_unknown_domain_is_an_error(spark):
     assert [r["id"] for r in corpus.selected(rows, "education").collect()] == ["a"] and corpus.selected(rows, "general").count() == 2
     with pytest.raises(ValueError, match="unknown topic domain"):
         corpus.selected(rows, "astrology")
+
+
+def test_first_page(spark):
+    pages = [
+        ("核电缆\n某大学\n多源数据融合的\n电缆老化评估方法\n王小明1，李大山2\n摘要：本文。\n多源数据融合的电缆老化评估方法", "多源数据融合的电缆老化评估方法", "王小明，李大山"),
+        ("Deep Networks for Cable Ageing\nA Review of Methods\nabstract: text", "Deep Networks for Cable Ageing A Review of Methods", ""),
+        ("。\n，", "", ""), ("", "", ""),
+        ("这是一个没有重复而且长度超过四十个字符因此绝不会被当作标题来使用的首屏正文长句它还在继续下去直到足够", "", ""),
+    ]
+    got = spark.createDataFrame([(i, p) for i, (p, *_) in enumerate(pages)], "i int, p string").withColumn("x", ingest.title_and_authors(F.col("p"))).orderBy("i").collect()
+    assert [(r["x"]["title"], r["x"]["authors"]) for r in got] == [tuple(w) for _, *w in pages]
+    fields = {k: v.alias(k) for k, v in ingest.bibliography(F.col("p")).items()}
+    rows = spark.createDataFrame([("文章编号：1001-0505(2019)-00123-08 DOI：10.1234/ab.c.",), ("Journal of Cable Studies Vol. 12 No. 3 March 2015",), ("x",)], "p string").select(*fields.values()).collect()
+    assert (rows[0]["doi"], rows[0]["year"], rows[0]["page"]) == ("10.1234/ab.c", "2019", "123-130")
+    assert (rows[1]["journal"], rows[1]["volume"], rows[1]["issue"], rows[1]["year"]) == ("Journal of Cable Studies", "12", "3", "2015")
+    assert all(rows[2][x] == "" for x in ("doi", "journal", "volume", "issue", "page", "year"))
+
+
+def test_nested_sources(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "1"}, {"sources": [{"source_id": "S2", "title": "t"}, [{"id": "3"}]], "other": [{"id": "no"}]}, 5, None]))
+    (tmp_path / "b.json").write_text(json.dumps({"items": [{"core_sources": [{"id": "4", "sources": [{"id": "inner"}]}]}]}))
+    (tmp_path / "c.json").write_text("not json")
+    got = sorted(json.loads(r["source"]).get("id") or json.loads(r["source"])["source_id"] for r in readers.nested_sources(spark, str(tmp_path)).collect())
+    assert got == ["1", "3", "4", "S2"]
+
+
+def test_finished_drafts_are_written_even_if_invalid(spark, tmp_path):
+    d = drafts(spark, DRAFT.format("S1", "https://x.org/1", ""), "no references [S1]", DRAFT.format("S9", "https://x.org/1", ""))
+    got = {r["doc_id"]: r for r in sinks.finished_drafts(d, str(tmp_path / "out")).collect()}
+    assert [got[i]["valid"] for i in range(3)] == [True, False, False] and got[2]["problems"] == ["residual [?n]: 1"]
