@@ -9,8 +9,9 @@ the most frequent by the number of texts over all documents. Words beyond it (in
 are encoded once for each batch of texts they occur in, by the same tokenizer, with the same ids: shuffling every occurrence of
 them, and the texts, to a join by word would cost several times the input in disk.
 
-Decoding joins ids to the vocabulary's pieces by a fixed-size id-to-piece table and puts a space
-between pieces, as the library does for a tokenizer without a decoder.
+Decoding joins the ids of the table's words, by position, to the vocabulary's table of ids and pieces and puts a space
+between pieces, as the library does for a tokenizer without a decoder. So each of these words is decoded once, by a join, and a text is its decoded words. The
+words beyond the table take their pieces from the same vocabulary in place, as does `decode`, whose ids may be any.
 
 Edge cases. A null text counts as empty: no ids, an empty text. Null ids decode to null. Unknown ids decode to nothing, as in the library.
 Repeated rows are encoded each; other columns are kept, but for those that have the name of a new one: they are replaced.
@@ -76,17 +77,33 @@ def frequent_words(docs: DataFrame, text_col: str) -> DataFrame:
     return counts.where(F.col("n") >= least).select("word")
 
 
-def word_table(docs: DataFrame, definition: str, text_col: str = "text") -> dict[bytes, bytes]:
-    """Ids of the frequent words of all documents, each encoded once."""
+def vocabulary(spark: SparkSession, definition: str) -> DataFrame:
+    """(id, piece): the tokenizer's pieces, special tokens included; as many rows as the file has."""
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces(definition))), pa.int32()), "piece": pa.array(pieces(definition), pa.string())})).where("piece IS NOT NULL")
+
+
+def decoded_words(words: DataFrame, definition: str) -> DataFrame:
+    """`words` (word, ids: array<int>) with text, its ids decoded by a join to the vocabulary; a word without ids has the empty text."""
+    parts = words.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(vocabulary(words.sparkSession, definition)), "id")
+    texts = parts.groupBy("word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    return words.join(texts, "word", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def word_table(docs: DataFrame, definition: str, text_col: str = "text") -> dict[bytes, tuple[bytes, bytes]]:
+    """Ids and decoded text of the frequent words of all documents, each encoded and decoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(definition)
         for b in batches:
             words = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoded(t, [w.encode() for w in words]), pa.binary())], ["word", "ids"])
+            ids = [np.frombuffer(x, "<i4") for x in encoded(t, [w.encode() for w in words])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    rows = frequent_words(docs, text_col).mapInArrow(encode, "word string, ids binary").toArrow()
-    return dict(zip((w.encode() for w in rows.column(0).to_pylist()), rows.column(1).to_pylist(), strict=True))
+    words = c.written(frequent_words(docs, text_col).mapInArrow(encode, "word string, ids array<int>"), "bpe-table")
+    rows = decoded_words(words, definition).select("word", "ids", "text").toArrow().combine_chunks()
+    c.drop_written(words)
+    ids = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    return {w.encode(): (np.asarray(i.values, "<i4").tobytes(), x.encode()) for w, i, x in zip(rows["word"].to_pylist(), ids, rows["text"].to_pylist(), strict=True)}
 
 
 def _added(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: list[T.StructField]) -> DataFrame:
@@ -105,15 +122,19 @@ def _added(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], l
     return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), *fields]))
 
 
-def encode(docs: DataFrame, definition: str, table: dict[bytes, bytes], text_col: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
-    """`docs` with the column `name`: array<int>; and, if `decoded` is given, with a column of that name, decoded from the ids in the same pass."""
+def encode(docs: DataFrame, definition: str, table: dict[bytes, tuple[bytes, bytes]], text_col: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`docs` with the column `name`: array<int>; and, if `decoded` is given, with a column of that name: the words' decoded texts."""
     shared = docs.sparkSession.sparkContext.broadcast((definition, table))
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
         definition, table = shared.value
         t = tokenizer(definition)
-        vocabulary = pa.array(pieces(definition), pa.string())
-        extra: dict[bytes, bytes] = {}
+        known = pieces(definition)
+        extra: dict[bytes, tuple[bytes, bytes]] = {}
+
+        def beyond(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+            for ids in encoded(t, words):
+                yield ids, " ".join([known[i] for i in np.frombuffer(ids, "<i4").tolist()]).encode()
 
         def both(texts: pa.Array) -> list[pa.Array]:
             rows = [(x.as_py() or "").encode("utf-8").split() for x in texts]
@@ -121,11 +142,12 @@ def encode(docs: DataFrame, definition: str, table: dict[bytes, bytes], text_col
             if len(extra) + len(new) > _KEPT:
                 extra.clear()
                 new = list({w for row in rows for w in row if w not in table})
-            extra.update(zip(new, encoded(t, new), strict=True))
-            parts = [b"".join([table[w] if w in table else extra[w] for w in row]) for row in rows]
+            extra.update(zip(new, beyond(new), strict=True))
+            found = [[table[w] if w in table else extra[w] for w in row] for row in rows]
+            parts = [b"".join([x[0] for x in row]) for row in found]
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts])))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-            return [ids] if decoded is None else [ids, joined(ids, vocabulary)]
+            return [ids] if decoded is None else [ids, pa.array([b" ".join([x[1] for x in row if x[1]]) for row in found], pa.binary()).cast(pa.string())]
 
         return both
 

@@ -435,3 +435,14 @@ def test_operators_keep_columns_of_any_name(spark):
     own = [x for x in docs.columns if x not in ("doc_id", "text", "lang", "source", "n_chars")]
     for out in (line_dedup.dedup(docs), secret_scan.find(docs)[0], url_filter.judge(docs, "text"), mixing.in_order(mixing.mix(docs, F.length("text"), F.xxhash64("text")))):
         assert set(own) <= set(out.columns) and out.where(F.concat(*own) != "own" * len(own)).count() == 0
+
+
+def test_bpe_words_are_decoded_by_a_join(spark):
+    import public_tokenizers
+
+    definition = bpe.definition_of(public_tokenizers.path("word_bpe_49k.json"))
+    t = bpe.tokenizer(definition)
+    words = ["the", "unbelievable", "é한", "́x", "<|endoftext|>", "a"]
+    df = spark.createDataFrame([(w, t.encode(w, add_special_tokens=False).ids) for w in words] + [("none", [])], "word string, ids array<int>")
+    got = {r["word"]: r["text"] for r in bpe.decoded_words(df, definition).collect()}
+    assert got == {w: t.decode(t.encode(w, add_special_tokens=False).ids, skip_special_tokens=False) for w in words} | {"none": ""}
