@@ -145,8 +145,10 @@ def in_order(mixed: DataFrame) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Column, Column]:
-    """Size and shuffle key of a document: its words, and a hash of id, source and text."""
-    return c.n_words(F.col(text_col)), F.xxhash64(F.lit("mix"), F.col(id_col), F.col(source_col), F.col(text_col))
+    """Size and shuffle key of a document: its words, and 64 bits of the MD5 of id, source and text."""
+    parts = [F.coalesce(F.col(x).cast("string"), F.lit("")) for x in (id_col, source_col, text_col)]
+    digest = F.md5(F.concat_ws("\x01", *parts).cast("binary"))
+    return c.n_words(F.col(text_col)), F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,3 +158,33 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(slim, F.col("size"), F.col("key"))
     taken = (F.col(f"{_O}copies") * F.col("size")).cast("long")
     return out.select("doc_id", F.col("size"), F.col(f"{_O}source_size").alias("source_size"), F.col(f"{_O}target").alias("target"), taken.alias("taken"), F.col(f"{_O}finish").alias("finish"))
+
+
+ORACLE_SQL = {
+    "op10_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws(chr(1), coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(text, ''))), 1, 16))::UBIGINT >> 1 AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, list_extract([5::DOUBLE, 2::DOUBLE, 1::DOUBLE], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w FROM d GROUP BY source
+), caps AS (
+  SELECT *, source_size * 3::DOUBLE AS cap, source_size * 3::DOUBLE / w AS ratio FROM s
+), levels AS (
+  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM caps WINDOW o AS (ORDER BY ratio, source NULLS LAST)
+), goals AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM levels WHERE ratio >= level ORDER BY ratio, level LIMIT 1) * w, cap)) AS target FROM levels
+), queue AS (
+  SELECT d.*, g.source_size, g.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM d JOIN goals g ON g.source IS NOT DISTINCT FROM d.source
+), copies AS (
+  SELECT doc_id, source, key, size, (e * source_size + cum) / target AS finish FROM queue, range(3) t(e) WHERE target > 0 AND size > 0
+), spent AS (
+  SELECT doc_id, source, key, sum(size) OVER (ORDER BY finish, source IS NULL, source, key, size) AS total FROM copies
+), taken AS (
+  SELECT doc_id, source, key, count(*) AS n FROM spent WHERE total <= (SELECT round(sum(target::DECIMAL(38, 6)), 3) FROM goals) GROUP BY ALL
+)
+SELECT q.doc_id, size, source_size, target, (coalesce(n, 0) * size)::BIGINT AS taken, CASE WHEN target > 0 AND size > 0 THEN cum / target END AS finish
+FROM queue q LEFT JOIN taken t ON t.doc_id IS NOT DISTINCT FROM q.doc_id AND t.source IS NOT DISTINCT FROM q.source AND t.key = q.key
+"""
+}

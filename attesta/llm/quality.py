@@ -208,3 +208,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(c.documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
     return out.select("doc_id", *[F.col(f"{c.OWN}{x}").alias(x) for x in names])
+
+
+def llm_quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 2 SQL can express: the base statistics and rules."""
+    return op2_quality_rules(spark, sf_dir).drop("kept", "distance")
+
+
+ORACLE_SQL = {
+    "llm_quality_base": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT k, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+covered AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY k),
+stats AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (k)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats
+"""
+}

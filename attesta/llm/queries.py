@@ -17,6 +17,10 @@ MODULES = {
     "op2_quality_rules": "quality",
     "op7_secret_scan": "secret_scan",
     "op10_mix_sources": "mixing",
+    # What SQL can express of operators whose verdicts it can't.
+    "llm_url_rules": "url_filter",
+    "llm_quality_base": "quality",
+    "llm_secret_base": "secret_scan",
 }
 
 

@@ -181,3 +181,29 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = slim.join(spans, slim[f"{c.OWN}key"] == spans["key"], "left")
     zero = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", zero("assign"), zero("access"), zero("hex"), F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("random"))
+
+
+def llm_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 7 SQL can express: the base kinds."""
+    return op7_secret_scan(spark, sf_dir).drop("spans", "n_random")
+
+
+def _kind_sql(n: int, kind: str) -> str:
+    pattern, group, least = KINDS[kind]
+    pattern = pattern.replace("'", "''")
+    return f"SELECT k, '{kind}' AS kind, {n} AS place, string_split_regex(text, '{pattern}') AS b, regexp_extract_all(text, '{pattern}') AS f, regexp_extract_all(text, '{pattern}', {group}) AS g, {least} AS least FROM d"
+
+
+ORACLE_SQL = {
+    "llm_secret_base": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+kinds AS ({" UNION ALL ".join(_kind_sql(i, x) for i, x in enumerate(("assign", "access", "hex")))}),
+found AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM kinds),
+spans AS (
+  SELECT k, kind, place, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start, length(f[i]) AS n FROM found WHERE length(g[i]) >= least
+), lists AS (
+  SELECT k, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, string_agg(kind || ':' || start::BIGINT || ':' || (start + n)::BIGINT, ',' ORDER BY start, place) AS base FROM spans GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256 FROM d LEFT JOIN lists USING (k)
+"""
+}
