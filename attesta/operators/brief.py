@@ -61,14 +61,59 @@ GATES = (
 )
 
 
-def stage_gates(files: DataFrame) -> DataFrame:
-    """(case_key, missing, passed) from files (case_key, path, bytes); an empty text file doesn't count. Access status is F27."""
+ACCESS_GATE = "3b"
+
+
+def stage_gates(files: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(case_key, missing, passed) from files (case_key, path, bytes); an empty text file doesn't count.
+
+    With the cases' corpus (case_key, access_status), F27 is a gate too: every source has an access status. A case without sources fails it.
+    """
     there = files.where((F.col("bytes") > 0) | ~F.col("path").rlike(r"\.txt$"))
     d = there.groupBy("case_key").agg(*[F.coalesce(F.bool_or(F.col("path").rlike(p)), F.lit(False)).alias(f"g{n}") for n, p, _ in GATES])
-    missing = F.array_compact(F.array(*[F.when(~F.col(f"g{n}"), F.lit(n)) for n, _, hard in GATES if hard]))
+    names = [n for n, _, hard in GATES if hard]
+    if corpus is not None:
+        told = corpus.groupBy("case_key").agg(F.every(~blank(F.col("access_status"))).alias(f"g{ACCESS_GATE}"))
+        d = d.join(told, "case_key", "left").withColumn(f"g{ACCESS_GATE}", F.coalesce(f"g{ACCESS_GATE}", F.lit(False)))
+        names.insert(names.index("3a") + 1, ACCESS_GATE)
+    missing = F.array_compact(F.array(*[F.when(~F.col(f"g{n}"), F.lit(n)) for n in names]))
     return d.select("case_key", F.array_join(missing, ",").alias("missing")).withColumn("passed", F.col("missing") == "")
 
 
+# What may be done about a comment of a review, and the severity that must be cleared.
+DISPOSITIONS = ("已修改", "已降级表达", "已移入补充调研清单", "资料不足暂不写入正文", "保留原表述并说明理由")
+BLOCKER, KEPT = "阻断", "保留原表述并说明理由"
+
+
+def response_problems(comments: DataFrame, responses: DataFrame) -> DataFrame:
+    """(review, comment, problem) of comments (review, comment, severity) by the responses (review, comment, disposition): none, one of
+    another disposition than those known, or a blocker whose passage was kept. Of several responses the worst counts."""
+    d = comments.join(responses, ["review", "comment"], "left")
+    kind = F.col("disposition")
+    problem = F.when(kind.isNull(), "no response").when(~kind.isin(*DISPOSITIONS), "unknown disposition").when((F.col("severity") == BLOCKER) & (kind == KEPT), "blocker not cleared")
+    return d.groupBy("review", "comment").agg(F.max(problem).alias("problem")).where(F.col("problem").isNotNull())
+
+
+def golden(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """Each check of a golden case (case_id, manual, check, expected) with its status by the results (case_id, check, actual).
+
+    Manual cases aren't judged; a check without a result is an error.
+    """
+    d = cases.join(results.withColumn("_there", F.lit(True)), ["case_id", "check"], "left")
+    same = F.col("expected").eqNullSafe(F.col("actual"))
+    return d.withColumn("status", F.when(F.col("manual"), "manual").when(F.col("_there").isNull(), "error").when(same, "passed").otherwise("failed")).drop("_there")
+
+
+def golden_summary(judged: DataFrame, least_passed: int = 15, least_manual: int = 4) -> DataFrame:
+    """G16, SK10: cases by status, the worst of their checks counting, whether the gate passes, and the report's lines."""
+    order = F.create_map(*[F.lit(x) for pair in (("error", 3), ("failed", 2), ("passed", 1), ("manual", 0)) for x in pair])
+    by = judged.groupBy("case_id").agg(F.max_by("status", order[F.col("status")]).alias("status"))
+    n = {x: F.count_if(F.col("status") == x).alias(x) for x in ("passed", "failed", "error", "manual")}
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("case_id", "status"))), lambda x: F.concat(F.lit("| "), x["case_id"], F.lit(" | "), x["status"], F.lit(" |"))), "\n")
+    d = by.agg(*n.values(), lines.alias("lines"))
+    return d.withColumn("gate", (F.col("failed") == 0) & (F.col("error") == 0) & (F.col("passed") >= least_passed) & (F.col("manual") >= least_manual))
+
+
 def download_summary(rows: DataFrame) -> DataFrame:
     """Counts by status of each run, and whether it passes: nothing failed, nothing was blocked."""
     d = rows.groupBy("run").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("downloaded", "exists", "not_pdf", "failed")], F.count_if(F.col("status").startswith("blocked")).alias("blocked"))

@@ -104,6 +104,12 @@ def changed_only(claims: DataFrame, changed: DataFrame) -> DataFrame:
     return claims.join(changed.where(F.col("claim_id").startswith("C-")).select("claim_id").distinct(), "claim_id", "left_semi")
 
 
+def recheck(claims: DataFrame, sources: DataFrame, evidence: DataFrame, changed: DataFrame, mode: str = "balanced") -> DataFrame:
+    """sufficiency of the changed claims; the edges of others are left out before they are joined to sources and aggregated."""
+    some = changed_only(claims, changed)
+    return sufficiency(some, sources, evidence.join(some.select("claim_key"), "claim_key", "left_semi"), mode)
+
+
 def balance(claims: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
     """How a claim's edges stand to each other."""
     d = claim_statistics(claims, edges_with_sources(evidence, sources))

@@ -35,13 +35,27 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.brief(op.brief_rows(*_graph(spark, sf_dir)))
 
 
-@query("g10_stage_gates", """WITH x AS (SELECT p_partkey AS k FROM part) SELECT k AS case_key, concat_ws(',', CASE WHEN k % 2 = 0 THEN '0' END, CASE WHEN k % 3 = 0 THEN '3a' END, CASE WHEN k % 5 = 0 THEN '3c' END, CASE WHEN k % 7 = 0 THEN '7' END) AS missing, k % 2 <> 0 AND k % 3 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AS passed FROM x""")
+@query("g10_stage_gates", """WITH x AS (SELECT p_partkey AS k FROM part) SELECT k AS case_key, concat_ws(',', CASE WHEN k % 2 = 0 THEN '0' END, CASE WHEN k % 3 = 0 THEN '3a' END, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN '3b' END, CASE WHEN k % 5 = 0 THEN '3c' END, CASE WHEN k % 7 = 0 THEN '7' END) AS missing, k % 2 <> 0 AND k % 3 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AS passed FROM x""")
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F27 too: some cases have a source without access status, some no source."""
     names = ["02_raw_sources.json", "03_audit_report.md", "04_validated_sources.json", "06_evidence_map.json", "07_honest_assessment.md", "08_初稿.md", "10_review.md"]
     k = F.col("p_partkey")
     more = [F.when(k % 2 != 0, "00_topic.md"), F.when(k % 3 != 0, "reference_files/a.pdf"), F.lit("pdf_text/a.txt"), F.when(k % 7 != 0, "11_定稿.md")]
-    files = b.table(spark, sf_dir, "part").select(k.alias("case_key"), F.explode(F.array_compact(F.array(*[F.lit(n) for n in names], *more))).alias("path"))
-    return op.stage_gates(files.withColumn("bytes", F.when((F.col("path") == "pdf_text/a.txt") & (F.col("case_key") % 5 == 0), 0).otherwise(10)))
+    p = b.table(spark, sf_dir, "part")
+    files = p.select(k.alias("case_key"), F.explode(F.array_compact(F.array(*[F.lit(n) for n in names], *more))).alias("path"))
+    corpus = p.where(k % 13 != 0).select(k.alias("case_key"), F.explode(F.array(F.lit("confirmed"), F.when(k % 11 == 0, " ").otherwise("unavailable"))).alias("access_status"))
+    return op.stage_gates(files.withColumn("bytes", F.when((F.col("path") == "pdf_text/a.txt") & (F.col("case_key") % 5 == 0), 0).otherwise(10)), corpus)
+
+
+@query("g16_golden", """WITH x AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'manual' WHEN s_suppkey % 7 = 0 THEN 'error' WHEN s_suppkey % 4 = 0 THEN 'failed' ELSE 'passed' END AS status FROM supplier)
+SELECT count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'manual') AS manual, string_agg('| ' || lpad(k::VARCHAR, 9, '0') || ' | ' || status || ' |', chr(10) ORDER BY k) AS lines, false AS gate FROM x""")
+def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK10 too: two checks a case, of which the worse counts."""
+    key = F.col("s_suppkey")
+    s = b.table(spark, sf_dir, "supplier").select(F.lpad(key.cast("string"), 9, "0").alias("case_id"), key.alias("k"))
+    cases = s.select("case_id", (F.col("k") % 5 == 0).alias("manual"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("check"), F.lit("pass").alias("expected"))
+    results = s.select("case_id", F.explode(F.array(F.lit("a"), F.when(F.col("k") % 7 != 0, "b"))).alias("check"), F.when(F.col("k") % 4 == 0, "fail").otherwise("pass").alias("actual")).where("check IS NOT NULL")
+    return op.golden_summary(op.golden(cases, results))
 
 
 _STATUS = ("downloaded", "exists", "not_pdf", "failed", "blocked_ssrf", "dry_run")

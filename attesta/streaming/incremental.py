@@ -22,7 +22,7 @@ def recheck(changes: DataFrame, graph: Callable[[], tuple[DataFrame, DataFrame,
 
     def check(batch: DataFrame, number: int) -> None:
         claims, sources, evidence = graph()
-        op.sufficiency(op.changed_only(claims, batch), sources, evidence, mode).select("claim_id", "passed", "reasons", "score", "grade").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        op.recheck(claims, sources, evidence, batch, mode).select("claim_id", "passed", "reasons", "score", "grade").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return changes.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
