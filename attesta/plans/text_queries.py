@@ -243,16 +243,16 @@ def l18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(doc_op.experts(topic), ",").alias("roles"))
 
 
-@query("l21_responses", """SELECT l_orderkey AS review, l_linenumber AS comment, CASE WHEN l_linenumber % 3 = 0 THEN 'no response' WHEN l_linenumber % 3 = 1 AND l_partkey % 10 = 0 THEN 'unknown disposition' ELSE 'blocker not cleared' END AS problem FROM lineitem
-  WHERE l_linenumber % 3 = 0 OR (l_linenumber % 3 = 1 AND l_partkey % 10 = 0) OR (l_linenumber % 3 = 2 AND l_returnflag = 'R')""")
+@query("l21_responses", """SELECT o_custkey AS review, o_orderkey AS comment, CASE WHEN o_orderkey % 3 = 0 THEN 'no response' WHEN o_orderkey % 3 = 1 THEN 'unknown disposition' ELSE 'blocker not cleared' END AS problem FROM orders
+  WHERE o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND o_orderkey % 10 = 0) OR (o_orderkey % 3 = 2 AND o_orderstatus = 'F')""")
 def l21(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.operators import brief
 
-    l = b.table(spark, sf_dir, "lineitem")
-    key = [F.col("l_orderkey").alias("review"), F.col("l_linenumber").alias("comment")]
-    comments = l.select(*key, F.when(F.col("l_returnflag") == "R", "阻断").otherwise("建议").alias("severity"))
-    kind = F.when(F.col("l_linenumber") % 3 == 2, "保留原表述并说明理由").when(F.col("l_partkey") % 10 == 0, "later").otherwise("已修改")
-    return brief.response_problems(comments, l.where("l_linenumber % 3 <> 0").select(*key, kind.alias("disposition")))
+    o, n = b.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key = [F.col("o_custkey").alias("review"), n.alias("comment")]
+    comments = o.select(*key, F.when(F.col("o_orderstatus") == "F", "阻断").otherwise("建议").alias("severity"))
+    kind = F.when(n % 3 == 2, "保留原表述并说明理由").when(n % 10 == 0, "later").otherwise("已修改")
+    return brief.response_problems(comments, o.where(n % 3 != 0).select(*key, kind.alias("disposition")))
 
 
 @query("l19_final_choice", "SELECT o_orderkey, coalesce(r.p, -o_orderkey) AS chosen FROM orders LEFT JOIN (SELECT l_orderkey, max(l_partkey) AS p FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) r ON l_orderkey = o_orderkey")
