@@ -68,7 +68,7 @@ def mix(
     own = {n: f"{_O}{n}" for n in ("size", "key", "bucket", "source", "no_source")}
     rows = docs.withColumns({own["size"]: size, own["key"]: F.shiftrightunsigned(shuffle_key, 1), own["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit("")), own["no_source"]: F.col(source_col).isNull()})
     slim = c.written(rows.select(*[F.col(own[n]).alias(n) for n in ("size", "key", "source", "no_source")]), "mix")
-    n = slim.count()
+    kept, n = slim, slim.count()
     n_buckets = max(1, math.ceil(n / max(BUCKET_ROWS, math.isqrt(n))))
     slim = slim.withColumn("bucket", _bucket(F.col("key"), n_buckets))
 
@@ -85,6 +85,7 @@ def mix(
     finish = lambda cum, e: (e * F.col("source_size") + cum) / F.col("target")
     times = times.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_copies - 1)), lambda e: finish(F.col("cum"), e))).alias("finish"), "no_source", "source", "key", "size")
     cut = _cut(times, offsets)
+    c.drop_written(kept)
 
     offsets = offsets.select(*[F.col(n).alias(f"{_O}{n}") for n in group], "offset", F.col("source_size").alias(f"{_O}source_size"), F.col("target").alias(f"{_O}target"))
     offsets = offsets.withColumnRenamed("offset", f"{_O}offset")

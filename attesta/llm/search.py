@@ -314,6 +314,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
         kth = _best(wave, "q", k).groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == k)
         floors = {r["q"]: r["s"] - TIE for r in kth.collect()}
         parts += [wave, c.written(_search(index.where(~first), block, floors, mean, k), "search-wave")]
+    c.drop_written(index)
     found = parts[0]
     for x in parts[1:]:
         found = found.unionByName(x)

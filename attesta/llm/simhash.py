@@ -132,7 +132,9 @@ def links(fps: DataFrame, most_bits: int, hot_size: int | None = None) -> DataFr
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     near = cool.withColumnRenamed("fp", "a").join(other, "key").where((F.col("a") > F.col("b")) & (apart <= most_bits)).select("a", "b")
     hot = some.where(F.col("n") > hot_size).select("fp").distinct()
-    return near.unionByName(_through_points(hot, most_bits)).distinct()
+    out = c.written(near.unionByName(_through_points(hot, most_bits)).distinct(), "simhash-links")
+    c.drop_written(rows, shared)
+    return out
 
 
 def _through_points(hot: DataFrame, most_bits: int) -> DataFrame:
@@ -175,7 +177,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     fp = f"{c.OWN}fingerprint"
     d = c.written(with_fingerprint(docs, text_col, words, fp).drop(text_col), "simhash")
     fps = c.written(d.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("first")), "simhash-fps")
-    roots = components(links(fps.select("fp"), most_bits))
+    edges = links(fps.select("fp"), most_bits)
+    roots = components(edges)
+    c.drop_written(edges)
     with_root = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = with_root.groupBy("root").agg(F.min("first").alias(f"{c.OWN}component"))
     of = with_root.join(firsts, "root").select(F.col("fp").alias(fp), F.col("root").alias(f"{c.OWN}root"), f"{c.OWN}component")
@@ -217,6 +221,8 @@ def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity:
         more = c.written(_across(hot, roots, marked.join(found, "key"), similarity), "similar-across")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        c.drop_written(more)
+    c.drop_written(marked, shared, rows, pairs, needed, found)
     return roots.select(F.hex("node").alias("key"), F.hex("root").alias("root"))
 
 
