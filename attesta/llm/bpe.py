@@ -20,6 +20,7 @@ Repeated rows are encoded each; other columns are kept, but for those that have
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -128,26 +129,30 @@ def encode(docs: DataFrame, definition: str, table: dict[bytes, tuple[bytes, byt
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
         definition, table = shared.value
-        t = tokenizer(definition)
-        known = pieces(definition)
-        extra: dict[bytes, tuple[bytes, bytes]] = {}
-
-        def beyond(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-            for ids in encoded(t, words):
-                yield ids, " ".join([known[i] for i in np.frombuffer(ids, "<i4").tolist()]).encode()
-
-        def both(texts: pa.Array) -> list[pa.Array]:
-            rows = [(x.as_py() or "").encode("utf-8").split() for x in texts]
-            new = list({w for row in rows for w in row if w not in table and w not in extra})
-            if len(extra) + len(new) > _KEPT:
-                extra.clear()
-                new = list({w for row in rows for w in row if w not in table})
-            extra.update(zip(new, beyond(new), strict=True))
-            found = [[table[w] if w in table else extra[w] for w in row] for row in rows]
-            parts = [b"".join([x[0] for x in row]) for row in found]
+        t, known = tokenizer(definition), pieces(definition)
+        ids, texts = {w: x[0] for w, x in table.items()}, {w: x[1] for w, x in table.items()}
+        extra: list[bytes] = []
+
+        def forget() -> None:
+            for w in extra:
+                del ids[w], texts[w]
+            extra.clear()
+
+        def learn(new: list[bytes]) -> None:
+            extra.extend(new)
+            for w, x in zip(new, encoded(t, new), strict=True):
+                ids[w], texts[w] = x, " ".join([known[i] for i in np.frombuffer(x, "<i4").tolist()]).encode()
+
+        def both(column: pa.Array) -> list[pa.Array]:
+            rows = [(x.as_py() or "").encode("utf-8").split() for x in column]
+            words = set(itertools.chain.from_iterable(rows))
+            if len(extra) > _KEPT:
+                forget()
+            learn(list(words.difference(ids)))
+            parts = [b"".join(map(ids.__getitem__, row)) for row in rows]
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts])))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-            return [ids] if decoded is None else [ids, pa.array([b" ".join([x[1] for x in row if x[1]]) for row in found], pa.binary()).cast(pa.string())]
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+            return [out] if decoded is None else [out, pa.array([b" ".join(filter(None, map(texts.__getitem__, row))) for row in rows], pa.binary()).cast(pa.string())]
 
         return both
 
