@@ -23,6 +23,7 @@ import functools
 import itertools
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,10 +61,16 @@ def encoded(t: Tokenizer, words: list[bytes]) -> list[bytes]:
     out = []
     for at in range(0, len(words), _WORDS):
         found = t.encode_batch_fast([w.decode("utf-8") for w in words[at : at + _WORDS]], add_special_tokens=False)
-        out += [np.array(x.ids, "<i4").tobytes() for x in found]
+        out += [array("i", x.ids).tobytes() for x in found]
     return out
 
 
+def listed(rows: list[bytes]) -> pa.ListArray:
+    """Rows of little-endian 32-bit numbers as an array of lists."""
+    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in rows])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
+
+
 def frequent_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word): the most frequent words, as many of the least count as fit the table."""
     words = docs.select(F.explode(F.array_distinct(F.split(F.col(text_col), c.SPACE, -1))).alias("word"))
@@ -129,7 +136,7 @@ def encode(docs: DataFrame, definition: str, table: dict[bytes, tuple[bytes, byt
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
         definition, table = shared.value
-        t, known = tokenizer(definition), pieces(definition)
+        t, known = tokenizer(definition), pa.array(pieces(definition), pa.string())
         ids, texts = {w: x[0] for w, x in table.items()}, {w: x[1] for w, x in table.items()}
         extra: list[bytes] = []
 
@@ -140,8 +147,9 @@ def encode(docs: DataFrame, definition: str, table: dict[bytes, tuple[bytes, byt
 
         def learn(new: list[bytes]) -> None:
             extra.extend(new)
-            for w, x in zip(new, encoded(t, new), strict=True):
-                ids[w], texts[w] = x, " ".join([known[i] for i in np.frombuffer(x, "<i4").tolist()]).encode()
+            found = encoded(t, new)
+            ids.update(zip(new, found, strict=True))
+            texts.update(zip(new, joined(listed(found), known).cast(pa.binary()).to_pylist(), strict=True))
 
         def both(column: pa.Array) -> list[pa.Array]:
             rows = [(x.as_py() or "").encode("utf-8").split() for x in column]
@@ -149,9 +157,7 @@ def encode(docs: DataFrame, definition: str, table: dict[bytes, tuple[bytes, byt
             if len(extra) > _KEPT:
                 forget()
             learn(list(words.difference(ids)))
-            parts = [b"".join(map(ids.__getitem__, row)) for row in rows]
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts])))
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+            out = listed([b"".join(map(ids.__getitem__, row)) for row in rows])
             return [out] if decoded is None else [out, pa.array([b" ".join(filter(None, map(texts.__getitem__, row))) for row in rows], pa.binary()).cast(pa.string())]
 
         return both
