@@ -31,7 +31,7 @@ def odd(rng):
 
 def test_groups_around_the_least_size_are_all_judged(spark):
     rng = random.Random(4)
-    rows = [(1000 * n + i, text(rng, rng.randint(60, 400)), lang, None) for lang, n in (("de", 49), ("en", 50), ("fr", 51), (None, 1)) for i in range(n)]
+    rows = [(100 * n + i, text(rng, rng.randint(60, 400)), lang, None) for lang, n in (("de", 49), ("en", 50), ("fr", 51), (None, 1)) for i in range(n)]
     rows += [(9000, odd(rng), "de", None), (9001, odd(rng), "xx", "a"), (9002, "too short", "en", None), (9003, None, None, None)]
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCUMENT)).collect()}
     assert len(got) == len(rows) and got[9002]["__attesta_base_failed"] and got[9003]["__attesta_base_failed"]
