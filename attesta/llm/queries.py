@@ -17,6 +17,9 @@ MODULES = {
     "op2_quality_rules": "quality",
     "op7_secret_scan": "secret_scan",
     "op10_mix_sources": "mixing",
+    "op11_collocations": "collocations",
+    "op12_filter_audit": "filter_audit",
+    "op13_decontaminate": "decontaminate",
     # What SQL can express of operators whose verdicts it can't.
     "llm_url_rules": "url_filter",
     "llm_quality_base": "quality",
