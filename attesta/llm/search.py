@@ -297,7 +297,8 @@ def _best(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rank, found, score): the k best of `docs` for each of `queries` (id, text)."""
+    """(id, rank, found, score): the k best of `docs` for each of `queries` (id, text). Query rows that repeat id and text count once; texts under one id are searched together."""
+    queries = queries.select("id", "text").distinct()
     index = build_index(docs, id_col, text_col)
     n_docs, length, n_shards = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     mean = length / n_docs if n_docs and length else 1.0
@@ -318,8 +319,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     found = parts[0]
     for x in parts[1:]:
         found = found.unionByName(x)
-    ids = asked.select("q", "id")
-    return _best(found.join(ids, "q").drop("q"), "id", k).select("id", "rank", "found", "score")
+    # Texts that share an id are one query: each row that any of them finds has its best score.
+    copy = F.row_number().over(Window.partitionBy("q", "found").orderBy(F.desc("score")))
+    found = found.join(asked.select("q", "id"), "q").withColumn("copy", copy).groupBy("id", "found", "copy").agg(F.max("score").alias("score"))
+    return _best(found, "id", k).select("id", "rank", "found", "score")
 
 
 def query_set(id_: Column) -> Column:

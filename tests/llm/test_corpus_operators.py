@@ -217,6 +217,18 @@ def test_search(spark, sf_dir, empty_dir, monkeypatch):
     assert search.op8_bm25_top_k(spark, empty_dir).count() == 0
 
 
+def test_search_with_repeated_queries(spark):
+    """A query row that comes twice finds what it finds once; texts that share an id find each row once, with its best score."""
+    docs = spark.createDataFrame([(1, "ab cd ef"), (2, "ab cd"), (3, "ab"), (4, "cd ab ef gh"), (4, "cd ab ef gh"), (5, "xy zz")], "doc_id long, text string")
+    ask = lambda rows: sorted(tuple(r) for r in search.top_k(docs, spark.createDataFrame(rows, "id long, text string"), k=4).collect())
+    once = ask([(7, "ab cd"), (8, "xy")])
+    assert ask([(7, "ab cd"), (8, "xy"), (7, "ab cd"), (7, "ab cd")]) == once
+    assert sorted(f for i, _, f, _ in once if i == 7) == [1, 2, 4, 4] and [f for i, _, f, _ in once if i == 8] == [5]
+    both = ask([(7, "ab cd"), (7, "zz")])
+    apart = [(r[2], r[3]) for r in ask([(1, "ab cd"), (2, "zz")])]
+    assert [(f, s) for _, _, f, s in both] == sorted(apart, key=lambda x: (-x[1], x[0]))[:4]
+
+
 def test_lines_against_sql(spark, tmp_path):
     rows = [r for r in {r[0]: r for r in corpus()}.values() if r[0] is not None]
     path = saved(spark, tmp_path, rows)
