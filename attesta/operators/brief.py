@@ -132,16 +132,6 @@ def prompt_rules(rules: Column, forbidden: Column) -> Column:
     return F.concat(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), F.trim(e["value"]))), F.transform(forbidden, lambda f: F.concat(F.lit("forbid/"), f["id"], F.lit(": "), f["description"])))
 
 
-def entry_verdict(blocking: Column, high: Column) -> Column:
-    """Whether an assessment lets a draft in."""
-    return F.when(blocking > 0, "stop").when(high > 2, "revise").otherwise("enter")
-
-
-def usable(access: Column, role: Column) -> Column:
-    """What a source may be used for, by how it was reached and its role."""
-    return F.when(access == "unavailable", "none").when((access == "web_accessible") | (role == "background"), "context").otherwise("evidence")
-
-
 # Dimensions of an expert's review and their points; they make 100.
 EXPERT_WEIGHTS = {"选题价值": 15, "研究现状与问题分析": 10, "目标与指标合理性": 15, "技术/方法路线可行性": 15, "创新性": 10, "证据链与引用质量": 10, "实施与风险控制": 10, "资源合理性": 10, "成果与应用前景": 5}
 

@@ -130,12 +130,6 @@ def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(op.narratives(text), ",").alias("found"))
 
 
-@query("l10_entry_verdict", "SELECT l_orderkey, CASE WHEN count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') > 0 THEN 'stop' WHEN count(*) FILTER (l_returnflag = 'A') > 2 THEN 'revise' ELSE 'enter' END AS verdict FROM lineitem GROUP BY l_orderkey")
-def l10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).alias("b"), F.count_if(F.col("l_returnflag") == "A").alias("h"))
-    return d.select("l_orderkey", op.entry_verdict(F.col("b"), F.col("h")).alias("verdict"))
-
-
 @query("l13_gap_adjacent", "SELECT DISTINCT o_orderkey FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")
 def l13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A gap that is a key problem, by id."""
@@ -153,12 +147,6 @@ def l14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", F.array_join(missing, ",").alias("missing"))
 
 
-@query("l15_use", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'context' ELSE CASE WHEN p_type = 'PROMO' THEN 'context' ELSE 'evidence' END END AS use FROM part")
-def l15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    access = lookup(F.col("p_partkey") % 3, {0: "unavailable", 1: "web_accessible"}, "confirmed")
-    return b.table(spark, sf_dir, "part").select("p_partkey", op.usable(access, F.when(F.col("p_type") == "PROMO", "background").otherwise("core")).alias("use"))
-
-
 @query("l16_expert_score", "SELECT p_partkey, round_even(15 + 15 * ((p_partkey % 5)::DOUBLE / 4) + 10 * ((p_size % 3)::DOUBLE / 2) + 5 * 0.5, 1) AS score FROM part")
 def l16(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = {"选题价值": F.lit(1.0), "目标与指标合理性": (F.col("p_partkey") % 5).cast("double") / 4, "创新性": (F.col("p_size") % 3).cast("double") / 2, "成果与应用前景": F.lit(0.5), "资源合理性": F.lit(None).cast("double")}

@@ -179,22 +179,6 @@ def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.below_floor(*_graph(spark, sf_dir)).select("claim_key", "source_key", "below", "superseded", "stale")
 
 
-@query("l7_stop_rule", f"""WITH {CLAIMS_SQL}, firsts AS (SELECT case_key, l_partkey, min(claim_key) AS claim_key FROM lineitem JOIN claims ON claim_key = l_orderkey GROUP BY ALL),
-news AS (SELECT case_key, claim_key, count(*) AS n FROM firsts GROUP BY ALL), x AS (SELECT c.case_key, c.claim_key, sum(coalesce(n, 0)) OVER w AS recent, row_number() OVER (PARTITION BY c.case_key ORDER BY c.claim_key) AS place
-  FROM claims c LEFT JOIN news USING (case_key, claim_key) WINDOW w AS (PARTITION BY c.case_key ORDER BY c.claim_key ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))
-SELECT case_key, min(claim_key) AS stop_claim FROM x WHERE recent = 0 AND place >= 2 GROUP BY case_key""")
-def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.stop_rule(b.claims(spark, sf_dir), b.evidence(spark, sf_dir), extra=2)
-
-
-@query("l8_review_share", f"""WITH {GRAPH_SQL} SELECT case_key, count(*) AS edges, count(*) FILTER (relation <> 'contradicts') AS support, round_even(count(*) FILTER (relation <> 'contradicts')::DOUBLE / count(*), 3) AS share
-  FROM evidence JOIN claims USING (claim_key) GROUP BY case_key""")
-def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.evidence(spark, sf_dir).join(b.claims(spark, sf_dir).select("claim_key", "case_key"), "claim_key")
-    n = F.count_if(F.col("relation") != "contradicts")
-    return e.groupBy("case_key").agg(F.count("*").alias("edges"), n.alias("support"), F.bround(n / F.count("*"), 3).alias("share"))
-
-
 @query("l9_source_quality", f"WITH {GRAPH_SQL} SELECT substr(authority, 1, 1) AS level, count(*) AS sources FROM sources GROUP BY ALL")
 def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.sources(spark, sf_dir).groupBy(F.substring("authority", 1, 1).alias("level")).agg(F.count("*").alias("sources"))
