@@ -145,23 +145,6 @@ def expert_score(points: dict[str, Column], weights: dict[str, int] | None = Non
     return F.bround(total, 1)
 
 
-# Signals of narratives. N2, a conclusion that slips from its evidence, needs judgement.
-NARRATIVES = {"N1": ("传统方法", "本项目", "未来|前景|趋势"), "N3": ("将|未来", "必然|必定|一定|必将|全面"), "N4": ("只有|唯一|必须",)}
-CONDITIONS, COMPARISON = "若|如果|假设|前提|条件", r"(?m)^\s*\|.*\|\s*$"
-
-
-def narratives(text: Column) -> Column:
-    """The narrative patterns whose signals a text holds: a promise without condition (N3), one way without comparison table."""
-    def all_of(name: str) -> Column:
-        out = F.lit(True)
-        for p in NARRATIVES[name]:
-            out = out & text.rlike(p)
-        return out
-
-    hits = {"N1": all_of("N1"), "N3": all_of("N3") & ~text.rlike(CONDITIONS), "N4": all_of("N4") & ~text.rlike(COMPARISON)}
-    return F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in hits.items()]))
-
-
 def levels_by_claim(evidence: DataFrame) -> DataFrame:
     """How many edges of each support level a claim has, in a column for each level."""
     return evidence.groupBy("claim_key").pivot("support_level", list(k.SUPPORT_LEVELS)).count().na.fill(0)

@@ -120,33 +120,12 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "orders").join(scores, "o_custkey", "left").select("o_orderkey", F.coalesce("score", F.lit("manual")).alias("status"))
 
 
-@query("l6_narrative", "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'N1' END, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'N3' END, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 4 <> 0 THEN 'N4' END) AS found FROM part")
-def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    text = F.concat(
-        F.when(key % 5 == 0, "传统方法不足，本项目带来趋势。").otherwise("传统方法不足。"), F.when(key % 3 == 0, "成果将必然形成产业。").otherwise("成果已发布。"), F.when(key % 2 != 0, "若条件成立。").otherwise(""),
-        F.when(key % 7 == 0, "唯一的路线。").otherwise("一种路线。"), F.when(key % 4 == 0, "\n| a | b |\n").otherwise(""),
-    )
-    return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(op.narratives(text), ",").alias("found"))
-
-
 @query("l13_gap_adjacent", "SELECT DISTINCT o_orderkey FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")
 def l13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A gap that is a key problem, by id."""
     return b.table(spark, sf_dir, "orders").join(b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("l14_route_labels", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'B' ELSE '' END AS missing FROM part")
-def l14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of a diagram that no heading names."""
-    from attesta.functions import text as t
-
-    text = F.concat(F.lit("### A\n"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise("### B\n"), F.lit("```mermaid\nx[A] --> y[B]\n```"))
-    d = b.table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    missing = F.array_except(t.find_all(F.col("text"), r"\w\[([^\]]+)\]"), t.find_all(F.col("text"), r"(?m)^###\s+(.*)$"))
-    return d.select("p_partkey", F.array_join(missing, ",").alias("missing"))
-
-
 @query("l16_expert_score", "SELECT p_partkey, round_even(15 + 15 * ((p_partkey % 5)::DOUBLE / 4) + 10 * ((p_size % 3)::DOUBLE / 2) + 5 * 0.5, 1) AS score FROM part")
 def l16(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = {"选题价值": F.lit(1.0), "目标与指标合理性": (F.col("p_partkey") % 5).cast("double") / 4, "创新性": (F.col("p_size") % 3).cast("double") / 2, "成果与应用前景": F.lit(0.5), "资源合理性": F.lit(None).cast("double")}

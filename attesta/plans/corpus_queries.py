@@ -250,14 +250,6 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("u3_domain_union", "SELECT 'a,b,c,d' AS domains")
-def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attesta.plans.rules import effective_suspect_domains
-
-    rules = {"suspect_domains": ["a", "b"], "suspect_domains_extra": ["b", "c"]}
-    return spark.createDataFrame([(",".join(effective_suspect_domains(rules, ["d", "a"])),)], "domains string")
-
-
 @query("w8_next_ids", "WITH used AS (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0), free AS (SELECT x, row_number() OVER (ORDER BY x) AS n FROM range(1, 4000000) t(x) WHERE x NOT IN (SELECT p_partkey FROM used)), new AS (SELECT s_suppkey AS pos, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) SELECT pos, 'S' || x AS source_id FROM new JOIN free USING (n)")
 def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = b.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("source_id"))
