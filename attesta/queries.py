@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from attesta.plans import brief_queries, claim_queries, corpus_queries, draft_queries, manifest_queries, registry, review_queries, route_queries, rule_queries, text_queries  # noqa: F401
+from attesta.plans import brief_queries, claim_queries, corpus_queries, draft_queries, export_queries, manifest_queries, registry, review_queries, route_queries, rule_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
