@@ -52,8 +52,8 @@ def located(edges: DataFrame) -> Column:
 
 
 def given_place(edges: DataFrame) -> Column:
-    """Whether an edge has any field of a locator, be it empty: that much makes it traceable."""
-    some = F.lit(False)
+    """Whether an edge has any field of a locator, be it empty: that much makes it traceable. So does a locator that was recorded with nulls only."""
+    some = F.coalesce(F.col("recorded"), F.lit(False)) if "recorded" in edges.columns else F.lit(False)
     for x in place_of(edges).values():
         some = some | x.isNotNull()
     return some

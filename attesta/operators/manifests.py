@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta import contracts as k
-from attesta.functions.evidence import blank, filled, given_place, id_of, place_of
+from attesta.functions.evidence import blank, filled, given_place, id_of, lookup, place_of, relation_of
 
 SCHEMA_VERSION, LEGACY_VERSIONS = "0.2.0", {"0.1.0": "0.2.0"}
 # Enumerations of the contract.
@@ -182,33 +181,49 @@ def warnings(manifests: DataFrame) -> DataFrame:
     return manifests.where(version.isin(*LEGACY_VERSIONS)).select("doc_id", version.alias("version"))
 
 
-def _migrated(text: str) -> str | None:
-    try:
-        data = json.loads(text or "")
-    except ValueError:
-        return None
-    version = data.get("schema_version") if isinstance(data, dict) else None
-    if version == SCHEMA_VERSION:
-        return text
-    if version not in LEGACY_VERSIONS:
-        return None
-    data["schema_version"] = LEGACY_VERSIONS[version]
-    data.setdefault("review_independence", {"human_involvement": "none", "context_shared": True, "evidence_shared": True})
-    relation = {"contradictory": "contradicts", "context_only": "context_only"}
-    for claim in data["claims"] if isinstance(data.get("claims"), list) else ():
-        for e in claim["evidence"] if isinstance(claim, dict) and isinstance(claim.get("evidence"), list) else ():
-            if isinstance(e, dict):
-                e.setdefault("relation", relation.get(e.get("support_level", ""), "supports"))
-    return json.dumps(data, ensure_ascii=False, separators=(",", ":"))
-
-
-@F.pandas_udf(T.StringType())
-def migrated(texts: pd.Series) -> pd.Series:
-    """Manifests at the current version, unknown fields included; null if the version can't be migrated.
-
-    In Python, as no function of Spark adds to JSON that it doesn't know.
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _with_member(members: Column, name: str, value: Column) -> Column:
+    """An object's members with one more, or another in its place; `value` is JSON."""
+    return F.map_concat(F.map_filter(members, lambda k_, _: k_ != name), F.create_map(F.lit(name), F.try_parse_json(value)))
+
+
+def _mapped(v: Column, change: Callable[[Column], Column]) -> Column:
+    """The JSON of a list with its objects changed; whatever else it holds stays."""
+    each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(change(x), F.to_json(x)))
+    return F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
+
+
+def _edge(v: Column) -> Column:
+    """An edge as JSON with a relation: its own, or what its level says."""
+    m = _object(v)
+    relation = F.concat(F.lit('"'), relation_of(F.coalesce(F.try_variant_get(m["support_level"], "$", "string"), F.lit(""))), F.lit('"'))
+    return F.when(m.isNotNull(), F.to_json(F.when(F.map_contains_key(m, "relation"), m).otherwise(_with_member(m, "relation", relation))))
+
+
+def _claim(v: Column) -> Column:
+    m = _object(v)
+    evidence = m["evidence"]
+    return F.when(F.try_variant_get(evidence, "$", "array<variant>").isNotNull(), F.to_json(_with_member(m, "evidence", _mapped(evidence, _edge))))
+
+
+def migrated(text: str | Column) -> Column:
+    """Manifests at the current version, unknown fields at every level included; null if the version can't be migrated.
+
+    A text of the current version stays as it is. The tree is rewritten as VARIANT within its row; numbers keep their value, not their spelling, and objects come with their keys in order.
     """
-    return texts.map(_migrated)
+    text = F.col(text) if isinstance(text, str) else text
+    m = _object(F.try_parse_json(text))
+    version = F.try_variant_get(m["schema_version"], "$", "string")
+    target = lookup(version, LEGACY_VERSIONS, None)
+    out = _with_member(m, "schema_version", F.concat(F.lit('"'), target, F.lit('"')))
+    independence = F.lit('{"human_involvement":"none","context_shared":true,"evidence_shared":true}')
+    out = F.when(F.map_contains_key(m, "review_independence"), out).otherwise(_with_member(out, "review_independence", independence))
+    claims = m["claims"]
+    out = F.when(F.try_variant_get(claims, "$", "array<variant>").isNotNull(), _with_member(out, "claims", _mapped(claims, _claim))).otherwise(out)
+    return F.when(version == SCHEMA_VERSION, text).when(target.isNotNull(), F.to_json(out))
 
 
 def migration_changes(before: DataFrame, after: DataFrame) -> DataFrame:

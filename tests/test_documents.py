@@ -209,7 +209,8 @@ def test_nested_sources(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"items": [{"core_sources": [{"id": "4", "sources": [{"id": "inner"}]}]}]}))
     (tmp_path / "c.json").write_text("not json")
     got = sorted(json.loads(r["source"]).get("id") or json.loads(r["source"])["source_id"] for r in readers.nested_sources(spark, str(tmp_path)).collect())
-    assert got == ["1", "3", "4", "S2"]
+    # Lists within an object's list hold no sources; sources hold sources.
+    assert got == ["1", "4", "S2", "inner"]
 
 
 def test_finished_drafts_are_written_even_if_invalid(spark, tmp_path):

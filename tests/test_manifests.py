@@ -48,6 +48,28 @@ def test_migration_keeps_unknown_fields_and_is_idempotent(spark):
     assert again == got[0]
 
 
+def test_migration_of_odd_trees(spark):
+    """Unknown fields at every level, entries that are no objects, numbers, quotes and nulls stay."""
+    claims = [None, 7, "x", [1], {}, {"evidence": None}, {"evidence": {"support_level": "direct"}}, {"own": {"deep": [1, {"é\"": None}]}, "evidence": [None, 3, ["e"], {}, {"support_level": 5}, {"support_level": "contradictory", "own": [True]}, {"relation": None, "support_level": "direct"}]}]
+    rows = [{"schema_version": "0.1.0", "claims": c, "n": 12345678901234567890, "z": 1.5} for c in (claims, None, {"a": 1}, "x")] + [{"schema_version": "0.1.0"}, {"schema_version": "0.1.0", "review_independence": None}]
+
+    def want(data):
+        out = json.loads(json.dumps(data)) | {"schema_version": "0.2.0"}
+        out.setdefault("review_independence", {"human_involvement": "none", "context_shared": True, "evidence_shared": True})
+        for c in out["claims"] if isinstance(out.get("claims"), list) else []:
+            for e in c["evidence"] if isinstance(c, dict) and isinstance(c.get("evidence"), list) else []:
+                if isinstance(e, dict) and "relation" not in e:
+                    e["relation"] = {"contradictory": "contradicts", "context_only": "context_only"}.get(e.get("support_level"), "supports")
+        return out
+
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(rows)], "i int, json string")
+    got = [json.loads(r[0]) for r in df.orderBy("i").select(op.migrated("json")).collect()]
+    assert got == [want(x) for x in rows]
+    odd = spark.createDataFrame([(x,) for x in ("[]", "7", '{"schema_version": 0.1}', '{"schema_version": null}', "")], "json string").select(op.migrated("json"))
+    assert [r[0] for r in odd.collect()] == [None] * 5
+    assert "Python" not in df.select(op.migrated("json"))._jdf.queryExecution().toString()
+
+
 def test_verdicts(spark):
     df = spark.createDataFrame([("10_review_a.md", "x\n**判决**： 小修 \ny"), ("own.md", "none")], "file string, text string")
     assert [(r["stage"], r["verdict"]) for r in op.verdicts(df).collect()] == [("r4 初稿审查", "小修")]
