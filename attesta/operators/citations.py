@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as t
-from attesta.operators.ingest import title_mismatches
+from attesta.operators.ingest import mismatched_ids
 
 _HEADING = r"^##\s*(?:\d+[.、]\s*)?"
 #: Closure takes the last heading that is alone on its line, the finisher the first, whatever follows it.
@@ -77,7 +77,7 @@ def closure(drafts: DataFrame, min_sources: int | None = None, min_chars: int |
         d = d.withColumns({"overused": none, "mismatched": none})
     else:
         often = overused(drafts, source_levels(sources), threshold).groupBy("doc_id").agg(F.sort_array(F.collect_list("ref")).alias("overused"))
-        unlike = title_mismatches(reference_entries(d), sources).groupBy("doc_id").agg(F.sort_array(F.collect_list("source_id")).alias("mismatched"))
+        unlike = mismatched_ids(title_entries(d), sources).groupBy("doc_id").agg(F.sort_array(F.collect_list("source_id")).alias("mismatched"))
         d = d.join(often, "doc_id", "left").join(unlike, "doc_id", "left").withColumns({x: F.coalesce(x, none) for x in ("overused", "mismatched")})
     clean = F.lit(True)
     for c in ("orphaned", "unused", "orphaned_gaps", "unused_gaps", "missing_urls", "overused", "mismatched"):
@@ -92,6 +92,13 @@ def reference_entries(split: DataFrame) -> DataFrame:
     return d.select("doc_id", F.regexp_extract("entry", r"^\[(S\d+)\]", 1).alias("source_id"), "entry")
 
 
+def title_entries(split: DataFrame) -> DataFrame:
+    """P8 for the title check: (doc_id, source_id, entry) of what stands between a blank line and a bracket; a block without a blank line before it belongs to the one before."""
+    blocks = F.transform(F.split("refs", r"\n\n(?=\[)", -1), lambda e: F.btrim(e, F.lit(" \t\r\n\x0b\x0c")))
+    d = split.select("doc_id", F.explode(F.filter(blocks, lambda e: e.rlike(r"^\[S\d+\]"))).alias("entry"))
+    return d.select("doc_id", F.regexp_extract("entry", r"^\[(S\d+)\]", 1).alias("source_id"), "entry")
+
+
 def source_levels(sources: DataFrame) -> DataFrame:
     """(ref, level) of sources of level B or C, by the number in their id."""
     d = sources.select(F.regexp_extract("source_id", r"^S(\d+)", 1).alias("ref"), F.upper("source_level").alias("level"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions import text as t
+from attesta.functions.evidence import filled
 from attesta.operators.corpus import next_ids
 
 
@@ -162,20 +163,61 @@ def bare_title(text: Column) -> Column:
     return F.rtrim(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("."))
 
 
-def title_mismatches(entries: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
-    """Entries (doc_id, source_id, entry) whose title is unlike the corpus's under the same id, by the better of two readings.
+def _shared(a: Column, b: Column) -> Column:
+    """Characters that two texts share, as multisets: no common subsequence is longer."""
+    count = lambda x, ch: F.length(x) - F.length(F.replace(x, ch, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "(?<=.)(?=.)")), F.lit(0), lambda n, ch: n + F.when(ch == "", 0).otherwise(F.least(count(a, ch), count(b, ch))))
 
-    Python sees only what the join leaves and what isn't equal.
-    """
+
+def _prefix(a: Column, b: Column) -> Column:
+    """Characters that two texts begin with alike: the longest common block is no shorter."""
+    pairs = F.zip_with(F.split(a, "(?<=.)(?=.)"), F.split(b, "(?<=.)(?=.)"), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(pairs, False)
+    return F.when(first > 0, first - 1).otherwise(F.size(pairs))
+
+
+#: difflib leaves frequent characters of longer texts out, so that only shorter ones have a lower bound.
+_JUNK_FREE = 200
+
+
+def ratio_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """What Ratcliff-Obershelp similarity is at least and at most: by the common beginning or containment, and by length and characters shared."""
+    total = F.length(a) + F.length(b)
+    contained = F.when((F.length(b) > 0) & F.contains(a, b), F.length(b)).when((F.length(a) > 0) & F.contains(b, a), F.length(a)).otherwise(0)
+    low = F.when(F.length(b) < _JUNK_FREE, 2 * F.greatest(contained, _prefix(a, b)) / total).otherwise(0.0)
+    return F.when(total > 0, low).otherwise(1.0), F.when(total > 0, 2 * _shared(a, b) / total).otherwise(1.0)
+
+
+def title_pairs(entries: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
+    """Entries (doc_id, source_id, entry) beside the corpus's title under the same id, with both readings and `unlike`: true or false where bounds decide, else null."""
+    title = filled(F.col("title_or_name"), F.col("title")) if "title_or_name" in sources.columns else F.col("title")
     before = F.get(F.split(F.regexp_replace("entry", r"^\[S\d+\]", ""), "http", 2), F.lit(0))
     stop = F.instr(before, ". ")
-    d = entries.join(sources.select("source_id", bare_title(F.col("title")).alias("known")), "source_id").where(F.col("known") != "")
+    d = entries.join(sources.select("source_id", bare_title(title).alias("known")), "source_id").where(F.col("known") != "")
     d = d.withColumns({"whole": bare_title(before), "first": bare_title(F.when(stop > 0, F.substring(before, F.lit(1), stop - 1)).otherwise(before))})
-    d = d.where((F.col("whole") != F.col("known")) & (F.col("first") != F.col("known")))
+    known = F.col("known")
+    bounds = [ratio_bounds(F.col(x), known) for x in ("whole", "first")]
+    alike = (bounds[0][0] >= least) | (bounds[1][0] >= least)
+    return d.withColumn("unlike", F.when(alike, False).when((bounds[0][1] < least) & (bounds[1][1] < least), True))
+
+
+def title_mismatches(entries: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
+    """(doc_id, source_id, score) of entries whose title is unlike the corpus's under the same id, by the better of two readings.
+
+    Bounds leave most pairs that are alike out; of the rest, Python gives the score. `title_or_name` goes before `title`, where the sources have it.
+    """
+    d = title_pairs(entries, sources, least).where(F.coalesce("unlike", F.lit(True)))
     d = d.withColumn("score", F.greatest(title_ratio("whole", "known"), title_ratio("first", "known")))
     return d.where(F.col("score") < least).select("doc_id", "source_id", "score")
 
 
+def mismatched_ids(entries: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
+    """J11 without scores: (doc_id, source_id). Python sees only pairs that lie between the bounds."""
+    d = title_pairs(entries, sources, least)
+    between = d.where(F.col("unlike").isNull()).where(F.greatest(title_ratio("whole", "known"), title_ratio("first", "known")) < least)
+    return d.where("unlike").select("doc_id", "source_id").unionByName(between.select("doc_id", "source_id"))
+
+
 def text_with_header(source_id: Column, title: Column, url: Column, text: Column, truncated: Column | None = None) -> Column:
     """SK5: a text file of a source: id and title, URL, size and a rule, then the text."""
     cut = F.lit(False) if truncated is None else F.coalesce(truncated, F.lit(False))

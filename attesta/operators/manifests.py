@@ -181,10 +181,6 @@ def warnings(manifests: DataFrame) -> DataFrame:
     return manifests.where(version.isin(*LEGACY_VERSIONS)).select("doc_id", version.alias("version"))
 
 
-def _object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
 def _with_member(members: Column, name: str, value: Column) -> Column:
     """An object's members with one more, or another in its place; `value` is JSON."""
     return F.map_concat(F.map_filter(members, lambda k_, _: k_ != name), F.create_map(F.lit(name), F.try_parse_json(value)))
@@ -247,23 +243,35 @@ def verdicts(reviews: DataFrame) -> DataFrame:
     return d.where(F.col("verdict") != "")
 
 
-def provenance(claims: DataFrame, edges: DataFrame, sources: DataFrame, reviews: DataFrame, finalized_at: str, source_map: DataFrame | None = None) -> dict[str, DataFrame]:
-    """G14, SK8: the bundle's four tables, each (case_key or none, json); the manifests of claims, and those of sources (doc_id, manifest) if given, must be without problems.
+# What a bundle's reports say of themselves.
+SOURCE_MAP_NOTE = "正文 [n] 引文 → source_id 的审计对账表（由 evidence_manifest.mapping 聚合）"
+REVIEW_NOTE = "同模型自审（ai-internal）≠ 独立评审；跨模型（ai-cross-model）若共享上下文/证据也非独立。R4/投稿/安全关键须 human-expert"
+REPORTS = ("claims", "evidence", "source-map", "review")
 
-    The check is one action before anything is written.
+
+def bundles(claims: DataFrame, edges: DataFrame, source_map: DataFrame, reviews: DataFrame, finalized_at: str, review_kind: str = "ai-internal", mode: str = "static") -> tuple[DataFrame, DataFrame]:
+    """G14, SK8: reports (case_key, report, json) of each case whose claim and source manifests keep the contract, and problems (case_key, manifest, path, problem) of all others.
+
+    `source_map` (case_key, manifest) has the source manifests, `reviews` (case_key, file, text) the reviews' files. A case is one that has claims or a source manifest: without claims its
+    claim manifest is empty, without a source manifest it fails. One case's problems leave the others alone.
     """
-    manifests = claim_manifests(claims, edges, finalized_at)
-    checked = manifests.select(F.col("case_key").cast("string").alias("doc_id"), F.col("manifest").alias("json"))
-    if source_map is not None:
-        checked = checked.unionByName(source_map.select(F.col("doc_id").cast("string"), F.col("manifest").alias("json")))
-    if not contract_problems(checked).isEmpty():
-        raise ValueError("a manifest violates the contract")
-    return {
-        "claims": manifests.select("case_key", F.col("manifest").alias("json")),
-        "evidence": edges.groupBy("claim_key").agg(F.to_json(F.sort_array(F.collect_list(F.struct(id_of(edges).alias("source_id"), "support_level", "relation", F.struct(*[x.alias(n) for n, x in place_of(edges).items()]).alias("locator"))))).alias("json")),
-        "source-map": sources.select(F.to_json(F.struct("source_id", "title", "url")).alias("json")),
-        "review": verdicts(reviews).select(F.to_json(F.struct("file", "stage", "verdict")).alias("json")),
-    }
+    own = claim_manifests(claims, edges, finalized_at, review_kind, mode).select("case_key", F.col("manifest").alias("claims"))
+    head = [F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(review_kind).alias("review_kind"), F.lit(mode).alias("verification_mode"), F.lit(finalized_at).alias("finalized_at")]
+    empty = F.to_json(F.struct(*head, F.array().cast(T.ArrayType(CLAIM)).alias("claims")))
+    d = own.join(source_map.select("case_key", F.col("manifest").alias("evidence")), "case_key", "full").withColumn("claims", F.coalesce("claims", empty))
+    found = None
+    for name in ("claims", "evidence"):
+        p = contract_problems(d.where(F.col(name).isNotNull()).select(F.col("case_key").alias("doc_id"), F.col(name).alias("json"))).select(F.col("doc_id").alias("case_key"), F.lit(name).alias("manifest"), "path", "problem")
+        found = p if found is None else found.unionByName(p)
+    found = found.unionByName(d.where(F.col("evidence").isNull()).select("case_key", F.lit("evidence").alias("manifest"), F.lit("").alias("path"), F.lit("no source manifest").alias("problem")))
+    good = d.join(found.select("case_key").distinct(), "case_key", "left_anti")
+    stages = verdicts(reviews).groupBy("case_key").agg(F.array_sort(F.collect_list(F.struct("file", "stage", "verdict"))).alias("stages"))
+    good = good.join(stages, "case_key", "left").withColumn("stages", F.coalesce("stages", F.array().cast(stages.schema["stages"].dataType)))
+    mapping = F.try_variant_get(F.try_parse_json("evidence"), "$.mapping", "variant")
+    maps = F.to_json(F.struct(head[0], head[3], F.lit(SOURCE_MAP_NOTE).alias("note"), mapping.alias("mapping")))
+    review = F.to_json(F.struct(*head, F.lit(REVIEW_NOTE).alias("note"), "stages"))
+    reports = F.array(*[F.struct(F.lit(name).alias("report"), x.alias("json")) for name, x in zip(REPORTS, (F.col("claims"), F.col("evidence"), maps, review), strict=True)])
+    return good.select("case_key", F.explode(reports).alias("r")).select("case_key", "r.*"), found
 
 
 def title_of(prefer_long: bool) -> Column:

@@ -38,6 +38,37 @@ def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.contract_problems(d).agg(F.count("*").alias("problems"))
 
 
+def _bundles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every customer a case: its claim manifest, and a source manifest with a citation of its number, malformed for every sixth, absent for every seventh."""
+    c = b.table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
+    key = F.col("c_custkey").cast("string")
+    cited = F.concat(F.when(F.col("c_custkey") % 6 == 0, "S").otherwise("[S"), key, F.lit("]"))
+    entry = F.array(F.struct(cited.alias("citation"), F.lit("[1]").alias("mapped"), F.concat(F.lit("S"), key).alias("source_id")))
+    head = [F.lit(x).alias(n) for n, x in (("schema_version", op.SCHEMA_VERSION), ("review_kind", "ai-internal"), ("verification_mode", "static"), ("finalized_at", _DAY))]
+    maps = c.select(F.col("c_custkey").alias("case_key"), F.to_json(F.struct(*head, entry.alias("mapping"))).alias("manifest"))
+    reviews = c.select(F.col("c_custkey").alias("case_key"), F.lit("10_review.md").alias("file"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("**判决**：通过 "), key)).otherwise("none").alias("text"))
+    edges = claims_op.edges_with_sources(b.evidence(spark, sf_dir).where(F.col("source_id").startswith("S") | (F.col("claim_key") % 3 == 0)), b.sources(spark, sf_dir))
+    return op.bundles(b.claims(spark, sf_dir), edges, maps, reviews, _DAY)
+
+
+_BUNDLES_SQL = f"""{CLAIMS_SQL}, {EVIDENCE_SQL}, cases AS (SELECT case_key FROM claims UNION SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0),
+bad AS (SELECT DISTINCT case_key FROM claims JOIN evidence USING (claim_key) WHERE source_id LIKE 'G%' AND claim_key % 3 = 0),
+judged AS (SELECT case_key, case_key IN (SELECT case_key FROM bad) AS claims_bad, case_key % 7 = 0 OR case_key NOT IN (SELECT c_custkey FROM customer) AS absent, case_key % 6 = 0 AS malformed FROM cases)"""
+
+
+@query("sk8_bundles", f"""WITH {_BUNDLES_SQL}, good AS (SELECT case_key FROM judged WHERE NOT claims_bad AND NOT absent AND NOT malformed)
+SELECT case_key, unnest(['claims', 'evidence', 'source-map', 'review']) AS report, unnest([(SELECT count(*) FROM claims c WHERE c.case_key = good.case_key), 1, 1, (case_key % 2 = 0)::BIGINT])::BIGINT AS entries FROM good""")
+def sk8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four reports of each case that keeps the contract, with how many entries each has."""
+    n = lambda name: F.json_array_length(F.get_json_object("json", f"$.{name}"))
+    return _bundles(spark, sf_dir)[0].select("case_key", "report", F.coalesce(n("claims"), n("mapping"), n("stages")).cast("long").alias("entries"))
+
+
+@query("g14_bundle_problems", f"""WITH {_BUNDLES_SQL} SELECT case_key, 'claims' AS manifest FROM judged WHERE claims_bad UNION ALL SELECT case_key, 'evidence' FROM judged WHERE absent OR malformed""")
+def g14_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bundles(spark, sf_dir)[1].select("case_key", "manifest").distinct()
+
+
 @query("p18_source_manifest", f"""WITH {DRAFTS_SQL}, {_NUMBERS}, s AS (SELECT 'S' || p_partkey AS sid, p_name FROM part WHERE p_partkey % 13 <> 0)
 SELECT doc_id, '[S' || key || ']' AS citation, '[' || n || ']' AS mapped, 'S' || key AS source_id, p_name AS title, '0.2.0' AS version, '2026-01-01' AS day, 'none' AS human FROM numbers LEFT JOIN s ON sid = 'S' || key""")
 def p18(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,17 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_op.title_mismatches(entries, sources)
 
 
+@query("j11_undecided", "SELECT count(*) AS pairs, count(*) FILTER (p_partkey % 3 = 0) AS unlike, 0::BIGINT AS undecided FROM part WHERE p_name <> ''")
+def j11_undecided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of titles bounds leave to Python: those that the two readings can't be told by."""
+    p = b.table(spark, sf_dir, "part")
+    sid = F.concat(F.lit("S"), F.col("p_partkey").cast("string"))
+    shown = F.when(F.col("p_partkey") % 3 == 0, "ÄÖÜ ÄÖÜ ÄÖÜ ÄÖÜ ÄÖÜ ÄÖÜ").otherwise(F.initcap("p_name"))
+    entries = p.select((F.col("p_partkey") % 100).alias("doc_id"), sid.alias("source_id"), F.concat(F.lit("["), sid, F.lit("] "), shown, F.lit(". "), F.col("p_brand"), F.lit(". https://x.org")).alias("entry"))
+    d = ingest_op.title_pairs(entries, p.select(sid.alias("source_id"), F.col("p_name").alias("title"))).select("unlike")
+    return d.agg(F.count("*").alias("pairs"), F.count_if("unlike").alias("unlike"), F.count_if(F.col("unlike").isNull()).alias("undecided"))
+
+
 @query("sk5_text_header", "SELECT doc_id, '[S' || doc_id || '] ' || source || chr(10) || 'URL: ' || chr(10) || 'Chars: ' || length(text) || CASE WHEN doc_id % 3 = 0 THEN ' (TRUNCATED)' ELSE '' END || chr(10) || repeat('=', 60) || chr(10) || chr(10) || text AS content FROM documents")
 def sk5(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators import citations
@@ -32,10 +33,34 @@ def audit_log(rows: DataFrame, generated_at: str, policy: str) -> DataFrame:
     return rows.groupBy("input_file").agg(F.sort_array(F.collect_list(entry)).alias("entries")).select("input_file", F.to_json(F.struct(*head, "entries")).alias("value"))
 
 
-def provenance_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """SK8: a folder of JSON lines for each table of a bundle, which was checked when it was made."""
-    for name, df in tables.items():
-        df.select(F.col("json").alias("value")).write.mode("overwrite").text(f"{path}/{name}")
+def _file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def commit_bundles(reports: DataFrame, path: str, run: str) -> None:
+    """SK8: the reports (case_key, report, json) of one run. They are written beside what is there, and count once their marker is written.
+
+    A run that is given again replaces what it wrote before; one that breaks off leaves the former bundles as they were.
+    """
+    spark = reports.sparkSession
+    marker = f"{path}/commits/{run}"
+    fs, p = _file_system(spark, marker)
+    fs.delete(p, True)
+    reports.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{path}/runs/{run}")
+    cases = spark.read.parquet(f"{path}/runs/{run}").agg(F.count_distinct("case_key").alias("cases"))
+    cases.coalesce(1).write.mode("overwrite").json(marker)
+
+
+def committed_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(case_key, report, json, run): of each case the reports of its last committed run, by the runs' names in order."""
+    fs, p = _file_system(spark, f"{path}/commits")
+    runs = sorted(x.getPath().getName() for x in fs.listStatus(p) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
+    if not runs:
+        raise FileNotFoundError(f"no committed run in {path}")
+    rows = spark.read.parquet(*[f"{path}/runs/{x}" for x in runs])
+    last = rows.groupBy("case_key").agg(F.max("run").alias("run"))
+    return rows.join(last, ["case_key", "run"]).select("case_key", "report", "json", "run")
 
 
 def finished_drafts(drafts: DataFrame, path: str) -> DataFrame:

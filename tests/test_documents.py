@@ -1,5 +1,6 @@
 import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,40 @@ def test_title_mismatch_is_difflibs(spark):
     assert got == {k: v for k, v in want.items() if v < 0.6}
 
 
+def test_title_bounds_hold(spark):
+    """Bounds of random titles enclose difflib's ratio, and decide most pairs; the ids are those of the scores."""
+    rng = random.Random(5)
+    words = ["cable", "ageing", "of", "the", "état", "研究", "a", "reactor", "Series", "No.", "x" * 30, "é"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))
+    pairs = []
+    for i in range(400):
+        t = title()
+        shown = rng.choice([t, title(), t[: len(t) // 2] + title(), t.upper() + ". Publisher", t + " " + title(), "", "a" * 250 + t])
+        pairs.append((i, f"S{i}", f"[S{i}] {shown}. https://x.org", t, rng.choice([t, None, "", title()])))
+    d = spark.createDataFrame(pairs, "doc_id int, source_id string, entry string, title string, title_or_name string")
+    entries, sources = d.select("doc_id", "source_id", "entry"), d.select("source_id", "title", "title_or_name")
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    p = ingest.title_pairs(entries, sources)
+    bounds = {x: ingest.ratio_bounds(F.col(x), F.col("known")) for x in ("whole", "first")}
+    rows = p.select("*", *[c.alias(f"{x}{i}") for x, b in bounds.items() for i, c in enumerate(b)]).collect()
+    want = set()
+    for r in rows:
+        true = {x: ratio(r[x], r["known"]) for x in bounds}
+        assert all(r[f"{x}0"] - 1e-9 <= true[x] <= r[f"{x}1"] + 1e-9 for x in bounds), r
+        if max(true.values()) < 0.6:
+            want.add(r["source_id"])
+        assert r["unlike"] is None or r["unlike"] == (max(true.values()) < 0.6)
+    assert {r["source_id"] for r in ingest.mismatched_ids(entries, sources).collect()} == want == {r["source_id"] for r in ingest.title_mismatches(entries, sources).collect()}
+    assert len(want) > 50 and sum(r["unlike"] is None for r in rows) < len(rows) / 3
+    known = {r["source_id"]: r["known"] for r in rows}
+    assert all(known.get(s, "") == " ".join((n or "").split() or t.split()).lower().rstrip(".").strip() for _, s, _, t, n in pairs if s in known)
+
+
+def test_title_entries_begin_after_a_blank_line(spark):
+    d = spark.createDataFrame([(1, "## 参考文献\n\n[S1] One\n[S2] Two\n\n[S3] Three. x\n\nplain\n\n[4] no")], "doc_id int, refs string")
+    assert {r["source_id"]: r["entry"] for r in citations.title_entries(d).collect()} == {"S1": "[S1] One\n[S2] Two", "S3": "[S3] Three. x\n\nplain"}
+
+
 def test_splice_keeps_a_numbered_heading(spark):
     df = spark.createDataFrame([("a\n## 13. 参考文献\nold\n## 附录A\nx", "## 参考文献\n\nnew\n"), ("a", "## 参考文献\n\nnew\n")], "t string, s string")
     got = [r[0] for r in df.select(references.spliced(F.col("t"), F.col("s"))).collect()]

@@ -1,6 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
 from attesta.operators import manifests as op
+from attesta.sources import sinks
 
 GOOD = {"schema_version": "0.2.0", "review_kind": "ai-internal", "verification_mode": "live", "finalized_at": "2026-08-02"}
 
@@ -73,3 +76,29 @@ def test_migration_of_odd_trees(spark):
 def test_verdicts(spark):
     df = spark.createDataFrame([("10_review_a.md", "x\n**判决**： 小修 \ny"), ("own.md", "none")], "file string, text string")
     assert [(r["stage"], r["verdict"]) for r in op.verdicts(df).collect()] == [("r4 初稿审查", "小修")]
+
+
+def test_bundles_by_case(spark, tmp_path):
+    """One bad case of three leaves two bundles; a run counts once it is committed, and a later one replaces a case's bundle."""
+    claims = spark.createDataFrame([(1, "C-001", "a", "E", "R2"), (2, "C-001", "b", "E", "R2"), (3, "C-001", "c", "BAD", "R2")], "claim_key long, claim_id string, case_key string, claim_class string, risk string")
+    edges = spark.createDataFrame([(c, f"S{c}", f"S{c}", "direct", "supports", "A1", "current") for c in (1, 2, 3)], "claim_key long, source_key string, source_id string, support_level string, relation string, authority string, freshness string")
+    mapping = {"schema_version": "0.2.0", "review_kind": "ai-internal", "verification_mode": "static", "finalized_at": "2026-01-01", "mapping": [{"citation": "[S1]", "mapped": "[1]", "source_id": "S1", "own": 1}]}
+    maps = [(x, json.dumps(mapping)) for x in "abcd"] + [("f", json.dumps(mapping | {"mapping": [{"citation": "S1"}]}))]
+    reviews = spark.createDataFrame([("a", "10_review.md", "**判决**：通过"), ("a", "03_audit_report.md", "**判决**：好"), ("c", "10_review.md", "**判决**：x")], "case_key string, file string, text string")
+    more = claims.unionByName(spark.createDataFrame([(9, "C-001", "e", "E", "R1")], claims.schema))
+    reports, problems = op.bundles(more, edges, spark.createDataFrame(maps, "case_key string, manifest string"), reviews, "2026-01-01")
+    assert {(r["case_key"], r["manifest"], r["problem"]) for r in problems.collect() if r["case_key"] != "f"} == {("c", "claims", "illegal claim_class"), ("e", "evidence", "no source manifest")}
+    got = {(r["case_key"], r["report"]): json.loads(r["json"]) for r in reports.collect()}
+    assert got.keys() == {(c, r) for c in "abd" for r in op.REPORTS}
+    assert got["a", "source-map"]["mapping"] == mapping["mapping"] and got["a", "evidence"] == mapping and got["d", "claims"]["claims"] == []
+    assert [(x["stage"], x["verdict"]) for x in got["a", "review"]["stages"]] == [("r1 来源审计", "好"), ("r4 初稿审查", "通过")] and got["b", "review"]["stages"] == []
+    path = str(tmp_path / "out")
+    read = lambda: {(r["case_key"], r["run"]) for r in sinks.committed_bundles(spark, path).collect()}
+    sinks.commit_bundles(reports, path, "0001")
+    assert read() == {("a", "0001"), ("b", "0001"), ("d", "0001")}
+    # A run that broke off before its marker isn't seen.
+    reports.withColumn("run", F.lit("0002")).write.parquet(f"{path}/runs/0002")
+    assert read() == {("a", "0001"), ("b", "0001"), ("d", "0001")}
+    sinks.commit_bundles(reports.where("case_key = 'a'"), path, "0002")
+    sinks.commit_bundles(reports.where("case_key <> 'd'"), path, "0001")
+    assert read() == {("a", "0002"), ("b", "0001")}
