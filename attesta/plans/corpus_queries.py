@@ -178,6 +178,29 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", ip.alias("host")).withColumn("private", urls.private_v4(F.col("host")))
 
 
+_V6 = (("2001", True), ("2001:db8", True), ("2002:7f00", True), ("2606:2800", False), ("fd00", True), ("fe80", True), ("::ffff:8", True), ("2001:20", False), ("2001:4:112", False), ("2001:200", False), ("ff02", True), ("64:ff9b", True), ("2a00:1450", False))
+
+
+@query("f6_private_ipv6", f"""WITH nets(i, prefix, hidden) AS (VALUES {", ".join(f"({i}, '{x}', {hidden})" for i, (x, hidden) in enumerate(_V6))})
+SELECT event_id, '[' || prefix || CASE WHEN prefix LIKE '::%' THEN ':' ELSE '::' END || lower(format('{{:x}}', user_id % 65536)) || ']' AS host, hidden AS private FROM events JOIN nets ON i = event_id % {len(_V6)}""")
+def f6_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.element_at(F.array(*[F.lit(x) for x, _ in _V6]), (F.col("event_id") % len(_V6) + 1).cast("int"))
+    host = F.concat(F.lit("["), prefix, F.when(prefix.startswith("::"), ":").otherwise("::"), F.lower(F.hex(F.col("user_id") % 65536)), F.lit("]"))
+    return b.table(spark, sf_dir, "events").select("event_id", host.alias("host")).withColumn("private", urls.private_ip(F.col("host")))
+
+
+@query("f6_numeric_hosts", """WITH x AS (SELECT event_id, (event_id * 7919 + user_id * 104729) % 4294967296 AS n FROM events), y AS (SELECT *, n // 16777216 AS a, n // 65536 % 256 AS b, n // 256 % 256 AS c, n % 256 AS d FROM x)
+SELECT event_id, coalesce(a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2) AND NOT (c = 0 AND d IN (9, 10))))) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113), false) AS private FROM y""")
+def f6_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses written as one number, as two or three parts, in octal or hexadecimal."""
+    n = (F.col("event_id") * 7919 + F.col("user_id") * 104729) % (1 << 32)
+    part = lambda low, size: F.floor(n / (1 << low)).cast("long") % (1 << size)
+    text = lambda x: x.cast("string")
+    host = F.when(F.col("event_id") % 5 == 0, text(n)).when(F.col("event_id") % 5 == 1, F.concat(F.lit("0x"), F.lower(F.hex(n)))).when(F.col("event_id") % 5 == 2, F.concat_ws(".", text(part(24, 8)), text(part(0, 24)))) \
+        .when(F.col("event_id") % 5 == 3, F.concat_ws(".", F.concat(F.lit("0"), F.conv(text(part(24, 8)), 10, 8)), text(part(16, 8)), text(part(0, 16)))).otherwise(F.concat_ws(".", *[F.concat(F.lit("0x"), F.hex(part(i, 8))) for i in (24, 16, 8, 0)]))
+    return b.table(spark, sf_dir, "events").select("event_id", urls.numeric_host(F.lower(host)).alias("private"))
+
+
 @query("f7_url_policy", f"""WITH h AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ftp' WHEN 1 THEN 'http' ELSE 'https' END || '://' || CASE page_id % 7 WHEN 0 THEN 'localhost' WHEN 1 THEN 'box.local' WHEN 2 THEN '10.1.2.' || (page_id % 256) WHEN 3 THEN 'a.test' WHEN 4 THEN '8.8.8.8' ELSE 'public.com' END AS url FROM pages)
 SELECT page_id, CASE WHEN page_id % 7 = 3 OR page_id % 7 = 0 THEN 'suspect_suffix' WHEN page_id % 5 = 0 THEN 'scheme' WHEN page_id % 7 = 1 THEN 'blocked_host' WHEN page_id % 7 IN (2, 5) OR (page_id % 7 = 6 AND page_id % 2 = 0) THEN 'private_ip' END AS reason FROM h""")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:

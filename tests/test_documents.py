@@ -1,4 +1,5 @@
 import difflib
+import ipaddress
 import json
 import random
 
@@ -115,6 +116,24 @@ def test_title_mismatch_is_difflibs(spark):
     assert got == {k: v for k, v in want.items() if v < 0.6}
 
 
+def test_addresses_like_the_standard_library(spark):
+    """Random and odd IPv6 and IPv4 addresses; shared and site-local networks are blocked beyond it."""
+    rng = random.Random(6)
+    heads = ["2001:", "2001:db8:", "2002:", "2606:", "fd00:", "fe80:", "ff02:", "2001:20:", "2001:4:112:", "2001:1::", "64:ff9b::", "::ffff:", "::", "100::", "5f00:", "2a00:", "2001:3:", "2001:30:", "2001:2:", "2001:1ff:", "2001:200:"]
+    six = {h.rstrip(":") + "::" + f"{rng.randrange(1 << 16):x}" if "::" not in h else h + f"{rng.randrange(1 << 16):x}" for h in heads for _ in range(6)} | {"2001:1::1", "2001:1::2", "2001:1::3", "::", "::1", "1:2:3:4:5:6:7:8", "2001:0db8:0:0:0:0:0:1", "::ffff:8.8.8.8", "64:ff9b::10.0.0.1", "2002:7f00:1::", "FE80::1"}
+    four = {".".join(str(rng.choice([0, 8, 9, 10, 127, 169, 172, 192, 203, 254, 255, rng.randrange(256)])) for _ in range(4)) for _ in range(200)} | {"192.0.0.9", "192.0.0.10", "192.0.0.11", "100.63.0.1"}
+    hidden = lambda a: a.is_private or a.is_reserved or a.is_multicast or a.is_link_local or a.is_unspecified
+    d = spark.createDataFrame([(x,) for x in six | four], "h string").where(~F.col("h").rlike("^100[.](6[4-9]|[7-9]|1[01]|12[0-7])"))
+    for r in d.select("h", urls.private_ip(F.col("h")).alias("p")).collect():
+        assert r["p"] == hidden(ipaddress.ip_address(r["h"])), r
+    odd = {"1:2:3": True, ":::": True, "12345::": True, "1::2::3": True, "g::": True, "[::1]": True, "[2606::1%eth0]": False, "host.org": None, "1.2.3": None}
+    assert {r["h"]: r["p"] for r in spark.createDataFrame([(x,) for x in odd], "h string").select("h", urls.private_ip(F.col("h")).alias("p")).collect()} == odd
+    numbers = {"2130706433": True, "127.1": True, "0x7f.1": True, "0177.0.0.1": True, "134744072": False, "8.8.2056": False, "0x08.010.8.8": False, "4294967296": True, "1.256.1.1": True, "1.2.65536": True, "09.1.1.1": True, "99999999999999999999999": True, "0": True, "a.1": None, "0xg": None}
+    assert {r["h"]: r["p"] for r in spark.createDataFrame([(x,) for x in numbers], "h string").select("h", urls.numeric_host(F.col("h")).alias("p")).collect()} == numbers
+    reasons = spark.createDataFrame([(f"http://{x}/",) for x in ("[2002:7f00:1::]", "2130706433", "127.1", "8.8.8.8", "134744072", "[::ffff:8.8.8.8]", "[2001:20::1]")], "u string").select(urls.policy(F.col("u"))).collect()
+    assert [r[0] for r in reasons] == ["private_ip", "private_ip", "private_ip", None, None, "private_ip", None]
+
+
 def test_title_bounds_hold(spark):
     """Bounds of random titles enclose difflib's ratio, and decide most pairs; the ids are those of the scores."""
     rng = random.Random(5)
