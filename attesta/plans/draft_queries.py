@@ -177,3 +177,25 @@ def l22(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = b.drafts(spark, sf_dir)
     edited = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" [S1]"))).otherwise(F.replace(F.col("text"), F.lit("holds"), F.lit("has"))))
     return op.invariant(d, edited)
+
+
+@query("l12_gates", f"""WITH {_FINAL}, {_PARTS.replace(DRAFTS_SQL + ", ", "")}, c AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(body, '\\[(\\d+)\\]', 1), lambda y: y::INT))) AS cited, list_sort(list_distinct({_ORDER})) AS listed FROM finals),
+urls AS (SELECT doc_id, count(*) <> count(DISTINCT u) AS again FROM (SELECT doc_id, unnest(regexp_extract_all(ref_lines, 'https?://[^\\s\\]]+')) AS u FROM finals) GROUP BY doc_id),
+audit AS (SELECT o_orderkey AS doc_id, o_orderpriority[1] IN ('1', '2') OR o_custkey % 8 = 2 AS risky FROM orders),
+lost AS (SELECT DISTINCT l_orderkey AS doc_id FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_quantity DESC, l_extendedprice DESC, l_returnflag DESC, l_linestatus DESC) = 1)
+  WHERE l_returnflag || l_linestatus <> 'RF' AND NOT (l_linenumber = 5 OR (l_linenumber % 2 = 0 AND l_quantity::INT <> 0))),
+x AS (SELECT f.doc_id, NOT regexp_matches(final, '\\?\\d+\\]') AS residuals, c.cited = c.listed AND len(c.listed) >= 3 AS closure, len(c.listed) = list_max(c.listed) AS sequence, coalesce(again, false) AS again,
+  m.cited = m.listed AND m.gaps = m.listed_gaps AND len(list_filter({_LINES.replace("refs", "m.refs")}, lambda x: NOT contains(x, 'https://'))) = 0 AS working, len(m.listed) >= 3 AND length(regexp_replace(m.body, '[\\s\\x{{00a0}}\\x{{3000}}]', '', 'g')) >= 60 AS minimum,
+  f.doc_id % 3 <> 0 OR NOT coalesce(risky, false) OR f.doc_id NOT IN (SELECT doc_id FROM lost) AS audited, f.doc_id % 3 = 0 AS of_case, f.doc_id NOT IN (SELECT o_orderkey FROM orders) AS unheard
+  FROM finals f JOIN c USING (doc_id) JOIN marks m ON m.doc_id = f.doc_id LEFT JOIN urls u ON u.doc_id = f.doc_id LEFT JOIN audit a ON a.doc_id = f.doc_id)
+SELECT doc_id, residuals AS a, closure AND sequence AS b, working AND minimum AND audited AND NOT (of_case AND unheard) AS c, NOT again AS d, residuals AND closure AND sequence AND working AND minimum AND audited AND NOT again AND NOT (of_case AND unheard) AS released FROM x""")
+def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates A to D in one plan; every third draft is a case's and needs the audit of its claim."""
+    from attesta.operators import claims as claims_op
+    from attesta.operators import final_gate
+
+    drafts = b.drafts(spark, sf_dir)
+    audited = claims_op.auditability(b.claims(spark, sf_dir), b.evidence(spark, sf_dir)).select(F.col("claim_key").alias("doc_id"), (F.col("auditable") | ~F.col("high_risk")).alias("ok")).where("doc_id % 3 = 0")
+    verdicts = final_gate.final_verdicts(op.finished(drafts).select("doc_id", "final"), min_sources=3).unionByName(final_gate.draft_verdicts(drafts, 3, 60)).unionByName(final_gate.case_verdicts("audit", audited, F.col("ok")))
+    docs = drafts.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("case"))).alias("kinds"))
+    return final_gate.released(docs, verdicts, by_kind={"case": (("C", "audit"),)}).drop("failing")
