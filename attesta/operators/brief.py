@@ -11,11 +11,11 @@ from attesta.operators import claims as op
 
 
 def source_label(source_id: Column, authority: Column, freshness: Column, relation: Column, level: Column, place: dict[str, Column]) -> Column:
-    """A source as the brief shows it, with every field of its place that isn't empty."""
+    """A source as the brief shows it, with every field of its place that isn't empty, by name."""
     shown = lambda c: F.when(blank(c), F.lit("?")).otherwise(c)
-    parts = F.concat_ws("/", source_id, shown(authority), shown(freshness), F.when(relation != "", relation), F.when(level != "", level))
-    fields = [F.when(~x.cast("string").isin("", "0"), F.concat(F.lit(f"{name}="), x.cast("string"))) for name, x in place.items()]
-    where = F.concat_ws(",", *fields)
+    parts = F.concat_ws("/", F.when(source_id.startswith("S"), source_id).otherwise(F.concat(F.lit("S"), source_id)), shown(authority), shown(freshness), F.when(relation != "", relation), F.when(level != "", level))
+    fields = [F.when(~x.cast("string").isin("", "0"), F.concat(F.lit(f"{name}="), x.cast("string"))) for name, x in sorted(place.items())]
+    where = F.concat_ws(" ", *fields)
     return F.concat(parts, F.when(where != "", F.concat(F.lit(" @"), where)).otherwise(""))
 
 
@@ -25,9 +25,33 @@ def brief_relation(level: Column, explicit: Column | None = None) -> Column:
     return derived if explicit is None else F.coalesce(F.when(explicit != "", explicit), derived)
 
 
+# Characters of a claim in the brief's table, its columns, and what it says of itself.
+SHOWN_CHARS = 60
+COLUMNS = ("Claim", "class", "risk", "论断", "支持", "反证", "status", "平衡", "置信度", "评分")
+WEIGHTS = "权威 25 / 直接度 20 / 独立 15 / 新鲜 10 / 可溯 15 / 反证 10 / 可复现 5——评分不替代硬门禁"
+HEAD = """# Evidence Brief
+
+- 生成时间：{on}
+- 审查模式：{mode}（evidence 乘数 {multiplier:g}）｜profile：{profile}
+- 声明：本表只呈现证据、充分性判定与评分，**结论由 agent/用户填写**，脚本不代写。
+- 评分：Evidence Score 0–100（权威25/直接度20/独立15/新鲜10/可溯15/反证10/可复现5）；**
+  评分不替代硬门禁**，先过门禁再看分。
+
+## 汇总
+
+| {columns} |
+| {rules} |
+"""
+FOOT = "\n\n## 结论（由 Agent 填写）\n\n> 基于上表证据态势，给出结论；证据不足处如实降级/留白，不得越过充分性判定下强结论。\n"
+
+
 def brief_rows(claims: DataFrame, sources: DataFrame, evidence: DataFrame, mode: str = "balanced") -> DataFrame:
-    """SK9: one row of the brief's table for each claim, and the lines of its details."""
-    judged = op.sufficiency(claims, sources, evidence, mode)
+    """SK9: one row of the brief's table for each claim, and the lines of its details.
+
+    Claims may have claim_text, evidence_status, verdict and confidence; without a verdict the status counts, without a confidence medium.
+    """
+    said = {x: F.trim(F.coalesce(F.col(x) if x in claims.columns else F.lit(""), F.lit(""))) for x in ("claim_text", "evidence_status", "verdict", "confidence")}
+    judged = op.sufficiency(claims.withColumns(said), sources, evidence, mode)
     edges = op.edges_with_sources(evidence, sources).withColumn("shown", brief_relation(F.col("support_level"), F.when(F.col("relation") == "contradicts", F.col("relation"))))
     label = source_label(id_of(edges), F.col("authority"), F.col("freshness"), F.col("shown"), F.col("support_level"), place_of(edges))
     listed = lambda when: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("source_key", label.alias("t"))))), lambda x: x["t"]), "；")
@@ -35,22 +59,27 @@ def brief_rows(claims: DataFrame, sources: DataFrame, evidence: DataFrame, mode:
     lists = edges.groupBy("claim_key").agg(listed(~against & ~context).alias("support"), listed(against).alias("against"), listed(context).alias("context"))
     d = judged.join(lists, "claim_key", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("support", "against", "context")})
     n_support = F.col("n_support") - F.col("n_context")
-    d = d.withColumn("mark", balance_of(n_support, F.col("n_against"), F.col("n_context")))
-    score = F.format_string("%.1f", "score")
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", "claim_id", "claim_class", "risk", n_support.cast("string"), F.col("n_against").cast("string"), "mark", F.concat(score, F.lit("/"), "grade")), F.lit(" |"))
+    or_ = lambda x, other: F.coalesce(F.nullif(F.col(x), F.lit("")), other)
+    d = d.withColumns({"mark": balance_of(n_support, F.col("n_against"), F.col("n_context")), "shown_status": or_("evidence_status", F.lit("-")), "verdict": or_("verdict", F.col("evidence_status")), "confidence": or_("confidence", F.lit("medium")), "shown_score": F.concat(F.format_string("%.1f", "score"), F.lit("/"), "grade")})
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "claim_id", "claim_class", "risk", F.substring("claim_text", 1, SHOWN_CHARS), n_support.cast("string"), F.col("n_against").cast("string"), "shown_status", "mark", "confidence", "shown_score"), F.lit(" |"))
     return d.withColumn("line", line)
 
 
-def brief(rows: DataFrame, mode: str = "balanced") -> DataFrame:
-    """(case_key, brief): a Markdown table in order of claims, how many are sufficient, and what supports each."""
-    detail = F.concat(F.lit("### "), "claim_id", F.lit("\n"), F.array_join(F.array_compact(F.array(
+def brief(rows: DataFrame, on: str, mode: str = "balanced", profile: str = "default") -> DataFrame:
+    """(case_key, brief): a Markdown table in order of claims, how many are sufficient, and for each its sources, status, score and what it lacks."""
+    multiplier = k.REVIEW_MODES[mode][0]
+    told = f"{mode}，乘数 {multiplier:g}"
+    lacks = F.array_join(F.transform(F.split("reasons", ","), lambda x: F.concat(F.lit("    - "), F.trim(x))), "\n\n")
+    detail = F.concat(F.lit("### "), "claim_id", F.lit(" ["), "risk", F.lit("/"), "claim_class", F.lit("] "), "claim_text", F.lit("\n\n"), F.array_join(F.array_compact(F.array(
         F.when(F.col("support") != "", F.concat(F.lit("- 支持："), "support")), F.when(F.col("against") != "", F.concat(F.lit("- 反证："), "against")), F.when(F.col("context") != "", F.concat(F.lit("- 背景："), "context")),
-        F.when(F.col("passed"), "- 充分性：✅").otherwise(F.concat(F.lit("- 充分性：❌ "), "reasons")),
-    )), "\n"))
+        F.concat(F.lit("- 状态/判决："), "shown_status", F.lit(" / "), "verdict", F.lit(" | 平衡："), "mark", F.lit(" | 置信度："), "confidence"),
+        F.concat(F.lit("- Evidence Score：**"), F.format_string("%.1f", "score"), F.lit("（"), "grade", F.lit(f"）**（{WEIGHTS}）")),
+        F.when(F.col("passed"), F.lit(f"- 充分性：✅ 达标（{told}）")).otherwise(F.concat(F.lit(f"- 充分性：❌ 不足（{told}）：\n\n"), lacks)),
+    )), "\n\n"))
     d = rows.groupBy("case_key").agg(F.sort_array(F.collect_list(F.struct("claim_key", "line", detail.alias("detail")))).alias("r"), F.count_if("passed").alias("ok"), F.count("*").alias("n"))
     joined = lambda f, sep: F.array_join(F.transform("r", lambda x: x[f]), sep)
-    head = f"# Evidence Brief\n\n- 审查模式：{mode}\n\n| Claim | class | risk | 支持 | 反证 | 平衡 | 评分 |\n| --- | --- | --- | --- | --- | --- | --- |\n"
-    return d.select("case_key", F.concat(F.lit(head), joined("line", "\n"), F.lit("\n\n证据充分性：**"), F.col("ok").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit("** claim 达标。\n\n"), joined("detail", "\n\n"), F.lit("\n")).alias("brief"))
+    head = HEAD.format(on=on, mode=mode, multiplier=multiplier, profile=profile, columns=" | ".join(COLUMNS), rules=" | ".join("---" for _ in COLUMNS))
+    return d.select("case_key", F.concat(F.lit(head), joined("line", "\n"), F.lit("\n\n证据充分性：**"), F.col("ok").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit("** claim 达标。\n\n## 逐条详情\n\n"), joined("detail", "\n\n"), F.lit(FOOT)).alias("brief"))
 
 
 # The gates of a workspace: name, pattern of a file's path, whether it must be there.

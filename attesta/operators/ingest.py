@@ -31,8 +31,13 @@ NAME = r"[\x{4e00}-\x{9fff}·]{2,4}"
 ARTICLE_NUMBER = r"文章编号[:：]?\s*(\d{4})-?(\d{4})\((\d{2,4})\)-(\d{4,5})-(\d{1,3})"
 CN_JOURNAL = r"([\x{4e00}-\x{9fff}]{2,10})[ \t]*(\d{4})[，,][ \t]*(\d{1,3})[ \t]*\((\d{1,2})\)"
 EN_JOURNAL = r"([A-Z][A-Za-z &]{5,60}?)\s*Vol\.?\s*(\d{1,3})\s*No\.?\s*(\d{1,3})"
+VOLUME_ISSUE = r"第\s*(\d{1,3})\s*卷\s*第\s*(\d{1,3})\s*期"
+DOI = r"DOI[:：]?\s*(10\.\d{4,5}/[^\s，。；]+)"
+BANNER = r"^.{1,10}等[：:]\s*(.+?)[\s]+[\x{4e00}-\x{9fff}]{2,10}\s*\d{4}[，,]"
 MONTH_YEAR = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+(\d{4})"
 #: Lines of a first page that may hold the title, characters of a title that comes once and of any, lines and characters of an English one.
+#: Lines that patterns are sought in, characters and lines that may hold the journal.
+HEAD, JOURNAL_CHARS, JOURNAL_LINES = 40, 600, 12
 HEAD_LINES, ALONE, LONGEST, ENGLISH_LINES, ENGLISH_CHARS = 44, 40, 90, 25, 120
 
 
@@ -79,27 +84,53 @@ def title_and_authors(text: Column) -> Column:
         english = _blocks(F.slice(ls, 1, ENGLISH_LINES), lambda x, i: x.rlike(r"^[A-Z][A-Za-z0-9,\-() ]{3,80}$") & ~x.rlike(NO_TITLE), " ")
         authors = F.get(F.filter(ls, lambda x, i: author_line(x) & above(i)), F.lit(0))
         names = F.array_join(F.filter(F.split(F.regexp_replace(authors, r"[\d*＊]+", " "), r"[，,、\s]+"), lambda x: x != ""), "，")
-        title = best_title(chinese, norm)
+        # A running head that names the authors holds the title too.
+        banner = F.trim(F.regexp_replace(F.regexp_extract(F.array_join(F.slice(ls, 1, HEAD), "\n"), BANNER, 1), r"\s{2,}", " "))
+        title = F.regexp_replace(best_title(F.concat(F.filter(F.array(banner), lambda x: x != ""), chinese), norm), r"(?<=[\x{4e00}-\x{9fff}])[ \x{3000}]+(?=[\x{4e00}-\x{9fff}])", "")
         return F.struct(F.coalesce(title, F.substring(F.get(english, F.lit(0)), 1, ENGLISH_CHARS), F.lit("")).alias("title"), F.when(title.isNotNull(), F.coalesce(names, F.lit(""))).otherwise("").alias("authors"))
 
     return F.transform(F.array(lines), read)[0]
 
 
-def bibliography(text: Column) -> dict[str, Column]:
-    """What patterns find in a first page: DOI, journal, volume, issue, pages, year, language; blank if nothing."""
-    norm = t.to_half_width(text)
-    found = lambda p, i: F.regexp_extract(norm, p, i)
-    first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
-    begin, length, short = found(ARTICLE_NUMBER, 4).try_cast("int"), found(ARTICLE_NUMBER, 5).try_cast("int"), found(ARTICLE_NUMBER, 3)
-    return {
-        "doi": F.rtrim(found(r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)", 1), F.lit(".,;")),
-        "journal": first(found(CN_JOURNAL, 1), F.trim(found(EN_JOURNAL, 1))),
-        "volume": first(found(CN_JOURNAL, 3), found(r"第\s*(\d+)\s*卷", 1), found(EN_JOURNAL, 2), found(r"(?i)Vol\.?\s*(\d+)", 1)),
-        "issue": first(found(CN_JOURNAL, 4), found(r"第\s*(\d+)\s*期", 1), found(EN_JOURNAL, 3)),
-        "page": F.when(begin.isNotNull(), F.concat(begin.cast("string"), F.lit("-"), (begin + length - 1).cast("string"))).otherwise(""),
-        "year": first(F.when(F.length(short) == 4, short).when(short != "", F.concat(F.lit("20"), F.substring(short, -2, 2))), found(CN_JOURNAL, 2), found(MONTH_YEAR, 1), found(r"\b((?:19|20)\d{2})\s*年?", 1)),
-        "lang": F.when(t.count(norm, t.CJK) * 5 > F.length(norm), "zh").otherwise("en"),
-    }
+def head_lines(text: Column) -> Column:
+    """The lines of a first page that aren't blank, with ASCII letters, digits and signs."""
+    return F.filter(F.transform(F.split(t.to_half_width(text), r"\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def bibliography(text: Column, title: Column | None = None) -> dict[str, Column]:
+    """What patterns find in the head of a first page: DOI, journal, volume, issue, pages, year, language; blank if nothing.
+
+    Only the first lines count, of them the journal's header only at the beginning: what is cited further down says nothing of the paper. A DOI has its name before it. A journal that the title holds is none.
+    """
+    title = F.lit("") if title is None else F.coalesce(title, F.lit(""))
+    lines = head_lines(text)
+
+    def read(d: Column) -> Column:
+        head, top = d["head"], F.substring(d["head"], 1, JOURNAL_CHARS)
+        found = lambda p, i: F.regexp_extract(head, p, i)
+        first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
+        number = lambda i: found(ARTICLE_NUMBER, i).try_cast("int")
+        chinese = lambda i: F.when(~F.contains(title, F.regexp_extract(top, CN_JOURNAL, 1)), F.regexp_extract(top, CN_JOURNAL, i)).otherwise("")
+        has_cn, numbered, english = chinese(1) != "", found(VOLUME_ISSUE, 1) != "", found(EN_JOURNAL, 1) != ""
+        # Beside a volume and an issue the journal is a short line near the top.
+        short = F.transform(F.slice(lines, 1, JOURNAL_LINES), lambda x: F.btrim(x, F.lit("　 □？?■")))
+        named = F.regexp_replace(F.get(F.filter(short, lambda x: F.length(x).between(2, 12) & x.rlike(t.CJK) & ~x.rlike(NO_TITLE) & ~x.rlike(r"[\d，,、]") & ~F.contains(title, x)), F.lit(0)), " ", "")
+        named = F.when(numbered, F.coalesce(named, F.lit(""))).otherwise("")
+        plain_en = F.rtrim(F.ltrim(F.trim(F.regexp_replace(found(EN_JOURNAL, 1), r"\s+", " ")), F.lit(",")), F.lit(","))
+        use_en = ~has_cn & (named == "") & english
+        pick = lambda i, issue: F.when(has_cn, chinese(i)).when(use_en, found(EN_JOURNAL, issue)).when(numbered, found(VOLUME_ISSUE, issue - 1)).otherwise("")
+        issue = first(pick(4, 3), number(3).cast("string"))
+        year = first(number(2).cast("string"), F.when(has_cn, chinese(2)), found(MONTH_YEAR, 1), found(r"(20\d{2})\s*年", 1), found(r"[，,]\s*(20\d{2})[，,]", 1))
+        journal = F.when(has_cn, F.trim(chinese(1))).when(use_en, plain_en).otherwise(named)
+        begin, length = number(4), number(5)
+        return F.struct(
+            F.rtrim(found(DOI, 1), F.lit(".,;")).alias("doi"), journal.alias("journal"), pick(3, 2).alias("volume"), issue.alias("issue"),
+            F.when(begin.isNotNull(), F.concat(begin.cast("string"), F.lit("-"), (begin + length - 1).cast("string"))).otherwise("").alias("page"), year.alias("year"),
+            F.when(title.rlike(t.CJK) | journal.rlike(t.CJK), "zh").otherwise("en").alias("lang"),
+        )
+
+    got = F.transform(F.array(F.struct(F.array_join(F.slice(lines, 1, HEAD), "\n").alias("head"))), read)[0]
+    return {x: got[x] for x in ("doi", "journal", "volume", "issue", "page", "year", "lang")}
 
 
 def corpus_rows(files: DataFrame, seen: DataFrame, corpus: DataFrame, origin: str = "user") -> DataFrame:
@@ -109,7 +140,8 @@ def corpus_rows(files: DataFrame, seen: DataFrame, corpus: DataFrame, origin: st
     """
     new = next_ids(new_files(files, seen).withColumn("pos", F.col("path")), corpus.select("source_id"))
     stem, text = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1), F.coalesce("text", F.lit(""))
-    d = new.withColumns({"stem": stem, "head": title_and_authors(text), **bibliography(text)})
+    d = new.withColumns({"stem": stem, "head": title_and_authors(text)})
+    d = d.withColumns(bibliography(text, F.col("head.title")))
     d = d.withColumns({"title": F.col("head.title"), "authors": F.col("head.authors"), "year": F.coalesce(F.nullif("year", F.lit("")), F.regexp_extract("stem", r"^(\d{4})", 1))})
     number = F.when(F.col("volume") != "", F.concat(F.lit(", "), "volume", F.lit("("), F.coalesce(F.nullif("issue", F.lit("")), F.lit("?")), F.lit(")"), F.when(F.col("page") != "", F.concat(F.lit(": "), "page")).otherwise(""))).otherwise("")
     series = F.when((F.col("journal") != "") & (F.col("year") != ""), F.concat("journal", F.lit(", "), "year", number)).otherwise("")

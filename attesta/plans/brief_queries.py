@@ -13,26 +13,42 @@ from attesta.plans.bindings import EVIDENCE_SQL
 from attesta.plans.claim_queries import _SQL, STATISTICS_SQL, _graph
 from attesta.plans.registry import query
 
-_LABEL = "e.source_id || '/' || coalesce(authority, '?') || '/' || coalesce(freshness, '?') || '/' || CASE support_level WHEN 'contradictory' THEN 'contradicts' WHEN 'context_only' THEN 'context_only' WHEN 'unsupported' THEN 'unsupported' ELSE 'supports' END || '/' || support_level || CASE WHEN located THEN ' @' || concat_ws(',', 'page=' || nullif(page, 0), 'section=' || section) ELSE '' END"
+_LABEL = "CASE WHEN e.source_id LIKE 'S%' THEN '' ELSE 'S' END || e.source_id || '/' || coalesce(authority, '?') || '/' || coalesce(freshness, '?') || '/' || CASE support_level WHEN 'contradictory' THEN 'contradicts' WHEN 'context_only' THEN 'context_only' WHEN 'unsupported' THEN 'unsupported' ELSE 'supports' END || '/' || support_level || CASE WHEN located THEN ' @' || concat_ws(' ', 'page=' || nullif(page, 0), 'section=' || section) ELSE '' END"
 _MARK = "CASE WHEN n_against > n_support - n_context THEN '−' WHEN n_support > n_context AND n_against = 0 THEN '+' WHEN n_support > n_context AND n_against > 0 THEN '±' WHEN n_context > 0 THEN '=' ELSE '?' END"
-_LINES = f"""{STATISTICS_SQL}, lines AS (SELECT claim_key, case_key, claim_id, '| ' || claim_id || ' | ' || claim_class || ' | ' || risk || ' | ' || (n_support - n_context) || ' | ' || n_against || ' | ' || {_MARK} || ' | ' || printf('%.1f', score) || '/' || grade || ' |' AS line FROM graded),
+_TEXT, _STATE, _SURE = "('Claim ' || claim_key || repeat(' and more', (claim_key % 9)::INT))", "CASE claim_key % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'inferred' WHEN 2 THEN '' END", "CASE claim_key % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END"
+_LINES = f"""{STATISTICS_SQL}, lines AS (SELECT *, coalesce(nullif({_STATE}, ''), '-') AS state, coalesce(CASE WHEN claim_key % 5 = 0 THEN 'open' END, {_STATE}, '') AS verdict, coalesce({_SURE}, 'medium') AS sure, {_TEXT} AS said, {_MARK} AS mark,
+  '| ' || claim_id || ' | ' || claim_class || ' | ' || risk || ' | ' || substr({_TEXT}, 1, 60) || ' | ' || (n_support - n_context) || ' | ' || n_against || ' | ' || coalesce(nullif({_STATE}, ''), '-') || ' | ' || {_MARK} || ' | ' || coalesce({_SURE}, 'medium') || ' | ' || printf('%.1f', score) || '/' || grade || ' |' AS line FROM graded),
 labels AS (SELECT claim_key, source_key, support_level, {_LABEL} AS label FROM evidence e LEFT JOIN sources USING (source_key)),
 lists AS (SELECT claim_key, coalesce(string_agg(CASE WHEN support_level NOT IN ('contradictory', 'context_only') THEN label END, '；' ORDER BY source_key), '') AS support,
   coalesce(string_agg(CASE WHEN support_level = 'contradictory' THEN label END, '；' ORDER BY source_key), '') AS against, coalesce(string_agg(CASE WHEN support_level = 'context_only' THEN label END, '；' ORDER BY source_key), '') AS context FROM labels GROUP BY claim_key)"""
 
 
-@query("sk9_brief_rows", f"WITH {_LINES} SELECT claim_id, line, coalesce(support, '') AS support, coalesce(against, '') AS against, coalesce(context, '') AS context FROM lines LEFT JOIN lists USING (claim_key)")
+def _told(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph, its claims with texts, and some with a status, a verdict and a confidence."""
+    claims, sources, evidence = _graph(spark, sf_dir)
+    key = F.col("claim_key")
+    text = F.concat(F.lit("Claim "), key.cast("string"), F.repeat(F.lit(" and more"), (key % 9).cast("int")))
+    said = {"claim_text": text, "evidence_status": lookup(key % 4, {0: "supported", 1: "inferred", 2: " "}, None), "verdict": F.when(key % 5 == 0, "open"), "confidence": lookup(key % 3, {0: "high", 1: "low"}, None)}
+    return claims.withColumns(said), sources, evidence
+
+
+@query("sk9_brief_rows", f"WITH {_LINES} SELECT claim_id, line, verdict, coalesce(support, '') AS support, coalesce(against, '') AS against, coalesce(context, '') AS context FROM lines LEFT JOIN lists USING (claim_key)")
 def sk9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P13, P21 too."""
-    return op.brief_rows(*_graph(spark, sf_dir)).select("claim_id", "line", "support", "against", "context")
+    return op.brief_rows(*_told(spark, sf_dir)).select("claim_id", "line", "verdict", "support", "against", "context")
+
+
+_TWO = "chr(10) || chr(10)"
+_HEAD = op.HEAD.format(on="2026-01-01", mode="balanced", multiplier=1.0, profile="default", columns=" | ".join(op.COLUMNS), rules=" | ".join("---" for _ in op.COLUMNS))
 
 
-@query("g12_evidence_brief", f"""WITH judged_ AS ({_SQL['balanced']}), {_LINES}, d AS (SELECT l.*, j.passed, '### ' || l.claim_id || chr(10) || concat_ws(chr(10), CASE WHEN support <> '' THEN '- 支持：' || support END, CASE WHEN against <> '' THEN '- 反证：' || against END, CASE WHEN context <> '' THEN '- 背景：' || context END, CASE WHEN j.passed THEN '- 充分性：✅' ELSE '- 充分性：❌ ' || j.reasons END) AS detail
+@query("g12_evidence_brief", f"""WITH judged_ AS ({_SQL['balanced']}), {_LINES}, d AS (SELECT l.*, j.passed, '### ' || l.claim_id || ' [' || l.risk || '/' || l.claim_class || '] ' || said || {_TWO} || concat_ws({_TWO}, CASE WHEN support <> '' THEN '- 支持：' || support END, CASE WHEN against <> '' THEN '- 反证：' || against END, CASE WHEN context <> '' THEN '- 背景：' || context END,
+    '- 状态/判决：' || state || ' / ' || verdict || ' | 平衡：' || mark || ' | 置信度：' || sure, '- Evidence Score：**' || printf('%.1f', l.score) || '（' || l.grade || '）**（{op.WEIGHTS}）',
+    CASE WHEN j.passed THEN '- 充分性：✅ 达标（balanced，乘数 1）' ELSE '- 充分性：❌ 不足（balanced，乘数 1）：' || {_TWO} || array_to_string(list_transform(string_split(j.reasons, ','), lambda x: '    - ' || trim(x)), {_TWO}) END) AS detail
   FROM lines l LEFT JOIN lists USING (claim_key) JOIN judged_ j ON j.claim_id = l.claim_id)
-SELECT case_key, '# Evidence Brief' || chr(10) || chr(10) || '- 审查模式：balanced' || chr(10) || chr(10) || '| Claim | class | risk | 支持 | 反证 | 平衡 | 评分 |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY claim_key) || chr(10) || chr(10)
-  || '证据充分性：**' || count(*) FILTER (passed) || '/' || count(*) || '** claim 达标。' || chr(10) || chr(10) || string_agg(detail, chr(10) || chr(10) ORDER BY claim_key) || chr(10) AS brief FROM d GROUP BY case_key""")
+SELECT case_key, '{_HEAD}' || string_agg(line, chr(10) ORDER BY claim_key) || {_TWO} || '证据充分性：**' || count(*) FILTER (passed) || '/' || count(*) || '** claim 达标。' || {_TWO} || '## 逐条详情' || {_TWO} || string_agg(detail, {_TWO} ORDER BY claim_key) || '{op.FOOT}' AS brief FROM d GROUP BY case_key""")
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.brief(op.brief_rows(*_graph(spark, sf_dir)))
+    return op.brief(op.brief_rows(*_told(spark, sf_dir)), "2026-01-01")
 
 
 @query("g10_stage_gates", """WITH x AS (SELECT p_partkey AS k FROM part) SELECT k AS case_key, concat_ws(',', CASE WHEN k % 2 = 0 THEN '0' END, CASE WHEN k % 3 = 0 THEN '3a' END, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN '3b' END, CASE WHEN k % 5 = 0 THEN '3c' END, CASE WHEN k % 7 = 0 THEN '7' END) AS missing, k % 2 <> 0 AND k % 3 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AS passed FROM x""")

@@ -271,11 +271,19 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", ingest_op.metadata_confidence().alias("confidence"))
 
 
-@query("p31_bibliography", "SELECT p_partkey, '10.1234/a.' || p_partkey AS doi, '' AS journal, '' AS page, (p_partkey % 50)::VARCHAR AS volume, (p_size % 12 + 1)::VARCHAR AS issue, '20' || (p_partkey % 90 + 10) AS year, CASE WHEN p_partkey % 2 = 0 THEN 'zh' ELSE 'en' END AS lang FROM part")
+@query("p31_bibliography", """WITH x AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 4 = 0 THEN '10.1234/a.' || k ELSE '' END AS doi, CASE k % 3 WHEN 0 THEN '电工学报' WHEN 1 THEN 'Journal of Cables' ELSE '' END AS journal, CASE WHEN k % 5 = 0 THEN '100-102' ELSE '' END AS page,
+  CASE k % 3 WHEN 2 THEN '' ELSE (k % 50)::VARCHAR END AS volume, CASE k % 3 WHEN 2 THEN CASE WHEN k % 5 = 0 THEN '7' ELSE '' END ELSE (s % 12 + 1)::VARCHAR END AS issue,
+  CASE WHEN k % 5 = 0 THEN '2011' WHEN k % 3 = 2 THEN '' ELSE '20' || (k % 90 + 10) END AS year, CASE WHEN k % 3 = 0 THEN 'zh' ELSE 'en' END AS lang FROM x""")
 def p31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of pages with a Chinese header, an English one or none; what stands after forty lines is another paper's."""
     p = b.table(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    text = F.concat(F.lit("学报 第 "), (key % 50).cast("string"), F.lit(" 卷 第 "), (F.col("p_size") % 12 + 1).cast("string"), F.lit(" 期 20"), (key % 90 + 10).cast("string"), F.lit(" 年 DOI: 10.1234/a."), key.cast("string"), F.lit(" "), F.repeat(F.when(key % 2 == 0, "文").otherwise("x "), F.lit(100)))
+    said = lambda x: x.cast("string")
+    chinese = F.concat(F.lit("第 "), said(key % 50), F.lit(" 卷 第 "), said(F.col("p_size") % 12 + 1), F.lit(" 期\n电工学报\n20"), said(key % 90 + 10), F.lit(" 年\n"))
+    english = F.concat(F.lit("Journal of Cables Vol. "), said(key % 50), F.lit(" No. "), said(F.col("p_size") % 12 + 1), F.lit(" March 20"), said(key % 90 + 10), F.lit("\n"))
+    head = F.concat(F.when(key % 3 == 0, chinese).when(key % 3 == 1, english).otherwise("plain\n"), F.when(key % 5 == 0, "文章编号：1000-2011(07)-00100-3\n").otherwise(""), F.when(key % 4 == 0, F.concat(F.lit("ＤＯＩ：10.1234/a."), said(key), F.lit(".\n"))).otherwise("10.9999/no.name\n"))
+    text = F.concat(head, F.repeat(F.lit("x\n\n"), F.lit(40)), F.lit("DOI:10.9999/other.1\n别的学报 2015，3(4)\n2016 年\n"))
     return p.select("p_partkey", *[c.alias(n) for n, c in ingest_op.bibliography(text).items()])
 
 

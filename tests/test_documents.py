@@ -252,12 +252,28 @@ def test_first_page(spark):
     got = spark.createDataFrame([(i, p) for i, (p, *_) in enumerate(pages)], "i int, p string").withColumn("x", ingest.title_and_authors(F.col("p"))).orderBy("i").collect()
     assert [(r["x"]["title"], r["x"]["authors"]) for r in got] == [tuple(w) for _, *w in pages]
     fields = {k: v.alias(k) for k, v in ingest.bibliography(F.col("p")).items()}
-    rows = spark.createDataFrame([("文章编号：1001-0505(2019)-00123-08 DOI：10.1234/ab.c.",), ("Journal of Cable Studies Vol. 12 No. 3 March 2015",), ("x",)], "p string").select(*fields.values()).collect()
-    assert (rows[0]["doi"], rows[0]["year"], rows[0]["page"]) == ("10.1234/ab.c", "2019", "123-130")
+    rows = spark.createDataFrame([("文章编号：1001-2019(05)-00123-08 DOI：10.1234/ab.c.",), ("Journal of Cable Studies Vol. 12 No. 3 March 2015",), ("x",)], "p string").select(*fields.values()).collect()
+    assert (rows[0]["doi"], rows[0]["year"], rows[0]["issue"], rows[0]["page"]) == ("10.1234/ab.c", "2019", "5", "123-130")
     assert (rows[1]["journal"], rows[1]["volume"], rows[1]["issue"], rows[1]["year"]) == ("Journal of Cable Studies", "12", "3", "2015")
     assert all(rows[2][x] == "" for x in ("doi", "journal", "volume", "issue", "page", "year"))
 
 
+def test_metadata_of_the_head_only(spark):
+    """Another paper's DOI and year further down say nothing; a running head has the title; a journal within the title is none."""
+    tail = "x\n" * 50 + "DOI:10.9999/other.1 别的学报 2015，3(4) March 2015\n"
+    pages = [
+        ("10.1234/bare\n" + tail, "", {"doi": "", "year": "", "journal": "", "volume": "", "lang": "en"}), ("DOI 10.1234/x,\n仪器学报 2021，40(9)\n" + tail, "", {"doi": "10.1234/x", "journal": "仪器学报", "volume": "40", "issue": "9", "year": "2021", "lang": "zh"}),
+        ("仪器学报 2021，40(9)\n", "论仪器学报之法", {"journal": "", "volume": "", "year": "", "lang": "zh"}), ("第 3 卷 第 4 期\n□电 工 学报■\n，2019，", "", {"journal": "电工学报", "volume": "3", "issue": "4", "year": "2019"}),
+        ("Some Journal Vol.3 No.4 June 2014", "", {"journal": "Some Journal", "volume": "3", "issue": "4", "year": "2014"}), ("1998 年\n2003年", "", {"year": "2003"}), (None, None, {}),
+    ]
+    d = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(pages)], "i int, p string, x string")
+    got = d.orderBy("i").select(*[v.alias(k) for k, v in ingest.bibliography(F.col("p"), F.col("x")).items()]).collect()
+    for r, (*_, want) in zip(got, pages, strict=True):
+        assert {k: r[k] for k in want} == want
+    banner = "王小明等：电缆 老化的一种评估方法  仪器学报 2021，\n某某大学\n第二段文字"
+    assert spark.createDataFrame([(banner,)], "p string").select(ingest.title_and_authors(F.col("p"))["title"]).first()[0] == "电缆老化的一种评估方法"
+
+
 def test_nested_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": "1"}, {"sources": [{"source_id": "S2", "title": "t"}, [{"id": "3"}]], "other": [{"id": "no"}]}, 5, None]))
     (tmp_path / "b.json").write_text(json.dumps({"items": [{"core_sources": [{"id": "4", "sources": [{"id": "inner"}]}]}]}))
