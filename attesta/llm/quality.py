@@ -7,8 +7,9 @@ Mahalanobis distance and takes their mean and covariance. The order statistics t
 read from histograms, so no group meets in one task. Estimates go through a
 consistency factor and one reweighting; documents beyond CUTOFF are rejected.
 
-Groups with fewer than MIN_GROUP documents that pass the base rules use the estimate over all
-groups, which is made in the same passes; if that has fewer too, their documents are kept and have no distance.
+Every group is judged by its own estimate, drawn to the one over all documents, which is made in the same passes: of n documents that pass the base
+rules, the group's estimate weighs n / (n + PRIOR). Both are taken as parts of a mixture, so that the covariance holds the distance of their centres
+too. There is no size at which another rule begins; a large group's estimate is as good as its own.
 
 Edge cases. A null text has no words and fails the base rules. Null language and source are groups
 like others. Rows that repeat a document count each, and ties of distance are kept or left out together. Empty tables
@@ -18,7 +19,7 @@ their row. Other columns are kept, whatever their names: what the operator adds
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm import common as c
@@ -26,7 +27,8 @@ from attesta.llm import common as c
 #: Share of a group that the estimate concentrates on.
 H_SHARE = 0.75
 STEPS = 4
-MIN_GROUP = 50
+#: Documents that the estimate over all documents counts for in each group.
+PRIOR = 50
 #: Log length; mean length of words, symbols, repeated lines and words in repeated windows, transformed.
 FEATURES = tuple(f"{c.OWN}f_{x}" for x in ("length", "word", "symbol", "line", "repeat"))
 #: Least variance of each: what differs by less than this is no outlier, even where nearly all documents are equal.
@@ -163,7 +165,7 @@ def _bin() -> Column:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Robust location and scatter of `rows` (GROUP, FEATURES) by group: _FACTORS, and n rows.
+    """Robust location and scatter of `rows` (GROUP, FEATURES) by group: means, covariances, and n rows.
 
     Rows meet written tables of one row a group only, which Spark broadcasts while they are small: a hot group stays where it is.
     """
@@ -178,13 +180,22 @@ def estimates(rows: DataFrame) -> DataFrame:
         old, stats = stats, c.written(_inverted(_moments(near, FACTOR_H)), f"mcd-{step + 1}")
         c.drop_written(old, last)
     near = _distance(rows.join(stats, GROUP)).where(F.col(f"{c.OWN}d2") <= CHI_W)
-    out = c.written(_inverted(_moments(near, FACTOR_W)).join(start.select(GROUP, "n"), GROUP), "mcd")
+    out = c.written(_moments(near, FACTOR_W).join(start.select(GROUP, "n"), GROUP), "mcd")
     c.drop_written(start, stats)
     return out
 
 
+def drawn(own: DataFrame, pooled: Row, prior: int = PRIOR) -> DataFrame:
+    """Each group's estimate in a mixture with the pooled one, as _FACTORS: the parts weigh as their documents, the pooled one as `prior`."""
+    w = F.col("n") / (F.col("n") + prior)
+    apart = [F.col(_m(i)) - pooled[_m(i)] for i in range(_D)]
+    mixed = {_s(i, j): w * F.col(_s(i, j)) + (1 - w) * pooled[_s(i, j)] + w * (1 - w) * apart[i] * apart[j] for i, j in _LOWER}
+    means = {_m(i): w * F.col(_m(i)) + (1 - w) * pooled[_m(i)] for i in range(_D)}
+    return _inverted(own.select(GROUP, *[x.alias(name) for name, x in (means | mixed).items()]))
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """`docs` without its text, with __attesta_ columns: the base statistics, base_failed, distance (squared; null if not judged) and kept."""
+    """`docs` without its text, with __attesta_ columns: the base statistics, base_failed, distance (squared; null if the base rules failed) and kept."""
     failed, d2 = F.col(f"{c.OWN}base_failed"), f"{c.OWN}d2"
     d = docs.withColumn(GROUP, F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s"))))
     d = c.written(_features(base_statistics(d, text_col)), "quality")
@@ -194,11 +205,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     pooled = found.where(F.col(GROUP) == POOLED).first()
     if pooled is None and not found.isEmpty():
         raise RuntimeError("the estimate over all groups is missing")
-    enough = pooled is not None and pooled["n"] >= MIN_GROUP
     own = found.where(F.col(GROUP) != POOLED)
-    for name in _FACTORS:
-        small = F.lit(pooled[name] if enough else None).cast("double")
-        own = own.withColumn(name, F.when(F.col("n") >= MIN_GROUP, F.col(name)).otherwise(small))
+    # Without any estimate no document passed the base rules.
+    own = drawn(own, pooled) if pooled else own.select(GROUP, *[F.lit(None).cast("double").alias(x) for x in _FACTORS])
     d = _distance(d.join(own.select(GROUP, *_FACTORS), GROUP, "left"))
     kept = ~failed & ~F.coalesce(F.col(d2) > CUTOFF, F.lit(False))
     return d.withColumn(f"{c.OWN}distance", F.when(~failed, F.col(d2))).withColumn(f"{c.OWN}kept", kept).drop(d2, GROUP, *FEATURES)
