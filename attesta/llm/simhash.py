@@ -47,8 +47,8 @@ _CHUNK = 1 << 16
 CLOUD = 32
 #: Bands, and minhashes of each: two texts of similarity 0.8 share one but for 7 in 100,000, and of 0.3 one in 17.
 BANDS, BAND_ROWS = 24, 5
-#: Texts of a hot band that a task compares with the whole band.
-PART = 256
+#: Smaller groups that a text of a larger one goes to, and further minhashes of each: 2 * 0.8 ** 3 is 1.02.
+CHILDREN, MORE = 2, 3
 _XORS, _ODDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _ODDS |= np.uint64(1)
 _STEP = 1 << 11
@@ -191,7 +191,7 @@ def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity:
 
     Candidates are texts that share a band of minhashes of their word shingles; the Jaccard similarity of each pair's
     shingles is then computed from the whole texts. Under a band that more than CLOUD texts share, all are compared with
-    one of them first, another one for each band, and then those that are not in one group yet with each other.
+    one of them first, another one for each band; bands whose texts are not in one group yet are split by further minhashes.
     """
     key = c.text_key(F.col(text_col))
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
@@ -217,11 +217,7 @@ def similar(docs: DataFrame, text_col: str = "text", words: int = 5, similarity:
     found = c.written(found.groupBy("key").agg(F.first("s").alias("s")), "similar-shingles")
     compared = pairs.join(found.select(F.col("key").alias("x"), F.col("s").alias("s")), "x").join(found.select(F.col("key").alias("y"), F.col("s").alias("t")), "y")
     roots = components(compared.where(_alike("s", "t", similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    if not hot.isEmpty():
-        more = c.written(_across(hot, roots, marked.join(found, "key"), similarity), "similar-across")
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-        c.drop_written(more)
+    roots = _refined(hot.select(F.col("band").alias("group"), "key"), roots, found, similarity)
     c.drop_written(marked, shared, rows, pairs, needed, found)
     return roots.select(F.hex("node").alias("key"), F.hex("root").alias("root"))
 
@@ -231,23 +227,62 @@ def _alike(s: str, t: str, similarity: float) -> Column:
     return F.size(F.array_intersect(s, t)) * (1 + similarity) + 1e-9 >= similarity * (F.size(s) + F.size(t))
 
 
-def _across(hot: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): similar texts that share a hot band and have different roots so far; `texts` has (key, bands, s).
+def children(group: int, found: np.ndarray) -> list[int]:
+    """Keys of the CHILDREN groups that a text goes to from a group: of MORE further minhashes each, by functions of the group's own."""
+    digest = partial(xxhash.xxh3_64_intdigest, int(group).to_bytes(8, "little", signed=True))
+    n = CHILDREN * MORE
+    xors, odds = (np.array([[digest(seed=i)] for i in range(at, at + n)], np.uint64) for at in (0, n))
+    least = np.full(n, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), _STEP):
+        least = np.minimum(least, ((found[None, at : at + _STEP].view(np.uint64) ^ xors) * (odds | np.uint64(1))).min(axis=1))
+    return [_signed(digest(seed=xxhash.xxh3_64_intdigest(x.tobytes(), i))) for i, x in enumerate(least.reshape(CHILDREN, MORE))]
+
 
-    A band whose texts have one root is done. Under the others all pairs of different roots are compared, in the first
-    band that a pair shares, within the join: only similar pairs become rows. A band is cut into parts of PART texts,
-    each compared with the whole band.
+def _refined(rows: DataFrame, roots: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """`roots` (node, root) with the links among the texts of hot groups; `rows` has (group, key), `found` (key, s).
+
+    A group whose texts have one root is done. Each text of another goes to CHILDREN smaller groups, each of those that
+    agree in MORE further minhashes. In groups of up to CLOUD texts pairs of different roots are compared, in larger ones
+    each text with one of them, and these are split again. Pairs of similarity 0.8 stay together in 1.02 of the smaller groups
+    on average, so that depth costs few of them; texts less alike than that to the rest of their group leave it, so that
+    groups shrink while the number of rows of a level doesn't grow.
     """
-    rooted = c.written(hot.join(roots, hot["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root")), "similar-rooted")
-    several = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
-    members = rooted.join(several.select("band", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "band").join(texts, "key")
-    members = c.written(members, "similar-members")
-    x = members.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).select("band", "part", *[F.col(k).alias(f"x_{k}") for k in ("key", "root", "bands", "s")])
-    y = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "part", *[F.col(k).alias(f"y_{k}") for k in ("key", "root", "bands", "s")])
-    n, m = F.size("x_s"), F.size("y_s")
-    fits = (F.col("x_root") != F.col("y_root")) & (F.col("x_key") > F.col("y_key")) & (F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m))
-    fits &= F.get(F.array_intersect("x_bands", "y_bands"), 0) == F.col("band")
-    return x.join(y, ["band", "part"]).where(fits & _alike("x_s", "y_s", similarity)).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
+
+    @F.pandas_udf("array<long>")
+    def split(groups: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([[x for g in gs for x in children(g, np.asarray(s, np.int64))] for gs, s in zip(groups, parts, strict=True)])
+
+    while True:
+        rooted = rows.join(roots, rows["key"] == roots["node"], "left").select("group", "key", F.coalesce("root", "key").alias("root"))
+        rooted = c.written(rooted, "similar-rooted")
+        several = rooted.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("group")
+        several = c.written(several, "similar-several")
+        members = rooted.join(c.sized_broadcast(several, BROADCAST_ROWS), "group").groupBy("key", "root").agg(F.collect_list("group").alias("groups"))
+        members = c.written(members, "similar-members")
+        c.drop_written(rooted, several)
+        if members.isEmpty():
+            c.drop_written(members, rows)
+            return roots
+        below = c.written(members.join(found, "key").select("key", "root", F.size("s").alias("m"), F.explode(F.array_distinct(split("groups", "s"))).alias("group")), "similar-below")
+        head = F.min_by(F.struct("key", "root", "m"), F.xxhash64("key", "group")).alias("y")
+        sizes = below.groupBy("group").agg(F.count("*").alias("n"), head, F.min("root").alias("lo"), F.max("root").alias("hi"))
+        sizes = c.written(sizes.where(F.col("lo") != F.col("hi")).select("group", "n", "y"), "similar-sizes")
+        placed = c.written(below.join(c.sized_broadcast(sizes, BROADCAST_ROWS, F.lit(128)), "group").select("group", "n", F.struct("key", "root", "m").alias("x"), "y"), "similar-placed")
+        c.drop_written(members, below, sizes)
+        cool, hot = placed.where(F.col("n") <= CLOUD), placed.where(F.col("n") > CLOUD)
+        near = (F.col("x.root") != F.col("y.root")) & (F.least("x.m", "y.m") + 1e-9 >= similarity * F.greatest("x.m", "y.m"))
+        pairs = cool.select("group", "x").join(cool.select("group", F.col("x").alias("y")), "group").where(near & (F.col("x.key") > F.col("y.key"))).select("x", "y")
+        pairs = pairs.unionByName(hot.where(near).select("x", "y"))
+        pairs = pairs.select(*[F.col(f"{a}.{x}").alias(f"{a}_{x}") for a in "xy" for x in ("key", "root")]).distinct()
+        compared = pairs.join(found.select(F.col("key").alias("x_key"), "s"), "x_key").join(found.select(F.col("key").alias("y_key"), F.col("s").alias("t")), "y_key")
+        links = c.written(compared.where(_alike("s", "t", similarity)).select(F.col("x_root").alias("a"), F.col("y_root").alias("b")).distinct(), "similar-across")
+        old, rows = (rows, placed), c.written(hot.select("group", "x.key"), "similar-rows")
+        if not links.isEmpty():
+            merged = components(links)
+            moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            before, roots = (roots, merged), c.written(moved.unionByName(merged), "similar-roots")
+            c.drop_written(*before)
+        c.drop_written(links, *old)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
