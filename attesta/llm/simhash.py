@@ -254,21 +254,19 @@ def _refined(rows: DataFrame, roots: DataFrame, found: DataFrame, similarity: fl
 
     while True:
         rooted = rows.join(roots, rows["key"] == roots["node"], "left").select("group", "key", F.coalesce("root", "key").alias("root"))
-        rooted = c.written(rooted, "similar-rooted")
         several = rooted.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("group")
         several = c.written(several, "similar-several")
         members = rooted.join(c.sized_broadcast(several, BROADCAST_ROWS), "group").groupBy("key", "root").agg(F.collect_list("group").alias("groups"))
-        members = c.written(members, "similar-members")
-        c.drop_written(rooted, several)
-        if members.isEmpty():
-            c.drop_written(members, rows)
+        below = members.join(found, "key").select("key", "root", F.size("s").alias("m"), F.explode(F.array_distinct(split("groups", "s"))).alias("group"))
+        below = c.written(below, "similar-below")
+        c.drop_written(several, rows)
+        if below.isEmpty():
+            c.drop_written(below)
             return roots
-        below = c.written(members.join(found, "key").select("key", "root", F.size("s").alias("m"), F.explode(F.array_distinct(split("groups", "s"))).alias("group")), "similar-below")
         head = F.min_by(F.struct("key", "root", "m"), F.xxhash64("key", "group")).alias("y")
         sizes = below.groupBy("group").agg(F.count("*").alias("n"), head, F.min("root").alias("lo"), F.max("root").alias("hi"))
         sizes = c.written(sizes.where(F.col("lo") != F.col("hi")).select("group", "n", "y"), "similar-sizes")
-        placed = c.written(below.join(c.sized_broadcast(sizes, BROADCAST_ROWS, F.lit(128)), "group").select("group", "n", F.struct("key", "root", "m").alias("x"), "y"), "similar-placed")
-        c.drop_written(members, below, sizes)
+        placed = below.join(c.sized_broadcast(sizes, BROADCAST_ROWS, F.lit(128)), "group").select("group", "n", F.struct("key", "root", "m").alias("x"), "y")
         cool, hot = placed.where(F.col("n") <= CLOUD), placed.where(F.col("n") > CLOUD)
         near = (F.col("x.root") != F.col("y.root")) & (F.least("x.m", "y.m") + 1e-9 >= similarity * F.greatest("x.m", "y.m"))
         pairs = cool.select("group", "x").join(cool.select("group", F.col("x").alias("y")), "group").where(near & (F.col("x.key") > F.col("y.key"))).select("x", "y")
@@ -276,13 +274,13 @@ def _refined(rows: DataFrame, roots: DataFrame, found: DataFrame, similarity: fl
         pairs = pairs.select(*[F.col(f"{a}.{x}").alias(f"{a}_{x}") for a in "xy" for x in ("key", "root")]).distinct()
         compared = pairs.join(found.select(F.col("key").alias("x_key"), "s"), "x_key").join(found.select(F.col("key").alias("y_key"), F.col("s").alias("t")), "y_key")
         links = c.written(compared.where(_alike("s", "t", similarity)).select(F.col("x_root").alias("a"), F.col("y_root").alias("b")).distinct(), "similar-across")
-        old, rows = (rows, placed), c.written(hot.select("group", "x.key"), "similar-rows")
+        rows = c.written(hot.select("group", "x.key"), "similar-rows")
         if not links.isEmpty():
             merged = components(links)
             moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             before, roots = (roots, merged), c.written(moved.unionByName(merged), "similar-roots")
             c.drop_written(*before)
-        c.drop_written(links, *old)
+        c.drop_written(links, below, sizes)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
