@@ -123,14 +123,20 @@ def response_problems(comments: DataFrame, responses: DataFrame) -> DataFrame:
     return d.groupBy("review", "comment").agg(F.max(problem).alias("problem")).where(F.col("problem").isNotNull())
 
 
-def golden(cases: DataFrame, results: DataFrame) -> DataFrame:
+def golden(cases: DataFrame, results: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Each check of a golden case (case_id, manual, check, expected) with its status by the results (case_id, check, actual).
 
-    Manual cases aren't judged; a check without a result is an error.
+    Manual cases aren't judged, but by the scores (case_id, score) that people gave: any but `pass` fails (J14), one of
+    several too; scores of other cases count for nothing. A check without a result is an error.
     """
     d = cases.join(results.withColumn("_there", F.lit(True)), ["case_id", "check"], "left")
     same = F.col("expected").eqNullSafe(F.col("actual"))
-    return d.withColumn("status", F.when(F.col("manual"), "manual").when(F.col("_there").isNull(), "error").when(same, "passed").otherwise("failed")).drop("_there")
+    d = d.withColumn("status", F.when(F.col("manual"), "manual").when(F.col("_there").isNull(), "error").when(same, "passed").otherwise("failed")).drop("_there")
+    if scores is None:
+        return d
+    given = scores.groupBy("case_id").agg(F.every(F.coalesce(F.col("score") == "pass", F.lit(False))).alias("_given"))
+    scored = F.when((F.col("status") != "manual") | F.col("_given").isNull(), F.col("status")).when(F.col("_given"), "passed").otherwise("failed")
+    return d.join(given, "case_id", "left").withColumn("status", scored).drop("_given")
 
 
 def golden_summary(judged: DataFrame, least_passed: int = 15, least_manual: int = 4) -> DataFrame:

@@ -130,10 +130,14 @@ def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "lineitem").join(s, "l_partkey", "left").select("l_orderkey", "l_partkey", F.coalesce("title", F.lit("")).alias("title"))
 
 
-@query("j14_manual_scores", "SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'passed' ELSE 'manual' END AS status FROM orders")
+@query("j14_manual_scores", """SELECT o_orderkey AS case_id, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 'passed' ELSE 'failed' END
+  WHEN o_custkey % 3 = 0 THEN 'manual' WHEN o_orderstatus = 'F' THEN 'passed' ELSE 'failed' END AS status FROM orders""")
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = b.table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("passed").alias("score"))
-    return b.table(spark, sf_dir, "orders").join(scores, "o_custkey", "left").select("o_orderkey", F.coalesce("score", F.lit("manual")).alias("status"))
+    """A third of the cases is for people to judge; they scored some of them, and some that aren't theirs."""
+    key = F.col("o_orderkey")
+    o = b.table(spark, sf_dir, "orders").select(key.alias("case_id"), (F.col("o_custkey") % 3 == 0).alias("manual"), F.lit("state").alias("check"), F.lit("F").alias("expected"), F.col("o_orderstatus").alias("actual"))
+    scores = o.where("case_id % 4 = 0").select("case_id", F.when(F.col("case_id") % 8 == 0, "pass").otherwise("weak").alias("score"))
+    return op.golden(o.drop("actual"), o.select("case_id", "check", "actual"), scores).select("case_id", "status")
 
 
 @query("l13_gap_adjacent", "SELECT DISTINCT o_orderkey FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")

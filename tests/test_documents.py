@@ -287,3 +287,13 @@ def test_finished_drafts_are_written_even_if_invalid(spark, tmp_path):
     d = drafts(spark, DRAFT.format("S1", "https://x.org/1", ""), "no references [S1]", DRAFT.format("S9", "https://x.org/1", ""))
     got = {r["doc_id"]: r for r in sinks.finished_drafts(d, str(tmp_path / "out")).collect()}
     assert [got[i]["valid"] for i in range(3)] == [True, False, False] and got[2]["problems"] == ["residual [?n]: 1"]
+
+
+def test_manual_scores_judge_manual_cases_only(spark):
+    from attesta.operators import brief
+
+    cases = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False), ("e", True), ("f", False)], "case_id string, manual boolean").selectExpr("*", "'x' AS check", "'1' AS expected")
+    results = spark.createDataFrame([("d", "x", "1")], "case_id string, check string, actual string")
+    scores = spark.createDataFrame([("a", "pass"), ("b", "weak"), ("d", "weak"), ("e", None), ("f", "pass"), ("z", "pass")], "case_id string, score string")
+    got = {r["case_id"]: r["status"] for r in brief.golden(cases, results, scores).collect()}
+    assert got == {"a": "passed", "b": "failed", "c": "manual", "d": "passed", "e": "failed", "f": "error"}
