@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ ROUND_SOURCE_MARK, ROUND_GAP_MARK = r"\[R(\d+)-S(\d+)\]", r"\[R(\d+)-G(\d+)\]"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is computed once for a row, however often and within whatever lambda `f` uses it.
+
+    An expression within a lambda is evaluated for each element, and a column that one lambda alone refers to is put in its place by the optimizer.
+    """
+    return F.transform(F.array(value), f)[0]
+
+
 def find_all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 

@@ -34,8 +34,8 @@ def nodes_of(diagram: Column) -> Column:
     """Nodes with a label, in the order of their ids; the longest label counts where several are given."""
     ids, labels = t.find_all(diagram, NODE, 1), t.find_all(diagram, NODE, 2)
     pairs = F.array_distinct(F.zip_with(ids, labels, lambda i, x: F.struct(i.alias("id"), F.btrim(x, F.lit('" ')).alias("label"))))
-    longest = lambda n: F.filter(pairs, lambda m: (m["id"] == n["id"]) & ((F.length(m["label"]) > F.length(n["label"])) | ((F.length(m["label"]) == F.length(n["label"])) & (m["label"] > n["label"]))))
-    return F.array_sort(F.filter(pairs, lambda n: F.size(longest(n)) == 0))
+    longer = lambda m, n: (F.length(m["label"]) > F.length(n["label"])) | ((F.length(m["label"]) == F.length(n["label"])) & (m["label"] > n["label"]))
+    return t.let(pairs, lambda ps: F.array_sort(F.filter(ps, lambda n: F.size(F.filter(ps, lambda m: (m["id"] == n["id"]) & longer(m, n))) == 0)))
 
 
 def edges_of(diagram: Column) -> Column:
@@ -58,10 +58,10 @@ def levels(nodes: Column, edges: Column) -> Column:
 
     Breadth first, a level a step, until a step adds nothing new: a cycle that no root leads to has no level.
     """
-    ids = F.array_distinct(F.concat(F.transform(nodes, lambda n: n["id"]), F.transform(edges, lambda e: e["src"]), F.transform(edges, lambda e: e["dst"])))
-    roots = F.array_except(ids, F.transform(F.filter(edges, lambda e: e["src"] != e["dst"]), lambda e: e["dst"]))
+    every = F.array_distinct(F.concat(F.transform(nodes, lambda n: n["id"]), F.transform(edges, lambda e: e["src"]), F.transform(edges, lambda e: e["dst"])))
+    entered = F.transform(F.filter(edges, lambda e: e["src"] != e["dst"]), lambda e: e["dst"])
     front = lambda xs, n: F.transform(xs, lambda x: F.struct(x.alias("id"), n.cast("int").alias("level")))
-    start = F.struct(front(roots, F.lit(1)).alias("seen"), roots.alias("front"))
+    start = lambda roots: F.struct(front(roots, F.lit(1)).alias("seen"), roots.alias("front"))
 
     def step(s: Column, n: Column) -> Column:
         known = F.transform(s["seen"], lambda x: x["id"])
@@ -69,7 +69,8 @@ def levels(nodes: Column, edges: Column) -> Column:
         # Steps after the last new node have an empty front and add nothing.
         return F.when(F.size(s["front"]) == 0, s).otherwise(F.struct(F.concat(s["seen"], front(new, n + 1)).alias("seen"), new.alias("front")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), start, step, lambda s: s["seen"])
+    walk = lambda ids, roots: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), start(roots), step, lambda s: s["seen"])
+    return t.let(every, lambda ids: t.let(F.array_except(ids, entered), lambda roots: walk(ids, roots)))
 
 
 def headings(text: Column) -> Column:
@@ -96,25 +97,25 @@ def route_lock(docs: DataFrame) -> DataFrame:
     of the body's section of solutions. `unheaded` are labels that no heading has, `citing` those with source marks, `hidden_gaps` those whose gap mark stands beside no gap of the body, `cyclic`
     nodes that no root leads to. A document without a diagram fails with nulls.
     """
-    d = diagrams(docs).withColumn("levels", levels(F.col("nodes"), F.col("edges")))
-    nodes, edges = F.col("nodes"), F.col("edges")
-    layer_ids = F.transform(F.filter(nodes, lambda n: n["label"].rlike(LAYER)), lambda n: n["id"])
-    below = lambda p: F.size(F.array_distinct(F.transform(F.filter(edges, lambda e: F.exists(nodes, lambda n: (n["id"] == e["src"]) & n["label"].rlike(p)) & ~F.array_contains(layer_ids, e["dst"])), lambda e: e["dst"])))
+    d = diagrams(docs).withColumns({"levels": levels(F.col("nodes"), F.col("edges")), "_prose": F.regexp_replace("text", FENCE, "")})
+    nodes, edges, prose, first = F.col("nodes"), F.col("edges"), F.col("_prose"), F.col("_first")
+    d = d.withColumns({"_first": F.get(t.lines_where(prose, SOLUTIONS), F.lit(0)), "_n_lines": F.size(F.split(prose, "\n", -1))})
+    ids = lambda p: F.transform(F.filter(nodes, lambda n: n["label"].rlike(p)), lambda n: n["id"])
+    below = lambda p: t.let(ids(p), lambda above: t.let(ids(LAYER), lambda layers: F.size(F.array_distinct(F.transform(F.filter(edges, lambda e: F.array_contains(above, e["src"]) & ~F.array_contains(layers, e["dst"])), lambda e: e["dst"])))))
     n_subgraphs = t.count(F.col("diagram"), SUBGRAPH)
     deepest = F.coalesce(F.array_max(F.transform("levels", lambda x: x["level"])), F.lit(0))
     every = F.array_distinct(F.concat(F.transform(nodes, lambda n: n["id"]), F.transform(edges, lambda e: e["src"]), F.transform(edges, lambda e: e["dst"])))
-    prose = F.regexp_replace("text", FENCE, "")
-    first = F.get(t.lines_where(prose, SOLUTIONS), F.lit(0))
     stop = F.get(F.filter(t.lines_where(prose, r"^##\s"), lambda i: i > first), F.lit(0))
-    section = t.line_range(prose, first, F.coalesce(stop, F.size(F.split(prose, "\n", -1))))
+    section = t.let(F.coalesce(stop, F.col("_n_lines")), lambda end: t.line_range(prose, first, end))
     gap_lines = F.filter(F.split(prose, "\n", -1), lambda x: x.rlike(t.GAP_MARK))
+    marked = F.array_distinct(F.transform(F.filter(nodes, lambda n: n["label"].rlike(GAPS)), lambda n: bare_label(n["label"])))
     labels = F.array_distinct(F.transform(nodes, lambda n: bare_label(n["label"])))
     d = d.withColumns({
         "n_nodes": F.size(every), "depth": F.when(n_subgraphs > 0, n_subgraphs).otherwise(deepest), "problems": below(PROBLEMS), "technologies": below(TECHNOLOGIES),
         "solutions": F.coalesce(t.count(section, r"(?m)^###\s"), F.lit(0)),
         "unheaded": F.array_sort(F.array_except(F.filter(labels, lambda x: x != ""), headings(F.col("text")))),
         "citing": F.array_sort(F.transform(F.filter(nodes, lambda n: n["label"].rlike(t.SOURCE_MARK)), lambda n: n["label"])),
-        "hidden_gaps": F.array_sort(F.array_distinct(F.transform(F.filter(nodes, lambda n: n["label"].rlike(GAPS) & ~F.exists(gap_lines, lambda x: F.contains(x, bare_label(n["label"])))), lambda n: bare_label(n["label"])))),
+        "hidden_gaps": t.let(gap_lines, lambda lines: F.array_sort(F.filter(marked, lambda y: ~F.exists(lines, lambda x: F.contains(x, y))))),
         "cyclic": F.array_sort(F.array_except(every, F.transform("levels", lambda x: x["id"]))),
     })
     empty = lambda *xs: [F.size(x) == 0 for x in xs]

@@ -12,7 +12,10 @@ from attesta.plans.registry import query
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six activities under their layers; some parts lack one, or a heading, have a fourth level, a cycle, or as many solutions as activities only by chance."""
+    """Six activities under their layers; some parts lack one, or a heading, have a fourth level, a cycle, or as many solutions as activities only by chance.
+
+    Rows are short and routes are long: the rows are dealt out first.
+    """
     key, size = F.col("p_partkey"), F.col("p_size")
     say = lambda when, x, other="": F.when(when, F.lit(x)).otherwise(F.lit(other))
     diagram = F.concat(
@@ -21,7 +24,8 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     heads = F.concat(F.lit("# 课题\n## 1. 数据\n## 2. 难点\n## 3. 方向\n### 3.1 难题一\n### 3.2 难题二\n### 3.3 难题三\n### 3.4 技术一\n"), say(key % 3 != 0, "### 3.5 技术二\n"), F.lit("### 3.6 技术三\n# 环甲\n# 环乙\n# 成果[S4]\n"), say(key % 13 != 0, "[G1] 技术三 没有数据\n"))
     solutions = F.repeat(F.lit("### 解\n"), F.when(key % 17 == 0, 5).otherwise(6))
-    return b.table(spark, sf_dir, "part").select(key.alias("doc_id"), F.concat(heads, F.lit("```mermaid\n"), diagram, F.lit("```\n## 5. 关键技术问题与解决方案\n"), solutions, F.lit("## 6. 末\n### 外\n")).alias("text"))
+    p = b.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
+    return p.select(key.alias("doc_id"), F.concat(heads, F.lit("```mermaid\n"), diagram, F.lit("```\n## 5. 关键技术问题与解决方案\n"), solutions, F.lit("## 6. 末\n### 外\n")).alias("text"))
 
 
 @query("l14_route_lock", """WITH x AS (SELECT p_partkey AS doc_id, p_size % 2 = 0 AS sub, p_size % 14 = 0 AS four, p_partkey AS k FROM part)

@@ -68,3 +68,12 @@ def test_patterns_of_ones_own(spark):
     d = spark.createDataFrame([(1, "a。b。a。c。b。")], "doc_id int, text string")
     got = narratives.row_patterns(d, {"A": "a", "B": "b"}, {"AB": ("A;B;", "low")}).collect()
     assert [(r["first"], r["last"], r["excerpt"], r["risk"]) for r in got] == [(0, 1, "a。b。", "low")]
+
+
+def test_route_lock_takes_a_text_apart_once(spark):
+    """Within lambdas the diagram was cut out of the whole text again for each heading, node and edge."""
+    long = route(extra="\n".join(f"D{i % 3} --> N{i}[节点{i} 待补证]" for i in range(200))) + "\n".join(f"## {i}. 节点{i}\n[G{i}] 节点{i} 缺" for i in range(2000))
+    got = locked(spark, long=long)["long"]
+    assert got["n_nodes"] == 212 and got["hidden_gaps"] == [] and got["solutions"] == 6 and got["depth"] == 3
+    plan = routes.route_lock(spark.createDataFrame([("a", long)], "doc_id string, text string").repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("```mermaid") <= 2, plan.count("```mermaid")
