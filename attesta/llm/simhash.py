@@ -13,7 +13,7 @@ if, they share such a point, and it suffices to link each to the least that has
 exact and linear in the cloud's size.
 
 `one_of_each` asks for a similarity of shingles rather than for a distance of fingerprints: candidates share a band of
-minhashes of their shingles, and are verified from the texts.
+minhashes of their shingles, and are verified from the texts. On request it groups by linked fingerprints as well.
 
 Components come from large-star and small-star steps over written tables.
 
@@ -168,7 +168,9 @@ def components(edges: DataFrame) -> DataFrame:
         c.drop_written(old)
         now = state(edges)
         if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._attesta_path = edges._attesta_path
+            return out
         seen = now
 
 
@@ -283,9 +285,28 @@ def _refined(rows: DataFrame, roots: DataFrame, found: DataFrame, similarity: fl
         c.drop_written(links, below, sizes)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one row of each group of equal and similar texts: the least by id (null last), then by content."""
+def near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most_bits: int = 4) -> DataFrame:
+    """(key, root): content keys of different texts whose fingerprints are linked, as `group` links them, and the least key of their group."""
+    key = f"{c.OWN}key"
+    rows = docs.select(id_col, text_col, F.hex(c.text_key(F.col(text_col))).alias(key))
+    linked = group(rows, id_col, text_col, words, most_bits).select(F.col(key).alias("key"), F.col(f"{c.OWN}root").alias("group")).distinct()
+    linked = c.written(linked, "near-texts")
+    heads = linked.groupBy("group").agg(F.min("key").alias("root"), F.count("*").alias("n")).where(F.col("n") > 1).select("group", "root")
+    return linked.join(heads, "group").select("key", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int | None = None) -> DataFrame:
+    """`docs` with one row of each group of equal and similar texts: the least by id (null last), then by content.
+
+    With `most_bits` texts whose fingerprints are linked are of one group too.
+    """
     roots = c.written(similar(docs, text_col, words, similarity), "similar-roots")
+    if most_bits is not None:
+        fingerprints = near(docs, id_col, text_col, most_bits=most_bits)
+        edges = c.written(roots.unionByName(fingerprints).select(F.col("key").alias("a"), F.col("root").alias("b")), "near-links")
+        c.drop_written(roots)
+        roots = components(edges).select(F.col("node").alias("key"), "root")
+        c.drop_written(edges)
     own = docs.select(F.col(id_col).alias("id"), F.hex(c.text_key(F.col(text_col))).alias("key"))
     own = own.join(c.sized_broadcast(roots, BROADCAST_ROWS), "key", "left").withColumn("root", F.coalesce("root", "key"))
     place = F.struct(F.col("id").isNull().alias("null"), "id", "key")

@@ -457,3 +457,41 @@ def test_bpe_words_are_decoded_by_a_join(spark):
     df = spark.createDataFrame([(w, t.encode(w, add_special_tokens=False).ids) for w in words] + [("none", [])], "word string, ids array<int>")
     got = {r["word"]: r["text"] for r in bpe.decoded_words(df, definition).collect()}
     assert got == {w: t.decode(t.encode(w, add_special_tokens=False).ids, skip_special_tokens=False) for w in words} | {"none": ""}
+
+
+def test_pipeline_drops_what_fingerprints_link(spark):
+    """Two texts of a similarity under 0.8 whose fingerprints differ in at most four bits: operator 4 links them, and so does the pipeline's stage."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    while True:
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        pair = [" ".join(words), " ".join(edited(rng, words, 8))]
+        a, b = (simhash.fingerprint(x, 4) for x in pair)
+        if ((a ^ b) % (1 << 64)).bit_count() <= 4 and brute_force_roots(list(enumerate(pair)))[0] == 0:
+            break
+    rows = [(1, pair[0]), (2, pair[1]), (3, "another text of a few words"), (4, None), (None, pair[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3, 4]
+
+
+def test_bpe_table_is_columns_in_a_worker(spark):
+    """Rows of words in and beyond the table, empty and null ones: ids and texts as the library's; what is broadcast holds no object for each word."""
+    import public_tokenizers
+
+    definition = bpe.definition_of(public_tokenizers.path("word_bpe_49k.json"))
+    t = bpe.tokenizer(definition)
+    texts = ["the cat the dog", "", None, " \t\n", "zqxj中文 the \U0001f600", "the été the"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id int, text string")
+    table = bpe.word_table(docs, definition)
+    sent = []
+    real = type(spark.sparkContext).broadcast
+    try:
+        type(spark.sparkContext).broadcast = lambda self, x: sent.append(x) or real(self, x)
+        got = {r["doc_id"]: r for r in bpe.encode(docs, definition, table, decoded="decoded").collect()}
+    finally:
+        type(spark.sparkContext).broadcast = real
+    assert b"the" in table and all(isinstance(x, (str, bytes)) for x in sent[0])
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert got[i]["ids"] == ids and got[i]["decoded"] == t.decode(ids, skip_special_tokens=False)
