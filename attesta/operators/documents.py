@@ -61,38 +61,65 @@ SECTIONS = ("front", "abs", "kw", "abs_en", "kw_en", "body", "concl", "refs")
 _LETTER = dict(zip(SECTIONS, "faksebcr", strict=True))
 
 
+#: First characters of lines that MARKER may fit: it is tried on no other line.
+_FIRST = r"[#*\s摘Aa关Kk参Rr【]"
+
+
+def any_lines(text: Column) -> Column:
+    """The lines of a text, whatever ends them. Only texts with carriage returns are searched by a pattern."""
+    return F.split(F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text), "\n", -1)
+
+
+def _facts(line: Column) -> Column:
+    """{s, kind, line} of a line: trimmed; the letter of the section that its marker opens, `!` for a code, 1 for a heading below the first level, 2 for a conclusion's, 3 for both, 0 for another."""
+    x = _LETTER
+
+    def of(s: Column) -> Column:
+        head = F.lower(F.regexp_replace(F.regexp_extract(s, MARKER, 1), r"[\s:：]", ""))
+        opened = F.when(head == "摘要", x["abs"]).when(head == "abstract", x["abs_en"]).when(head == "关键词", x["kw"]).when(head == "keywords", x["kw_en"]).otherwise(x["refs"])
+        below, concl = s.rlike(r"^#{2,6}\s"), s.rlike(r"^#{1,6}\s*\d+(\.\d+)*\s*.*(结论|结语)")
+        heading = (below.cast("int") + 2 * concl.cast("int")).cast("string")
+        first = F.substring(s, 1, 1)
+        kind = F.when(first.rlike(_FIRST) & s.rlike(MARKER), opened).when(first.isin("中", "文") & s.rlike(CODE), "!").when(first == "#", heading).otherwise("")
+        return F.struct(s.alias("s"), kind.alias("kind"), line.alias("line"))
+
+    return t.let(F.trim(line), of)
+
+
 def sections(text: Column) -> Column:
     """Array of {m, l}: each line's text and the letter of its section.
 
-    Two of the changes depend on the section before, so that lines are folded in order; the fold carries one letter a line.
+    Two of the changes depend on the section before, so that lines are folded in order; the fold carries one letter a line. What a line is by itself is told
+    once before the fold; the fold reads a line only in keywords and abstracts.
     """
-    lines = F.split(text, "\r\n|\r|\n", -1)
     x = _LETTER
+    opens = list("akser")
 
-    def step(acc: Column, line: Column) -> Column:
-        mode, s = acc["mode"], F.trim(line)
-        marked = s.rlike(MARKER)
-        head = F.lower(F.regexp_replace(F.regexp_extract(s, MARKER, 1), r"[\s:：]", ""))
-        opened = F.when(head == "摘要", x["abs"]).when(head == "abstract", x["abs_en"]).when(head == "关键词", x["kw"]).when(head == "keywords", x["kw_en"]).otherwise(x["refs"])
-        before_body = mode.isin(*[x[m] for m in ("front", "abs_en", "kw_en", "kw", "abs")])
-        m = F.when(s.rlike(r"^#{2,6}\s") & before_body, x["body"]).otherwise(mode)
-        m = F.when((m == x["body"]) & s.rlike(r"^#{1,6}\s*\d+(\.\d+)*\s*.*(结论|结语)"), x["concl"]).otherwise(m)
-        code = s.rlike(CODE)
-        long = m.isin(x["kw"], x["kw_en"]) & ~s.contains("；") & ~s.contains(";") & (F.length(s) > 40)
-        n = F.when(long, F.when(s.contains("引言"), x["body"]).otherwise(x["front"])).otherwise(m)
-        n = F.when((n == x["abs"]) & ~s.rlike(t.CJK) & (t.count(s, "[A-Za-z]") > 30), x["abs_en"]).otherwise(n)
-        to = F.when(marked, opened).when(code, x["front"]).otherwise(n)
-        return F.struct(F.when(marked, opened).when(code, m).otherwise(n).alias("mode"), F.concat(acc["out"], to).alias("out"))
-
-    start = F.struct(F.lit(x["front"]).alias("mode"), F.lit("").alias("out"))
-    letters = F.filter(F.split(F.aggregate(lines, start, step, lambda acc: acc["out"]), ""), lambda m: m != "")
-
-    def kept(line: Column, m: Column) -> Column:
-        s = F.trim(line)
-        return F.struct(m.alias("m"), F.when(s.rlike(MARKER), F.nullif(F.regexp_replace(s, MARKER, ""), F.lit(""))).when(s.rlike(CODE), s).otherwise(line).alias("l"))
+    def step(acc: Column, e: Column) -> Column:
+        kind, s = e["kind"], e["s"]
+        before_body = acc["mode"].isin(*[x[m] for m in ("front", "abs_en", "kw_en", "kw", "abs")])
+        m = F.when(kind.isin("1", "3") & before_body, x["body"]).otherwise(acc["mode"])
+        m = F.when(kind.isin("2", "3") & (m == x["body"]), x["concl"]).otherwise(m)
+
+        def read(m: Column) -> Column:
+            long = m.isin(x["kw"], x["kw_en"]) & ~s.contains("；") & ~s.contains(";") & (F.length(s) > 40)
+            english = (m == x["abs"]) & ~s.rlike(t.CJK) & (t.count(s, "[A-Za-z]") > 30)
+            return F.when(long, F.when(s.contains("引言"), x["body"]).otherwise(x["front"])).when(english, x["abs_en"]).otherwise(m)
+
+        mode = F.when(kind.isin(*opens), kind).when(kind == "!", m).otherwise(t.let(m, read))
+        return t.let(mode, lambda n: F.struct(n.alias("mode"), F.concat(acc["out"], F.when(kind == "!", x["front"]).otherwise(n)).alias("out")))
+
+    def kept(e: Column, m: Column) -> Column:
+        line = F.when(e["kind"].isin(*opens), F.nullif(F.regexp_replace(e["s"], MARKER, ""), F.lit(""))).when(e["kind"] == "!", e["s"]).otherwise(e["line"])
+        return F.struct(m.alias("m"), line.alias("l"))
+
+    def lettered(facts: Column) -> Column:
+        start = F.struct(F.lit(x["front"]).alias("mode"), F.lit("").alias("out"))
+        letters = F.filter(F.split(F.aggregate(facts, start, step, lambda acc: acc["out"]), ""), lambda m: m != "")
+        return F.zip_with(facts, letters, kept)
 
     # A marker with nothing behind it is no line of its section.
-    return F.filter(F.zip_with(lines, letters, kept), lambda e: e["l"].isNotNull())
+    return F.filter(t.let(F.transform(any_lines(text), _facts), lettered), lambda e: e["l"].isNotNull())
 
 
 def with_sections(docs: DataFrame) -> DataFrame:
@@ -128,7 +155,6 @@ def scorecard(docs: DataFrame, tier: str = "mid") -> DataFrame:
     least_refs, least_chars, least_share, need_figures, need_equations = STYLE_TIERS[tier]
     d = with_sections(docs).withColumn("entries", entries(F.col("refs")))
     text, abstract = F.col("text"), F.col("abs")
-    n = t.count(abstract, t.CJK)
     has = lambda c, p: F.col(c).rlike(p).cast("int")
     parts = has("abs", "针对|为了|为明确|为解决|旨在") + has("abs", "提出|构建|建立|采用|基于|设计|开发") + has("abs", r"(\d+(\.\d+)?\s*[%％])|(≤|≥|误差|精度.{0,6}\d|下降\s*\d|提升\s*\d|降低\s*\d)") + has("abs", "表明|验证|证实|结果|可得出|可用于")
     kw = F.size(F.filter(F.split("kw", "[;；]", -1), lambda x: x.rlike(t.CJK)))
@@ -137,33 +163,40 @@ def scorecard(docs: DataFrame, tier: str = "mid") -> DataFrame:
     d = d.withColumns({"_n": numbers, "_last": F.element_at(F.concat(F.array(F.lit("")), t.find_all(text, r"(?m)^(##\s*\d+[\s、.].*)$")), -1)})
     order = lambda xs: F.size(xs).eqNullSafe(0) | (xs == F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1))))
     in_order = (F.size("_n") > 0) & order(F.col("_n"))
-    points = t.count(F.col("concl"), r"[（(]\d[)）]|[①②③④⑤⑥⑦]")
     refs = F.size("entries")
     share = lambda xs, of: F.when(F.size(of) > 0, F.size(xs) / F.size(of)).otherwise(0.0)
     tagged = F.filter("entries", lambda e: e.rlike(r"\[(?:J|M|S|D|C|R|N|EB|DB|CP|A)/?[^\]]*\]"))
     chinese = F.filter("entries", lambda e: e.rlike(t.CJK))
     tail = lambda e: F.element_at(F.split(e, "—", -1), -1)
-    both = F.filter(chinese, lambda e: e.rlike(r"[\x{4e00}-\x{9fff}].*[.]\s*[A-Z][a-z]+.{20,}") & tail(e).rlike(r"[A-Za-z]{4,}[\s,:].*[A-Za-z]{4,}"))
+    both = F.filter("_chinese", lambda e: e.rlike(r"[\x{4e00}-\x{9fff}].*[.]\s*[A-Z][a-z]+.{20,}") & tail(e).rlike(r"[A-Za-z]{4,}[\s,:].*[A-Za-z]{4,}"))
     firsts = lambda p: F.array_distinct(F.transform(t.find_all(text, p), lambda x: x.cast("int")))
-    figures, tables = firsts(r"图\s*(\d+)"), firsts(r"表\s*(\d+)")
+    # What several conditions read is a column: computed once a row.
+    d = d.withColumns({"_figures": firsts(r"图\s*(\d+)"), "_tables": firsts(r"表\s*(\d+)"), "_chinese": chinese})
+    figures, tables = F.col("_figures"), F.col("_tables")
     fig_ok, tab_ok = order(figures), order(tables)
     with_figures = (F.size(figures) > 0) if need_figures else F.lit(True)
-    d = d.withColumn("_lines", F.filter(F.transform(F.split(text, "\r\n|\r|\n", -1), lambda x: F.trim(x)), lambda x: x != ""))
+    d = d.withColumn("_lines", F.filter(F.transform(any_lines(text), lambda x: F.trim(x)), lambda x: x != ""))
     # A caption and the line after it.
     pairs = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"^图\s*\d+"), F.concat(x, F.lit("\n"), F.when(F.get("_lines", i + 1).rlike("(?i)^(Fig|表|Tab)"), F.get("_lines", i + 1)).otherwise("")))), lambda x: x.isNotNull())
-    captioned = F.filter(pairs, lambda x: x.rlike(r"(?i)Fig\.?\s*\d"))
     equations = F.array_sort(F.array_distinct(F.transform(t.find_all(F.col("body"), r"(?m)[（(](\d{1,2})[)）]\s*(?:$|[^)）])"), lambda x: x.cast("int"))))
+    d = d.withColumns({"_pairs": pairs, "_equations": equations, "_tagged": share(tagged, F.col("entries")), "_both": share(both, F.col("_chinese"))})
+    pairs, equations = F.col("_pairs"), F.col("_equations")
+    captioned = F.filter(pairs, lambda x: x.rlike(r"(?i)Fig\.?\s*\d"))
     where = t.count(text, r"式\s*中\s*[:：]")
     hits = text.contains("众所周知").cast("int") + F.regexp_replace(text, r"参考文献[\s\S]*", "").contains("我们").cast("int") + abstract.rlike("首次|填补空白|国际领先").cast("int")
-    chars = t.dense_length(F.col("body")) + t.dense_length(F.col("concl"))
+    d = d.withColumns({
+        "_han": t.count(abstract, t.CJK), "_parts": parts, "_kw": kw, "_english": english, "_points": t.count(F.col("concl"), r"[（(]\d[)）]|[①②③④⑤⑥⑦]"),
+        "_chars": t.dense_length(F.col("body")) + t.dense_length(F.col("concl")), "_captioned": F.size(captioned),
+    })
+    n, parts, kw, english, points, chars = (F.col(x) for x in ("_han", "_parts", "_kw", "_english", "_points", "_chars"))
     two = lambda full, half: F.when(full, 2).when(half, 1).otherwise(0)
     items = {
         "S1": two(n.between(150, 350), n.between(100, 450)), "S2": two(parts == 4, parts >= 2), "S3": two(kw.between(5, 6), kw.between(3, 8)),
-        "S4": text.contains("中图分类号").cast("int") + text.rlike("文献标志码|文献标识码").cast("int"), "S5": two(english == 3, english == 2),
+        "S4": text.contains("中图分类号").cast("int") + (text.contains("文献标志码") | text.contains("文献标识码")).cast("int"), "S5": two(english == 3, english == 2),
         "S6": two(text.rlike(r"(?m)^#{1,6}\s*0\s*引\s*言"), text.rlike(r"(?m)^#{1,6}\s*引\s*言")), "S7": two(in_order & (F.size("_n") >= 2), F.size("_n") > 0), "S8": F.when(F.col("_last").rlike("结论|结语"), 2).otherwise(0),
-        "S9": two(points >= 3, points >= 1), "S10": two(refs >= least_refs, refs >= 0.7 * least_refs), "S11": two(share(tagged, F.col("entries")) >= 0.9, share(tagged, F.col("entries")) >= 0.6),
-        "S12": two(share(both, chinese) >= least_share, share(both, chinese) >= 0.1), "S13": two(fig_ok & tab_ok & with_figures, fig_ok | tab_ok),
-        "S14": F.when((F.size(pairs) > 0) & (share(captioned, pairs) >= 0.8), 2).when(F.size(captioned) > 0, 1).otherwise(0 if need_figures else 2),
+        "S9": two(points >= 3, points >= 1), "S10": two(refs >= least_refs, refs >= 0.7 * least_refs), "S11": two(F.col("_tagged") >= 0.9, F.col("_tagged") >= 0.6),
+        "S12": two(F.col("_both") >= least_share, F.col("_both") >= 0.1), "S13": two(fig_ok & tab_ok & with_figures, fig_ok | tab_ok),
+        "S14": F.when((F.size(pairs) > 0) & (5 * F.col("_captioned") >= 4 * F.size(pairs)), 2).when(F.col("_captioned") > 0, 1).otherwise(0 if need_figures else 2),
         "S15": F.when(F.size(equations) == 0, 0 if need_equations else 2).when(order(equations) & (where >= F.greatest(F.lit(1), F.floor(F.size(equations) / 2))), 2).otherwise(1),
         "S16": 2 - F.least(F.lit(2), hits), "S17": two(chars >= least_chars, chars >= 0.6 * least_chars),
     }

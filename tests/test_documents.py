@@ -70,6 +70,16 @@ def test_sections(spark):
     assert documents.with_sections(drafts(spark, text)).select(documents.entries(F.col("refs"))).first()[0] == ["[1] 甲. 题[J]. Jia. Title[J].", "[2] 乙"]
 
 
+def test_sections_read_a_line_once(spark):
+    """A long line's patterns are tried once each, not once for each way through the fold; sections stay the same."""
+    text = "# T\r\n摘要：" + "中" * 160 + "\r## 引言\nKey words: a\n中图分类号：TM7\n" + "正文" * 40 + "，无分隔的长行引言\n## 1 结论\n好\nReferences\n[1] 甲"
+    r = documents.with_sections(drafts(spark, text)).first()
+    assert r["abs"] == "中" * 160 and r["kw_en"] == "a" and r["concl"].endswith("好") and r["refs"] == "[1] 甲"
+    assert r["front"] == "# T\n中图分类号：TM7" and r["body"] == "## 引言\n" + "正文" * 40 + "，无分隔的长行引言"
+    plan = documents.with_sections(drafts(spark, text))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("结论|结语") == 1 and plan.count("{2,6}") == 1
+
+
 def test_urls(spark):
     hosts = ["https://8.8.8.8/x", "http://127.0.0.1", "http://10.1.1.1", "http://192.168.1.1", "http://169.254.1.1", "ftp://a.org", "file:///x", "http://localhost", "http://a.local", "https://a.example", "https://www.example", "https://public.com"]
     df = spark.createDataFrame([(x,) for x in hosts], "u string")
