@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 
 from attesta.operators.citations import refs_boundary_last
 from attesta.operators.documents import chapters
+from attesta.sources.checkpoints import stored
 
-# Key problems and key technologies that every case answers; least idle sources in a row, least sources of a core claim, of countries or institutions; least share of the review chapter.
+# Key problems and key technologies that every case answers; least idle sources in a row, least sources of a core claim; least share of the review chapter.
 TARGETS = ("P1", "P2", "P3", "T1", "T2", "T3")
-IDLE_RUN, CORE_SOURCES, VARIETY, REVIEW_SHARE = 5, 2, 2, 0.4
+IDLE_RUN, CORE_SOURCES, REVIEW_SHARE = 5, 2, 0.4
 REVIEW_CHAPTER = "综述|研究现状|文献回顾"
 SOURCE_MARK = r"\[S(\d+)\](?!\()"
 
 
-def nth_place(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, place): where a key has its n-th row, in order of place. Partial limits keep a hot key's rows from one task."""
-    w = Window.partitionBy(*keys).orderBy("place")
-    return rows.select(*keys, "place").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).where(F.col("_n") == n).drop("_n")
-
-
 def news(arrivals: DataFrame, edges: DataFrame) -> DataFrame:
     """`arrivals` (case_key, place, source_key, ...) with new_claims, new_contradictions, idle and run: idle sources in a row so far.
 
@@ -42,11 +37,11 @@ def coverage(claims: DataFrame, placed: DataFrame) -> DataFrame:
 
     Each target needs a source that doesn't contradict, each core claim two. `covered_at` is the place from which both hold, null if they never do.
     """
-    support = placed.where(F.col("relation") != "contradicts").dropDuplicates(["case_key", "claim_key", "source_key"])
     keys = ["case_key", "claim_key"]
-    first = nth_place(support, keys, 1).withColumnRenamed("place", "first")
-    enough = nth_place(support, keys, CORE_SOURCES).withColumnRenamed("place", "enough")
-    d = claims.join(first, keys, "left").join(enough, keys, "left")
+    # Partial limits keep all but a claim's first sources from being shuffled.
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("place", "source_key"))
+    support = placed.where(F.col("relation") != "contradicts").select(*keys, "source_key", "place").withColumn("_n", rank).where(F.col("_n") <= CORE_SOURCES)
+    d = claims.join(support.groupBy(*keys).agg(F.min("place").alias("first"), F.min(F.when(F.col("_n") == CORE_SOURCES, F.col("place"))).alias("enough")), keys, "left")
     by_target = d.where(F.col("target").isin(*TARGETS)).groupBy("case_key", "target").agg(F.min("first").alias("first"))
     targets = by_target.where(F.col("first").isNotNull()).groupBy("case_key").agg(F.max("first").alias("targets_at"), F.array_sort(F.collect_set("target")).alias("have"))
     core = F.col("core") & F.col("enough").isNull()
@@ -61,27 +56,40 @@ def coverage(claims: DataFrame, placed: DataFrame) -> DataFrame:
     return d.select("case_key", F.when((F.size("uncovered") == 0) & (F.size("weak_core") == 0), at).alias("covered_at"), "uncovered", "weak_core", "searched")
 
 
-def stop_rule(claims: DataFrame, arrivals: DataFrame, edges: DataFrame, run: int = IDLE_RUN, least_sources: int = 0) -> DataFrame:
+def _apart(value: Column, over: Window) -> Column:
+    """Whether a value differs from the first that is not null."""
+    return F.coalesce(value != F.first(value, ignorenulls=True).over(over), F.lit(False))
+
+
+def stop_rule(claims: DataFrame, arrivals: DataFrame, edges: DataFrame | None, run: int = IDLE_RUN, least_sources: int = 0) -> DataFrame:
     """For each case, where its search may stop.
 
     `arrivals` (case_key, place, source_key, country, institution, kind, publisher) are the sources in the order in which they were found, each once;
-    `claims` and `edges` as in `coverage` and `news`. `ready_at` is the first place with coverage, a counter-search of every key claim, and sources of two countries or
-    institutions, its papers not all of one publisher. `saturated_at` ends the first run of idle sources; `stop_at` is the first place that ends such a run and is ready.
-    `short` says that there are fewer sources than asked for where the search may stop. The places are null where they are never reached.
+    `claims` and `edges` as in `coverage` and `news`; without `edges` arrivals have them as a column, array of {claim_key, relation}. `ready_at` is the first place with coverage, a counter-search
+    of every key claim, and sources of two countries or institutions, its papers not all of one publisher. `saturated_at` ends the first run of idle sources; `stop_at` is the first place that ends
+    such a run and is ready. `short` says that there are fewer sources than asked for where the search may stop. The places are null where they are never reached.
+
+    The arrivals with their edges are stored once; claims and places read some columns each, a case's rows side by side, so that aggregations shrink them before they are shuffled.
     """
-    seen = news(arrivals, edges)
-    placed = edges.join(arrivals.select("case_key", "source_key", "place"), ["case_key", "source_key"])
-    variety = lambda x: nth_place(arrivals.where(F.col(x).isNotNull()).groupBy("case_key", x).agg(F.min("place").alias("place")), ["case_key"], VARIETY)
-    diverse = variety("country").unionByName(variety("institution")).groupBy("case_key").agg(F.min("place").alias("diverse_at"))
-    papers = arrivals.where(F.col("kind") == "paper")
-    first_paper = papers.groupBy("case_key").agg(F.min("place").alias("paper_at"))
-    journals = nth_place(papers.groupBy("case_key", "publisher").agg(F.min("place").alias("place")), ["case_key"], 2).withColumnRenamed("place", "journals_at")
-    d = seen.join(coverage(claims, placed), "case_key", "left").join(diverse, "case_key", "left").join(first_paper, "case_key", "left").join(journals, "case_key", "left")
-    reached = lambda x: F.coalesce(F.col("place") >= F.col(x), F.lit(False))
-    ready = F.coalesce("searched", F.lit(False)) & reached("covered_at") & reached("diverse_at") & (~reached("paper_at") | reached("journals_at"))
+    if edges is not None:
+        of = edges.groupBy("case_key", "source_key").agg(F.collect_set(F.struct("claim_key", "relation")).alias("edges"))
+        arrivals = arrivals.join(of, ["case_key", "source_key"], "left")
+    by_place = Window.partitionBy("case_key").orderBy("place")
+    so_far = by_place.rowsBetween(Window.unboundedPreceding, 0)
+    paper = F.coalesce(F.col("kind") == "paper", F.lit(False))
+    d = arrivals.withColumns({"nth": F.row_number().over(by_place), "_diverse": _apart(F.col("country"), so_far) | _apart(F.col("institution"), so_far), "_journals": _apart(F.when(paper, F.struct("publisher")), so_far)})
+    varied = F.max("_diverse").over(so_far) & (~F.max(paper).over(so_far) | F.max("_journals").over(so_far))
+    d = stored(d.select("case_key", "place", "nth", varied.alias("varied"), "edges"))
+    placed = d.select("case_key", F.col("place").alias("source_key"), "place", F.inline("edges"))
+    first = placed.groupBy("case_key", "claim_key").agg(F.array(F.min("place"), F.min(F.when(F.col("relation") == "contradicts", F.col("place")))).alias("at"))
+    breaks = first.groupBy("case_key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("breaks"))
+    d = d.drop("edges").join(coverage(claims, placed).select("case_key", "covered_at", "searched").join(breaks, "case_key", "full"), "case_key", "left")
+    ready = F.coalesce("searched", F.lit(False)) & F.coalesce(F.col("place") >= F.col("covered_at"), F.lit(False)) & F.col("varied")
+    last = F.max(F.when(F.array_contains("breaks", F.col("place")), F.col("nth"))).over(so_far)
     saturated = F.col("run") >= run
     first = lambda when, x="place": F.min(F.when(when, F.col(x)))
-    out = d.groupBy("case_key").agg(F.count("*").alias("sources"), first(ready).alias("ready_at"), first(saturated).alias("saturated_at"), first(ready & saturated).alias("stop_at"), first(ready, "nth").alias("_n"))
+    d = d.withColumn("run", F.col("nth") - F.coalesce(last, F.lit(0))).withColumn("ready", ready)
+    out = d.groupBy("case_key").agg(F.count("*").alias("sources"), first(F.col("ready")).alias("ready_at"), first(saturated).alias("saturated_at"), first(F.col("ready") & saturated).alias("stop_at"), first(F.col("ready"), "nth").alias("_n"))
     return out.withColumn("short", F.coalesce(F.col("_n") < least_sources, F.lit(False))).drop("_n")
 
 

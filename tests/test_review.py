@@ -41,6 +41,16 @@ def test_stop_rule(spark):
     assert got["onepaper"]["stop_at"] is None and (got["papers"]["ready_at"], got["papers"]["stop_at"]) == (7, 14)
 
 
+def test_stop_rule_shuffles_arrivals_once_stored(spark, tmp_path):
+    """What is read of arrivals after they are stored: no join of edges to places, and the same places whether edges are a column or a table."""
+    claims, arrivals, edges = (spark.createDataFrame(x, s) for x, s in zip(search("a", 20), (CLAIMS, ARRIVALS, EDGES), strict=True))
+    of = edges.groupBy("case_key", "source_key").agg(F.collect_set(F.struct("claim_key", "relation")).alias("edges"))
+    column = review.stop_rule(claims, arrivals.join(of, ["case_key", "source_key"]), None, least_sources=8)
+    assert column.collect() == review.stop_rule(claims, arrivals, edges, least_sources=8).collect()
+    plan = column._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 5 and "institution" not in plan
+
+
 def test_runs_are_of_sources_not_claims(spark):
     _, arrivals, edges = search("a", 13)
     d = review.news(spark.createDataFrame(arrivals, ARRIVALS), spark.createDataFrame([*edges, ("a", "s13", "new", "context_only")], EDGES))
