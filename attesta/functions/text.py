@@ -66,9 +66,10 @@ def file_name(source_id: Column, title: Column) -> Column:
     return F.concat(file_part(source_id, 24), F.lit("_"), file_part(title, 96), F.lit(".pdf"))
 
 
-def lines_where(text: Column, pattern: str) -> Column:
-    """Places of the lines that match when trimmed, from 0."""
-    return F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(F.trim(x).rlike(pattern), i)), lambda i: i.isNotNull())
+def lines_where(text: Column, pattern: str, holds: str = "") -> Column:
+    """Places of the lines that match when trimmed, from 0. What every match `holds` is sought first: the pattern is tried on lines that have it."""
+    fits = lambda x: F.contains(x, F.lit(holds)) & F.trim(x).rlike(pattern)
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(fits(x), i)), lambda i: i.isNotNull())
 
 
 def line_range(text: Column, start: Column, stop: Column) -> Column:

@@ -32,7 +32,7 @@ ENTRY_START = r"\n(?=\[(?:S\d+|\d+)\])"
 def refs_boundary_last(text: Column) -> tuple[Column, Column, Column]:
     """Body, references and appendix. A heading in the first line counts as none."""
     n = F.size(F.split(text, "\n", -1))
-    last = lambda p: F.nullif(F.coalesce(F.array_max(t.lines_where(text, p)), F.lit(0)), F.lit(0))
+    last = lambda p: F.nullif(F.coalesce(F.array_max(t.lines_where(text, p, "##")), F.lit(0)), F.lit(0))
     refs, app = last(REFS_LAST), last(APPENDIX_LAST)
     body_end, ref_end = F.coalesce(refs, app, n), F.coalesce(app, n)
     empty = F.lit("")
@@ -149,8 +149,9 @@ def most_cited(drafts: DataFrame, k: int = 5, levels: DataFrame | None = None) -
 
 
 def overused(drafts: DataFrame, levels: DataFrame, threshold: int = 5) -> DataFrame:
-    """Sources of level C that a draft cites more often than `threshold`."""
-    return citation_counts(drafts).join(levels.where(F.col("level") == "C").select("ref"), "ref").where(F.col("n") > threshold)
+    """Sources of level C that a draft cites more often than `threshold`. Citations of others are left out before they are counted."""
+    body = exploded(drafts)[0].join(levels.where(F.col("level") == "C").select("ref"), "ref", "left_semi")
+    return body.groupBy("ref", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where(F.col("n") > threshold)
 
 
 def marker_totals(text: Column) -> dict[str, Column]:
@@ -198,7 +199,7 @@ def finished(drafts: DataFrame) -> DataFrame:
     The appendix of gaps goes if it stands after the references; gaps that the body cites become limitations.
     """
     n = F.size(F.split("text", "\n", -1))
-    d = drafts.withColumns({"_ref": F.array_min(t.lines_where(F.col("text"), REFS_FIRST)), "_app": F.array_min(t.lines_where(F.col("text"), APPENDIX_FIRST))})
+    d = drafts.withColumns({"_ref": F.array_min(t.lines_where(F.col("text"), REFS_FIRST, "##")), "_app": F.array_min(t.lines_where(F.col("text"), APPENDIX_FIRST, "##"))})
     cut = F.col("_app").isNotNull() & (F.col("_app") >= F.col("_ref"))
     d = d.withColumns({"_block": F.when(cut, t.line_range(F.col("text"), F.col("_app"), n)).otherwise(""), "_all": F.when(cut, F.concat(F.rtrim(t.line_range(F.col("text"), F.lit(0), F.col("_app")), F.lit(" \n\t\r")), F.lit("\n"))).otherwise(F.col("text"))})
     d = d.withColumns({"_body": t.line_range(F.col("_all"), F.lit(0), F.col("_ref")), "_refs": t.line_range(F.col("_all"), F.col("_ref"), F.size(F.split("_all", "\n", -1)))})

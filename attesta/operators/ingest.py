@@ -244,10 +244,14 @@ def title_mismatches(entries: DataFrame, sources: DataFrame, least: float = 0.6)
 
 
 def mismatched_ids(entries: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
-    """J11 without scores: (doc_id, source_id). Python sees only pairs that lie between the bounds."""
-    d = title_pairs(entries, sources, least)
+    """J11 without scores: (doc_id, source_id). Python sees only pairs that lie between the bounds.
+
+    Drafts write a source's entry alike: each different entry is compared once, however many drafts have it.
+    """
+    d = title_pairs(entries.select("source_id", "entry").distinct(), sources, least)
     between = d.where(F.col("unlike").isNull()).where(F.greatest(title_ratio("whole", "known"), title_ratio("first", "known")) < least)
-    return d.where("unlike").select("doc_id", "source_id").unionByName(between.select("doc_id", "source_id"))
+    unlike = d.where("unlike").select("source_id", "entry").unionByName(between.select("source_id", "entry"))
+    return entries.join(unlike, ["source_id", "entry"]).select("doc_id", "source_id")
 
 
 def text_with_header(source_id: Column, title: Column, url: Column, text: Column, truncated: Column | None = None) -> Column:

@@ -173,6 +173,24 @@ def test_title_bounds_hold(spark):
     assert all(known.get(s, "") == " ".join((n or "").split() or t.split()).lower().rstrip(".").strip() for _, s, _, t, n in pairs if s in known)
 
 
+def test_each_different_entry_is_compared_once(spark, monkeypatch):
+    entries = spark.createDataFrame([(i, f"S{i % 2}", f"[S{i % 2}] Grid study. https://x.org") for i in range(40)] + [(0, "S0", "[S0] Wholly unlike words. https://x.org"), (0, "S0", "[S0] Grid study. https://x.org")], "doc_id int, source_id string, entry string")
+    sources = spark.createDataFrame([("S0", "Grid study"), ("S1", "Another matter"), ("S1", "Another thing")], "source_id string, title string")
+    compared, pairs = [], ingest.title_pairs
+    monkeypatch.setattr(ingest, "title_pairs", lambda e, *rest: compared.append(e.count()) or pairs(e, *rest))
+    got = [tuple(r) for r in ingest.mismatched_ids(entries, sources).collect()]
+    assert compared == [3] and sorted(got) == sorted([(i, "S1") for i in range(1, 40, 2)] * 2 + [(0, "S0")])
+
+
+def test_overuse_counts_level_c_alone(spark):
+    drafts = spark.createDataFrame([("a", "[S1] [S1] [S2] [S2] [S3]"), ("a", "[S1]")], "doc_id string, text string")
+    levels = spark.createDataFrame([("1", "C"), ("2", "B"), ("3", "C")], "ref string, level string")
+    found = citations.overused(drafts, levels, threshold=2)
+    assert [tuple(r) for r in found.select("doc_id", "ref", "n").collect()] == [("a", "1", 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
 def test_title_entries_begin_after_a_blank_line(spark):
     d = spark.createDataFrame([(1, "## 参考文献\n\n[S1] One\n[S2] Two\n\n[S3] Three. x\n\nplain\n\n[4] no")], "doc_id int, refs string")
     assert {r["source_id"]: r["entry"] for r in citations.title_entries(d).collect()} == {"S1": "[S1] One\n[S2] Two", "S3": "[S3] Three. x\n\nplain"}
