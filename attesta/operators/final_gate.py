@@ -35,14 +35,16 @@ def _exploded(d: DataFrame, verdicts: list[Column]) -> DataFrame:
 def final_verdicts(finals: DataFrame, min_sources: int | None = None) -> DataFrame:
     """A, B and what D can be told by rule, over finished texts (doc_id, final); a null text fails all."""
     d = citations.numeric_closure(finals.select("doc_id", F.col("final").alias("text")), min_sources=min_sources)
-    left = F.array_join(F.transform(citations.residuals(F.col("text")), lambda x: x["name"]), ",")
-    sections = F.size(t.lines_where(F.col("text"), citations.REFS_FIRST))
-    listed = F.transform(t.find_all(F.col("text"), r"(?m)^\[(?:S\d+|\d+)\].*?(https?://\S+?)[\s.]*$"), lambda u: F.rtrim(u, F.lit(".")))
+    d = d.withColumns({
+        "left": F.array_join(F.transform(citations.residuals(F.col("text")), lambda x: x["name"]), ","), "sections": F.size(t.lines_where(F.col("text"), citations.REFS_FIRST, "##")),
+        "urls": F.transform(t.find_all(F.col("text"), r"(?m)^\[(?:S\d+|\d+)\].*?(https?://\S+?)[\s.]*$"), lambda u: F.rtrim(u, F.lit("."))),
+    })
+    left, sections = F.col("left"), F.col("sections")
     joined = lambda c: F.array_join(c, ",")
     return _exploded(d, [
         _verdict("A", "residuals", left == "", left), _verdict("A", "placeholders", ~F.col("text").rlike(COVER)),
         _verdict("B", "closure", (F.size("orphaned") == 0) & (F.size("unused") == 0) & ~F.col("few_sources"), F.concat_ws(";", joined("orphaned"), joined("unused"))), _verdict("B", "sequence", F.size("gaps") == 0, joined("gaps")),
-        _verdict("D", "one reference section", sections == 1, sections.cast("string")), _verdict("D", "unique urls", F.size(listed) == F.size(F.array_distinct(listed))),
+        _verdict("D", "one reference section", sections == 1, sections.cast("string")), _verdict("D", "unique urls", F.size("urls") == F.size(F.array_distinct("urls"))),
     ])
 
 

@@ -48,3 +48,12 @@ def test_drafts_and_frameworks(spark):
     f = spark.createDataFrame([("deep", deep), ("thin", deep + "## 2. 短\n目标\n"), ("none", "x")], "doc_id string, text string")
     got = {r["doc_id"]: (r["passed"], r["reason"]) for r in op.framework_verdicts(f, 20).collect()}
     assert got == {"deep": (True, ""), "thin": (False, "短"), "none": (False, "no chapters")}
+
+
+def test_residuals_are_counted_once_a_text(spark):
+    """Each pattern is in the plan once, and tried on texts that hold its fixed part."""
+    finals = texts(spark, good=FINAL, left=FINAL + "[S3] 待填写 ?3] [Gx]\n", map=FINAL + "### [Sx]↔[n] 对照表\n[S3] 待填写\n", none=None)
+    assert {r["doc_id"]: [(x["name"], x["n"]) for x in r["x"]] for r in finals.select("doc_id", op.citations.residuals(F.col("final")).alias("x")).collect()} == {"good": [], "left": [("[Sx]", 1), ("待填写", 1), ("[?n]", 1)], "map": [], "none": []}
+    verdicts = op.final_verdicts(finals)
+    assert verdicts._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lambda") == 14
+    assert {(r["doc_id"], r["reason"]) for r in verdicts.where("check = 'residuals' and not passed").collect()} == {("left", "[Sx],待填写,[?n]")}
