@@ -113,6 +113,20 @@ def test_verdicts_are_those_of_the_models(spark, tmp_path):
     assert {got[i]["verdict"] for i in range(80, 110)} == {"allow", "block"}
 
 
+def test_every_labelled_url_is_learned_from(spark):
+    """Also one of over 500 characters, and more than 20,000 of a verdict; every third in order of hash is held out."""
+    long = "http://a.com/" + "long" * 400
+    pages = spark.range(20_050).select(url_filter.F.concat(url_filter.F.lit("http://a.com/"), "id").alias("url")).union(spark.createDataFrame([(long,), (long,), ("http://b.net/fr/x",)], "url string"))
+    rows = url_filter.labelled(url_filter.apply_rules(pages)).collect()
+    accepted = [r for r in rows if not r["rejected"]]
+    assert len(accepted) == 20_051 and sum(r["held"] for r in accepted) == 6684 and long[7:] in {r["u"] for r in accepted} and [r["held"] for r in rows if r["rejected"]] == [True]
+    fitted = spark.createDataFrame([(False, "ab" * 600), (True, "ac")], "rejected boolean, u string")
+    wanted = url_filter.windows(spark.createDataFrame([("abacz",)], "u string"))
+    got = {r["w"]: r["difference"] / url_filter._UNIT for r in url_filter.differences(fitted, wanted).collect()}
+    want = url_filter.log_likelihood(url_filter.fit(["ac"]), ["abacz"]) - url_filter.log_likelihood(url_filter.fit(["ab" * 600]), ["abacz"])
+    assert len(got) == 6 and math.isclose(sum(got.values()) / 6, want[0], rel_tol=1e-8)
+
+
 @pytest.mark.parametrize("local", [1, 512])
 def test_substrings(spark, sf_dir, empty_dir, monkeypatch, local):
     monkeypatch.setattr(substring_dedup, "LOCAL", local)
