@@ -14,8 +14,19 @@ from attesta.llm import bpe, langid, line_dedup, mixing, simhash
 from attesta.llm import common as c
 
 
+#: Rows of texts or shingles that go to Python at a time, where the session says nothing: at Spark's 10,000 the batches of a task hold 100 MB and more, in its worker and beside the heap.
+BATCH_ROWS = "1000"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(name) and spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from a bounded sample of the labels; keeps what has a language, whatever its label says."""
+    _in_small_batches(spark)
     model = langid.learn(docs, F.lit(True))
     judged = langid.identify(docs, model)
     # Without any labels nothing can be told, and nothing is dropped.
@@ -32,6 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that operator 4 links by its fingerprints; texts of similarity 0.8 that these miss are linked too."""
+    _in_small_batches(spark)
     return simhash.one_of_each(docs, words=5, most_bits=4)
 
 
@@ -44,6 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    _in_small_batches(spark)
     definition = bpe.definition_of(public_tokenizers.path("word_bpe_49k.json"))
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), definition, bpe.word_table(docs, definition), decoded="decoded").drop("text")
     return out.withColumn("n_tokens", F.size("ids").cast("long"))

@@ -113,6 +113,22 @@ def test_verdicts_are_those_of_the_models(spark, tmp_path):
     assert {got[i]["verdict"] for i in range(80, 110)} == {"allow", "block"}
 
 
+def test_pipeline_sends_small_batches_to_python(spark, monkeypatch):
+    """Unless the session has a number of its own."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline.simhash, "one_of_each", lambda docs, **options: docs)
+    try:
+        for own, want in (("10000", "1000"), ("77", "77")):
+            spark.conf.set(name, own)
+            corpus_pipeline.drop_near_duplicates(spark, spark.range(1), "")
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_every_labelled_url_is_learned_from(spark):
     """Also one of over 500 characters, and more than 20,000 of a verdict; every third in order of hash is held out."""
     long = "http://a.com/" + "long" * 400
