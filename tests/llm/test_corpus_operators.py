@@ -219,6 +219,35 @@ def test_skipped_postings_change_nothing():
     assert 0 < touched["light_scored"] < 0.7 * touched["light"]
 
 
+def test_long_queries_read_their_lists_whole():
+    """No bounds by block are built for texts as queries; what two shards return has the best of all exact scores, ties included, and the second shard only what reaches the first's k-th."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "of", f"w{int(rng.paretovariate(0.6)) % 900}", f"x{i // 40}"]) for _ in range(rng.randint(1, 90))) for i in range(1200)]
+    copied = next(i for i, x in enumerate(texts) if len(set(x.split())) > 12)
+    texts[700:712] = [texts[copied]] * 12
+    rows = [search._texts_to_shard(list(range(a, a + 600)), texts[a : a + 600]) for a in (0, 600)]
+    mean = sum(r["length"] for r in rows) / 1200
+    docs = [collections.Counter(t.split()) for t in texts]
+    df = collections.Counter(t for d in docs for t in d)
+    idf = {t: math.log(1 + (1200 - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    queries, asked = [], [i for i in range(0, 1200, 25) if len(docs[i]) > 12 and i != copied] + [copied]
+    for i in asked:
+        by_hash = sorted(zip(search.term_hashes(list(docs[i])).tolist(), (idf[t] for t in docs[i]), strict=True))
+        queries.append((np.array([h for h, _ in by_hash], np.uint64), np.array([x for _, x in by_hash]), 0.0))
+    both, got, n_found = search.Queries(queries), collections.defaultdict(list), []
+    for row in rows:
+        shard = search.Shard(row, mean)
+        found = list(search.search_shard(shard, both, 10))
+        n_found.append(sum(len(places) for _, places, _ in found))
+        assert not {"entries", "by_block"} & vars(shard).keys()
+        for q, places, scores in found:
+            got[q] += [(-round(s, 6), shard.ids[p]) for s, p in zip(scores, places, strict=True)]
+    for q, i in enumerate(asked):
+        want = sorted((-round(sum(idf[t] * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * d.total() / mean)) for t in docs[i] if t in d), 6), p) for p, d in enumerate(docs))[:10]
+        assert [p for _, p in sorted(got[q])[:10]] == [p for _, p in want] and all(abs(a - b) < 2e-6 for (a, _), (b, _) in zip(sorted(got[q]), want, strict=False))
+    assert n_found[1] < 0.8 * n_found[0]
+
+
 def test_search(spark, sf_dir, empty_dir, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 17)
     rows = corpus()
