@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as both engines of the oracle can write it: ASCII, no-break and ideographic space.
 WS = r"[\s\x{00a0}\x{3000}]"
+_WS_CHARS = " \t\n\x0b\f\r\u00a0\u3000"
 SOURCE_MARK = r"\[S(\d+)\](?!\()"
 NUMBER_MARK = r"(?<!\[)[\[（](\d{1,3})[\]）](?!\()"
 GAP_MARK = r"\[G(\d+)\]"
@@ -33,9 +34,14 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def replaced(text: Column, pattern: str, by: str, holds: str) -> Column:
+    """`regexp_replace` of a pattern whose every match `holds` that part: it is tried on texts that have it."""
+    return let(text, lambda x: F.when(F.contains(x, F.lit(holds)), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+
 def dense_length(text: Column) -> Column:
     """Characters that are no white space."""
-    return F.length(F.regexp_replace(text, WS, ""))
+    return F.length(F.translate(text, _WS_CHARS, ""))
 
 
 def normalized_quote(text: Column) -> Column:
@@ -68,13 +74,23 @@ def file_name(source_id: Column, title: Column) -> Column:
 
 def lines_where(text: Column, pattern: str, holds: str = "") -> Column:
     """Places of the lines that match when trimmed, from 0. What every match `holds` is sought first: the pattern is tried on lines that have it."""
+    return places_where(F.split(text, "\n", -1), pattern, holds)
+
+
+def places_where(lines: Column, pattern: str, holds: str = "") -> Column:
+    """The same of a text that was split before."""
     fits = lambda x: F.contains(x, F.lit(holds)) & F.trim(x).rlike(pattern)
-    return F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(fits(x), i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(lines, lambda x, i: F.when(fits(x), i)), lambda i: i.isNotNull())
 
 
 def line_range(text: Column, start: Column, stop: Column) -> Column:
     """Lines from start to before stop, joined."""
-    return F.array_join(F.slice(F.split(text, "\n", -1), start + 1, F.greatest(stop - start, F.lit(0))), "\n")
+    return joined_range(F.split(text, "\n", -1), start, stop)
+
+
+def joined_range(lines: Column, start: Column, stop: Column) -> Column:
+    """The same of a text that was split before."""
+    return F.array_join(F.slice(lines, start + 1, F.greatest(stop - start, F.lit(0))), "\n")
 
 
 def width(text: Column) -> Column:

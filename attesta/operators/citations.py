@@ -40,9 +40,17 @@ def refs_boundary_last(text: Column) -> tuple[Column, Column, Column]:
 
 
 def split_drafts(drafts: DataFrame) -> DataFrame:
-    """`drafts` with body, refs and appendix."""
-    body, refs, app = refs_boundary_last(F.col("text"))
-    return drafts.withColumns({"body": body, "refs": refs, "appendix": app})
+    """`drafts` with body, refs and appendix. A heading in the first line counts as none. The text is split once and each boundary sought once, as columns of their own."""
+    d = drafts.withColumn("_lines", F.split("text", "\n", -1))
+    last = lambda p: F.array_max(t.places_where(F.col("_lines"), p, "##"))
+    d = d.withColumns({"_refs_at": last(REFS_LAST), "_app_at": last(APPENDIX_LAST)})
+    d = d.withColumns({x: F.when(F.col(x) > 0, F.col(x)) for x in ("_refs_at", "_app_at")})
+    lines, refs, app, n, empty = F.col("_lines"), F.col("_refs_at"), F.col("_app_at"), F.size("_lines"), F.lit("")
+    body_end, ref_end = F.coalesce(refs, app, n), F.coalesce(app, n)
+    return d.withColumns({
+        "body": t.joined_range(lines, F.lit(0), body_end), "refs": F.when(refs.isNotNull(), t.joined_range(lines, body_end, ref_end)).otherwise(empty),
+        "appendix": F.when(app.isNotNull(), t.joined_range(lines, ref_end, n)).otherwise(empty),
+    }).drop("_lines", "_refs_at", "_app_at")
 
 
 def markers(column: str, pattern: str) -> Column:
@@ -177,17 +185,17 @@ def _cleaned(text: Column) -> Column:
     out = text
     for tag in PLACEHOLDERS:
         out = F.replace(out, F.lit(tag), F.lit(""))
-    out = F.regexp_replace(out, r"编号：\S*\[?待内部确认\]?", "编号：XXXXXXXX（作者学号）")
-    out = F.regexp_replace(out, r"编号：2023\d*", "编号：XXXXXXXX（作者学号）")
+    out = t.replaced(out, r"编号：\S*\[?待内部确认\]?", "编号：XXXXXXXX（作者学号）", "待内部确认")
+    out = t.replaced(out, r"编号：2023\d*", "编号：XXXXXXXX（作者学号）", "编号：2023")
     for old in ("资助项目：[待内部确认]", "　资助项目：", "资助项目："):
         out = F.replace(out, F.lit(old), F.lit(""))
-    return F.regexp_replace(out, r"(?s)<!--.*?-->", "")
+    return t.replaced(out, r"(?s)<!--.*?-->", "", "<!--")
 
 
 def _academic(text: Column) -> Column:
     """Phrases for what could not be fetched."""
-    out = F.regexp_replace(text, r"NRC ADAMS\s*PDF\s*受反爬限制不可下载", "部分NRC历史档案全文无法在线获取")
-    return F.regexp_replace(F.regexp_replace(out, "受反爬限制不可下载", "全文无法在线获取"), "PDF受反爬限制", "全文受访问限制")
+    out = t.replaced(text, r"NRC ADAMS\s*PDF\s*受反爬限制不可下载", "部分NRC历史档案全文无法在线获取", "NRC ADAMS")
+    return F.replace(F.replace(out, F.lit("受反爬限制不可下载"), F.lit("全文无法在线获取")), F.lit("PDF受反爬限制"), F.lit("全文受访问限制"))
 
 
 LIMITATIONS = "## 研究局限\n\n本文基于已审计公开来源展开，以下方面因证据可得性与范围限制未予充分展开，有待后续工作补充：\n\n"
@@ -198,17 +206,19 @@ def finished(drafts: DataFrame) -> DataFrame:
 
     The appendix of gaps goes if it stands after the references; gaps that the body cites become limitations.
     """
-    n = F.size(F.split("text", "\n", -1))
-    d = drafts.withColumns({"_ref": F.array_min(t.lines_where(F.col("text"), REFS_FIRST, "##")), "_app": F.array_min(t.lines_where(F.col("text"), APPENDIX_FIRST, "##"))})
+    d = drafts.withColumn("_lines", F.split("text", "\n", -1))
+    lines, n = F.col("_lines"), F.size("_lines")
+    d = d.withColumns({"_ref": F.array_min(t.places_where(lines, REFS_FIRST, "##")), "_app": F.array_min(t.places_where(lines, APPENDIX_FIRST, "##"))})
     cut = F.col("_app").isNotNull() & (F.col("_app") >= F.col("_ref"))
-    d = d.withColumns({"_block": F.when(cut, t.line_range(F.col("text"), F.col("_app"), n)).otherwise(""), "_all": F.when(cut, F.concat(F.rtrim(t.line_range(F.col("text"), F.lit(0), F.col("_app")), F.lit(" \n\t\r")), F.lit("\n"))).otherwise(F.col("text"))})
-    d = d.withColumns({"_body": t.line_range(F.col("_all"), F.lit(0), F.col("_ref")), "_refs": t.line_range(F.col("_all"), F.col("_ref"), F.size(F.split("_all", "\n", -1)))})
+    d = d.withColumns({"_block": F.when(cut, t.joined_range(lines, F.col("_app"), n)).otherwise(""), "_all": F.when(cut, F.concat(F.rtrim(t.joined_range(lines, F.lit(0), F.col("_app")), F.lit(" \n\t\r")), F.lit("\n"))).otherwise(F.col("text"))})
+    d = d.withColumn("_lines", F.split("_all", "\n", -1))
+    d = d.withColumns({"_body": t.joined_range(lines, F.lit(0), F.col("_ref")), "_refs": t.joined_range(lines, F.col("_ref"), n)})
     d = d.withColumn("_keys", number_map(F.col("_refs")))
     d = d.withColumns({"_body": renumbered(F.col("_body"), F.col("_keys")), "_refs": renumbered(F.col("_refs"), F.col("_keys"), r"(?m)^\[S(\d+)\]")})
     d = d.withColumn("_gaps", F.array_distinct(F.transform(t.find_all(F.col("_body"), t.GAP_MARK), lambda g: g.cast("int"))))
-    body = F.regexp_replace(F.regexp_replace("_body", r"\[G\d+\]", ""), r"(?m)^> \*\*标记图例\*\*.*$", "")
+    body = t.replaced(t.replaced(F.col("_body"), r"\[G\d+\]", "", "[G"), r"(?m)^> \*\*标记图例\*\*.*$", "", "标记图例")
     body = _academic(F.replace(_cleaned(body), F.lit("相关论断均以公开摘要级结论支撑，具体详见附录A。"), F.lit("")))
-    body = F.rtrim(F.regexp_replace(body, r"\n{3,}", "\n\n"), F.lit(" \n\t\r"))
+    body = F.rtrim(t.replaced(body, r"\n{3,}", "\n\n", "\n\n\n"), F.lit(" \n\t\r"))
     row = r"(?m)^\|\s*\[?G?(\d+)\]?\s*\|(.+?)\|\s*$"
     rows = F.arrays_zip(t.find_all(F.col("_block"), row, 1).alias("g"), t.find_all(F.col("_block"), row, 2).alias("d"))
     named = F.filter(rows, lambda x: F.array_contains("_gaps", x["g"].cast("int")))

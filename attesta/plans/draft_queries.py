@@ -198,6 +198,6 @@ def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     drafts = b.drafts(spark, sf_dir)
     audited = claims_op.auditability(b.claims(spark, sf_dir), b.evidence(spark, sf_dir)).select(F.col("claim_key").alias("doc_id"), (F.col("auditable") | ~F.col("high_risk")).alias("ok")).where("doc_id % 3 = 0")
-    verdicts = final_gate.final_verdicts(op.finished(drafts).select("doc_id", "final"), min_sources=3).unionByName(final_gate.draft_verdicts(drafts, 3, 60)).unionByName(final_gate.case_verdicts("audit", audited, F.col("ok")))
+    rows = [final_gate.delivery_rows(drafts, 3, 60), final_gate.case_rows(final_gate.case_verdicts("audit", audited, F.col("ok")))]
     docs = drafts.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("case"))).alias("kinds"))
-    return final_gate.released(docs, verdicts, by_kind={"case": (("C", "audit"),)}).drop("failing")
+    return final_gate.released_rows(docs, rows, by_kind={"case": (("C", "audit"),)}).drop("failing")

@@ -57,3 +57,20 @@ def test_residuals_are_counted_once_a_text(spark):
     verdicts = op.final_verdicts(finals)
     assert verdicts._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lambda") == 14
     assert {(r["doc_id"], r["reason"]) for r in verdicts.where("check = 'residuals' and not passed").collect()} == {("left", "[Sx],待填写,[?n]")}
+
+
+def test_rows_of_verdicts_release_as_the_long_table_does(spark):
+    """A draft's and its finished text's verdicts come from one pass, and gates, reasons and absent checks are those of the long table."""
+    drafts = spark.createDataFrame(
+        [("good", DRAFT), ("open", DRAFT.replace("和[S2]", "")), ("cover", DRAFT.replace("正文", "资助 references/x.md <!-- a -->\n\n\n\n编号：2023123 正文")), ("gap", DRAFT.replace("和", "[G1]和[S9]") + "\n## 附录A 缺口\n| [G1] | gap |\n"), ("null", None), ("bare", "x")],
+        "doc_id string, text string",
+    )
+    docs = drafts.select("doc_id", F.when(F.col("doc_id").isin("good", "gap", "bare"), F.array(F.lit("case"))).alias("kinds"))
+    case = op.case_verdicts("audit", spark.createDataFrame([("good", "s", True), ("gap", "t", False), ("gap", "u", False), ("open", "v", False), ("stranger", "s", False)], "doc_id string, s string, ok boolean"), F.col("ok"), F.col("s"))
+    long = op.final_verdicts(op.citations.finished(drafts).select("doc_id", "final"), 2).unionByName(op.draft_verdicts(drafts, 2, 3)).unionByName(case)
+    kinds = {"case": (("C", "audit"),)}
+    rows = op.released_rows(docs, [op.delivery_rows(drafts, 2, 3), op.case_rows(case)], by_kind=kinds)
+    got, want = ({r["doc_id"]: r.asDict() for r in d.collect()} for d in (rows, op.released(docs, long, by_kind=kinds)))
+    assert got == want and got["good"]["released"] and "C audit: t;u" in got["gap"]["failing"] and "C audit: absent" in got["bare"]["failing"] and len(got) == 6
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan
